@@ -25,6 +25,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.syncmers import fingerprint_documents, likeness, sketch_hex, text_sketch, with_next
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    paired = with_next(docs, "doc_id", ["text"], buckets, derive=("fingerprint_sketch", text_sketch(F.col("text"))))
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    rows = paired.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint_sketch", F.col("next_fingerprint_sketch"), sketch_hex(F.col("fingerprint_sketch")).alias("fingerprint"))
+    whole = fingerprint_documents(rows, text_col="edited", out_col="edited_fingerprint")
+    return whole.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint_sketch"), F.col("edited_fingerprint_sketch")).alias("near_edited"),
+        likeness(F.col("fingerprint_sketch"), F.col("next_fingerprint_sketch")).alias("near_next"),
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import quality
 
@@ -86,6 +104,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_fingerprints": op2_fingerprints,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op9_chat": op9_chat,
