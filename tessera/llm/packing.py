@@ -93,9 +93,9 @@ def pack_documents(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from tessera.llm.tokens import PieceEncoder
+        from tessera.llm import tokens
 
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = tokens.encoder(tokenizer_path)
         base = TaskContext.get().partitionId() * SEQUENCES_PER_PARTITION
         end = b"" if end_id is None else np.uint32(end_id).tobytes()
         made, tails, out, held = 0, [], [], 0

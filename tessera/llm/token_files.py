@@ -53,9 +53,9 @@ def write_token_files(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from tessera.llm.tokens import PieceEncoder
+        from tessera.llm import tokens
 
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = tokens.encoder(tokenizer_path)
         small = encoder.tokenizer.get_vocab_size() <= 1 << 16
         kind, dtype = (pa.uint16(), "<u2") if small else (pa.uint32(), "<u4")
         end = b"" if end_id is None else np.uint32(end_id).tobytes()
