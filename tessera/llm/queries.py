@@ -49,6 +49,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and test item that it holds."""
+    from tessera.llm.decontam import with_leaks
+
+    found = with_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    each = found.select("doc_id", F.explode("leaks").alias("x"))
+    return each.select("doc_id", F.col("x.item").alias("item_id"), F.round("x.score", 6).alias("score"), F.col("x.question_overlap").alias("question_overlap"), F.col("x.answer_overlap").alias("answer_overlap"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import quality
 
@@ -112,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
     "op3_simhash": op3_simhash,
+    "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op9_chat": op9_chat,
