@@ -77,6 +77,18 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.automaton_dedup import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -124,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_automaton_dedup": op8_automaton_dedup,
     "op9_chat": op9_chat,
     "op10_html": op10_html,
 }
