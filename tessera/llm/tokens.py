@@ -20,6 +20,7 @@ import numpy as np
 #: Pieces that the memo of one Python worker holds before it starts anew (about 200 MB).
 MEMO_PIECES = 1_200_000
 RUNS = re.compile(r"\s \s|\s \Z|  ")
+PAIR = re.compile(r"\s\s")
 #: One pre-token when they stand behind a letter; the apostrophe can begin a contraction and is left out.
 PUNCTUATION = string.punctuation.replace("'", "")
 PROBES = ["word", " word", " Straße", "Été", " x", " ÀÉÎ", " supercalifragilistic"]
@@ -38,7 +39,7 @@ class PieceEncoder(dict):
     def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo_pieces = memo_pieces
@@ -67,6 +68,7 @@ class PieceEncoder(dict):
             ids = self.whole(piece)
         if len(self) >= self.memo_pieces:
             self.clear()
+            self[""] = b""
         self[piece] = ids
         return ids
 
@@ -74,10 +76,13 @@ class PieceEncoder(dict):
         """The ids of a text (null: empty) as bytes."""
         if not text:
             return b""
-        if RUNS.search(text):
+        if "\0" in text:
             return self.whole(text)
-        first, *rest = text.split(" ")
-        return b"".join([self[first] if first else b"", *map(self.__getitem__, map(" ".__add__, rest))])
+        if not PAIR.search(text):  # a line break by itself is a pre-token
+            text = text.replace("\n", "\0\n\0")
+        elif RUNS.search(text):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
 
 _encoders: dict[str, PieceEncoder] = {}
