@@ -256,13 +256,13 @@ def common_spans(docs: DataFrame, found: DataFrame, w: Windows, dtype: str) -> D
     return joined.where(later).select("key", "start", F.lit(w.length).alias("length"))
 
 
-def with_order_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs(id, text) as (key long, id, text), keys in ascending order of the id and different for all rows.
+def with_order_key(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """docs(id, text) as (key long, id, text) and more columns of docs, keys in ascending order of the id and different for all rows.
 
     The id itself where it is a whole number, never null and never repeated; else a number by the order of id (nulls
     first), then text, written to the shared folder so that it stays the same.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more)
     if isinstance(rows.schema["id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         odd = rows.groupBy("id").count().where("id is null or count > 1").limit(1).count()
         if not odd:

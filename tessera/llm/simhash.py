@@ -117,11 +117,13 @@ def anchor_links(fp: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def fingerprint_links(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(a bigint, b bigint) links between distinct fingerprints that differ in at most MAX_BITS bits.
+def fingerprint_links(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(a bigint, b bigint) links between the nodes of (fp) or (fp, node, seed) whose fingerprints differ in at most MAX_BITS bits.
 
-    Not all links: a spanning forest of each anchor's, so the components are those of all links.
+    Without a node column fingerprints, which then have to be distinct, are the nodes. Fingerprints are compared only
+    with those of their seed. Not all links: a spanning forest of each anchor's, so the components are those of all links.
     """
+    nodes = "node" in rows.columns
 
     def replicate(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -130,30 +132,41 @@ def fingerprint_links(distinct: DataFrame, partitions: int | None = None) -> Dat
             fp = b.column(0).to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
             for low in range(0, len(fp), 4096):
                 part = fp[low : low + 4096]
-                rows, keys, homes = anchors(part)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view("<i8")), pa.array(part[rows].view("<i8")), pa.array(homes)], names=["anchor", "fp", "home"])
+                index, keys, homes = anchors(part)
+                columns, names = [part[index].view("<i8"), homes], ["fp", "home"]
+                if nodes:
+                    columns.append(b.column(1).to_numpy()[low : low + 4096][index])
+                    keys = keys | (b.column(2).to_numpy()[low : low + 4096][index].astype(np.uint64) << np.uint64(32))
+                    names.append("node")
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.view("<i8"), *columns)], names=["anchor", *names])
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def links(key: np.ndarray, fp: np.ndarray, home: np.ndarray):
+        def links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, node: np.ndarray):
             edges = np.flatnonzero(np.diff(key)) + 1
             starts, stops = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
             size = stops - starts
             out = []
             two = starts[size == 2]
             near = (home[two] | home[two + 1]) & (np.bitwise_count(fp[two] ^ fp[two + 1]) <= MAX_BITS)
-            out.append(np.stack([fp[two[near]], fp[two[near] + 1]], axis=1))
-            more = [(fp[a:b], anchor_links(fp[a:b], home[a:b])) for a, b in zip(starts[size > 2].tolist(), stops[size > 2].tolist(), strict=True)]
-            out += [np.array([(f[i], f[j]) for i, j in found], dtype="<u8") for f, found in more if found]
-            pairs = np.concatenate(out).view("<i8").reshape(-1, 2)
+            out.append(np.stack([node[two[near]], node[two[near] + 1]], axis=1))
+            for a, b in zip(starts[size > 2].tolist(), stops[size > 2].tolist(), strict=True):
+                part, index = np.unique(fp[a:b], return_index=True)  # equal fingerprints: a star
+                first = dict(zip(part.tolist(), node[a:b][index].tolist(), strict=True))
+                if len(part) < b - a:
+                    out.append(np.array([(first[x], n) for x, n in zip(fp[a:b].tolist(), node[a:b].tolist(), strict=True) if first[x] != n], dtype="<i8").reshape(-1, 2))
+                found = anchor_links(part, home[a:b][index])
+                if found:
+                    out.append(node[a:b][index][np.array(found)])
+            pairs = np.concatenate(out).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(pairs[:, 0], pairs[:, 1])), pa.array(np.maximum(pairs[:, 0], pairs[:, 1]))], names=["a", "b"])
 
         held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            now = (b.column(0).to_numpy(), b.column(1).to_numpy().view("<u8"), b.column(2).to_numpy(zero_copy_only=False))
+            now = (b.column(0).to_numpy(), b.column(1).to_numpy().view("<u8"), b.column(2).to_numpy(zero_copy_only=False), b.column(3 if nodes else 1).to_numpy())
             last = now[0][-1]
             cut = int(np.searchsorted(now[0], last))  # sorted: the last anchor may go on
             if cut or (held and held[-1][0][-1] != last):
@@ -165,8 +178,9 @@ def fingerprint_links(distinct: DataFrame, partitions: int | None = None) -> Dat
         if held:
             yield links(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
-    n = partitions or int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = distinct.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint, home boolean").repartition(n, "anchor").sortWithinPartitions("anchor")
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken = rows.select("fp", "node", "seed") if nodes else rows.select("fp")
+    placed = taken.mapInArrow(replicate, "anchor bigint, fp bigint, home boolean" + ", node bigint" * nodes).repartition(n, "anchor").sortWithinPartitions("anchor")
     return placed.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
@@ -210,3 +224,84 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select(id_col, to_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+#: Near-duplicate groups of texts: shingles and similarity of the exact check, and independent fingerprints to find candidates.
+CHECK_SHINGLE, CHECK_SIMILARITY, SEEDS = 5, 0.8, 3
+
+
+def word_fingerprints(text: str | None) -> list[int]:
+    """SEEDS fingerprints over the distinct words of a text: an edit changes little of them, other than of shingles'."""
+    import xxhash
+
+    words = sorted(set(WORD.findall(text.translate(LOWER)))) if text else []
+    if not words:
+        return [0] * SEEDS
+    out = []
+    for seed in range(SEEDS):
+        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype="<u8")
+        counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's CHECK_SHINGLE-word shingles (of the whole sequence, if shorter)."""
+    import xxhash
+
+    words = WORD.findall(text.translate(LOWER)) if text else []
+    n = max(1, len(words) - CHECK_SHINGLE + 1)
+    return np.unique(np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + CHECK_SHINGLE]), 42) for i in range(n)], dtype="<u8").view("<i8"))
+
+
+def near_duplicate_texts(keyed: DataFrame) -> DataFrame:
+    """(key, root) for keyed(key bigint, text): root is the least key of the group; every row is there once.
+
+    Equal texts are one group. Different texts are candidates if one of their SEEDS word fingerprints differs in at
+    most MAX_BITS bits, found at anchors as a spanning forest, never as all pairs; a link stands if the texts' shingle
+    sets have a Jaccard similarity of CHECK_SIMILARITY or more. Groups are the components of the links that stand.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    copies = keyed.select("key", digest.alias("d"))
+    first = copies.groupBy("d").agg(F.min("key").alias("first"))
+    exact = materialize(copies.join(first, "d").select("key", "first"), "copies")
+    texts = keyed.join(exact.where("key = first").select("key"), "key", "left_semi")
+
+    def marks(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            fp = np.array([word_fingerprints(t.as_py()) for t in b.column(1)], dtype="<u8").reshape(-1, SEEDS)
+            node = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fp.ravel().view("<i8")), pa.array(np.repeat(node, SEEDS)), pa.array(np.tile(np.arange(SEEDS, dtype=np.int32), len(node)))], names=["fp", "node", "seed"]
+            )
+
+    candidates = materialize(fingerprint_links(texts.select("key", "text").mapInArrow(marks, "fp bigint, node bigint, seed int")), "candidates")
+
+    def sets(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))], names=["key", "s"])
+
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    shingles = materialize(texts.join(ends, "key", "left_semi").select("key", "text").mapInArrow(sets, "key bigint, s array<bigint>"), "shingles")
+    both = candidates.join(shingles.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    links = both.where(shared >= CHECK_SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    linked = components(links)
+    return exact.join(linked, exact["first"] == linked["node"], "left").select("key", F.coalesce("root", "first").alias("root"))
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs but for near copies: of each group the row with the least id stays (see near_duplicate_texts).
+
+    Null texts count as empty, and so as copies of each other. Rows with one id, or a null one, are told apart by text;
+    of rows that are the same in both, one stays. All columns are kept.
+    """
+    from tessera.llm.repeats import with_order_key
+
+    keyed = with_order_key(docs.select(F.struct("*").alias("row"), F.col(id_col), F.col(text_col)), id_col, text_col, "row")
+    roots = near_duplicate_texts(keyed.select("key", "text")).where("key = root").select("key")
+    return keyed.join(roots, "key", "left_semi").select("row.*")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,3 +130,41 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     joined = keyed.join(spans, "key", "left").select("id", "text", "spans")
     return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def cut_characters(text: str, spans: list[dict]) -> str:
+    """A text without the characters all of whose bytes lie in spans (start, stop) of its UTF-8 bytes."""
+    raw = utf8(text)
+    gone = np.zeros(len(raw) + 1, dtype=np.int64)
+    for run in spans:
+        gone[run["start"]] += 1
+        gone[run["stop"]] -= 1
+    gone = np.cumsum(gone[:-1]) > 0
+    lead = np.flatnonzero((raw & 0xC0) != 0x80)
+    whole = np.logical_and.reduceat(gone, lead) if len(lead) else gone
+    sizes = np.diff(np.append(lead, len(raw)))
+    return raw[~np.repeat(whole, sizes)].tobytes().decode("utf-8")
+
+
+def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """docs with repeated strings cut from the texts, by whole characters; chars_col, if there is one, is set anew.
+
+    Every row stays, with an empty text where all of it was repeated; null texts stay null. See without_repeats.
+    """
+    keyed = repeats.with_order_key(docs.select(F.struct("*").alias("row"), F.col(id_col), F.col(text_col)), id_col, text_col, "row")
+    spans = repeats.document_spans(materialize(repeated_spans(keyed.select("key", "text")), "spans"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or r is None else cut_characters(t, r) for t, r in zip(texts, runs, strict=True)], dtype=object)
+
+    joined = keyed.join(spans, "key", "left").withColumn("left", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
+    out = []
+    for c in docs.columns:
+        if c == text_col:
+            out.append(F.col("left").alias(c))
+        elif c == chars_col:
+            out.append(F.length("left").cast(docs.schema[c].dataType).alias(c))
+        else:
+            out.append(F.col("row").getField(c).alias(c))
+    return joined.select(*out)
