@@ -1,6 +1,681 @@
-"""Every query of the engine with its SQL."""
+"""Every query of the engine over the test tables, with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import scores, text as tx, vectors
+from tessera.operators import chunking, context, graph, metrics, rerank, retrieval, routing, store
+from tessera.sources import loaders
+from tessera.streaming import reliability
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Vectors. Questions are the vectors whose id is divisible by 100; labels are tenants.
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").cast("string").alias("tenant_id"))
+    return rows.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("qvec"), "tenant_id"), rows
+
+
+_COSINE = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))"
+_DENSE = """
+WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round({cos}, 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 {on}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s {where})
+SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= {k}
+"""
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+@query(_DENSE.format(cos=_COSINE, on="", where="", k=5))
+def dense_topk(spark, sf_dir):
+    return _ranked(retrieval.dense_search(*_vectors(spark, sf_dir), 5))
+
+
+@query(_DENSE.format(cos=_COSINE, on="AND q.label = c.label", where="", k=5))
+def dense_topk_filtered(spark, sf_dir):
+    return _ranked(retrieval.dense_search(*_vectors(spark, sf_dir), 5, tenant=True))
+
+
+@query(_DENSE.format(cos=_COSINE, on="", where="WHERE score >= 0.2", k=10))
+def dense_floor(spark, sf_dir):
+    return _ranked(retrieval.dense_search(*_vectors(spark, sf_dir), 10, min_score=0.2))
+
+
+@query(_DENSE.format(cos=_COSINE, on="", where="", k=3).replace("WHERE rank", "WHERE score >= 0.3 AND rank"))
+def dense_floor_after_topk(spark, sf_dir):
+    return _ranked(retrieval.dense_search(*_vectors(spark, sf_dir), 3).where("score >= 0.3"))
+
+
+@query()
+def dense_ivf(spark, sf_dir):
+    """Approximate search; tests hold its recall against dense_topk."""
+    return _ranked(retrieval.ivf_search(*_vectors(spark, sf_dir), 5, probes=8))
+
+
+@query(
+    "SELECT vec_id, round(list_sum(list_transform(e, lambda x: CAST(CAST(x / n AS FLOAT) AS DOUBLE))), 4) AS unit_sum FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,"
+    " sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings)"
+)
+def l2_normalize(spark, sf_dir):
+    unit = _t(spark, sf_dir, "embeddings").select("vec_id", vectors.l2_normalize("embedding").alias("u"))
+    return unit.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("unit_sum"))
+
+
+@query(
+    "WITH c AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM c WHERE vec_id % 100 = 0)"
+    " SELECT q.vec_id AS query_id, min(c.vec_id) AS seq FROM q JOIN c ON q.label = c.label AND c.vec_id <> q.vec_id WHERE round(list_cosine_similarity(q.e, c.e), 6) >= 0.3 GROUP BY q.vec_id"
+)
+def semantic_cache_hits(spark, sf_dir):
+    asked, rows = _vectors(spark, sf_dir)
+    version = F.lit("v1").alias("corpus_version")
+    entries = rows.select("tenant_id", version, F.col("chunk_id").alias("seq"), F.col("embedding").alias("vector"))
+    pairs = asked.select("query_id", "qvec", "tenant_id", version).join(entries, ["tenant_id", "corpus_version"]).where("seq <> query_id")
+    return pairs.where(F.round(vectors.cosine("qvec", "vector"), 6) >= 0.3).groupBy("query_id").agg(F.min("seq").alias("seq"))
+
+
+# Hashes and chunks.
+@query("SELECT doc_id, sha256(source || '|0|' || text) AS content_hash, substring(sha256(source || '|0|' || text), 1, 24) AS stable_id FROM documents")
+def content_hash(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").withColumn("position", F.lit(0))
+    return rows.select("doc_id", scores.content_hash("source", "position", "text").alias("content_hash"), scores.stable_id("source", "position", "text").alias("stable_id"))
+
+
+_FIXED = "SELECT doc_id, CAST(s / 450 AS BIGINT) AS position, substring(text, s + 1, 500) AS content FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(length(text) - 51, 0) + 1 AS BIGINT), 450)) AS s FROM documents WHERE length(text) > 0)"
+
+
+@query(f"SELECT doc_id, position, length(content) AS n_chars, sha256(content) AS h FROM ({_FIXED})")
+def fixed_chunks(spark, sf_dir):
+    chunks = chunking.fixed_size(_t(spark, sf_dir, "documents"))
+    return chunks.select("doc_id", F.col("position").cast("long").alias("position"), F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("h"))
+
+
+@query(
+    "SELECT doc_id, CAST(s / 2700 AS BIGINT) AS position, sha256(substring(text, s + 1, 3000)) AS h FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(length(text), 1) AS BIGINT), 2700)) AS s FROM documents WHERE text IS NOT NULL)"
+    " WHERE trim(substring(text, s + 1, 3000), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''"
+)
+def kg_windows(spark, sf_dir):
+    return chunking.covering_windows(_t(spark, sf_dir, "documents")).select("doc_id", F.col("position").cast("long").alias("position"), F.sha2("content", 256).alias("h"))
+
+
+@query(
+    f"SELECT doc_id, count(*) AS chunks, round(avg(n), 4) AS avg_chars, min(n) AS min_chars, max(n) AS max_chars, CAST(sum(n) AS BIGINT) AS total_chars, round(stddev_pop(n), 4) AS std_chars FROM (SELECT doc_id, length(content) AS n FROM ({_FIXED})) GROUP BY doc_id"
+)
+def chunk_stats(spark, sf_dir):
+    return chunking.chunk_stats(chunking.fixed_size(_t(spark, sf_dir, "documents")), "doc_id").withColumns({c: F.round(c, 4) for c in ("avg_chars", "std_chars")})
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, position, list_distinct(list_filter(string_split_regex(lower(content), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS t FROM ({_FIXED})),
+p AS (SELECT doc_id, t, lag(t) OVER (PARTITION BY doc_id ORDER BY position) AS b FROM c),
+j AS (SELECT doc_id, CASE WHEN len(t) = 0 OR len(b) = 0 THEN 0.0 ELSE CAST(len(list_intersect(t, b)) AS DOUBLE) / len(list_distinct(list_concat(t, b))) END AS j FROM p WHERE b IS NOT NULL)
+SELECT d.doc_id, round(coalesce(avg(CASE WHEN j >= 0.4 THEN 1.0 WHEN j IS NOT NULL THEN 0.0 END), 0.0), 6) AS overlap_ratio FROM (SELECT DISTINCT doc_id FROM c) d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id
+""")
+def overlap_ratio(spark, sf_dir):
+    return chunking.overlap_ratio(chunking.fixed_size(_t(spark, sf_dir, "documents"))).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
+
+
+def _digest(chunks: DataFrame, *keys: str) -> DataFrame:
+    return chunks.select(*keys, F.col("position").cast("long").alias("position"), F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("h"))
+
+
+@query()
+def recursive_chunks(spark, sf_dir):
+    return _digest(chunking.recursive(_t(spark, sf_dir, "documents"), 600, 72), "doc_id")
+
+
+@query()
+def parent_child(spark, sf_dir):
+    _, children = chunking.parent_child(_t(spark, sf_dir, "documents"))
+    return _digest(children, "doc_id", "parent_id", "child_id")
+
+
+@query()
+def structure_chunks(spark, sf_dir):
+    """Documents as Markdown: each gets a heading of its source."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), "text").alias("text"))
+    return _digest(chunking.by_structure(docs), "doc_id")
+
+
+@query()
+def semantic_chunks(spark, sf_dir):
+    from tessera.operators.models import hashed_embedding
+
+    return _digest(chunking.semantic(_t(spark, sf_dir, "documents"), lambda c: hashed_embedding(c, 16)), "doc_id")
+
+
+# Text.
+@query(r"""
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\w)-\s*\n\s*(\w)', '\1\2', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h
+FROM documents WHERE lang = 'en'
+""")
+def clean_text_ascii(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(tx.clean_text("text", compose=False), 256).alias("h"))
+
+
+@query()
+def clean_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.clean_text("text"), 256).alias("h"))
+
+
+@query("SELECT source, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens FROM documents GROUP BY source")
+def token_estimate(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy("source").agg(F.sum(tx.estimate_tokens("text")).alias("tokens"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' AS has_title FROM pages")
+def html_title(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", (loaders.html_text("html")["title"] != "").alias("has_title"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.sha2(loaders.html_text("html")["text"], 256).alias("h"))
+
+
+@query(
+    "SELECT n_regionkey, 'Table with columns: n_nationkey, n_name.' || chr(10) || string_agg('n_nationkey: ' || n_nationkey || '; n_name: ' || trim(n_name), chr(10) ORDER BY n_nationkey) AS text, count(*) AS row_count FROM nation GROUP BY n_regionkey"
+)
+def csv_serialize(spark, sf_dir):
+    rows = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return loaders.csv_text(rows, F.col("n_nationkey"), ["n_regionkey"]).select("n_regionkey", "text", "row_count")
+
+
+@query(r"SELECT doc_id, trim(regexp_extract('intro' || chr(10) || '# ' || source || chr(10) || text, '(?m)^# (.*)$', 1)) AS title FROM documents")
+def markdown_title(spark, sf_dir):
+    said = F.concat(F.lit("intro\n# "), "source", F.lit("\n"), "text")
+    return _t(spark, sf_dir, "documents").select("doc_id", loaders.markdown_title(said).alias("title"))
+
+
+_CANON = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\b(inc|llc|ltd|limited|corp|corporation|gmbh|s\.a\.|plc|co)\b\.?', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT s_suppkey, {_CANON.format('s_name')} AS canonical_name FROM supplier")
+def canonicalize(spark, sf_dir):
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", tx.canonicalize("s_name").alias("canonical_name"))
+
+
+@query(f"WITH n AS (SELECT n_nationkey, {_CANON.format('n_name')} AS k FROM nation), a AS (SELECT {_CANON.format('r_name')} AS t, r_regionkey FROM region) SELECT n.n_nationkey, coalesce(a.t, n.k) AS resolved FROM n LEFT JOIN a ON n.n_nationkey = a.r_regionkey")
+def alias_resolve(spark, sf_dir):
+    nation = _t(spark, sf_dir, "nation")
+    aliases = nation.join(_t(spark, sf_dir, "region"), F.col("n_nationkey") == F.col("r_regionkey")).select(F.col("n_name").alias("alias"), F.col("r_name").alias("target"))
+    return tx.resolve_aliases(nation.select("n_nationkey", F.col("n_name").alias("name")), aliases).select("n_nationkey", "resolved")
+
+
+# Lexical search and fusion. The benchmark items are the questions, documents the corpus.
+def _lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    corpus = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("source_uri"))
+    return questions, corpus
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS) + "]"
+_BM25 = f"""
+q AS (SELECT item_id AS query_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)), lambda x: NOT list_contains({_STOP}, x))) AS term FROM benchmark),
+n AS (SELECT query_id, count(*) AS n_terms FROM q GROUP BY query_id),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS t FROM documents),
+s AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d),
+p AS (SELECT doc_id, term, size, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term, len(t) AS size FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT p.doc_id, p.term, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS w FROM p JOIN f USING (term), s),
+b AS (SELECT q.query_id, w.doc_id AS chunk_id, round(sum(CAST(w AS DOUBLE)), 6) AS score, count(*) AS hits FROM q JOIN w USING (term) GROUP BY q.query_id, w.doc_id),
+r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b),
+a AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b JOIN n USING (query_id) WHERE hits = n_terms)
+"""
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "chunk_id", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 4) AS score FROM r WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    return _hits(retrieval.lexical_search(*_lexical(spark, sf_dir), 10, all_terms=False))
+
+
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 4) AS score FROM a WHERE rank <= 5")
+def lexical_and_match(spark, sf_dir):
+    return _hits(retrieval.lexical_search(*_lexical(spark, sf_dir), 5))
+
+
+@query()
+def lexical_cover_density(spark, sf_dir):
+    return _hits(retrieval.cover_density(*_lexical(spark, sf_dir), 5))
+
+
+@query(f"WITH {_BM25}, top AS (SELECT * FROM r WHERE rank <= 10) SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 4) AS max_scaled, round(CASE WHEN max(score) OVER (PARTITION BY query_id) = min(score) OVER (PARTITION BY query_id) THEN 1.0 ELSE (score - min(score) OVER (PARTITION BY query_id)) / (max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id)) END, 4) AS min_max_scaled FROM top")
+def score_normalize(spark, sf_dir):
+    found = retrieval.lexical_search(*_lexical(spark, sf_dir), 10, all_terms=False)
+    both = scores.min_max_scale(found.withColumn("m", F.col("score")), score="m")
+    return scores.max_scale(both).select("query_id", "chunk_id", F.round("score", 4).alias("max_scaled"), F.round("m", 4).alias("min_max_scaled"))
+
+
+_RRF = """
+, u AS (SELECT query_id, chunk_id, rank, 0 AS branch, CAST({a} AS DOUBLE) AS wt FROM r WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, rank, 1, CAST({b} AS DOUBLE) FROM a WHERE rank <= 20),
+x AS (SELECT query_id, chunk_id, sum(wt / (60 + rank)) AS raw, min(branch * 1000 + rank) AS seen FROM u GROUP BY query_id, chunk_id),
+y AS (SELECT query_id, chunk_id, seen, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM x),
+z AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, chunk_id) AS rank FROM y)
+SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM z WHERE rank <= 5
+"""
+
+
+def _two_rankings(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [retrieval.lexical_search(*_lexical(spark, sf_dir), 20, all_terms=a) for a in (False, True)]
+
+
+@query(f"WITH {_BM25} {_RRF.format(a=1, b=1)}")
+def rrf_equal(spark, sf_dir):
+    return _ranked(retrieval.fuse(_two_rankings(spark, sf_dir), None, 60, 5))
+
+
+@query(f"WITH {_BM25} {_RRF.format(a=0.6, b=0.4)}")
+def rrf_weighted(spark, sf_dir):
+    return _ranked(retrieval.fuse(_two_rankings(spark, sf_dir), [0.6, 0.4], 60, 5))
+
+
+@query()
+def hybrid_search(spark, sf_dir):
+    from tessera.operators.models import hashed_embedding
+
+    questions, corpus = _lexical(spark, sf_dir)
+    embedded = corpus.withColumn("embedding", hashed_embedding("content"))
+    return _ranked(retrieval.hybrid_search(questions.withColumn("qvec", hashed_embedding("question")), embedded, 5))
+
+
+@query(f"WITH {_BM25}, s1 AS (SELECT * FROM a WHERE rank <= 5), ok AS (SELECT DISTINCT query_id FROM s1 WHERE score >= 5) SELECT query_id, chunk_id, round(score, 4) AS score, 0 AS stage FROM s1 WHERE score >= 5 UNION ALL SELECT query_id, chunk_id, round(score, 4), 1 FROM r WHERE rank <= 3 AND score >= 5 AND query_id NOT IN (SELECT query_id FROM ok)")
+def fallback_chain(spark, sf_dir):
+    questions, corpus = _lexical(spark, sf_dir)
+    stages = [retrieval.lexical_search(questions, corpus, 5), retrieval.lexical_search(questions, corpus, 3, all_terms=False)]
+    return retrieval.fallback(stages, questions, min_score=5).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "stage")
+
+
+# Reranking, context and citations over the ten best rows of each question.
+def _results(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    questions, corpus = _lexical(spark, sf_dir)
+    found = retrieval.lexical_search(questions, corpus, k, all_terms=False)
+    return found.join(corpus, "chunk_id").withColumn("retriever", F.lit("lexical"))
+
+
+@query()
+def mmr(spark, sf_dir):
+    return rerank.diversify(scores.max_scale(_results(spark, sf_dir)))
+
+
+_TOKENS = "list_distinct(list_filter(string_split_regex(lower(d.text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))"
+
+
+@query(f"""
+WITH RECURSIVE {_BM25},
+i AS (SELECT r.query_id, r.rank, r.chunk_id, {_TOKENS} AS t FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE r.rank <= 10),
+pr AS (SELECT x.query_id, x.rank AS hi, y.rank AS lo FROM i x JOIN i y ON x.query_id = y.query_id AND y.rank < x.rank WHERE len(x.t) > 0 AND len(y.t) > 0 AND CAST(len(list_intersect(x.t, y.t)) AS DOUBLE) / len(list_distinct(list_concat(x.t, y.t))) >= 0.75),
+near AS (SELECT query_id, hi, list(lo) AS los FROM pr GROUP BY query_id, hi),
+fold AS (
+  SELECT query_id, CAST(0 AS BIGINT) AS at, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT query_id FROM i)
+  UNION ALL
+  SELECT f.query_id, i.rank, CASE WHEN n.los IS NOT NULL AND len(list_intersect(n.los, f.kept)) > 0 THEN f.kept ELSE list_append(f.kept, i.rank) END
+  FROM fold f JOIN i ON i.query_id = f.query_id AND i.rank = f.at + 1 LEFT JOIN near n ON n.query_id = i.query_id AND n.hi = i.rank),
+last AS (SELECT query_id, arg_max(kept, at) AS kept FROM fold GROUP BY query_id)
+SELECT i.query_id, i.chunk_id, CAST(i.rank AS INT) AS rank FROM i JOIN last USING (query_id) WHERE list_contains(last.kept, i.rank)
+""")
+def greedy_dedupe(spark, sf_dir):
+    return rerank.deduplicate(_results(spark, sf_dir)).select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"""
+WITH RECURSIVE {_BM25},
+i AS (SELECT r.query_id, r.rank, r.chunk_id, CAST(greatest(1, length(d.text) // 4) + 20 AS BIGINT) AS cost FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE r.rank <= 10),
+fold AS (
+  SELECT query_id, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS spent, CAST(NULL AS BIGINT) AS chunk_id, FALSE AS taken FROM (SELECT DISTINCT query_id FROM i)
+  UNION ALL
+  SELECT f.query_id, i.rank, CASE WHEN f.spent + i.cost <= 1200 THEN f.spent + i.cost ELSE f.spent END, i.chunk_id, f.spent + i.cost <= 1200 FROM fold f JOIN i ON i.query_id = f.query_id AND i.rank = f.at + 1)
+SELECT query_id, chunk_id, spent FROM fold WHERE taken
+""")
+def token_budget(spark, sf_dir):
+    return context.pack_budget(_results(spark, sf_dir), 1200)
+
+
+@query(f"WITH {_BM25}, t AS (SELECT query_id, chunk_id, rank, count(*) OVER (PARTITION BY query_id) AS n FROM r WHERE rank <= 7) SELECT query_id, chunk_id, CAST(CASE WHEN n > 2 AND rank = 2 THEN n WHEN n > 2 AND rank > 2 THEN rank - 1 ELSE rank END AS BIGINT) AS place FROM t")
+def edge_placement(spark, sf_dir):
+    found = retrieval.lexical_search(*_lexical(spark, sf_dir), 7, all_terms=False).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    return found.select("query_id", "chunk_id", context.edge_position("rank", "n").cast("long").alias("place"))
+
+
+@query()
+def context_build(spark, sf_dir):
+    return context.build_context(_results(spark, sf_dir)).select("query_id", F.sha2("context", 256).alias("h"), F.size("admitted").alias("n_admitted"))
+
+
+@query(r"""
+WITH a AS (SELECT conv_id, turn, regexp_replace(text, '\.( |\n|$)', ' [' || (turn % 4) || '].\1', 'g') AS t FROM conversations WHERE role = 'assistant' AND turn % 3 <> 0 UNION ALL SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' AND turn % 3 = 0),
+s AS (SELECT conv_id, turn, t, list_filter(string_split(regexp_replace(trim(t), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM a)
+SELECT conv_id, turn, CAST(len(s) AS BIGINT) AS n_sentences, CAST(len(list_filter(s, lambda x: NOT regexp_matches(x, '\[\d+\]'))) AS BIGINT) AS n_uncited,
+ CAST(len(list_filter(list_distinct(regexp_extract_all(t, '\[(\d+)\]', 1)), lambda x: CAST(x AS INT) NOT BETWEEN 1 AND 2)) AS BIGINT) AS n_invalid FROM s
+""")
+def citation_check(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").where("role = 'assistant'")
+    cited = F.regexp_replace("text", F.lit(r"\.( |\n|$)"), F.concat(F.lit(" ["), (F.col("turn") % 4).cast("string"), F.lit("].$1")))
+    said = rows.select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, cited).otherwise(F.col("text")).alias("answer"), F.lit(2).alias("n_admitted"))
+    checked = context.validate_citations(said)
+    return checked.select("conv_id", "turn", F.col("n_sentences").cast("long").alias("n_sentences"), F.col("n_uncited").cast("long").alias("n_uncited"), F.size("invalid").cast("long").alias("n_invalid"))
+
+
+# Routing over the users' turns.
+def _contains(markers: list[str], said: str) -> str:
+    return " OR ".join(f"contains({said}, '{m}')" for m in markers)
+
+
+_PADDED = "' ' || lower(text) || ' '"
+
+
+@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN {_contains(m, _PADDED)} THEN '{k}'" for k, m in routing.RULES) + " ELSE 'conceptual' END AS kind FROM conversations WHERE role = 'user'")
+def classify_rules(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", routing.classify("text").alias("kind"))
+
+
+@query(
+    "WITH u AS (SELECT conv_id, turn, ' ' || regexp_replace(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}_\\s]', ' ', 'g')), '\\s+', ' ', 'g') || ' ' AS p FROM conversations WHERE role = 'user')"
+    " SELECT conv_id, turn, len(list_filter(string_split(p, ' '), lambda x: x <> '')) <= 6 OR " + _contains([f" {m} " for m in routing.DEPENDENT_MARKERS], "p") + " AS dependent FROM u"
+)
+def dependent_question(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", routing.is_dependent("text").alias("dependent"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS window FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4 GROUP BY conv_id")
+def condense_window(spark, sf_dir):
+    listed = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("h"))
+    return listed.select("conv_id", routing.last_turns(F.transform("h", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))).alias("window"))
+
+
+@query("SELECT * FROM (VALUES ('factual', NULL, 5, FALSE), ('conceptual', 'hyde', 12, TRUE), ('comparative', 'multi_query', 20, TRUE), ('relational', 'entities', 15, TRUE), ('aggregate', 'multi_query', 30, TRUE)) t(kind, transform, k, rerank)")
+def routing_policy(spark, sf_dir):
+    return routing.policies(spark)
+
+
+# Metrics: a document of good quality is relevant to the question of its source's number.
+_CASES = """
+WITH d AS (SELECT doc_id, source, quality, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents JOIN labels USING (doc_id)),
+l AS (SELECT source, list(doc_id ORDER BY rank) AS retrieved, list(doc_id ORDER BY rank) FILTER (quality = 1) AS relevant FROM d GROUP BY source)
+"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
+    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    ranked = rows.select("source", F.col("doc_id").cast("string").alias("d"), "quality", F.row_number().over(w).alias("rank")).where("rank <= 50")
+    listed = ranked.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("rank", "d", "quality"))).alias("l"))
+    ids = lambda a: F.transform(a, lambda x: x["d"])
+    return listed.select(
+        F.col("source").alias("case_id"), F.substring("source", 4, 1).alias("segment"), (F.col("source") != "src0").alias("is_answerable"), ids(F.slice("l", 1, 10)).alias("retrieved"),
+        ids(F.filter("l", lambda x: x["quality"] == 1)).alias("relevant_chunk_ids"), F.map_from_entries(F.transform("l", lambda x: F.struct(x["d"], (x["quality"] * (1 + x["rank"] % 2)).cast("int")))).alias("relevance_grades"),
+    )
+
+
+_METRICS = """
+WITH ranked AS (SELECT source, doc_id, quality, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents JOIN labels USING (doc_id)),
+d AS (SELECT *, quality * (1 + rank % 2) AS grade FROM ranked WHERE rank <= 50),
+ideal AS (SELECT source, sum((pow(2, grade) - 1) / log2(i + 1)) AS best FROM (SELECT source, grade, row_number() OVER (PARTITION BY source ORDER BY grade DESC) AS i FROM d) WHERE i <= 5 GROUP BY source),
+m AS (SELECT source AS case_id, substring(source, 4, 1) AS segment, source <> 'src0' AS is_answerable,
+  CAST(count(*) FILTER (quality = 1 AND rank <= 5) AS DOUBLE) / least(5, count(*)) AS "precision",
+  CASE WHEN count(*) FILTER (quality = 1) = 0 THEN 1.0 ELSE CAST(count(*) FILTER (quality = 1 AND rank <= 5) AS DOUBLE) / count(*) FILTER (quality = 1) END AS recall,
+  coalesce(1.0 / min(rank) FILTER (quality = 1 AND rank <= 10), 0.0) AS mrr,
+  coalesce(sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (rank <= 5), 0.0) AS dcg,
+  CASE WHEN count(*) FILTER (quality = 1 AND rank <= 5) > 0 THEN 1.0 ELSE 0.0 END AS hit_rate,
+  CASE WHEN source = 'src0' THEN CASE WHEN count(*) % 2 = 0 THEN 1.0 ELSE 0.0 END WHEN count(*) % 2 = 0 THEN 0.0 END AS correct_abstention
+  FROM d GROUP BY source),
+e AS (SELECT m.*, CASE WHEN best = 0 THEN 0.0 ELSE dcg / best END AS ndcg FROM m JOIN ideal ON source = case_id)
+"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = _cases(spark, sf_dir)
+    responses = cases.select("case_id", "retrieved", (F.size(F.map_keys("relevance_grades")) % 2 == 0).alias("abstained"))
+    return metrics.evaluate(cases.drop("retrieved"), responses, 5)
+
+
+_SIX = ["precision", "recall", "mrr", "ndcg", "hit_rate", "correct_abstention"]
+
+
+@query(_METRICS + "SELECT case_id, " + ", ".join(f'round("{m}", 5) AS "{m}"' for m in _SIX) + " FROM e")
+def retrieval_metrics(spark, sf_dir):
+    return _evaluated(spark, sf_dir).select("case_id", *[F.round(m, 5).alias(m) for m in _SIX])
+
+
+@query(_METRICS + "SELECT segment, " + ", ".join(f'round(avg("{m}"), 5) AS "{m}", count("{m}") AS n_{m}' for m in _SIX) + ", count(*) AS n FROM e GROUP BY GROUPING SETS ((), (segment))")
+def metrics_by_segment(spark, sf_dir):
+    return metrics.summarize(_evaluated(spark, sf_dir), _SIX).select("segment", *[F.round(m, 5).alias(m) for m in _SIX], *[f"n_{m}" for m in _SIX], "n")
+
+
+# The graph: region <- nation <- supplier and customer; confidence is a function of the keys.
+_EDGES = """
+edges AS (SELECT 'N' || n_nationkey AS src, 'R' || n_regionkey AS dst, 'PART_OF' AS rel_type, 'nation' AS source_uri, 0.9 AS confidence FROM nation
+ UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 'LOCATED_IN', 'supplier', CAST(0.4 + (s_suppkey % 6) / 10.0 AS DOUBLE) FROM supplier
+ UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 'LOCATED_IN', 'customer', CAST(0.3 + (c_custkey % 7) / 10.0 AS DOUBLE) FROM customer)
+"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def part(table: str, src: Column, dst: Column, rel: str, confidence: Column) -> DataFrame:
+        return _t(spark, sf_dir, table).select(
+            F.lit("t").alias("tenant_id"), src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel_type"), F.lit(table).alias("source_uri"), confidence.cast("double").alias("confidence"),
+            F.lit("").alias("evidence"), F.lit("").alias("chunk_id"), F.lit(table).alias("chapter"), F.lit(0).alias("seq"),
+        )
+
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    return (
+        part("nation", key("N", "n_nationkey"), key("R", "n_regionkey"), "PART_OF", F.lit(0.9))
+        .unionByName(part("supplier", key("S", "s_suppkey"), key("N", "s_nationkey"), "LOCATED_IN", 0.4 + F.col("s_suppkey") % 6 / 10.0))
+        .unionByName(part("customer", key("C", "c_custkey"), key("N", "c_nationkey"), "LOCATED_IN", 0.3 + F.col("c_custkey") % 7 / 10.0))
+    )
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def part(table: str, letter: str, key: str, name: str, kind: str) -> DataFrame:
+        canonical = F.concat(F.lit(letter), F.col(key).cast("string"))
+        return _t(spark, sf_dir, table).select(
+            F.lit("t").alias("tenant_id"), canonical.alias("canonical_name"), F.col(name).alias("name"), F.lit(kind).alias("entity_type"), (0.5 + F.col(key) % 5 / 10.0).cast("double").alias("confidence"), F.lit(table).alias("chapter"), F.lit(0).alias("seq")
+        )
+
+    rows = part("region", "R", "r_regionkey", "r_name", "Location").unionByName(part("nation", "N", "n_nationkey", "n_name", "Location"))
+    rows = rows.unionByName(part("supplier", "S", "s_suppkey", "s_name", "Organization")).unionByName(part("customer", "C", "c_custkey", "c_name", "Person"))
+    again = rows.where("entity_type = 'Location'").select("tenant_id", "canonical_name", F.lower("name").alias("name"), F.lit("Concept").alias("entity_type"), F.lit(0.95).alias("confidence"), "chapter", F.lit(1).alias("seq"))
+    return rows.unionByName(again)
+
+
+_NODES = """
+nodes AS (SELECT 'R' || r_regionkey AS k, r_name AS name, 'Location' AS entity_type, 0.5 + (r_regionkey % 5) / 10.0 AS confidence FROM region
+ UNION ALL SELECT 'N' || n_nationkey, n_name, 'Location', 0.5 + (n_nationkey % 5) / 10.0 FROM nation
+ UNION ALL SELECT 'S' || s_suppkey, s_name, 'Organization', 0.5 + (s_suppkey % 5) / 10.0 FROM supplier
+ UNION ALL SELECT 'C' || c_custkey, c_name, 'Person', 0.5 + (c_custkey % 5) / 10.0 FROM customer),
+merged AS (SELECT k AS canonical_name, name, CASE WHEN entity_type = 'Location' THEN 'Concept' ELSE entity_type END AS entity_type,
+ round(CAST(CASE WHEN entity_type = 'Location' THEN greatest(confidence, 0.95) ELSE confidence END AS DOUBLE), 6) AS confidence, CASE WHEN entity_type = 'Location' THEN name || '|' || lower(name) ELSE name END AS surface_forms FROM nodes)
+"""
+
+
+@query(f"WITH {_NODES} SELECT * FROM merged")
+def kg_nodes(spark, sf_dir):
+    merged = graph.merge_nodes(_nodes(spark, sf_dir))
+    return merged.select("canonical_name", "name", "entity_type", F.round("confidence", 6).alias("confidence"), F.array_join("surface_forms", "|").alias("surface_forms"))
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, rel_type, source_uri, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM edges")
+def kg_edges(spark, sf_dir):
+    merged = graph.merge_edges(_edges(spark, sf_dir), graph.merge_nodes(_nodes(spark, sf_dir)))
+    return merged.select("src", "dst", "rel_type", "source_uri", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {_EDGES}, {_NODES} SELECT canonical_name AS node, CAST(coalesce(degree, 0) AS BIGINT) AS degree FROM merged LEFT JOIN (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node) ON node = canonical_name ORDER BY degree DESC, canonical_name LIMIT 20".replace("ORDER BY degree", "ORDER BY coalesce(degree, 0)"))
+def degree_topk(spark, sf_dir):
+    return graph.top_degrees(graph.merge_nodes(_nodes(spark, sf_dir)), _edges(spark, sf_dir)).select("node", "degree")
+
+
+@query(f"WITH {_EDGES}, {_NODES} SELECT (SELECT count(*) FROM merged) AS nodes, (SELECT count(*) FROM edges) AS relationships, round((SELECT count(*) FROM edges) / CAST((SELECT count(*) FROM merged) AS DOUBLE), 6) AS ratio")
+def graph_stats(spark, sf_dir):
+    return graph.graph_stats(graph.merge_nodes(_nodes(spark, sf_dir)), _edges(spark, sf_dir)).select("nodes", "relationships", F.round("ratio", 6).alias("ratio"))
+
+
+_WALK = """
+e AS (SELECT *, src || '>' || dst AS eid FROM edges),
+deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node),
+st AS (SELECT src AS a, dst AS b, eid, confidence FROM e WHERE confidence >= 0.5 UNION ALL SELECT dst, src, eid, confidence FROM e WHERE confidence >= 0.5 AND src <> dst),
+walk AS (
+  SELECT 'R' || r_regionkey AS seed, 'R' || r_regionkey AS at, CAST([] AS VARCHAR[]) AS eids, CAST(1.0 AS DOUBLE) AS pc, 0 AS hops FROM region
+  UNION ALL
+  SELECT w.seed, st.b, list_append(w.eids, st.eid), w.pc * CAST(st.confidence AS DOUBLE), w.hops + 1 FROM walk w JOIN st ON st.a = w.at JOIN deg ON deg.node = st.b
+  WHERE w.hops < {hops} AND NOT list_contains(w.eids, st.eid) AND (st.b = w.seed OR deg.degree < {hub}))
+"""
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "region").select(F.lit("t").alias("tenant_id"), F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("seed"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_WALK.format(hops=3, hub=10**9)} SELECT seed, at AS reached, hops, round(pc, 6) AS path_confidence FROM walk WHERE hops > 0")
+def bounded_traversal(spark, sf_dir):
+    paths = graph.traverse(_regions(spark, sf_dir), _edges(spark, sf_dir), max_hops=3, hub_degree=10**9, limit=None)
+    return paths.select("seed", F.col("a").alias("reached"), "hops", F.round("path_confidence", 6).alias("path_confidence"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_WALK.format(hops=3, hub=70)} SELECT seed, hops, count(*) AS paths, round(sum(pc), 4) AS total FROM walk WHERE hops > 0 GROUP BY seed, hops")
+def hub_prune(spark, sf_dir):
+    paths = graph.traverse(_regions(spark, sf_dir), _edges(spark, sf_dir), max_hops=3, hub_degree=70, limit=None)
+    return paths.groupBy("seed", "hops").agg(F.count("*").alias("paths"), F.round(F.sum("path_confidence"), 4).alias("total"))
+
+
+@query(f"WITH {_EDGES} SELECT src || ' ' || lower(replace(rel_type, '_', ' ')) || ' ' || dst || '.' AS sentence, src || ' -[' || rel_type || ']-> ' || dst AS triple FROM edges")
+def triples_to_sentences(spark, sf_dir):
+    rows = _edges(spark, sf_dir)
+    return rows.select(tx.triple_sentence("src", "rel_type", "dst", "evidence").alias("sentence"), tx.triple("src", "rel_type", "dst").alias("triple"))
+
+
+@query()
+def fuzzy_link(spark, sf_dir):
+    """Mentions are supplier names with a letter too many."""
+    suppliers = _t(spark, sf_dir, "supplier")
+    nodes = suppliers.select(F.lit("t").alias("tenant_id"), tx.canonicalize("s_name").alias("canonical_name"))
+    mentions = suppliers.select(F.lit("t").alias("tenant_id"), F.col("s_suppkey").alias("query_id"), F.concat(F.when(F.col("s_suppkey") % 2 == 0, F.lit("x")).otherwise(""), "s_name").alias("mention"))
+    return graph.link_mentions(mentions, nodes).select("query_id", "canonical_name", "how")
+
+
+# Reliability: events are calls, errors failures, values latencies.
+_CALLS = "SELECT event_id, user_id, ts, event_type <> 'error' AS ok, value * 100 AS latency_ms FROM events"
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 20).alias("k"), "ts", (F.col("event_type") != "error").alias("ok"), (F.col("value") * 100).alias("latency_ms"))
+
+
+_OVER = "OVER (PARTITION BY user_id % 20 ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)"
+
+
+@query(f"WITH c AS ({_CALLS}), w AS (SELECT event_id, count(*) {_OVER} AS events, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) {_OVER} AS BIGINT) AS failures, CAST(sum(CASE WHEN latency_ms >= 8000 THEN 1 ELSE 0 END) {_OVER} AS BIGINT) AS slow FROM c) SELECT *, failures >= 5 OR (events >= 5 AND CAST(slow AS DOUBLE) / events >= 0.5) AS trips FROM w")
+def breaker_trips(spark, sf_dir):
+    return reliability.trip_signals(_calls(spark, sf_dir), key="k").select("event_id", "events", "failures", "slow", "trips")
+
+
+@query()
+def breaker_states(spark, sf_dir):
+    return reliability.breaker_states(_calls(spark, sf_dir), key="k", order="event_id").select("event_id", "k", "state")
+
+
+@query("SELECT CAST(p AS INT) AS pressure, CASE WHEN p > 0 THEN '40' ELSE '100' END AS ef_search, CASE WHEN p > 1 THEN 'false' ELSE 'true' END AS \"rerank\", CASE WHEN p > 2 THEN '3' ELSE '5' END AS top_k, CASE WHEN p > 3 THEN 'false' ELSE 'true' END AS \"condense\" FROM range(0, 5) t(p)")
+def degrade_ladder(spark, sf_dir):
+    settings = F.create_map(*[F.lit(x) for x in ("ef_search", "100", "rerank", "true", "top_k", "5", "condense", "true")])
+    rungs = spark.range(5).select(F.col("id").cast("int").alias("pressure")).withColumn("c", reliability.degrade(settings, "pressure"))
+    return rungs.select("pressure", *[F.col("c")[k].alias(k) for k in ("ef_search", "rerank", "top_k", "condense")])
+
+
+@query("WITH d AS (SELECT source, count(*) * 1000 AS n FROM documents GROUP BY source), c AS (SELECT source, CAST(n AS DOUBLE) * (15 * 500 * 1.12 / 300) AS chunks FROM d) SELECT source, CAST(round_even(chunks, 0) AS BIGINT) AS chunks, round_even(chunks * 768 * 4 / 1e9, 1) AS raw_vector_gb FROM c")
+def capacity(spark, sf_dir):
+    sized = _t(spark, sf_dir, "documents").groupBy("source").agg((F.count("*") * 1000).alias("n"))
+    found = scores.estimate_capacity(F.col("n"))
+    return sized.select("source", found["chunks"].alias("chunks"), found["raw_vector_gb"].alias("raw_vector_gb"))
+
+
+@query("SELECT event_type, count(*) * 8 AS queries_per_day, round_even(count(*) * 8 / 28800.0, 2) AS average_qps, round_even(count(*) * 8 / 28800.0 * 5, 2) AS peak_qps FROM events GROUP BY event_type")
+def load(spark, sf_dir):
+    users = _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return users.select("event_type", *[c.alias(name) for name, c in scores.estimate_load(F.col("n")).items()])
+
+
+# The store's merge, on literal halves of the documents: the second half of the writes repeats the first.
+@query("SELECT tenant_id, count(*) AS chunks, count(*) FILTER (version = 2) AS refreshed FROM (SELECT source AS tenant_id, sha256(source || '|0|' || text) AS h, max(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END) AS version FROM documents GROUP BY 1, 2) GROUP BY tenant_id")
+def store_upsert(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id"), scores.content_hash("source", F.lit(0), "text").alias("content_hash"), "doc_id")
+
+    def writes(which: DataFrame, model: str) -> DataFrame:
+        empty = F.lit("")
+        return which.select(
+            "tenant_id", empty.alias("chapter"), empty.alias("source_uri"), empty.alias("section_path"), empty.alias("content"), "content_hash", F.lit(None).cast("map<string,string>").alias("metadata"),
+            F.lit(None).cast("array<float>").alias("embedding"), F.lit(model).alias("embed_model"), F.lit(True).alias("is_active"), F.lit(None).cast("timestamp").alias("created_at"), F.col("doc_id").alias("position"),
+        )
+
+    stored = store.upsert(writes(rows, "1").drop("position").limit(0), writes(rows, "1"))
+    merged = store.upsert(stored, writes(rows.where("doc_id % 3 = 0"), "2"))
+    return merged.groupBy("tenant_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("embed_model") == "2").alias("refreshed"))
+
+
+@query("SELECT sha256(text) AS h, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def exact_dedupe(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(text), '([a-z]{4,})', 1)), lambda x: NOT list_contains(" + "[" + ", ".join(f"'{w}'" for w in tx.STOP_TERMS) + "], x)).len() AS n_terms FROM conversations")
+def distinctive_terms(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(tx.distinctive_terms("text")).cast("long").alias("n_terms"))
+
+
+# Whole plans with the stand-in models.
+@query()
+def gated_answers(spark, sf_dir):
+    from tessera.operators import models
+    from tessera.plans import answering
+
+    questions, _ = _lexical(spark, sf_dir)
+    results = scores.max_scale(_results(spark, sf_dir, 5))
+    return answering.answer(questions, results, models.generate(lambda: models.extractive_answer)).select("query_id", "abstained", "reason", "passed", F.round("coverage", 6).alias("coverage"))
+
+
+@query()
+def reranked(spark, sf_dir):
+    from tessera.operators import models
+
+    questions, _ = _lexical(spark, sf_dir)
+    judge = models.generate(lambda: models.overlap_judge)
+    return rerank.rerank(_results(spark, sf_dir), questions, judge).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "retriever")
+
+
+@query()
+def agent_answers(spark, sf_dir):
+    from tessera.operators import models
+    from tessera.plans import agent
+
+    questions, corpus = _lexical(spark, sf_dir)
+
+    def search(asked: DataFrame, k: int) -> DataFrame:
+        found = retrieval.lexical_search(asked.select("query_id", "question"), corpus, k, all_terms=False)
+        rows = scores.max_scale(found).join(corpus, "chunk_id")
+        return rows.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "content", "score", "source_uri", "rank")
+
+    done = agent.run_agent(questions, {"vector": search, "hybrid": search, "graph": search}, generator=models.generate(lambda: models.extractive_answer), deadline_seconds=1e9)
+    return done.select("query_id", "terminated_by", "iteration", F.round("coverage", 6).alias("coverage"), "needs_human")
