@@ -59,12 +59,25 @@ def embed(factory: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Ca
 
 
 def hashed_embedding(text: Column | str, dim: int = 64) -> Column:
-    """The stand-in embedder: token counts in hashed places, unit length; in the JVM."""
-    from tessera.functions.vectors import l2_normalize
+    """The stand-in embedder: token counts in hashed places, unit length."""
+    import zlib
 
-    places = F.transform(tx.terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
-    return l2_normalize(counts)
+    import numpy as np
+
+    token = re.compile("[a-z0-9]+")
+
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in it:
+            out = []
+            for t in texts:
+                places = [zlib.crc32(w.encode()) % dim for w in token.findall((t or "").lower())]
+                v = np.bincount(places, minlength=dim).astype(np.float32) if places else np.zeros(dim, dtype=np.float32)
+                size = float(np.linalg.norm(v))
+                out.append(v / size if size else v)
+            yield pd.Series(out)
+
+    run.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<float>")(F.col(text) if isinstance(text, str) else text)
 
 
 def extractive_answer(client_prompts: list[str]) -> list[str]:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,26 +30,29 @@ def _lists(results: DataFrame, *columns: str) -> DataFrame:
 
 
 def diversify(results: DataFrame, keep: int = 5, diversity: float = 0.3) -> DataFrame:
-    """(query_id, chunk_id, pick): maximal marginal relevance; the first stays first, the earliest wins ties."""
-    lists = _lists(results, "score")
-    overlap = lambda x, kept: F.aggregate(kept, F.lit(0.0), lambda m, y: F.greatest(m, tx.jaccard(x["tokens"], y["tokens"])))
-
-    def step(acc: Column, _: Column) -> Column:
-        worth = F.transform(
-            acc["left"],
-            lambda x: F.struct(((1 - diversity) * x["score"] - diversity * overlap(x, acc["kept"])).alias("v"), (-x["rank"]).alias("o"), x.alias("x")),
-        )
-        best = F.array_max(F.transform(worth, lambda y: F.struct(y["v"], y["o"], y["x"]["chunk_id"].alias("c"))))
-        pick = F.filter(acc["left"], lambda x: (x["chunk_id"] == best["c"]) & (-x["rank"] == best["o"]))
-        more = F.size(acc["left"]) > 0
-        return F.struct(
-            F.when(more, F.concat(acc["kept"], pick)).otherwise(acc["kept"]).alias("kept"),
-            F.when(more, F.filter(acc["left"], lambda x: ~((x["chunk_id"] == best["c"]) & (-x["rank"] == best["o"])))).otherwise(acc["left"]).alias("left"),
-        )
-
-    start = F.struct(F.slice("items", 1, 1).alias("kept"), F.slice("items", F.lit(2), F.greatest(F.size("items") - 1, F.lit(0))).alias("left"))
-    folded = lists.select("query_id", F.aggregate(F.sequence(F.lit(2), F.lit(max(2, keep))), start, step, lambda a: F.slice(a["kept"], 1, keep)).alias("kept"))
-    return folded.select("query_id", F.posexplode("kept").alias("p", "x")).select("query_id", F.col("x.chunk_id").alias("chunk_id"), (F.col("p") + 1).alias("pick"))
+    """(query_id, chunk_id, pick): maximal marginal relevance; the first stays first, the earliest wins ties.
+
+    Each pick depends on those before it, so a question's list, which its search has bounded, is one group.
+    """
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank")
+        sets = [set(t) for t in rows["tokens"]]
+        score, overlap = rows["score"].tolist(), [0.0] * len(rows)
+        left, chosen = list(range(len(rows))), []
+        while left and len(chosen) < keep:
+            best = left[0] if not chosen else max(left, key=lambda i: ((1 - diversity) * score[i] - diversity * overlap[i], -i))
+            left.remove(best)
+            chosen.append(best)
+            for i in left:
+                both = len(sets[i] | sets[best])
+                overlap[i] = max(overlap[i], len(sets[i] & sets[best]) / both if sets[i] and sets[best] else 0.0)
+        out = rows.iloc[chosen]
+        return pd.DataFrame({"query_id": out["query_id"], "chunk_id": out["chunk_id"], "pick": range(1, len(out) + 1)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in results.schema}
+    taken = results.select("query_id", "chunk_id", "rank", "score", tx.token_set("content").alias("tokens"))
+    return taken.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, pick int")
 
 
 def deduplicate(results: DataFrame, threshold: float = 0.75) -> DataFrame:

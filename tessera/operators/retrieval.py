@@ -156,15 +156,22 @@ def cover_density(queries: DataFrame, corpus: DataFrame, k: int = 5, *, id_col:
     """The same rows ranked by cover density: each shortest span that holds all terms adds 1 over its length."""
 
     @F.pandas_udf("double")
-    def density(places: pd.Series) -> pd.Series:
-        return pd.Series([_density(p) for p in places])
+    def density(wanted: pd.Series, words: pd.Series) -> pd.Series:
+        out = []
+        for q, t in zip(wanted, words, strict=True):
+            places: dict[str, list[int]] = {term: [] for term in q}
+            for i, w in enumerate(t):
+                if w in places:
+                    places[w].append(i)
+            out.append(_density(list(places.values())))
+        return pd.Series(out)
 
     matched = lexical_search(queries, corpus, 2**31 - 1, id_col=id_col, text_col=text_col).select("query_id", "chunk_id")
     wanted = query_terms(queries).groupBy("query_id").agg(F.collect_list("term").alias("q"))
     words = corpus.select(F.col(id_col).alias("chunk_id"), tx.terms(text_col).alias("t"))
     rows = matched.join(small(wanted), "query_id").join(words, "chunk_id")
-    places = F.transform("q", lambda term: F.filter(F.transform("t", lambda x, i: F.when(x == term, i)), lambda i: i.isNotNull()))
-    return top_k(rows.select("query_id", "chunk_id", F.round(density(places), 6).alias("score")), k)
+    scored = rows.withColumn("d", density("q", "t"))
+    return top_k(scored.select("query_id", "chunk_id", F.round("d", 6).alias("score")), k)
 
 
 def _density(places: list) -> float:

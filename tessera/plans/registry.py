@@ -246,15 +246,15 @@ a AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id
 
 
 def _hits(df: DataFrame) -> DataFrame:
-    return df.select("query_id", "chunk_id", F.round("score", 4).alias("score"))
+    return df.select("query_id", "chunk_id", "score")
 
 
-@query(f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 4) AS score FROM r WHERE rank <= 10")
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, score FROM r WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
     return _hits(retrieval.lexical_search(*_lexical(spark, sf_dir), 10, all_terms=False))
 
 
-@query(f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 4) AS score FROM a WHERE rank <= 5")
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, score FROM a WHERE rank <= 5")
 def lexical_and_match(spark, sf_dir):
     return _hits(retrieval.lexical_search(*_lexical(spark, sf_dir), 5))
 
@@ -303,11 +303,11 @@ def hybrid_search(spark, sf_dir):
     return _ranked(retrieval.hybrid_search(questions.withColumn("qvec", hashed_embedding("question")), embedded, 5))
 
 
-@query(f"WITH {_BM25}, s1 AS (SELECT * FROM a WHERE rank <= 5), ok AS (SELECT DISTINCT query_id FROM s1 WHERE score >= 5) SELECT query_id, chunk_id, round(score, 4) AS score, 0 AS stage FROM s1 WHERE score >= 5 UNION ALL SELECT query_id, chunk_id, round(score, 4), 1 FROM r WHERE rank <= 3 AND score >= 5 AND query_id NOT IN (SELECT query_id FROM ok)")
+@query(f"WITH {_BM25}, s1 AS (SELECT * FROM a WHERE rank <= 5), ok AS (SELECT DISTINCT query_id FROM s1 WHERE score >= 5) SELECT query_id, chunk_id, score, 0 AS stage FROM s1 WHERE score >= 5 UNION ALL SELECT query_id, chunk_id, score, 1 FROM r WHERE rank <= 3 AND score >= 5 AND query_id NOT IN (SELECT query_id FROM ok)")
 def fallback_chain(spark, sf_dir):
     questions, corpus = _lexical(spark, sf_dir)
     stages = [retrieval.lexical_search(questions, corpus, 5), retrieval.lexical_search(questions, corpus, 3, all_terms=False)]
-    return retrieval.fallback(stages, questions, min_score=5).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "stage")
+    return retrieval.fallback(stages, questions, min_score=5).select("query_id", "chunk_id", "score", "stage")
 
 
 # Reranking, context and citations over the ten best rows of each question.
@@ -331,12 +331,12 @@ i AS (SELECT r.query_id, r.rank, r.chunk_id, {_TOKENS} AS t FROM r JOIN document
 pr AS (SELECT x.query_id, x.rank AS hi, y.rank AS lo FROM i x JOIN i y ON x.query_id = y.query_id AND y.rank < x.rank WHERE len(x.t) > 0 AND len(y.t) > 0 AND CAST(len(list_intersect(x.t, y.t)) AS DOUBLE) / len(list_distinct(list_concat(x.t, y.t))) >= 0.75),
 near AS (SELECT query_id, hi, list(lo) AS los FROM pr GROUP BY query_id, hi),
 fold AS (
-  SELECT query_id, CAST(0 AS BIGINT) AS at, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT query_id FROM i)
+  SELECT query_id, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT query_id FROM i)
   UNION ALL
   SELECT f.query_id, i.rank, CASE WHEN n.los IS NOT NULL AND len(list_intersect(n.los, f.kept)) > 0 THEN f.kept ELSE list_append(f.kept, i.rank) END
-  FROM fold f JOIN i ON i.query_id = f.query_id AND i.rank = f.at + 1 LEFT JOIN near n ON n.query_id = i.query_id AND n.hi = i.rank),
-last AS (SELECT query_id, arg_max(kept, at) AS kept FROM fold GROUP BY query_id)
-SELECT i.query_id, i.chunk_id, CAST(i.rank AS INT) AS rank FROM i JOIN last USING (query_id) WHERE list_contains(last.kept, i.rank)
+  FROM fold f JOIN i ON i.query_id = f.query_id AND i.rank = f.pos + 1 LEFT JOIN near n ON n.query_id = i.query_id AND n.hi = i.rank),
+fin AS (SELECT query_id, arg_max(kept, pos) AS kept FROM fold GROUP BY query_id)
+SELECT i.query_id, i.chunk_id, CAST(i.rank AS INT) AS rank FROM i JOIN fin USING (query_id) WHERE list_contains(fin.kept, i.rank)
 """)
 def greedy_dedupe(spark, sf_dir):
     return rerank.deduplicate(_results(spark, sf_dir)).select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
@@ -346,9 +346,9 @@ def greedy_dedupe(spark, sf_dir):
 WITH RECURSIVE {_BM25},
 i AS (SELECT r.query_id, r.rank, r.chunk_id, CAST(greatest(1, length(d.text) // 4) + 20 AS BIGINT) AS cost FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE r.rank <= 10),
 fold AS (
-  SELECT query_id, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS spent, CAST(NULL AS BIGINT) AS chunk_id, FALSE AS taken FROM (SELECT DISTINCT query_id FROM i)
+  SELECT query_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS spent, CAST(NULL AS BIGINT) AS chunk_id, FALSE AS taken FROM (SELECT DISTINCT query_id FROM i)
   UNION ALL
-  SELECT f.query_id, i.rank, CASE WHEN f.spent + i.cost <= 1200 THEN f.spent + i.cost ELSE f.spent END, i.chunk_id, f.spent + i.cost <= 1200 FROM fold f JOIN i ON i.query_id = f.query_id AND i.rank = f.at + 1)
+  SELECT f.query_id, i.rank, CASE WHEN f.spent + i.cost <= 1200 THEN f.spent + i.cost ELSE f.spent END, i.chunk_id, f.spent + i.cost <= 1200 FROM fold f JOIN i ON i.query_id = f.query_id AND i.rank = f.pos + 1)
 SELECT query_id, chunk_id, spent FROM fold WHERE taken
 """)
 def token_budget(spark, sf_dir):
@@ -539,9 +539,9 @@ e AS (SELECT *, src || '>' || dst AS eid FROM edges),
 deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node),
 st AS (SELECT src AS a, dst AS b, eid, confidence FROM e WHERE confidence >= 0.5 UNION ALL SELECT dst, src, eid, confidence FROM e WHERE confidence >= 0.5 AND src <> dst),
 walk AS (
-  SELECT 'R' || r_regionkey AS seed, 'R' || r_regionkey AS at, CAST([] AS VARCHAR[]) AS eids, CAST(1.0 AS DOUBLE) AS pc, 0 AS hops FROM region
+  SELECT 'R' || r_regionkey AS seed, 'R' || r_regionkey AS node, CAST([] AS VARCHAR[]) AS eids, CAST(1.0 AS DOUBLE) AS pc, 0 AS hops FROM region
   UNION ALL
-  SELECT w.seed, st.b, list_append(w.eids, st.eid), w.pc * CAST(st.confidence AS DOUBLE), w.hops + 1 FROM walk w JOIN st ON st.a = w.at JOIN deg ON deg.node = st.b
+  SELECT w.seed, st.b, list_append(w.eids, st.eid), w.pc * CAST(st.confidence AS DOUBLE), w.hops + 1 FROM walk w JOIN st ON st.a = w.node JOIN deg ON deg.node = st.b
   WHERE w.hops < {hops} AND NOT list_contains(w.eids, st.eid) AND (st.b = w.seed OR deg.degree < {hub}))
 """
 
@@ -550,7 +550,7 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "region").select(F.lit("t").alias("tenant_id"), F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("seed"))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, {_WALK.format(hops=3, hub=10**9)} SELECT seed, at AS reached, hops, round(pc, 6) AS path_confidence FROM walk WHERE hops > 0")
+@query(f"WITH RECURSIVE {_EDGES}, {_WALK.format(hops=3, hub=10**9)} SELECT seed, node AS reached, hops, round(pc, 6) AS path_confidence FROM walk WHERE hops > 0")
 def bounded_traversal(spark, sf_dir):
     paths = graph.traverse(_regions(spark, sf_dir), _edges(spark, sf_dir), max_hops=3, hub_degree=10**9, limit=None)
     return paths.select("seed", F.col("a").alias("reached"), "hops", F.round("path_confidence", 6).alias("path_confidence"))

@@ -106,8 +106,8 @@ def degrade(config: Column | str, pressure: Column | str) -> Column:
     """A map of settings under the first rungs of the ladder."""
     out, p = (F.col(config) if isinstance(config, str) else config), (F.col(pressure) if isinstance(pressure, str) else pressure)
     for i, (_, sets, _saves) in enumerate(LADDER):
-        rung = F.create_map(*[F.lit(x) for pair in sets.items() for x in pair])
-        out = F.when(p > i, F.map_concat(F.map_filter(out, lambda k, _v, s=sets: ~k.isin(list(s))), rung)).otherwise(out)
+        rung, names = F.create_map(*[F.lit(x) for pair in sets.items() for x in pair]), list(sets)
+        out = F.when(p > i, F.map_concat(F.map_filter(out, lambda k, _: ~k.isin(names)), rung)).otherwise(out)  # noqa: B023
     return out
 
 
