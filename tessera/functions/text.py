@@ -99,8 +99,8 @@ def citations(text: Column | str) -> Column:
 
 def parse_score(raw: Column | str, fallback: Column | str) -> Column:
     """The first number, between 0 and 10, as a share of 10; the fallback if there is none."""
-    number = F.regexp_extract(_col(raw), r"(\d+(?:\.\d+)?)", 1)
-    return F.coalesce(F.least(F.lit(10.0), F.greatest(F.lit(0.0), number.try_cast("double"))) / 10, _col(fallback))
+    number = F.regexp_extract(_col(raw), r"(\d+(?:\.\d+)?)", 1).try_cast("double")
+    return F.when(number.isNull(), _col(fallback)).otherwise(F.least(F.lit(10.0), F.greatest(F.lit(0.0), number)) / 10)
 
 
 def match_verdict(text: Column | str) -> Column:

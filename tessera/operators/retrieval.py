@@ -104,7 +104,7 @@ def _nearest(block, k: int, min_score: float | None, tenant: bool, digits: int):
     return run
 
 
-def ivf_search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, lists: int = 16, probes: int = 4, sample: int = 20_000, seed: int = 7, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+def ivf_search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, lists: int = 16, probes: int = 12, sample: int = 20_000, seed: int = 7, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
     """Approximate neighbours: an inverted file of k-means cells, fitted on a bounded sample; every row is in one cell.
 
     probes plays the part of ef_search: more cells, more recall. Questions go to their nearest cells only, so the cell is

@@ -71,7 +71,7 @@ def dense_floor_after_topk(spark, sf_dir):
 @query()
 def dense_ivf(spark, sf_dir):
     """Approximate search; tests hold its recall against dense_topk."""
-    return _ranked(retrieval.ivf_search(*_vectors(spark, sf_dir), 5, probes=8))
+    return _ranked(retrieval.ivf_search(*_vectors(spark, sf_dir), 5))
 
 
 @query(

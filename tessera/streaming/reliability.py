@@ -85,7 +85,7 @@ def breaker_states(events: DataFrame, *, key: str, ts: str = "ts", ok: str = "ok
 
 def stream_signals(events: DataFrame, *, key: str, ts: str = "ts", ok: str = "ok", latency: str = "latency_ms", late: str = "2 minutes", slide: str = "10 seconds") -> DataFrame:
     """The windowed form for streams: sliding windows with a watermark, one trips flag per key and window."""
-    held = events.withWatermark(ts, late).groupBy(F.window(ts, f"{WINDOW_SECONDS} seconds", slide), F.col(key))
+    held = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, f"{WINDOW_SECONDS} seconds", slide), F.col(key))
     counts = held.agg(F.count("*").alias("events"), F.sum((~F.col(ok)).cast("long")).alias("failures"), F.sum((F.col(latency) >= SLOW_MS).cast("long")).alias("slow"))
     return counts.withColumn("trips", (F.col("failures") >= FAILURES) | ((F.col("events") >= MIN_CALLS) & (F.col("slow") / F.col("events") >= SLOW_SHARE)))
 
