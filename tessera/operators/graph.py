@@ -161,7 +161,8 @@ def link_mentions(mentions: DataFrame, nodes: DataFrame, threshold: float = 0.86
     """(tenant_id, query_id, mention, canonical_name, how): by canonical name, else by the best fuzzy ratio; null if unlinked.
 
     Fuzzy candidates share the tenant and a length that could reach the threshold, as a ratio is at most twice the shorter
-    length over both; they are joined on the length, so mentions and nodes that can't be similar never meet.
+    length over both; they are joined on the length, and an edit distance in the JVM, which is at most the letters that a
+    ratio leaves unmatched, keeps the rest from Python. Mentions are a batch of questions' and so the small side.
     """
     rows = mentions.withColumn("k", tx.canonicalize("mention"))
     if aliases is not None:
@@ -173,7 +174,8 @@ def link_mentions(mentions: DataFrame, nodes: DataFrame, threshold: float = 0.86
     low, high = F.ceil(n * threshold / (2 - threshold)).cast("int"), F.floor(n * (2 - threshold) / threshold).cast("int")
     keyed = rest.where(n > 0).withColumn("len", F.explode(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1)))))
     pairs = small(keyed).join(known.select("tenant_id", F.col("k").alias("c"), F.length("k").alias("len")), ["tenant_id", "len"])
-    near = pairs.withColumn("ratio", tx.fuzzy_ratio("k", "c")).where(F.col("ratio") >= threshold)
+    close = pairs.where(F.levenshtein("k", "c") <= (1 - threshold) * (F.length("k") + F.length("c")) + 1e-9)
+    near = close.withColumn("ratio", tx.fuzzy_ratio("k", "c")).where(F.col("ratio") >= threshold)
     best = near.groupBy("tenant_id", "query_id", "mention").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "c")).alias("b")).select("tenant_id", "query_id", "mention", F.col("b.c").alias("canonical_name"))
     fuzzy = rest.join(best, ["tenant_id", "query_id", "mention"], "left").withColumn("how", F.when(F.col("canonical_name").isNotNull(), "fuzzy"))
     columns = ["tenant_id", "query_id", "mention", "canonical_name", "how"]
@@ -216,3 +218,24 @@ def fuse_with_graph(vector: DataFrame, triples: DataFrame, queries: DataFrame, *
     share = context.select("query_id", F.explode("admitted").alias("x")).select("query_id", F.col("x.chunk_id").alias("chunk_id")).join(graph, ["query_id", "chunk_id"], "left")
     share = share.groupBy("query_id").agg((F.count("__g") / F.greatest(F.lit(1), F.count("*"))).alias("graph_share"))
     return context.join(share, "query_id", "left")
+
+
+def merge_entities(incoming: DataFrame, stored: DataFrame | None = None, order: str = "seq") -> DataFrame:
+    """Generic nodes by (label, name): properties are a map, set key by key, the last write of each key wins; chapter too."""
+    rows = incoming.select("label", "name", "chapter", "properties", F.col(order).cast("long").alias("o"))
+    if stored is not None:
+        rows = rows.unionByName(stored.select("label", "name", "chapter", "properties", F.lit(-1).cast("long").alias("o")))
+    keys = rows.select("label", "name", "o", F.explode("properties").alias("p", "v")).groupBy("label", "name", "p").agg(F.max_by("v", "o").alias("v"))
+    maps = keys.groupBy("label", "name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("p", "v")))).alias("properties"))
+    last = rows.groupBy("label", "name").agg(F.max_by("chapter", "o").alias("chapter"))
+    empty = F.create_map().cast("map<string,string>")
+    return last.join(maps, ["label", "name"], "left").withColumn("properties", F.coalesce("properties", empty))
+
+
+def merge_relationships(incoming: DataFrame, entities: DataFrame, order: str = "seq") -> DataFrame:
+    """Generic edges (source label and name, type, target label and name): both ends are matched by name, so a name that
+    stands under several labels gives an edge for each; the last write's properties win."""
+    last = incoming.groupBy("source", "rel_type", "target").agg(F.max_by("properties", order).alias("properties"))
+    ends = entities.select("label", "name").distinct()
+    there = last.join(ends.select(F.col("label").alias("source_label"), F.col("name").alias("source")), "source")
+    return there.join(ends.select(F.col("label").alias("target_label"), F.col("name").alias("target")), "target").select("source_label", "source", "rel_type", "target_label", "target", "properties")

@@ -412,44 +412,38 @@ def routing_policy(spark, sf_dir):
     return routing.policies(spark)
 
 
-# Metrics: a document of good quality is relevant to the question of its source's number.
-_CASES = """
-WITH d AS (SELECT doc_id, source, quality, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents JOIN labels USING (doc_id)),
-l AS (SELECT source, list(doc_id ORDER BY rank) AS retrieved, list(doc_id ORDER BY rank) FILTER (quality = 1) AS relevant FROM d GROUP BY source)
-"""
-
-
+# Metrics: a case is a question, its list the 20 best documents; those of good quality are relevant, ten are retrieved.
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    ranked = rows.select("source", F.col("doc_id").cast("string").alias("d"), "quality", F.row_number().over(w).alias("rank")).where("rank <= 50")
-    listed = ranked.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("rank", "d", "quality"))).alias("l"))
+    found = retrieval.lexical_search(*_lexical(spark, sf_dir), 20, all_terms=False)
+    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
+    ranked = found.join(labels, "chunk_id", "left").select("query_id", F.col("chunk_id").cast("string").alias("d"), F.coalesce("quality", F.lit(0)).alias("quality"), "rank")
+    listed = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "d", "quality"))).alias("l"))  # 20 rows
     ids = lambda a: F.transform(a, lambda x: x["d"])
     return listed.select(
-        F.col("source").alias("case_id"), F.substring("source", 4, 1).alias("segment"), (F.col("source") != "src0").alias("is_answerable"), ids(F.slice("l", 1, 10)).alias("retrieved"),
+        F.col("query_id").cast("string").alias("case_id"), (F.col("query_id") % 4).cast("string").alias("segment"), (F.col("query_id") % 5 != 0).alias("is_answerable"), ids(F.slice("l", 1, 10)).alias("retrieved"),
         ids(F.filter("l", lambda x: x["quality"] == 1)).alias("relevant_chunk_ids"), F.map_from_entries(F.transform("l", lambda x: F.struct(x["d"], (x["quality"] * (1 + x["rank"] % 2)).cast("int")))).alias("relevance_grades"),
     )
 
 
-_METRICS = """
-WITH ranked AS (SELECT source, doc_id, quality, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents JOIN labels USING (doc_id)),
-d AS (SELECT *, quality * (1 + rank % 2) AS grade FROM ranked WHERE rank <= 50),
-ideal AS (SELECT source, sum((pow(2, grade) - 1) / log2(i + 1)) AS best FROM (SELECT source, grade, row_number() OVER (PARTITION BY source ORDER BY grade DESC) AS i FROM d) WHERE i <= 5 GROUP BY source),
-m AS (SELECT source AS case_id, substring(source, 4, 1) AS segment, source <> 'src0' AS is_answerable,
+_METRICS = f"""
+WITH {_BM25},
+g AS (SELECT query_id AS source, rank, coalesce(quality, 0) AS quality, coalesce(quality, 0) * (1 + rank % 2) AS grade FROM r LEFT JOIN labels ON doc_id = chunk_id WHERE rank <= 20),
+ideal AS (SELECT source, sum((pow(2, grade) - 1) / log2(i + 1)) AS best FROM (SELECT source, grade, row_number() OVER (PARTITION BY source ORDER BY grade DESC) AS i FROM g) WHERE i <= 5 GROUP BY source),
+m AS (SELECT CAST(source AS VARCHAR) AS case_id, source, CAST(source % 4 AS VARCHAR) AS segment,
   CAST(count(*) FILTER (quality = 1 AND rank <= 5) AS DOUBLE) / least(5, count(*)) AS "precision",
   CASE WHEN count(*) FILTER (quality = 1) = 0 THEN 1.0 ELSE CAST(count(*) FILTER (quality = 1 AND rank <= 5) AS DOUBLE) / count(*) FILTER (quality = 1) END AS recall,
   coalesce(1.0 / min(rank) FILTER (quality = 1 AND rank <= 10), 0.0) AS mrr,
   coalesce(sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (rank <= 5), 0.0) AS dcg,
   CASE WHEN count(*) FILTER (quality = 1 AND rank <= 5) > 0 THEN 1.0 ELSE 0.0 END AS hit_rate,
-  CASE WHEN source = 'src0' THEN CASE WHEN count(*) % 2 = 0 THEN 1.0 ELSE 0.0 END WHEN count(*) % 2 = 0 THEN 0.0 END AS correct_abstention
-  FROM d GROUP BY source),
-e AS (SELECT m.*, CASE WHEN best = 0 THEN 0.0 ELSE dcg / best END AS ndcg FROM m JOIN ideal ON source = case_id)
+  CASE WHEN source % 5 = 0 THEN CASE WHEN count(*) FILTER (quality = 1) % 2 = 0 THEN 1.0 ELSE 0.0 END WHEN count(*) FILTER (quality = 1) % 2 = 0 THEN 0.0 END AS correct_abstention
+  FROM g GROUP BY source),
+e AS (SELECT m.*, CASE WHEN best = 0 THEN 0.0 ELSE dcg / best END AS ndcg FROM m JOIN ideal USING (source))
 """
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = _cases(spark, sf_dir)
-    responses = cases.select("case_id", "retrieved", (F.size(F.map_keys("relevance_grades")) % 2 == 0).alias("abstained"))
+    responses = cases.select("case_id", "retrieved", (F.size("relevant_chunk_ids") % 2 == 0).alias("abstained"))
     return metrics.evaluate(cases.drop("retrieved"), responses, 5)
 
 
@@ -570,10 +564,10 @@ def triples_to_sentences(spark, sf_dir):
 
 @query()
 def fuzzy_link(spark, sf_dir):
-    """Mentions are supplier names with a letter too many."""
+    """Mentions are the names of suppliers whose key is divisible by 10, every other one with a letter too many."""
     suppliers = _t(spark, sf_dir, "supplier")
     nodes = suppliers.select(F.lit("t").alias("tenant_id"), tx.canonicalize("s_name").alias("canonical_name"))
-    mentions = suppliers.select(F.lit("t").alias("tenant_id"), F.col("s_suppkey").alias("query_id"), F.concat(F.when(F.col("s_suppkey") % 2 == 0, F.lit("x")).otherwise(""), "s_name").alias("mention"))
+    mentions = suppliers.where("s_suppkey % 10 = 0").select(F.lit("t").alias("tenant_id"), F.col("s_suppkey").alias("query_id"), F.concat(F.when(F.col("s_suppkey") % 20 == 0, F.lit("x")).otherwise(""), "s_name").alias("mention"))
     return graph.link_mentions(mentions, nodes).select("query_id", "canonical_name", "how")
 
 

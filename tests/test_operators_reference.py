@@ -305,3 +305,22 @@ def test_ingest_and_graph(spark, tmp_path):
     facts = graph.triples_as_results(graph.path_triples(graph.traverse(spark.createDataFrame([("t", "ada")], "tenant_id string, seed string"), edges))).withColumn("query_id", F.lit(1).cast("long"))
     fused = graph.fuse_with_graph(passages, facts, spark.createDataFrame([(1, "Ada")], "query_id long, question string"), top=6).first()
     assert "ada works at acme" in fused.context and fused.graph_share == pytest.approx(1 / len(fused.admitted))
+
+
+def test_generic_merges(spark):
+    rows = spark.createDataFrame([("A", "x", "c1", {"k": "1", "l": "1"}, 0), ("A", "x", "c2", {"k": "2"}, 1), ("B", "x", "c1", {}, 2)], "label string, name string, chapter string, properties map<string,string>, seq int")
+    nodes = graph.merge_entities(rows)
+    assert {(r.label, r.chapter, tuple(sorted(r.properties.items()))) for r in nodes.collect()} == {("A", "c2", (("k", "2"), ("l", "1"))), ("B", "c1", ())}
+    links = spark.createDataFrame([("x", "USES", "x", {"p": "1"}, 0), ("x", "USES", "gone", {}, 1)], "source string, rel_type string, target string, properties map<string,string>, seq int")
+    assert graph.merge_relationships(links, nodes).count() == 4
+
+
+def test_lab(spark, tmp_path):
+    from tessera.plans import lab
+
+    s = store.ChunkStore(spark, f"file://{tmp_path}/lab")
+    texts = spark.createDataFrame([("u", "alpha beta gamma"), ("v", "delta")], "source_uri string, text string")
+    assert lab.table_healthy(spark, s.path) and lab.embed_and_store(s, texts, tenant_id="t", chapter="c") == 2
+    assert lab.semantic_search(s, "alpha beta", tenant_id="t", k=1)[0].source_uri == lab.keyword_search(s, "alpha", tenant_id="t")[0].source_uri == "u"
+    assert lab.stored_count(s, tenant_id="t") == 2 and lab.clear_index(s, tenant_id="t", chapter="c") and lab.stored_count(s, tenant_id="t") == 0
+    assert lab.embed_and_store(s, texts.drop("text"), tenant_id="t", chapter="c") == 0
