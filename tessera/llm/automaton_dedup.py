@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats
-from tessera.llm.shared import materialize
+from tessera.llm.shared import with_order_key
 
 WORDS = 50
 
@@ -34,7 +34,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array(list(map(xxhash.xxh64_intdigest, words_of(text))), dtype=np.uint64)
 
 
-WINDOWS = repeats.Windows(WORDS, 8, False, word_hashes)
+WINDOWS = repeats.Windows(WORDS, 8, False, 150_000, word_hashes)
 
 
 class SuffixAutomaton:
@@ -129,7 +129,7 @@ def _spans_of_shards(placed: DataFrame) -> DataFrame:
 
         rows, at, spans = [], None, []
         for b in batches:
-            for h, key, start, _, units in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for h, key, start, _, _, units in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if h != at:
                     spans += shard_spans(rows) if rows else []
                     rows, at = [], h
@@ -144,26 +144,15 @@ def _spans_of_shards(placed: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, repeats.SPANS_SCHEMA)
 
 
-def repeated_spans(docs: DataFrame, max_fragments: int = repeats.MAX_FRAGMENTS) -> DataFrame:
-    """SPANS_SCHEMA, in words, for docs(key, text): what is covered by windows that also start in a smaller document."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = repeats.found_runs(docs, WINDOWS, max_fragments)
-    whole = found.where(F.col("kind") == repeats.WHOLE).select("key", "start", (F.col("windows") + WORDS - 1).alias("length"))
-    compared = repeats.fragments(docs, found, WINDOWS, repeats.COMPARE).repartition(n, "h").sortWithinPartitions("h")
-    spans = whole.unionByName(_spans_of_shards(compared))
-    if found.where(F.col("kind") == repeats.COMMON).limit(1).count():
-        spans = spans.unionByName(repeats.common_spans(docs, found, WINDOWS, "uint64"))
-    return spans
-
-
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_fragments: int = repeats.MAX_FRAGMENTS) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", windows: repeats.Windows = WINDOWS) -> DataFrame:
     """(id, n_words, n_removed, kept string): each document's words that are left, joined by one space.
 
     Null text has no words. Texts of fewer than WORDS words stay whole. Rows with one id, or a null one, are
     documents of their own, in order of their text. An empty table gives an empty result.
     """
-    keyed = repeats.with_order_key(docs, id_col, text_col)
-    spans = repeats.document_spans(materialize(repeated_spans(keyed, max_fragments), "spans"))
+    keyed, key = with_order_key(docs.select(id_col, text_col), id_col, text_col)
+    spans = repeats.repeated_spans(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), windows, _spans_of_shards, "uint64")
+    joined = repeats.with_spans(keyed, key, spans, "spans").select(F.col(id_col), F.col(text_col), "spans")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -181,5 +170,4 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.string()), strict=True)]], names=[id_col, "n_words", "n_removed", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = keyed.join(spans, "key", "left").select("id", "text", "spans")
     return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_words long, n_removed long, kept string")

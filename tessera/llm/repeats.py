@@ -2,17 +2,19 @@
 
 A window is ``length`` units in a row (bytes or words). Its minimizer is the k-mer with the least hash in it, the
 leftmost of equal ones, so equal windows have the same minimizer. A run is a maximal row of windows of one
-document with the same minimizer; its fragment are the units that those windows cover. Two hashes name a run:
-h, of the minimizer, and f, of the fragment. A window can only have an equal one in a run with the same h:
+document whose minimizers are equal; its fragment are the units that those windows cover. Words or characters that go
+on and on are one run. Two hashes name a run: h, of the minimizer, and f, of the fragment. A window can only have
+an equal one in a run with the same h:
 
 - runs with the same h and f are copies: all but the first are repeated whole;
-- an h with one f only, or one run only, needs nothing more: nearly all of a corpus ends here;
+- an h with one f only, or one run only, needs nothing more, unless its minimizer comes more than once in the run:
+  nearly all of a corpus ends here;
 - runs with the same h and different f are compared by their units, by the operator that asks (see suffix_dedup
   and automaton_dedup): these are the edges of repeated passages.
 
 Copies within a batch are settled before the shuffle, so a passage that stands in a third of all documents
-sends one run per batch. An h with more than ``MAX_FRAGMENTS`` different fragments isn't brought together at all:
-its windows are keyed by their own hashes instead and found by a plain aggregation.
+sends one run per batch. An h whose different fragments have more than ``max_units`` units isn't brought together
+at all: its windows are keyed by their own hashes instead and found by a plain aggregation.
 """
 
 from __future__ import annotations
@@ -23,18 +25,17 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.shared import materialize
+from tessera.llm.shared import materialize, split_by_keys
 
-#: Fragments of one minimizer that are compared in one task; more of them are told apart by window hashes.
-MAX_FRAGMENTS = 20_000
-#: Units that are hashed at once (positions take 24 bits beside the hash).
-BATCH_UNITS = 1 << 22
+#: Units that are hashed at once, so that the arrays stay in a core's cache (positions take 24 bits beside the hash).
+BATCH_UNITS = 1 << 16
+#: Units whose runs are looked through together for copies.
+GATHER_UNITS = 1 << 22
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 _POSITION = np.uint64((1 << 24) - 1)
 
-RUNS_SCHEMA = "h long, f long, key long, start int, windows int, settled boolean"
+RUNS_SCHEMA = "h long, f long, key long, start int, windows int, loops boolean, settled boolean"
 FOUND_SCHEMA = "h long, f long, key long, start int, windows int, kind int"
 #: Kinds of found rows: a run that is repeated whole; a run to compare with others of its h; one of a too common h.
 WHOLE, COMPARE, COMMON = 0, 1, 2
@@ -42,11 +43,13 @@ WHOLE, COMPARE, COMMON = 0, 1, 2
 
 @dataclass(frozen=True)
 class Windows:
-    """length: units of a window; k: units of a k-mer (a power of two); own_document: repeats within a document count."""
+    """length: units of a window; k: units of a k-mer (a power of two); own_document: repeats within a document count;
+    max_units: units of one minimizer's fragments that are compared in one task, more are told apart by window hashes."""
 
     length: int
     k: int
     own_document: bool
+    max_units: int
     units: Callable[[str], np.ndarray]
 
 
@@ -55,6 +58,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    if len(_powers_held[0]) < n:
+        n = max(n, 2 * BATCH_UNITS)
+        for i, base in enumerate((int(_A) | 1, pow(int(_A) | 1, -1, 1 << 64))):
+            p = np.full(n, base, dtype=np.uint64)
+            p[0] = 1
+            _powers_held[i] = np.multiply.accumulate(p)
+    return _powers_held[0][:n], _powers_held[1][:n]
+
+
+_powers_held = [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)]
+
+
 def unit_hashes(units: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-mers and of all windows of an array of units."""
     h, size, kmers = _mix(units.astype(np.uint64) * _A + _B), 1, None
@@ -70,10 +87,13 @@ def unit_hashes(units: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(units: np.ndarray, doc: np.ndarray, w: Windows) -> tuple[np.ndarray, ...]:
-    """(h, f, start, windows) of the runs in concatenated documents; doc: the document of each unit; start: among units."""
+    """(h, f, start, windows, loops) of the runs in concatenated documents; doc: the document of each unit; start: among units.
+
+    loops: the minimizer comes more than once in the run.
+    """
     n = len(units) - w.length + 1
     if n <= 0:
-        return tuple(np.zeros(0, dtype=d) for d in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, dtype=d) for d in (np.uint64, np.uint64, np.int64, np.int64, bool))
     kmers, windows = unit_hashes(units, w)
     least = (kmers & ~_POSITION) | np.arange(len(kmers), dtype=np.uint64)
     span, size = w.length - w.k + 1, 1
@@ -83,15 +103,19 @@ def runs(units: np.ndarray, doc: np.ndarray, w: Windows) -> tuple[np.ndarray, ..
     rest = span - size
     least = np.minimum(least[: len(least) - rest], least[rest:])[:n] & _POSITION
     valid = doc[:n] == doc[w.length - 1 :]
+    least = least.astype(np.int64)
+    value = kmers[least]
     new = np.ones(n, dtype=bool)
-    new[1:] = (least[1:] != least[:-1]) | (valid[1:] != valid[:-1]) | (doc[1:n] != doc[: n - 1])
+    new[1:] = (value[1:] != value[:-1]) | (valid[1:] != valid[:-1]) | (doc[1:n] != doc[: n - 1])
     starts = np.flatnonzero(new)
     stops = np.append(starts[1:], n)
     keep = valid[starts]
     starts, stops = starts[keep], stops[keep]
-    h = kmers[least[starts].astype(np.int64)]
-    f = _mix(windows[starts] * _A + windows[stops - 1] * _B + (stops - starts).astype(np.uint64))
-    return h, f, starts, stops - starts
+    up, down = _powers(len(units) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(units.astype(np.uint64) * _B + _A) * up[: len(units)])])
+    whole = _mix((sums[stops + w.length - 1] - sums[starts]) * down[starts])
+    f = _mix(whole + windows[starts] * _A + windows[stops - 1] * _B + (stops - starts).astype(np.uint64))
+    return value[starts], f, starts, stops - starts, least[starts] != least[stops - 1]
 
 
 def batches_of(texts: Iterator[tuple[int, str | None]], w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -130,28 +154,40 @@ def document_runs(docs: DataFrame, w: Windows) -> DataFrame:
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def settle(gathered: list[tuple]):
+            h, f, key, place, count, loops = (np.concatenate(c) for c in zip(*gathered, strict=True))
+            if (key[1:] >= key[:-1]).all():  # rows are in order of key and place already
+                order = np.argsort(h ^ (f * _A), kind="stable")
+            else:
+                order = np.lexsort((place, key, f, h))
+            h, f, key, place, count, loops = (c[order] for c in (h, f, key, place, count, loops))
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            settled = ~new if w.own_document else ~new & (key != key[lead])
+            columns = [h.view(np.int64), f.view(np.int64), key, place.astype(np.int32), count.astype(np.int32), loops, settled]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "f", "key", "start", "windows", "loops", "settled"])
+
         texts = ((k, t.as_py()) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        gathered, size = [], 0
         for keys, offsets, units, doc in batches_of(texts, w):
-            h, f, start, count = runs(units, doc, w)
+            h, f, start, count, loops = runs(units, doc, w)
             if not len(h):
                 continue
             part = doc[start]
-            first_unit = np.searchsorted(doc, np.arange(len(keys)))
-            place = start - first_unit[part] + offsets[part]
-            key = keys[part]
-            order = np.lexsort((place, key, f, h))
-            h, f, key, place, count = h[order], f[order], key[order], place[order], count[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            settled = ~new if w.own_document else ~new & (key != key[lead])
-            columns = [h.view(np.int64), f.view(np.int64), key, place.astype(np.int32), count.astype(np.int32), settled]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "f", "key", "start", "windows", "settled"])
+            place = start - np.searchsorted(doc, np.arange(len(keys)))[part] + offsets[part]
+            gathered.append((h, f, keys[part], place, count, loops))
+            size += len(units)
+            if size >= GATHER_UNITS:
+                yield settle(gathered)
+                gathered, size = [], 0
+        if gathered:
+            yield settle(gathered)
 
     return docs.select("key", "text").mapInArrow(find, RUNS_SCHEMA)
 
 
-def found_runs(docs: DataFrame, w: Windows, max_fragments: int = MAX_FRAGMENTS) -> DataFrame:
+def found_runs(docs: DataFrame, w: Windows) -> DataFrame:
     """FOUND_SCHEMA for docs(key, text), written to the shared folder: runs of a repeated h that aren't first of their kind,
     or have to be compared."""
     spark = docs.sparkSession
@@ -173,17 +209,20 @@ def found_runs(docs: DataFrame, w: Windows, max_fragments: int = MAX_FRAGMENTS)
             new_h[1:] = h[1:] != h[:-1]
             new_f[1:] = new_h[1:] | (f[1:] != f[:-1])
             group, lead = np.cumsum(new_h) - 1, np.flatnonzero(new_f)[np.cumsum(new_f) - 1]
-            fragments = np.bincount(group, weights=new_f & ~c["settled"])[group]
+            different = new_f & ~c["settled"]
+            fragments = np.bincount(group, weights=different)[group]
+            units = np.bincount(group, weights=different * (c["windows"] + (w.length - 1)))[group]
+            compared = (fragments > 1) | (c["loops"] & w.own_document)
             copy = ~new_f if w.own_document else ~new_f & (c["key"] != c["key"][lead])
-            kind = np.where(copy | c["settled"], WHOLE, np.where(fragments > max_fragments, COMMON, COMPARE)).astype(np.int32)
-            keep = copy | c["settled"] | (fragments > 1)
+            kind = np.where(copy | c["settled"], WHOLE, np.where(units > w.max_units, COMMON, COMPARE)).astype(np.int32)
+            keep = copy | c["settled"] | compared
             return out(c, kind, keep)
 
         held: list[dict] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            now = {x: b.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(("h", "f", "key", "start", "windows", "settled"))}
+            now = {x: b.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(("h", "f", "key", "start", "windows", "loops", "settled"))}
             cut = int(np.searchsorted(now["h"], now["h"][-1]))
             if cut or (held and held[-1]["h"][-1] != now["h"][-1]):
                 parts = [*held, {x: v[:cut] for x, v in now.items()}]
@@ -198,78 +237,93 @@ def found_runs(docs: DataFrame, w: Windows, max_fragments: int = MAX_FRAGMENTS)
     return materialize(placed.mapInArrow(group, FOUND_SCHEMA), "runs")
 
 
-FRAGMENTS_SCHEMA = "h long, key long, start int, windows int, units binary"
+FRAGMENTS_SCHEMA = "h long, key long, start int, windows int, kind int, units binary"
 
 
-def fragments(docs: DataFrame, found: DataFrame, w: Windows, kind: int) -> DataFrame:
-    """The units of the found runs of a kind, as bytes of the unit array: FRAGMENTS_SCHEMA."""
+def fragments(docs: DataFrame, found: DataFrame, w: Windows) -> DataFrame:
+    """The units of the found runs that aren't settled, as bytes of the unit array: FRAGMENTS_SCHEMA, written to the shared folder."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[] for _ in range(6)]
             size = 0
             for key, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 units = w.units(text.as_py())
                 for run in wanted.as_py():
                     piece = units[run["start"] : run["start"] + run["windows"] + w.length - 1].tobytes()
-                    for column, value in zip(rows, (run["h"], key, run["start"], run["windows"], piece), strict=True):
+                    for column, value in zip(rows, (run["h"], key, run["start"], run["windows"], run["kind"], piece), strict=True):
                         column.append(value)
                     size += len(piece)
                 if size > 1 << 23:
                     yield _record(rows)
-                    rows, size = [[], [], [], [], []], 0
+                    rows, size = [[] for _ in range(6)], 0
             if rows[0]:
                 yield _record(rows)
 
     def _record(rows: list[list]):
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["h", "key", "start", "windows", "units"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["h", "key", "start", "windows", "kind", "units"])
 
-    wanted = found.where(F.col("kind") == kind).groupBy("key").agg(F.collect_list(F.struct("h", "start", "windows")).alias("wanted"))
-    return docs.join(wanted, "key").select("key", "text", "wanted").mapInArrow(cut, FRAGMENTS_SCHEMA)
+    wanted = found.where(F.col("kind") != WHOLE).groupBy("key").agg(F.collect_list(F.struct("h", "start", "windows", "kind")).alias("wanted"))
+    some, _ = split_by_keys(docs, "key", wanted)
+    return materialize(some.join(wanted, "key").select("key", "text", "wanted").mapInArrow(cut, FRAGMENTS_SCHEMA), "fragments")
 
 
 SPANS_SCHEMA = "key long, start int, length int"
 
 
-def common_spans(docs: DataFrame, found: DataFrame, w: Windows, dtype: str) -> DataFrame:
-    """Spans from runs of too common minimizers, by the windows' own hashes: one row per window, none brought together."""
+def common_spans(pieces: DataFrame, w: Windows, dtype: str) -> DataFrame:
+    """Spans from fragments of too common minimizers, by the windows' own hashes: a row per fragment and different window,
+    with the further places that the window has in the fragment; none are brought together."""
 
     def explode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            for h, key, start, _, units in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for h, key, start, units in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 hashes = unit_hashes(np.frombuffer(units, dtype=dtype), w)[1].view(np.int64)
-                n = len(hashes)
-                columns = [pa.array(np.full(n, h)), pa.array(hashes), pa.array(np.full(n, key)), pa.array(start + np.arange(n, dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "wh", "key", "start"])
-
-    rows = fragments(docs, found, w, COMMON).mapInArrow(explode, "h long, wh long, key long, start int")
+                order = np.argsort(hashes, kind="stable")
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = hashes[order][1:] != hashes[order][:-1]
+                at = np.flatnonzero(new)
+                places = (start + order).astype(np.int32)
+                n = len(at)
+                rest = pa.ListArray.from_arrays(pa.array(np.append(at - np.arange(n), len(order) - n).astype(np.int32)), pa.array(places[~new]))
+                columns = [pa.array(np.full(n, h)), pa.array(hashes[order][at]), pa.array(np.full(n, key)), pa.array(places[at]), rest]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "wh", "key", "start", "more"])
+
+    rows = pieces.where(F.col("kind") == COMMON).select("h", "key", "start", "units").mapInArrow(explode, "h long, wh long, key long, start int, more array<int>")
     first = rows.groupBy("h", "wh").agg(F.min(F.struct("key", "start")).alias("first"))
     joined = rows.join(first, ["h", "wh"])
     later = F.struct("key", "start") > F.col("first") if w.own_document else F.col("key") > F.col("first.key")
-    return joined.where(later).select("key", "start", F.lit(w.length).alias("length"))
+    others = F.col("more") if w.own_document else F.array().cast("array<int>")
+    places = F.when(later, F.concat(F.array("start"), "more")).otherwise(others)
+    return joined.select("key", F.explode(places).alias("start"), F.lit(w.length).alias("length"))
 
 
-def with_order_key(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """docs(id, text) as (key long, id, text) and more columns of docs, keys in ascending order of the id and different for all rows.
+def repeated_spans(docs: DataFrame, w: Windows, compare: Callable[[DataFrame], DataFrame], dtype: str) -> DataFrame:
+    """SPANS_SCHEMA for docs(key, text): what is covered by windows that also start earlier; spans may overlap.
 
-    The id itself where it is a whole number, never null and never repeated; else a number by the order of id (nulls
-    first), then text, written to the shared folder so that it stays the same.
+    compare makes spans of fragments (FRAGMENTS_SCHEMA) that come sorted by h within partitions.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more)
-    if isinstance(rows.schema["id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        odd = rows.groupBy("id").count().where("id is null or count > 1").limit(1).count()
-        if not odd:
-            return rows.withColumn("key", F.col("id").cast("long"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
-    return materialize(ordered.withColumn("key", F.monotonically_increasing_id()), "keys")
+    found = found_runs(docs, w)
+    pieces = fragments(docs, found, w)
+    whole = found.where(F.col("kind") == WHOLE).select("key", "start", (F.col("windows") + (w.length - 1)).alias("length"))
+    compared = pieces.where(F.col("kind") == COMPARE).repartition(n, "h").sortWithinPartitions("h")
+    return materialize(whole.unionByName(compare(compared)).unionByName(common_spans(pieces, w, dtype)), "spans")
+
+
+def with_spans(docs: DataFrame, key: str, spans: DataFrame, out: str) -> DataFrame:
+    """docs with their merged spans in column out, null where there are none; documents without any aren't shuffled."""
+    merged = document_spans(spans).select(F.col("key").alias(f"{key}_of_spans"), F.col("spans").alias(out))
+    some, rest = split_by_keys(docs, key, spans.select("key"))
+    joined = some.join(merged, some[key] == merged[f"{key}_of_spans"], "left").drop(f"{key}_of_spans")
+    return joined.unionByName(rest.withColumn(out, F.lit(None).cast("array<struct<start:int,stop:int>>")))
 
 
 def document_spans(spans: DataFrame) -> DataFrame:

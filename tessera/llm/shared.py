@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Used only where the session names no folder, as in tests on one machine.
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
@@ -21,8 +23,67 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: A written table has at most this many files per core of the cluster, or a quarter of the shuffle partitions if that is more.
+FILES_PER_CORE = 4
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    Neighbouring small partitions go to one file, by one task after the other.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    files = max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    df.coalesce(files).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_order_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with a long column more, and its name: in ascending order of the id and different for all rows.
+
+    The id itself where it is a whole number, never null and never repeated; else a number by the order of id (nulls
+    first), then text, written to the shared folder so that it stays the same.
+    """
+    name = free_name(docs, "key")
+    if isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        ids = docs.select(F.col(id_col).alias("id"))
+        if not ids.groupBy("id").count().where("id is null or count > 1").limit(1).count():
+            return docs.withColumn(name, F.col(id_col).cast("long")), name
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)]
+    ordered = docs.repartitionByRange(n, *order).sortWithinPartitions(*order, text_col)
+    return materialize(ordered.withColumn(name, F.monotonically_increasing_id()), "keys"), name
+
+
+#: Bits of a set of keys; 1 MB to broadcast however many keys there are.
+KEY_BITS = 1 << 23
+
+
+def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among keys(key), rows whose key is not): only the first need a join, and a shuffle.
+
+    The set is a bitmap of KEY_BITS hashed keys, made by one aggregation; it is as large for any number of keys, and
+    the more there are, the more rows are in the first part.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(KEY_BITS))
+    marks = keys.select(place(F.col("key")).alias("p")).groupBy(F.shiftright("p", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("m"))
+    held = [(r["b"], bytes(r["m"])) for r in marks.collect()]  # at most KEY_BITS / 32768 rows of 4 KB
+    if not held:
+        return rows.where(F.lit(False)), rows
+    b, m, p = (free_name(rows, x) for x in ("bucket", "bitmap", "place"))
+    bits = rows.sparkSession.createDataFrame(held, f"{b} long, {m} binary")
+    placed = rows.withColumn(p, place(F.col(key)))
+    joined = placed.join(F.broadcast(bits), F.shiftright(p, 15) == F.col(b), "left")
+    low = F.col(p).bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring(F.col(m), (F.shiftright(low, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    here = F.col(m).isNotNull() & (F.get(F.array(*[F.lit(1 << i) for i in range(8)]), low.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(byte) != 0)
+    return joined.where(F.coalesce(here, F.lit(False))).select(*rows.columns), joined.where(~F.coalesce(here, F.lit(False))).select(*rows.columns)

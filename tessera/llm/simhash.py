@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialize
+from tessera.llm.shared import free_name, materialize, split_by_keys, with_order_key
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 #: Near-duplicate groups of texts: shingles and similarity of the exact check, and independent fingerprints to find candidates.
-CHECK_SHINGLE, CHECK_SIMILARITY, SEEDS = 5, 0.8, 3
+CHECK_SHINGLE, CHECK_SIMILARITY, SEEDS = 5, 0.8, 6
 
 
 def word_fingerprints(text: str | None) -> list[int]:
@@ -237,12 +237,14 @@ def word_fingerprints(text: str | None) -> list[int]:
     words = sorted(set(WORD.findall(text.translate(LOWER)))) if text else []
     if not words:
         return [0] * SEEDS
-    out = []
-    for seed in range(SEEDS):
-        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype="<u8")
-        counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0]))
-    return out
+    out: list[int] = []
+    for seed in range((SEEDS + 1) // 2):  # a hash has the bits of two fingerprints
+        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed) for w in words]), dtype=np.uint8).reshape(-1, 16)
+        counts = np.zeros(128, dtype=np.int64)
+        for at in range(0, len(h), 1 << 13):
+            counts += np.unpackbits(h[at : at + (1 << 13)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out += np.packbits(2 * counts > len(h), bitorder="little").view("<u8").tolist()
+    return out[:SEEDS]
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -260,24 +262,25 @@ def near_duplicate_texts(keyed: DataFrame) -> DataFrame:
     Equal texts are one group. Different texts are candidates if one of their SEEDS word fingerprints differs in at
     most MAX_BITS bits, found at anchors as a spanning forest, never as all pairs; a link stands if the texts' shingle
     sets have a Jaccard similarity of CHECK_SIMILARITY or more. Groups are the components of the links that stand.
+    Texts are read twice and never shuffled but for those of candidates.
     """
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    copies = keyed.select("key", digest.alias("d"))
-    first = copies.groupBy("d").agg(F.min("key").alias("first"))
-    exact = materialize(copies.join(first, "d").select("key", "first"), "copies")
-    texts = keyed.join(exact.where("key = first").select("key"), "key", "left_semi")
+    import hashlib
 
     def marks(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            fp = np.array([word_fingerprints(t.as_py()) for t in b.column(1)], dtype="<u8").reshape(-1, SEEDS)
-            node = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fp.ravel().view("<i8")), pa.array(np.repeat(node, SEEDS)), pa.array(np.tile(np.arange(SEEDS, dtype=np.int32), len(node)))], names=["fp", "node", "seed"]
-            )
-
-    candidates = materialize(fingerprint_links(texts.select("key", "text").mapInArrow(marks, "fp bigint, node bigint, seed int")), "candidates")
+            texts = [t.as_py() or "" for t in b.column(1)]
+            digest = [hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest() for t in texts]
+            fp = np.array([word_fingerprints(t) for t in texts], dtype="<u8").reshape(-1, SEEDS).view("<i8")
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, SEEDS * len(texts) + 1, SEEDS, dtype=np.int32)), pa.array(fp.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), listed], names=["key", "d", "fp"])
+
+    marked = materialize(keyed.select("key", "text").mapInArrow(marks, "key bigint, d binary, fp array<bigint>"), "marks")
+    first = marked.groupBy("d").agg(F.min("key").alias("first"))
+    exact = materialize(marked.join(first, "d").select("key", "first", F.when(F.col("key") == F.col("first"), F.col("fp")).alias("fp")), "copies")
+    rows = exact.where("key = first").select("key", F.posexplode("fp").alias("seed", "fp")).select("fp", F.col("key").alias("node"), "seed")
+    candidates = materialize(fingerprint_links(rows), "candidates")
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -286,7 +289,8 @@ def near_duplicate_texts(keyed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))], names=["key", "s"])
 
     ends = candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    shingles = materialize(texts.join(ends, "key", "left_semi").select("key", "text").mapInArrow(sets, "key bigint, s array<bigint>"), "shingles")
+    some, _ = split_by_keys(keyed, "key", ends)
+    shingles = materialize(some.join(ends, "key", "left_semi").select("key", "text").mapInArrow(sets, "key bigint, s array<bigint>"), "shingles")
     both = candidates.join(shingles.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     links = both.where(shared >= CHECK_SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
@@ -297,11 +301,13 @@ def near_duplicate_texts(keyed: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs but for near copies: of each group the row with the least id stays (see near_duplicate_texts).
 
-    Null texts count as empty, and so as copies of each other. Rows with one id, or a null one, are told apart by text;
-    of rows that are the same in both, one stays. All columns are kept.
+    Null texts count as empty, and so as copies of each other. Rows with one id, or a null one, are told apart by their
+    place in the order of id and text. All columns are kept; only rows that may go are shuffled.
     """
-    from tessera.llm.repeats import with_order_key
-
-    keyed = with_order_key(docs.select(F.struct("*").alias("row"), F.col(id_col), F.col(text_col)), id_col, text_col, "row")
-    roots = near_duplicate_texts(keyed.select("key", "text")).where("key = root").select("key")
-    return keyed.join(roots, "key", "left_semi").select("row.*")
+    keyed, key = with_order_key(docs, id_col, text_col)
+    roots = near_duplicate_texts(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")))
+    gone = materialize(roots.where("key <> root").select("key"), "near-copies")
+    some, rest = split_by_keys(keyed, key, gone)
+    mark = free_name(keyed, "gone")
+    kept = some.join(gone.select(F.col("key").alias(mark)), F.col(key) == F.col(mark), "left_anti")
+    return kept.unionByName(rest).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -102,80 +102,57 @@ def _names(s: np.ndarray, ordered: np.ndarray, places: np.ndarray) -> tuple[np.n
     return names, int(new.sum())
 
 
-def _by_suffix(s: list[int], sigma: int) -> list[int]:
-    """The same for a list of names with a unique least symbol at its end, suffix by suffix."""
+def _induce_by_suffix(s: np.ndarray, stype: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The same as _induce, suffix by suffix: for alphabets about as large as the string."""
     n = len(s)
-    stype = bytearray(n)
-    stype[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        stype[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and stype[i + 1])
-    counts = [0] * sigma
-    for x in s:
-        counts[x] += 1
-    heads, tails, total = [0] * sigma, [0] * sigma, 0
-    for x in range(sigma):
-        heads[x] = total
-        total += counts[x]
-        tails[x] = total
-    places = [i for i in range(1, n) if stype[i] and not stype[i - 1]]
-
-    def induce(lms: list[int]) -> list[int]:
-        sa = [-1] * n
-        end = tails[:]
-        for i in reversed(lms):
-            end[s[i]] -= 1
-            sa[end[s[i]]] = i
-        at = heads[:]
-        for i in sa:  # grows ahead of where it is read
-            if i > 0 and not stype[i - 1]:
-                x = s[i - 1]
-                sa[at[x]] = i - 1
-                at[x] += 1
-        end = tails[:]
-        for k in range(n - 1, -1, -1):
-            i = sa[k]
-            if i > 0 and stype[i - 1]:
-                x = s[i - 1]
-                end[x] -= 1
-                sa[end[x]] = i - 1
-        return sa
-
-    if not places:
-        return induce([])
-    following = dict(zip(places, [*places[1:], places[-1]], strict=True))
-    is_lms = set(places)
-    ordered = [i for i in induce(places) if i in is_lms]
-    name, last, names = -1, None, {}
-    for i in ordered:
-        piece = s[i : following[i] + 1]
-        if piece != last:
-            name, last = name + 1, piece
-        names[i] = name
-    if name + 1 < len(places):
-        order = _by_suffix([names[i] for i in places], name + 1)
-    else:
-        order = [0] * len(places)
-        for k, i in enumerate(places):
-            order[names[i]] = k
-    return induce([places[k] for k in order])
-
-
-def suffix_array(symbols: np.ndarray, sigma: int) -> np.ndarray:
-    """The suffix array of symbols in [1, sigma); a sentinel 0 is put behind them and left out of the result."""
-    s = np.append(symbols, 0).astype(np.uint16 if sigma <= 1 << 16 else np.int64)
-    if len(s) == 1:
-        return np.zeros(0, dtype=np.int64)
+    counts = np.bincount(s, minlength=sigma)
+    tails = np.cumsum(counts)
+    heads = (tails - counts).tolist()
+    tails = tails.tolist()
+    # the symbol of the suffix before, if that is of the type that a scan induces, else -1 (also at place -1)
+    large, small = np.full(n + 1, -1, dtype=np.int64), np.full(n + 1, -1, dtype=np.int64)
+    large[1:n] = np.where(stype[:-1], -1, s[:-1])
+    small[1:n] = np.where(stype[:-1], s[:-1], -1)
+    large, small = large.tolist(), small.tolist()
+    sa = [-1] * n
+    end = tails[:]
+    for i, x in zip(lms[::-1].tolist(), s[lms[::-1]].tolist(), strict=True):
+        end[x] -= 1
+        sa[end[x]] = i
+    at = heads
+    for i in sa:  # grows ahead of where it is read
+        x = large[i]
+        if x >= 0:
+            sa[at[x]] = i - 1
+            at[x] += 1
+    end = tails
+    for k in range(n - 1, -1, -1):
+        i = sa[k]
+        x = small[i]
+        if x >= 0:
+            end[x] -= 1
+            sa[end[x]] = i - 1
+    return np.array(sa)
+
+
+def _sort(s: np.ndarray, sigma: int, induce) -> np.ndarray:
+    """The suffix array of a string that ends with its unique least symbol."""
     stype = _types(s)
     places = np.flatnonzero(stype[1:] & ~stype[:-1]) + 1
-    sa = _induce(s, stype, places, sigma)
+    if not len(places):
+        return induce(s, stype, places, sigma)
+    sa = induce(s, stype, places, sigma)
     mark = np.zeros(len(s), dtype=bool)
     mark[places] = True
     names, distinct = _names(s, sa[mark[sa]], places)
-    if distinct < len(places):
-        order = np.array(_by_suffix(names.tolist(), distinct))
-    else:
-        order = np.argsort(names)
-    return _induce(s, stype, places[order], sigma)[1:]
+    order = _sort(names, distinct, _induce_by_suffix) if distinct < len(places) else np.argsort(names)
+    return induce(s, stype, places[order], sigma)
+
+
+def suffix_array(symbols: np.ndarray, sigma: int) -> np.ndarray:
+    """The suffix array of symbols in [1, sigma); a sentinel 0 is put behind them and left out of the result."""
+    s = np.append(symbols, 0).astype(np.uint16 if sigma <= 1 << 16 else np.int64)
+    return _sort(s, sigma, _induce)[1:]
 
 
 def permuted_common_prefixes(units: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats
-from tessera.llm.shared import materialize
+from tessera.llm.shared import free_name, with_order_key
 from tessera.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 100
@@ -31,7 +31,7 @@ def utf8(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
 
 
-WINDOWS = repeats.Windows(LENGTH, 32, True, utf8)
+WINDOWS = repeats.Windows(LENGTH, 32, True, 3_000_000, utf8)
 
 
 def shard_repeats(pieces: list[bytes], keys: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +66,7 @@ def _spans_of_shards(placed: DataFrame) -> DataFrame:
 
         def spans(rows: list[tuple]):
             keys, starts = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            piece, offset = shard_repeats([r[4] for r in rows], keys, starts)
+            piece, offset = shard_repeats([r[5] for r in rows], keys, starts)
             order = np.lexsort((offset, piece))
             piece, offset = piece[order], offset[order]
             new = np.ones(len(piece), dtype=bool)
@@ -83,33 +83,22 @@ def _spans_of_shards(placed: DataFrame) -> DataFrame:
                     yield spans(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if rows:
             yield spans(rows)
 
     return placed.mapInArrow(run, repeats.SPANS_SCHEMA)
 
 
-def repeated_spans(docs: DataFrame, max_fragments: int = repeats.MAX_FRAGMENTS) -> DataFrame:
-    """SPANS_SCHEMA for docs(key, text): what is covered by strings that also start earlier; spans may overlap."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = repeats.found_runs(docs, WINDOWS, max_fragments)
-    whole = found.where(F.col("kind") == repeats.WHOLE).select("key", "start", (F.col("windows") + LENGTH - 1).alias("length"))
-    compared = repeats.fragments(docs, found, WINDOWS, repeats.COMPARE).repartition(n, "h").sortWithinPartitions("h")
-    spans = whole.unionByName(_spans_of_shards(compared))
-    if found.where(F.col("kind") == repeats.COMMON).limit(1).count():
-        spans = spans.unionByName(repeats.common_spans(docs, found, WINDOWS, "uint8"))
-    return spans
-
-
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_fragments: int = repeats.MAX_FRAGMENTS) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", windows: repeats.Windows = WINDOWS) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary): each document's bytes that are left, and what was removed.
 
     Null text is empty. Texts shorter than LENGTH bytes stay whole. Rows with one id, or a null one, are documents of
     their own, in order of their text. An empty table gives an empty result.
     """
-    keyed = repeats.with_order_key(docs, id_col, text_col)
-    spans = repeats.document_spans(materialize(repeated_spans(keyed, max_fragments), "spans"))
+    keyed, key = with_order_key(docs.select(id_col, text_col), id_col, text_col)
+    spans = repeats.repeated_spans(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), windows, _spans_of_shards, "uint8")
+    joined = repeats.with_spans(keyed, key, spans, "spans").select(F.col(id_col), F.col(text_col), "spans")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -128,7 +117,6 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = keyed.join(spans, "key", "left").select("id", "text", "spans")
     return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -151,20 +139,21 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Every row stays, with an empty text where all of it was repeated; null texts stay null. See without_repeats.
     """
-    keyed = repeats.with_order_key(docs.select(F.struct("*").alias("row"), F.col(id_col), F.col(text_col)), id_col, text_col, "row")
-    spans = repeats.document_spans(materialize(repeated_spans(keyed.select("key", "text")), "spans"))
+    keyed, key = with_order_key(docs, id_col, text_col)
+    spans = repeats.repeated_spans(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), WINDOWS, _spans_of_shards, "uint8")
+    runs, left = free_name(keyed, "spans"), free_name(keyed, "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or r is None else cut_characters(t, r) for t, r in zip(texts, runs, strict=True)], dtype=object)
 
-    joined = keyed.join(spans, "key", "left").withColumn("left", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
+    joined = repeats.with_spans(keyed, key, spans, runs).withColumn(left, F.when(F.col(runs).isNull(), F.col(text_col)).otherwise(cut(text_col, runs)))
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(F.col("left").alias(c))
+            out.append(F.col(left).alias(c))
         elif c == chars_col:
-            out.append(F.length("left").cast(docs.schema[c].dataType).alias(c))
+            out.append(F.length(left).cast(docs.schema[c].dataType).alias(c))
         else:
-            out.append(F.col("row").getField(c).alias(c))
+            out.append(F.col(f"`{c}`"))
     return joined.select(*out)
