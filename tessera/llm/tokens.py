@@ -17,8 +17,9 @@ import string
 
 import numpy as np
 
-#: Pieces that the memo of one Python worker holds before it starts anew (about 200 MB).
-MEMO_PIECES = 1_200_000
+#: Pieces that the memo of one Python worker holds before it starts anew (about 80 MB), and places that tell which
+#: pieces came before: most words of a large corpus come once, and only a piece that comes again is kept.
+MEMO_PIECES, SEEN = 400_000, 1 << 22
 RUNS = re.compile(r"\s \s|\s \Z|  ")
 PAIR = re.compile(r"\s\s")
 #: One pre-token when they stand behind a letter; the apostrophe can begin a contraction and is left out.
@@ -43,6 +44,7 @@ class PieceEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo_pieces = memo_pieces
+        self.seen = bytearray(SEEN)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.prepare = next((f for f in (str, lambda w: w.strip(" ").lower()) if all(self.word(p, f) == self.whole(p) for p in PROBES)), None)
@@ -66,9 +68,14 @@ class PieceEncoder(dict):
                 ids = self.word(piece, self.prepare) if len(stem) == len(piece) else self[stem] + self[piece[len(stem) :]]
         if ids is None:
             ids = self.whole(piece)
+        place = hash(piece) & (SEEN - 1)
+        if not self.seen[place]:
+            self.seen[place] = 1
+            return ids
         if len(self) >= self.memo_pieces:
             self.clear()
             self[""] = b""
+            self.seen = bytearray(SEEN)
         self[piece] = ids
         return ids
 
