@@ -17,9 +17,9 @@ import string
 
 import numpy as np
 
-#: Pieces that the memo of one Python worker holds before it starts anew (about 80 MB), and places that tell which
+#: Pieces that the memo of one Python worker holds before it starts anew (about 120 MB), and places that tell which
 #: pieces came before: most words of a large corpus come once, and only a piece that comes again is kept.
-MEMO_PIECES, SEEN = 400_000, 1 << 22
+MEMO_PIECES, SEEN = 600_000, 1 << 22
 RUNS = re.compile(r"\s \s|\s \Z|  ")
 PAIR = re.compile(r"\s\s")
 #: One pre-token when they stand behind a letter; the apostrophe can begin a contraction and is left out.
