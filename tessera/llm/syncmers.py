@@ -3,7 +3,7 @@
 A text is taken as a sequence of units: words, long ones cut every UNIT_CHARS characters. A k-mer of K units is
 a closed syncmer if the least hash among its inner S-unit substrings stands at its first or last place. Whether a
 k-mer is chosen depends on nothing outside it, so a passage keeps its anchors wherever it stands. A text of fewer
-than K units is one anchor. The fingerprint is the SKETCH least distinct anchor hashes (32 bits each, hexadecimal,
+than K units, or without a closed syncmer, is one anchor. The fingerprint is the SKETCH least distinct anchor hashes (32 bits each, hexadecimal,
 ascending); likeness is the share that two sketches have of the least SKETCH hashes of their union, an estimate
 of the Jaccard similarity of the anchor sets that is exact while the union fits in.
 """
@@ -22,20 +22,25 @@ def unit_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNITS), F.lit(0)), lambda u: F.xxhash64(u))
 
 
+def _or_whole(found: Column, whole: Column) -> Column:
+    """found, or whole if that is null or empty; found is computed once."""
+    return F.transform(F.array(found), lambda a: F.when(F.size(a) > 0, a).otherwise(whole))[0]
+
+
 def anchor_positions(units: Column) -> Column:
     """Positions of the closed syncmers in an array of unit hashes: of three inner units, the middle one isn't the only least."""
     places = F.sequence(F.lit(0), F.size(units) - K)
     chosen = F.filter(places, lambda i: F.least(F.get(units, i), F.get(units, i + 2)) <= F.get(units, i + 1))
-    return F.when(F.size(units) >= K, chosen).otherwise(F.array(F.lit(0)))
+    return _or_whole(F.when(F.size(units) >= K, chosen), F.array(F.lit(0)))
 
 
 def anchors(units: Column) -> Column:
-    """Anchor hashes in order of position, as array<bigint> of 32-bit values; a short text is one anchor."""
+    """Anchor hashes in order of position, as array<bigint> of 32-bit values; a text without a closed syncmer is one anchor."""
     low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
     places = F.sequence(F.lit(0), F.size(units) - K)
     at = F.filter(places, lambda i: F.least(F.get(units, i), F.get(units, i + 2)) <= F.get(units, i + 1))
     long = F.transform(at, lambda i: low(F.xxhash64(F.get(units, i), F.get(units, i + 1), F.get(units, i + 2))))
-    return F.when(F.size(units) >= K, long).otherwise(F.array(low(F.xxhash64(units))))
+    return _or_whole(F.when(F.size(units) >= K, long), F.array(low(F.xxhash64(units))))
 
 
 def sketch(hashes: Column) -> Column:
@@ -52,9 +57,9 @@ def sketch_hex(values: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 from two sketches; null where one is missing."""
+    """0 to 1 from two sketches, which are never empty; null where one is missing."""
     union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
+    return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.greatest(F.size(union), F.lit(1))
 
 
 def fingerprint_documents(docs: DataFrame, *, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:

@@ -140,6 +140,14 @@ def test_closed_syncmers_by_definition(spark):
         assert got == [i for i in range(38) if min(u[i : i + 3]) in (u[i], u[i + 2])]
 
 
+def test_texts_without_a_closed_syncmer_have_an_anchor(spark):
+    from tessera.llm.syncmers import fingerprint_documents, likeness
+
+    rows = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(60)], "doc_id long, text string")
+    made = fingerprint_documents(rows).select("fingerprint", likeness(F.col("fingerprint_sketch"), F.col("fingerprint_sketch")).alias("same")).collect()
+    assert all(r.same == 1.0 and len(r.fingerprint) == 8 for r in made) and len({r.fingerprint for r in made}) == 60
+
+
 def test_simhash_links_against_all_pairs(spark):
     from tessera.llm.simhash import components, fingerprint_links
 
