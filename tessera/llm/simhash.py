@@ -13,8 +13,9 @@ the links are found by alternating large-star and small-star rounds over tables
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -228,6 +229,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 #: Near-duplicate groups of texts: shingles and similarity of the exact check, and independent fingerprints to find candidates.
 CHECK_SHINGLE, CHECK_SIMILARITY, SEEDS = 5, 0.8, 6
+#: Common shingles are counted in one of so many texts, and at most so many are told apart.
+SAMPLED, COMMON = 16, 50_000
+#: Rows whose shingles a worker holds at once.
+PART = 256
 
 
 def word_fingerprints(text: str | None) -> list[int]:
@@ -256,13 +261,148 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + CHECK_SHINGLE]), 42) for i in range(n)], dtype="<u8").view("<i8"))
 
 
+def in_parts(batches: Iterator) -> Iterator:
+    """The same rows in batches of at most PART."""
+    for b in batches:
+        for low in range(0, b.num_rows, PART):
+            yield b.slice(low, PART)
+
+
+def common_shingles(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending hashes, counts) of at most COMMON shingles that come in several texts of a sample by key.
+
+    They only order shingles, so any sample gives the same groups: the better it is, the fewer texts meet in vain.
+    """
+
+    def each(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()))], names=["s"])
+
+    sample = keyed.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(each, "s bigint")
+    rows = sample.groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(COMMON).collect()
+    found = np.array(sorted((r["s"], r["count"]) for r in rows), dtype="<i8").reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Bits of the parities of hashes in a power of two of classes, two and more of them per hash (up to 2 ** 16 in all)."""
+    bits = 1 << min(16, max(8, (2 * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount(s & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    """A number of hashes by which the sets of two parities differ at least; the longer one is folded."""
+    x, y = (np.frombuffer(v, dtype=np.uint8) for v in (a, b))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def prefixes(keyed: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(key, n, prefix array<bigint>, parity): of a text's n shingles the first in the order of how common they are, then of
+    the hash. Two sets at CHECK_SIMILARITY share one of their prefixes' shingles, as what is left is too small for the overlap.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in in_parts(batches):
+            sizes, first, marks = [], [], []
+            for t in b.column(1):
+                s = shingle_set(t.as_py())
+                sizes.append(len(s))
+                marks.append(parity(s))
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
+                first.append(s[: len(s) - math.ceil(CHECK_SIMILARITY * len(s) - 1e-9) + 1].copy())
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype="<i8"), *first])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), listed, pa.array(marks, pa.binary())], names=["key", "n", "prefix", "parity"])
+
+    return keyed.select("key", "text").mapInArrow(run, "key bigint, n int, prefix array<bigint>, parity binary")
+
+
+def by_shingle(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """run on the columns, as arrays, of all rows of some shingles; rows has the shingle first, and run's result fits schema."""
+
+    def whole(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in schema.split(", ")]
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [c.to_numpy() for c in b.columns]
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # sorted: the last shingle may go on
+            if cut or (held and held[-1][0][-1] != now[0][-1]):
+                for out in run(*[np.concatenate(c) for c in zip(*held, [c[:cut] for c in now], strict=True)]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+                held = []
+            held.append([c[cut:] for c in now])
+        if held:
+            for out in run(*[np.concatenate(c) for c in zip(*held, strict=True)]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "s").sortWithinPartitions("s").mapInArrow(whole, schema)
+
+
+def _enough(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """If rows i and j can be at CHECK_SIMILARITY when this is the first shingle, in order, that they share."""
+    return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= CHECK_SIMILARITY / (1 + CHECK_SIMILARITY) * (n[i] + n[j]) - 1e-6
+
+
+def _shared(s: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows whose shingle another row has."""
+    same = s[1:] == s[:-1]
+    more = np.concatenate([same, [False]]) | np.concatenate([[False], same])[: len(s)]
+    yield s[more], key[more], n[more], pos[more]
+
+
+def _stars(s: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Each shingle's rows with one of them, the same in all shingles that hold it as far as can be; two such choices."""
+    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        order = np.lexsort((key.view("<u8") * np.uint64(factor), s))
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)])
+        i = np.repeat(order[starts], np.diff(np.append(starts, len(s))))
+        keep = _enough(n, pos, i, order) & (key[i] != key[order])
+        a, b = key[i[keep]], key[order[keep]]
+        yield np.minimum(a, b), np.maximum(a, b)
+
+
+def _apart(s: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """All pairs of a shingle's rows that are in different components."""
+    found, held, i = [np.empty((0, 2), dtype="<i8")], 0, np.arange(len(s))
+    for step in range(1, len(s)):
+        i = i[: np.searchsorted(i, len(s) - step)]
+        i = i[s[i] == s[i + step]]
+        if not len(i):
+            break
+        near = i[(root[i] != root[i + step]) & _enough(n, pos, i, i + step)]
+        found.append(np.stack([np.minimum(key[near], key[near + step]), np.maximum(key[near], key[near + step])], axis=1))
+        held += len(near)
+        if held >= 1 << 20:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pairs[:, 0], pairs[:, 1]
+            found, held = [np.empty((0, 2), dtype="<i8")], 0
+    pairs = np.unique(np.concatenate(found), axis=0)
+    yield pairs[:, 0], pairs[:, 1]
+
+
 def near_duplicate_texts(keyed: DataFrame) -> DataFrame:
     """(key, root) for keyed(key bigint, text): root is the least key of the group; every row is there once.
 
-    Equal texts are one group. Different texts are candidates if one of their SEEDS word fingerprints differs in at
-    most MAX_BITS bits, found at anchors as a spanning forest, never as all pairs; a link stands if the texts' shingle
-    sets have a Jaccard similarity of CHECK_SIMILARITY or more. Groups are the components of the links that stand.
-    Texts are read twice and never shuffled but for those of candidates.
+    Equal texts are one group. Two different texts are linked if their shingle sets have a Jaccard similarity of
+    CHECK_SIMILARITY or more, and groups are the components of all such links. Most are found first: texts one of whose
+    SEEDS word fingerprints differs in at most MAX_BITS bits (at anchors, as a spanning forest), and stars of the texts
+    that share a shingle of their prefixes. As both leave pairs out, all pairs that share a prefix's shingle and are
+    still in different components are checked after that, so no link between groups is missed. Texts are never shuffled
+    but for those of candidates.
     """
     import hashlib
 
@@ -280,21 +420,46 @@ def near_duplicate_texts(keyed: DataFrame) -> DataFrame:
     first = marked.groupBy("d").agg(F.min("key").alias("first"))
     exact = materialize(marked.join(first, "d").select("key", "first", F.when(F.col("key") == F.col("first"), F.col("fp")).alias("fp")), "copies")
     rows = exact.where("key = first").select("key", F.posexplode("fp").alias("seed", "fp")).select("fp", F.col("key").alias("node"), "seed")
-    candidates = materialize(fingerprint_links(rows), "candidates")
+
+    copies = exact.where("key <> first").select("key")
+    some, rest = split_by_keys(keyed.select("key", "text"), "key", copies)
+    common = common_shingles(keyed)
+    ordered = materialize(prefixes(some, *common).join(copies, "key", "left_anti").unionByName(prefixes(rest, *common)), "prefixes")
+    placed = ordered.select(F.posexplode("prefix").alias("pos", "s"), "key", "n").select("s", "key", "n", "pos")
+    shared = materialize(by_shingle(placed, _shared, "s bigint, key bigint, n int, pos int"), "shared")
+    stars = by_shingle(shared, _stars, "a bigint, b bigint")
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in in_parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))], names=["key", "s"])
 
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    some, _ = split_by_keys(keyed, "key", ends)
-    shingles = materialize(some.join(ends, "key", "left_semi").select("key", "text").mapInArrow(sets, "key bigint, s array<bigint>"), "shingles")
-    both = candidates.join(shingles.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(shared >= CHECK_SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    linked = components(links)
+    def close(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        most = (1 - CHECK_SIMILARITY) / (1 + CHECK_SIMILARITY)
+        for b in in_parts(batches):
+            c = b.to_pydict()
+            keep = [parity_distance(x, y) <= most * (m + n) + 1e-6 for x, y, m, n in zip(c["pa"], c["pb"], c["na"], c["nb"], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def standing(pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b) that are links."""
+        ends = [ordered.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}")) for c in "ab"]
+        near = pairs.distinct().join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "pa", "pb")
+        candidates = materialize(near.mapInArrow(close, "a bigint, b bigint"), "candidates")
+        keys = candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        held, _ = split_by_keys(keyed.select("key", "text"), "key", keys)
+        shingles = materialize(held.join(keys, "key", "left_semi").select("key", "text").mapInArrow(sets, "key bigint, s array<bigint>"), "shingles")
+        both = candidates.join(shingles.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+        overlap = F.size(F.array_intersect("sa", "sb"))
+        return materialize(both.where(overlap >= CHECK_SIMILARITY * (F.size("sa") + F.size("sb") - overlap)).select("a", "b"), "standing")
+
+    links = standing(fingerprint_links(rows).unionByName(stars))
+    joined = components(links)
+    rooted = shared.join(joined, shared["key"] == joined["node"], "left").select("s", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
+    linked = components(links.unionByName(standing(by_shingle(rooted, _apart, "a bigint, b bigint"))))
     return exact.join(linked, exact["first"] == linked["node"], "left").select("key", F.coalesce("root", "first").alias("root"))
 
 
