@@ -44,3 +44,19 @@ def test_copies_of_one_original_are_one_group(spark):
     texts.insert(100, " ".join(original))
     assert set(brute_groups(texts)) == {0}
     assert set(groups(spark, texts)) == {0}
+
+
+def test_pairs_of_long_texts_are_all_found(spark):
+    """Zipf words and similarities around 0.8: word fingerprints of such pairs often differ too much."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = 1 / np.arange(1, 3001)
+    texts = ["", " ", "one", "One", "two"]
+    for size in (30, 300, 1000, 3000):
+        for share in (0.018, 0.02, 0.021, 0.022, 0.024):
+            for _ in range(2):
+                words = [vocabulary[i] for i in rng.choice(3000, size, p=weights / weights.sum())]
+                texts += [" ".join(words), edited(rng, words, max(1, int(share * size)), vocabulary)]
+    want = brute_groups(texts)
+    assert 10 < len(texts) - len(set(want)) < len(texts) // 2
+    assert groups(spark, texts) == want
