@@ -3,9 +3,10 @@
 A page is read once as a stream of tags and texts and cut into blocks at block-level tags. Containers that are
 not the article by their tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments) are left out whole. The first pass classifies each block by its link density,
-length and stop-word density as good, bad or undecided; blocks inside an article or main element are the
-article's own and only lose lists of links. The second pass gives each undecided block the label of its nearest
-decided neighbours: good if both sides agree or the nearer one is good, and by the page's head and tail bad.
+length and stop-word density as good, bad or undecided, wherever it stands. The second pass gives each undecided
+block the label of its nearest decided neighbours: good if both sides agree or the nearer one is good, and by the
+page's head and tail bad. Article and main elements are evidence for that: an undecided block inside is bad only
+between two bad ones of the inside, one outside on such a page is good only between two good ones of the outside.
 """
 
 from __future__ import annotations
@@ -51,19 +52,19 @@ LINKS_HIGH, STOPS_HIGH, STOPS_LOW, SHORT, LONG = 0.4, 0.25, 0.1, 60, 160
 
 
 class Block:
-    __slots__ = ("inside", "item", "linked", "parts")
+    __slots__ = ("inside", "linked", "parts")
 
-    def __init__(self, inside: bool, item: bool):
+    def __init__(self, inside: bool):
         self.parts: list[str] = []
         self.linked = 0
         self.inside = inside
-        self.item = item
 
 
-def _left_out(tag: str, attributes: str) -> bool:
+def _left_out(tag: str, attributes: str, nested: bool) -> bool:
+    """nested: inside an article, where a further article can be a comment or a teaser."""
     if tag in DROPPED:
         return True
-    if tag in KEPT or not attributes or "=" not in attributes and "hidden" not in attributes:
+    if tag in KEPT and not (nested and tag == "article") or not attributes or "=" not in attributes and "hidden" not in attributes:
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
@@ -91,7 +92,7 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if not said.strip():
                 return
-            current = Block(inside > 0, "li" in stack)
+            current = Block(inside > 0)
             found.append(current)
         current.parts.append(said)
         if links:
@@ -152,30 +153,28 @@ def blocks(page: str) -> list[Block]:
         stack.append(tag)
         if tag == "a":
             links += 1
+        if not dropped and (_left_out(tag, m[3], inside > 0) and not (tag == "header" and inside)):
+            dropped = len(stack)
         if tag in ("article", "main"):
             inside += 1
-        if not dropped and (_left_out(tag, m[3]) and not (tag == "header" and inside)):
-            dropped = len(stack)
     return found
 
 
-def _first_pass(block: Block, text: str, has_article: bool) -> int:
+def _first_pass(block: Block, text: str) -> int:
     """1 good, -1 bad, 0 undecided."""
     size = len(text)
     links = block.linked / max(1, len(text.replace(" ", "")))
-    if block.inside:
-        return -1 if block.item and links > 0.9 else 1
-    if has_article or links > LINKS_HIGH:
+    if links > LINKS_HIGH:
         return -1
     words = WORD.findall(text.lower())
     stops = sum(w in ALL_STOP_WORDS for w in words) / max(1, len(words))
     if size < SHORT:
-        return 0 if links == 0 else -1
+        return 0 if block.inside or links == 0 else -1
     if stops >= STOPS_HIGH:
         return 1 if size > LONG or stops >= STOPS_HIGH and links < 0.1 else 0
     if stops >= STOPS_LOW:
         return 1 if size > LONG else 0
-    return 0 if size > LONG and links < 0.1 else -1
+    return 0 if block.inside or size > LONG and links < 0.1 else -1
 
 
 def main_text(page: str | None) -> str:
@@ -185,23 +184,28 @@ def main_text(page: str | None) -> str:
     found = [(b, " ".join("".join(b.parts).split())) for b in blocks(page)]
     found = [(b, t) for b, t in found if t]
     has_article = any(b.inside for b, _ in found)
-    labels = [_first_pass(b, t, has_article) for b, t in found]
-    sizes = [len(t) for _, t in found]
-    n = len(labels)
-    before, after, last, gap = [(-1, 1 << 60)] * n, [(-1, 1 << 60)] * n, -1, 1 << 60
-    for order, near in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last, gap = -1, 1 << 60
-        for i in order:
-            near[i] = (last, gap)
-            if labels[i]:
-                last, gap = labels[i], 0
-            gap += sizes[i]
-    for i in range(n):
-        if labels[i] == 0:
-            (a, da), (b, db) = before[i], after[i]
-            labels[i] = a if a == b or da <= db else b
-    if n and all(x < 0 for x in labels) and not has_article:  # no block decided the page: what isn't links is all there is
-        labels = [1 if b.linked == 0 and _first_pass(b, t, False) == 0 else -1 for b, t in found]
+    first = [_first_pass(b, t) for b, t in found]
+    labels = list(first)
+    for side in (True, False):
+        mine = [i for i, (b, _) in enumerate(found) if b.inside == side]
+        edge = 1 if side else -1
+        before, after = {}, {}
+        for order, near in ((mine, before), (mine[::-1], after)):
+            last, gap = edge, 1 << 60
+            for i in order:
+                near[i] = (last, gap)
+                if first[i]:
+                    last, gap = first[i], 0
+                gap += len(found[i][1])
+        for i in mine:
+            if first[i] == 0:
+                (a, da), (b, db) = before[i], after[i]
+                if has_article:
+                    labels[i] = max(a, b) if side else min(a, b)
+                else:
+                    labels[i] = a if a == b or da <= db else b
+    if all(x < 0 for x in labels) and not has_article:  # no block decided the page: what isn't links is all there is
+        labels = [1 if b.linked == 0 and x == 0 else -1 for (b, _), x in zip(found, first, strict=True)]
     return " ".join(t for (_, t), x in zip(found, labels, strict=True) if x > 0)
 
 
