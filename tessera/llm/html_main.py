@@ -169,12 +169,12 @@ def _first_pass(block: Block, text: str) -> int:
     words = WORD.findall(text.lower())
     stops = sum(w in ALL_STOP_WORDS for w in words) / max(1, len(words))
     if size < SHORT:
-        return 0 if block.inside or links == 0 else -1
+        return 0
     if stops >= STOPS_HIGH:
         return 1 if size > LONG or stops >= STOPS_HIGH and links < 0.1 else 0
     if stops >= STOPS_LOW:
         return 1 if size > LONG else 0
-    return 0 if block.inside or size > LONG and links < 0.1 else -1
+    return 0 if block.inside or links == 0 or size > LONG and links < 0.1 else -1
 
 
 def main_text(page: str | None) -> str:
@@ -205,7 +205,7 @@ def main_text(page: str | None) -> str:
                 else:
                     labels[i] = a if a == b or da <= db else b
     if all(x < 0 for x in labels) and not has_article:  # no block decided the page: what isn't links is all there is
-        labels = [1 if b.linked == 0 and x == 0 else -1 for (b, _), x in zip(found, first, strict=True)]
+        labels = [1 if x == 0 else -1 for x in first]
     return " ".join(t for (_, t), x in zip(found, labels, strict=True) if x > 0)
 
 

@@ -19,3 +19,14 @@ def test_articles_are_evidence_and_not_the_rule():
     assert main_text(nested) == PROSE
     # what is undecided beside an article isn't its text
     assert main_text(f"<p>Menu</p><article><p>{PROSE}</p><p>Zahl 7</p></article><p>Imprint</p>") == f"{PROSE} Zahl 7"
+
+
+def test_ambiguous_blocks_are_left_to_their_neighbours():
+    seven = "Helsinki 1952: Zatopek 29:17.0, 14:06.6, 2:23:03.2; Mimoun 29:32.8, 14:07.4; Schade 14:08.6."
+    between = f"<p>{PROSE}</p><p>See <a>Smith</a> for details.</p><p>{seven}</p><p>{PROSE}</p>"
+    assert main_text(between) == f"{PROSE} See Smith for details. {seven} {PROSE}"
+    # between blocks of links they are no text
+    links = "<p><a href=a>First other story</a> <a href=b>Second other story</a></p>"
+    assert main_text(f"<p>{PROSE}</p>{links}<p>See <a>Smith</a> for details.</p>{links}") == PROSE
+    # nothing decides the page
+    assert main_text(f"<p>See <a>Smith</a> for details.</p><p>{seven}</p>") == f"See Smith for details. {seven}"
