@@ -13,7 +13,8 @@ the threshold are skipped; in the others each item's bound is taken, and items s
 Retrieved pairs are verified: 0.8 of the five-word shingles of the item's question, and of its answer, have to
 stand in the text around the passage. Where a benchmark has text only, its last sentence is the answer.
 
-Benchmarks larger than BLOCK_ITEMS are gone through in blocks of that many items, each broadcast by itself.
+Benchmarks larger than BLOCK_ITEMS are gone through in blocks of that many items, each broadcast by itself; their
+statistics are those of all items, so that no item's result depends on the others of its block.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 import string
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import materialize
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: What essential terms have to bring at least, as a share of an item's score against itself.
@@ -78,15 +82,27 @@ class Index:
     longest: int
 
 
-def build_index(rows: list[tuple], threshold: float = THRESHOLD) -> Index:
-    """From (item id, question words, answer words); items without words can't be retrieved."""
+@dataclass
+class Statistics:
+    """Of all items with words; df has the terms of the block that is indexed."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
+def build_index(rows: list[tuple], threshold: float = THRESHOLD, statistics: Statistics | None = None) -> Index:
+    """From (item id, question words, answer words); items without words can't be retrieved. Without statistics rows are all items."""
     rows = [r for r in rows if r[1] or r[2]]
     bags = [Counter([*q, *a]) for _, q, a in rows]
-    df = Counter(t for bag in bags for t in bag)
-    n, mean = len(bags), sum(map(sum, (b.values() for b in bags))) / max(1, len(bags))
-    terms = {t: i for i, t in enumerate(sorted(df))}
+    if statistics is None:
+        sizes = [sum(b.values()) for b in bags]
+        statistics = Statistics(len(bags), sum(sizes) / max(1, len(bags)), max(sizes, default=0), Counter(t for bag in bags for t in bag))
+    n, mean, df = statistics.items, statistics.mean, statistics.df
+    terms = {t: i for i, t in enumerate(sorted({t for bag in bags for t in bag}))}
     postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-    rest, others = np.zeros(n), []
+    rest, others = np.zeros(len(bags)), []
     for d, bag in enumerate(bags):
         size = sum(bag.values())
         score = {t: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in bag.items()}
@@ -104,7 +120,7 @@ def build_index(rows: list[tuple], threshold: float = THRESHOLD) -> Index:
         others.append(mine)
     essential = [np.array([d for d, _ in p], dtype=np.int64) for p in postings]
     impacts = [np.array([v for _, v in p]) for p in postings]
-    return Index([r[0] for r in rows], [(q, a) for _, q, a in rows], terms, essential, impacts, rest, others, max((sum(b.values()) for b in bags), default=0))
+    return Index([r[0] for r in rows], [(q, a) for _, q, a in rows], terms, essential, impacts, rest, others, statistics.longest)
 
 
 class Searcher:
@@ -207,19 +223,56 @@ class Searcher:
         return [best[i] for i in sorted(best)]
 
 
-def _rows(benchmark: DataFrame, id_col: str, text_col: str, question_col: str | None, answer_col: str | None):
+def _item_words(row: tuple) -> tuple[list[str], list[str]]:
+    """Of (text) or (question, answer)."""
+    return question_and_answer(row[0]) if len(row) == 1 else (words_of(row[0]), words_of(row[1]))
+
+
+def _rows(items: DataFrame) -> Iterator[list[tuple]]:
     """The items in blocks of at most BLOCK_ITEMS, in order of their id."""
-    columns = [F.col(id_col)] + ([F.col(question_col), F.col(answer_col)] if question_col else [F.col(text_col)])
     block: list[tuple] = []
-    for row in benchmark.select(*columns).orderBy(id_col).toLocalIterator():
-        block.append((row[0], words_of(row[1]), words_of(row[2])) if question_col else (row[0], *question_and_answer(row[1])))
+    for row in items.orderBy(items.columns[0]).toLocalIterator():
         if len(block) >= BLOCK_ITEMS:
             yield block
             block = []
+        block.append((row[0], *_item_words(row[1:])))
     if block:
         yield block
 
 
+def _statistics(items: DataFrame) -> tuple[tuple[int, float, int], DataFrame]:
+    """(items, mean and longest length) of all items with words, and df(term, df), written to the shared folder."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            words = [[*q, *a] for q, a in map(_item_words, zip(*(c.to_pylist() for c in b.columns), strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], names=["size", "terms"])
+
+    bags = items.select(*items.columns[1:]).mapInArrow(run, "size bigint, terms array<string>").where("size > 0")
+    n, total, longest = bags.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    df = bags.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return (n, (total or 0) / max(1, n), longest or 0), materialize(df, "item-terms")
+
+
+def _indexes(items: DataFrame, threshold: float) -> Iterator[Index]:
+    """An index for each block of items; a second block makes the statistics of all items needed."""
+    blocks = _rows(items)
+    block, later = next(blocks, None), next(blocks, None)
+    if block is None:
+        return
+    if later is None:
+        yield build_index(block, threshold)
+        return
+    whole, df = _statistics(items)
+    while block is not None:
+        terms = sorted({t for _, q, a in block for t in (*q, *a)})
+        held = items.sparkSession.createDataFrame([(t,) for t in terms], "term string").join(df, "term").collect()
+        yield build_index(block, threshold, Statistics(*whole, {r["term"]: r["df"] for r in held}))
+        block, later = later, next(blocks, None)
+
+
 def with_leaks(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", out_col: str = "leaks", item_col: str = "item_id", item_text_col: str = "text",
     question_col: str | None = None, answer_col: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP,
@@ -232,16 +285,15 @@ def with_leaks(
     kind = benchmark.schema[item_col].dataType.simpleString()
     schema = f"array<struct<item:{kind},score:double,question_overlap:double,answer_overlap:double>>"
     found: list[Column] = []
-    for rows in _rows(benchmark, item_col, item_text_col, question_col, answer_col):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(rows, threshold))
+    items = benchmark.select(item_col, *([question_col, answer_col] if question_col else [item_text_col]))
+    for built in _indexes(items, threshold):
+        index = docs.sparkSession.sparkContext.broadcast(built)
         found.append(_searcher(index, threshold, overlap, schema)(F.col(text_col)))
     kept = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
     return docs.select(*kept, (F.concat(*found) if found else F.array().cast(schema)).alias(out_col))
 
 
 def _searcher(index, threshold: float, overlap: float, schema: str):
-    from collections.abc import Iterator
-
     def leaks(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         searcher = Searcher(index.value, threshold, overlap)
         names = ("item", "score", "question_overlap", "answer_overlap")
