@@ -44,7 +44,7 @@ def clean_text(text: Column | str, preserve_layout: bool = True, compose: bool =
     t = F.coalesce(_col(text), F.lit(""))
     for ligature, letters in LIGATURES.items():
         t = F.replace(t, F.lit(ligature), F.lit(letters))
-    t = F.regexp_replace(t, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
+    t = F.regexp_replace(t, r"(?U)([\p{L}\p{N}_])-[\s\x1c-\x1f]*\n[\s\x1c-\x1f]*([\p{L}\p{N}_])", "$1$2")  # Python's \w and \s
     t = nfkc(t) if compose else t
     t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     if preserve_layout:
