@@ -14,37 +14,43 @@ the links are found by alternating large-star and small-star rounds over tables
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import free_name, materialize, split_by_keys, with_order_key
+from tessera.llm.shared import begin_task, free_name, materialize, split_by_keys, with_order_key
 
 SHINGLE = 3
 MAX_BITS = 3
-WORD = re.compile("[^\x20\x09-\x0d]+")
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: Rows of an anchor compared at once with its home rows.
 BLOCK = 2048
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Words [^\\x20\\x09-\\x0D]+ in UTF-8, A-Z as lower case: what split() and lower() of bytes go by."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes; none without hashes."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 1 << 14):
+        counts += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+
+
 def simhash(text: str | None) -> int:
     """The fingerprint of a text: bit set if set in over half the shingles' XXH64 (seed 42); zero without words."""
     import xxhash
 
-    words = WORD.findall(text.translate(LOWER)) if text else []
+    words = words_of(text)
     if not words:
         return 0
-    shingles = [" ".join(words)] if len(words) < SHINGLE else map(" ".join, zip(words, words[1:], words[2:], strict=False))
+    shingles = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(words, words[1:], words[2:], strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, 42) for s in shingles], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 1 << 14):
-        counts += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+    return majority(np.array([digest(s, 42) for s in shingles], dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,6 +59,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        begin_task("simhash")
         for b in batches:
             values = np.array([simhash(t.as_py()) for t in b.column(1)], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values)], names=[id_col, "fp"])
@@ -92,36 +99,43 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(homes)
 
 
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
 def anchor_links(fp: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
-    """Links (smaller, larger) of one anchor's rows that join its components: at most len(fp) - 1 of them."""
-    parent = list(range(len(fp)))
-    at_home = np.flatnonzero(home)
-    found = []
+    """Links of one anchor's rows that join its components: at most len(fp) - 1 of them.
+
+    Pairs are looked at in blocks; of those that join different components one for each component is taken at a time, so
+    there are few rounds however many pairs a block has.
+    """
+    root, at_home = np.arange(len(fp)), np.flatnonzero(home)
+    found: list[tuple[int, int]] = []
     for low in range(0, len(at_home), BLOCK):
         mine = at_home[low : low + BLOCK]
         for start in range(0, len(fp), BLOCK):
-            part = fp[start : start + BLOCK]
-            i, j = np.nonzero(np.bitwise_count(fp[mine, None] ^ part[None, :]) <= MAX_BITS)
+            i, j = np.nonzero(np.bitwise_count(fp[mine, None] ^ fp[None, start : start + BLOCK]) <= MAX_BITS)
             i, j = mine[i], j + start
-            for a, b in zip(i[i != j].tolist(), j[i != j].tolist(), strict=True):
-                ra, rb = _find(parent, a), _find(parent, b)
-                if ra != rb:
-                    parent[max(ra, rb)] = min(ra, rb)
-                    found.append((a, b))
+            while True:
+                apart = root[i] != root[j]
+                i, j = i[apart], j[apart]
+                if not len(i):
+                    break
+                first = np.unique(root[i], return_index=True)[1]
+                for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                    ra, rb = a, b
+                    while root[ra] != ra:
+                        ra = root[ra]
+                    while root[rb] != rb:
+                        rb = root[rb]
+                    if ra != rb:
+                        root[max(ra, rb)] = min(ra, rb)
+                        found.append((a, b))
+                while (root[root] != root).any():
+                    root = root[root]
     return found
 
 
 def fingerprint_links(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     """(a bigint, b bigint) links between the nodes of (fp) or (fp, node, seed) whose fingerprints differ in at most MAX_BITS bits.
 
-    Without a node column fingerprints, which then have to be distinct, are the nodes. Fingerprints are compared only
+    Fingerprints have to be distinct, or distinct for their seed; without a node column they are the nodes. They are compared only
     with those of their seed. Not all links: a spanning forest of each anchor's, so the components are those of all links.
     """
     nodes = "node" in rows.columns
@@ -129,6 +143,7 @@ def fingerprint_links(rows: DataFrame, partitions: int | None = None) -> DataFra
     def replicate(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        begin_task("simhash")
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
             for low in range(0, len(fp), 4096):
@@ -144,6 +159,7 @@ def fingerprint_links(rows: DataFrame, partitions: int | None = None) -> DataFra
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        begin_task("simhash")
         def links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, node: np.ndarray):
             edges = np.flatnonzero(np.diff(key)) + 1
             starts, stops = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
@@ -153,13 +169,9 @@ def fingerprint_links(rows: DataFrame, partitions: int | None = None) -> DataFra
             near = (home[two] | home[two + 1]) & (np.bitwise_count(fp[two] ^ fp[two + 1]) <= MAX_BITS)
             out.append(np.stack([node[two[near]], node[two[near] + 1]], axis=1))
             for a, b in zip(starts[size > 2].tolist(), stops[size > 2].tolist(), strict=True):
-                part, index = np.unique(fp[a:b], return_index=True)  # equal fingerprints: a star
-                first = dict(zip(part.tolist(), node[a:b][index].tolist(), strict=True))
-                if len(part) < b - a:
-                    out.append(np.array([(first[x], n) for x, n in zip(fp[a:b].tolist(), node[a:b].tolist(), strict=True) if first[x] != n], dtype="<i8").reshape(-1, 2))
-                found = anchor_links(part, home[a:b][index])
+                found = anchor_links(fp[a:b], home[a:b])
                 if found:
-                    out.append(node[a:b][index][np.array(found)])
+                    out.append(node[a:b][np.array(found)])
             pairs = np.concatenate(out).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(pairs[:, 0], pairs[:, 1])), pa.array(np.maximum(pairs[:, 0], pairs[:, 1]))], names=["a", "b"])
 
@@ -185,27 +197,29 @@ def fingerprint_links(rows: DataFrame, partitions: int | None = None) -> DataFra
     return placed.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): for each node of the links the least node reachable, by large-star and small-star rounds.
 
-    Each round's table is written to the shared folder; rounds end when one changes nothing.
+    Each round's table is written to the shared folder; rounds go on until one changes nothing.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     sums = None
-    for _ in range(max_rounds):
+    # the least neighbours under an expression of their own key: so the join has an exchange of its own for either side and AQE
+    # can split the many neighbours of one node over tasks
+    own = F.bitwise_not(F.bitwise_not("u")).alias("u")
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(own, F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u to the least of u and its neighbours
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its smaller neighbours to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "links")
+        small = large.join(least.select(own, "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links", sums and sums[0])
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sums:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         sums = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def to_hex(fp: Column) -> Column:
@@ -228,37 +242,47 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 #: Near-duplicate groups of texts: shingles and similarity of the exact check, and independent fingerprints to find candidates.
-CHECK_SHINGLE, CHECK_SIMILARITY, SEEDS = 5, 0.8, 6
+CHECK_SHINGLE, CHECK_SIMILARITY, SEEDS = 5, 0.8, 2
 #: Common shingles are counted in one of so many texts, and at most so many are told apart.
 SAMPLED, COMMON = 16, 50_000
 #: Rows whose shingles a worker holds at once.
 PART = 256
 
 
-def word_fingerprints(text: str | None) -> list[int]:
-    """SEEDS fingerprints over the distinct words of a text: an edit changes little of them, other than of shingles'."""
-    import xxhash
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-    words = sorted(set(WORD.findall(text.translate(LOWER)))) if text else []
-    if not words:
-        return [0] * SEEDS
-    out: list[int] = []
-    for seed in range((SEEDS + 1) // 2):  # a hash has the bits of two fingerprints
-        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed) for w in words]), dtype=np.uint8).reshape(-1, 16)
-        counts = np.zeros(128, dtype=np.int64)
-        for at in range(0, len(h), 1 << 13):
-            counts += np.unpackbits(h[at : at + (1 << 13)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out += np.packbits(2 * counts > len(h), bitorder="little").view("<u8").tolist()
-    return out[:SEEDS]
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _B
+    x = (x ^ (x >> np.uint64(29))) * _A
+    return x ^ (x >> np.uint64(32))
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's CHECK_SHINGLE-word shingles (of the whole sequence, if shorter)."""
+
+def word_hashes(text: str | None) -> np.ndarray:
     import xxhash
 
-    words = WORD.findall(text.translate(LOWER)) if text else []
-    n = max(1, len(words) - CHECK_SHINGLE + 1)
-    return np.unique(np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + CHECK_SHINGLE]), 42) for i in range(n)], dtype="<u8").view("<i8"))
+    words = words_of(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype="<u8", count=len(words))
+
+
+def word_fingerprints(hashes: np.ndarray) -> list[int]:
+    """SEEDS fingerprints over the distinct words of a text: an edit changes little of them, other than of shingles'."""
+    own = np.unique(hashes)
+    return [majority(_mix(own + np.uint64(seed) * _A)) for seed in range(SEEDS)]
+
+
+def shingles_of(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of the CHECK_SHINGLE-word shingles (of the whole sequence, if shorter) of a text's words."""
+    size = min(CHECK_SHINGLE, len(hashes))
+    n = len(hashes) - size + 1
+    h = np.full(n if size else 1, size, dtype="<u8")
+    for i in range(size):
+        h = _mix(h * _A + hashes[i : i + n])
+    return np.unique(h.view("<i8"))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return shingles_of(word_hashes(text))
 
 
 def in_parts(batches: Iterator) -> Iterator:
@@ -277,6 +301,7 @@ def common_shingles(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        begin_task("simhash")
         for b in batches:
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()))], names=["s"])
@@ -302,28 +327,40 @@ def parity_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def prefixes(keyed: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(key, n, prefix array<bigint>, parity): of a text's n shingles the first in the order of how common they are, then of
-    the hash. Two sets at CHECK_SIMILARITY share one of their prefixes' shingles, as what is left is too small for the overlap.
+def profiles(keyed: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(key, d, fp, n, prefix, parity) of all texts, read once: a digest of the text, its word fingerprints and, of its n shingles,
+    the parities and the prefix: the first in the order of how common they are, then of the hash. Two sets at
+    CHECK_SIMILARITY share one of their prefixes' shingles, as what is left is too small for the overlap.
     """
+    import hashlib
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        begin_task("simhash")
+
+        def lists(of: list):
+            sizes = np.cumsum([0, *map(len, of)])
+            return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, dtype="<i8"), *of])))
+
         for b in in_parts(batches):
-            sizes, first, marks = [], [], []
+            digests, marks, sizes, first, bits = [], [], [], [], []
             for t in b.column(1):
-                s = shingle_set(t.as_py())
+                text = t.as_py() or ""
+                digests.append(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest())
+                words = word_hashes(text)
+                marks.append(np.array(word_fingerprints(words), dtype="<u8").view("<i8"))
+                s = shingles_of(words)
                 sizes.append(len(s))
-                marks.append(parity(s))
+                bits.append(parity(s))
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
                 first.append(s[: len(s) - math.ceil(CHECK_SIMILARITY * len(s) - 1e-9) + 1].copy())
-            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype="<i8"), *first])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), listed, pa.array(marks, pa.binary())], names=["key", "n", "prefix", "parity"])
+            columns = [b.column(0), pa.array(digests, pa.binary()), lists(marks), pa.array(sizes, pa.int32()), lists(first), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "d", "fp", "n", "prefix", "parity"])
 
-    return keyed.select("key", "text").mapInArrow(run, "key bigint, n int, prefix array<bigint>, parity binary")
+    return keyed.select("key", "text").mapInArrow(run, "key bigint, d binary, fp array<bigint>, n int, prefix array<bigint>, parity binary")
 
 
 def by_shingle(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -332,6 +369,7 @@ def by_shingle(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
     def whole(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        begin_task("simhash")
         names = [c.split()[0] for c in schema.split(", ")]
         held: list[list[np.ndarray]] = []
         for b in batches:
@@ -404,27 +442,17 @@ def near_duplicate_texts(keyed: DataFrame) -> DataFrame:
     still in different components are checked after that, so no link between groups is missed. Texts are never shuffled
     but for those of candidates.
     """
-    import hashlib
-
-    def marks(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            texts = [t.as_py() or "" for t in b.column(1)]
-            digest = [hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest() for t in texts]
-            fp = np.array([word_fingerprints(t) for t in texts], dtype="<u8").reshape(-1, SEEDS).view("<i8")
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, SEEDS * len(texts) + 1, SEEDS, dtype=np.int32)), pa.array(fp.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), listed], names=["key", "d", "fp"])
+    every = materialize(profiles(keyed, *common_shingles(keyed)), "profiles")
+    first = every.groupBy("d").agg(F.min("key").alias("first"))
+    exact = materialize(every.select("key", "d").join(first, "d").select("key", "first"), "copies")
+    copies = exact.where("key <> first").select("key")
+    some, rest = split_by_keys(every, "key", copies)
+    ordered = some.join(copies, "key", "left_anti").select(*rest.columns).unionByName(rest).drop("d")
 
-    marked = materialize(keyed.select("key", "text").mapInArrow(marks, "key bigint, d binary, fp array<bigint>"), "marks")
-    first = marked.groupBy("d").agg(F.min("key").alias("first"))
-    exact = materialize(marked.join(first, "d").select("key", "first", F.when(F.col("key") == F.col("first"), F.col("fp")).alias("fp")), "copies")
-    rows = exact.where("key = first").select("key", F.posexplode("fp").alias("seed", "fp")).select("fp", F.col("key").alias("node"), "seed")
+    rows = ordered.select("key", F.posexplode("fp").alias("seed", "fp"))
+    distinct = rows.groupBy("seed", "fp").agg(F.min("key").alias("node")).select("fp", "node", "seed")
+    equal = rows.join(distinct, ["seed", "fp"]).where("key <> node").select(F.col("node").alias("a"), F.col("key").alias("b"))
 
-    copies = exact.where("key <> first").select("key")
-    some, rest = split_by_keys(keyed.select("key", "text"), "key", copies)
-    common = common_shingles(keyed)
-    ordered = materialize(prefixes(some, *common).join(copies, "key", "left_anti").unionByName(prefixes(rest, *common)), "prefixes")
     placed = ordered.select(F.posexplode("prefix").alias("pos", "s"), "key", "n").select("s", "key", "n", "pos")
     shared = materialize(by_shingle(placed, _shared, "s bigint, key bigint, n int, pos int"), "shared")
     stars = by_shingle(shared, _stars, "a bigint, b bigint")
@@ -432,12 +460,14 @@ def near_duplicate_texts(keyed: DataFrame) -> DataFrame:
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        begin_task("simhash")
         for b in in_parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))], names=["key", "s"])
 
     def close(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        begin_task("simhash")
         most = (1 - CHECK_SIMILARITY) / (1 + CHECK_SIMILARITY)
         for b in in_parts(batches):
             c = b.to_pydict()
@@ -456,7 +486,7 @@ def near_duplicate_texts(keyed: DataFrame) -> DataFrame:
         overlap = F.size(F.array_intersect("sa", "sb"))
         return materialize(both.where(overlap >= CHECK_SIMILARITY * (F.size("sa") + F.size("sb") - overlap)).select("a", "b"), "standing")
 
-    links = standing(fingerprint_links(rows).unionByName(stars))
+    links = standing(fingerprint_links(distinct).unionByName(equal).unionByName(stars))
     joined = components(links)
     rooted = shared.join(joined, shared["key"] == joined["node"], "left").select("s", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
     linked = components(links.unionByName(standing(by_shingle(rooted, _apart, "a bigint, b bigint"))))

@@ -17,6 +17,8 @@ import string
 
 import numpy as np
 
+from tessera.llm.shared import begin_task, keep_memo
+
 #: Pieces that the memo of one Python worker holds before it starts anew (about 120 MB), and places that tell which
 #: pieces came before: most words of a large corpus come once, and only a piece that comes again is kept.
 MEMO_PIECES, SEEN = 600_000, 1 << 22
@@ -97,7 +99,9 @@ _encoders: dict[str, PieceEncoder] = {}
 
 def encoder(path: str) -> PieceEncoder:
     """The encoder of this Python worker for a vocabulary; the memo of another vocabulary is dropped."""
+    begin_task("tokens")
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = PieceEncoder(path)
+        keep_memo("tokens", _encoders.clear)
     return _encoders[path]
