@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats
-from tessera.llm.shared import with_order_key
+from tessera.llm.shared import begin_task, with_order_key
 
 WORDS = 50
 
@@ -34,7 +34,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array(list(map(xxhash.xxh64_intdigest, words_of(text))), dtype=np.uint64)
 
 
-WINDOWS = repeats.Windows(WORDS, 8, False, 150_000, word_hashes)
+WINDOWS = repeats.Windows(WORDS, 8, False, 50_000, word_hashes, "uint64")
 
 
 class SuffixAutomaton:
@@ -123,6 +123,8 @@ def _spans_of_shards(placed: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        begin_task("automaton_dedup")
+
         def record(spans: list[tuple[int, int, int]]):
             columns = zip(*spans, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "start", "length"])
@@ -151,7 +153,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     documents of their own, in order of their text. An empty table gives an empty result.
     """
     keyed, key = with_order_key(docs.select(id_col, text_col), id_col, text_col)
-    spans = repeats.repeated_spans(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), windows, _spans_of_shards, "uint64")
+    spans = repeats.repeated_spans(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), windows, _spans_of_shards)
     joined = repeats.with_spans(keyed, key, spans, "spans").select(F.col(id_col), F.col(text_col), "spans")
 
     def cut(batches: Iterator) -> Iterator:

@@ -4,29 +4,33 @@ A window is ``length`` units in a row (bytes or words). Its minimizer is the k-m
 leftmost of equal ones, so equal windows have the same minimizer. A run is a maximal row of windows of one
 document whose minimizers are equal; its fragment are the units that those windows cover. Words or characters that go
 on and on are one run. Two hashes name a run: h, of the minimizer, and f, of the fragment. A window can only have
-an equal one in a run with the same h:
+an equal one in a run with the same h, so nearly all of a corpus ends where an h has one run only. What is left is
+compared unit by unit by the operator that asks (see suffix_dedup and automaton_dedup), group of h by group:
 
-- runs with the same h and f are copies: all but the first are repeated whole;
-- an h with one f only, or one run only, needs nothing more, unless its minimizer comes more than once in the run:
-  nearly all of a corpus ends here;
-- runs with the same h and different f are compared by their units, by the operator that asks (see suffix_dedup
-  and automaton_dedup): these are the edges of repeated passages.
+- of each different fragment the first two runs are compared (of two documents, where repeats within one don't count);
+- further copies are members of their fragment, which is there once more before them: they are repeated whole.
 
-Copies within a batch are settled before the shuffle, so a passage that stands in a third of all documents
-sends one run per batch. An h whose different fragments have more than ``max_units`` units isn't brought together
-at all: its windows are keyed by their own hashes instead and found by a plain aggregation.
+Third and further copies within a batch are settled before the shuffle and dealt out by themselves, so a passage that stands in a
+third of all documents brings two runs of a batch together. A group with more than ``max_units`` units is split by further
+units: windows are told apart by where their minimizer stands in them, in intervals, and by the units that all
+windows of an interval have around it. Equal windows stay together; after two such splits a group is one window's copies. So
+every group that is compared is bounded, and all are compared in the same way.
+
+Documents of fewer than ``length`` units have no window. Very long texts are cut into overlapping parts of BATCH_UNITS.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialize, split_by_keys
+from tessera.llm.shared import begin_task, materialize, split_by_keys
 
 #: Units that are hashed at once, so that the arrays stay in a core's cache (positions take 24 bits beside the hash).
 BATCH_UNITS = 1 << 16
@@ -37,20 +41,23 @@ _POSITION = np.uint64((1 << 24) - 1)
 
 RUNS_SCHEMA = "h long, f long, key long, start int, windows int, loops boolean, settled boolean"
 FOUND_SCHEMA = "h long, f long, key long, start int, windows int, kind int"
-#: Kinds of found rows: a run that is repeated whole; a run to compare with others of its h; one of a too common h.
-WHOLE, COMPARE, COMMON = 0, 1, 2
+#: Kinds of found rows: a member of a fragment that two runs before it have; a run to compare with others of its h; one of a too large group.
+MEMBER, COMPARE, SPLIT = 0, 1, 2
+#: Rows of one h that are looked at together; of more than that all are split.
+HOLD = 1 << 19
 
 
 @dataclass(frozen=True)
 class Windows:
     """length: units of a window; k: units of a k-mer (a power of two); own_document: repeats within a document count;
-    max_units: units of one minimizer's fragments that are compared in one task, more are told apart by window hashes."""
+    max_units: units of one group's fragments that are compared in one task, larger groups are split; units: of a text, of dtype."""
 
     length: int
     k: int
     own_document: bool
     max_units: int
     units: Callable[[str], np.ndarray]
+    dtype: str
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,10 +93,11 @@ def unit_hashes(units: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
     return kmers, _mix(h[: len(h) - rest] * _B + h[rest:])
 
 
-def runs(units: np.ndarray, doc: np.ndarray, w: Windows) -> tuple[np.ndarray, ...]:
+def runs(units: np.ndarray, doc: np.ndarray, w: Windows, width: int = 0, of: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(h, f, start, windows, loops) of the runs in concatenated documents; doc: the document of each unit; start: among units.
 
-    loops: the minimizer comes more than once in the run.
+    loops: the minimizer comes more than once in the run. With a width documents are fragments of runs with the hashes ``of``: their
+    windows are split by the minimizer's place in them, in intervals of that width, and h is of the units that an interval's windows share.
     """
     n = len(units) - w.length + 1
     if n <= 0:
@@ -104,18 +112,25 @@ def runs(units: np.ndarray, doc: np.ndarray, w: Windows) -> tuple[np.ndarray, ..
     least = np.minimum(least[: len(least) - rest], least[rest:])[:n] & _POSITION
     valid = doc[:n] == doc[w.length - 1 :]
     least = least.astype(np.int64)
+    interval = (least - np.arange(n)) // width if width else None
     value = kmers[least]
+    told = least * (span + 1) + interval if width else value
     new = np.ones(n, dtype=bool)
-    new[1:] = (value[1:] != value[:-1]) | (valid[1:] != valid[:-1]) | (doc[1:n] != doc[: n - 1])
+    new[1:] = (told[1:] != told[:-1]) | (valid[1:] != valid[:-1]) | (doc[1:n] != doc[: n - 1])
     starts = np.flatnonzero(new)
     stops = np.append(starts[1:], n)
     keep = valid[starts]
     starts, stops = starts[keep], stops[keep]
     up, down = _powers(len(units) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(units.astype(np.uint64) * _B + _A) * up[: len(units)])])
-    whole = _mix((sums[stops + w.length - 1] - sums[starts]) * down[starts])
-    f = _mix(whole + windows[starts] * _A + windows[stops - 1] * _B + (stops - starts).astype(np.uint64))
-    return value[starts], f, starts, stops - starts, least[starts] != least[stops - 1]
+    between = lambda a, b: _mix((sums[b] - sums[a]) * down[a])
+    f = _mix(between(starts, stops + w.length - 1) + windows[starts] * _A + windows[stops - 1] * _B + (stops - starts).astype(np.uint64))
+    if not width:
+        return value[starts], f, starts, stops - starts, least[starts] != least[stops - 1]
+    low, at = interval[starts] * width, least[starts]
+    high = np.minimum(low + width, span) - 1
+    h = _mix(between(at - low, at - high + w.length) + of[doc[starts]] * _A + low.astype(np.uint64) * _B + np.uint64(width))
+    return h, f, starts, stops - starts, np.zeros(len(starts), dtype=bool)
 
 
 def batches_of(texts: Iterator[tuple[int, str | None]], w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -148,26 +163,46 @@ def batches_of(texts: Iterator[tuple[int, str | None]], w: Windows) -> Iterator[
         yield whole()
 
 
-def document_runs(docs: DataFrame, w: Windows) -> DataFrame:
-    """RUNS_SCHEMA for docs(key, text): runs, copies within a batch settled already."""
+def beyond_two(key: np.ndarray, new: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """(copies, those beyond the first two) of fragments' runs in order of key and place; new: where a fragment begins.
+
+    Where repeats within a document don't count, copies are the runs in other documents than the first one's.
+    """
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    copy = ~new if w.own_document else key != key[lead]
+    at = np.flatnonzero(copy)
+    second = at[np.unique(lead[at], return_index=True)[1]]
+    beyond = copy.copy()
+    beyond[second] = False
+    return copy, beyond
+
+
+def settled_batch(gathered: list[tuple], w: Windows, units: list[bytes] | None = None):
+    """A record batch of RUNS_SCHEMA (and units) of gathered (h, f, key, place, windows, loops): copies beyond two are settled."""
+    import pyarrow as pa
+
+    h, f, key, place, count, loops = (np.concatenate(c) for c in zip(*gathered, strict=True))
+    if (key[1:] >= key[:-1]).all() and units is None:  # rows are in order of key and place already
+        order = np.argsort(h ^ (f * _A), kind="stable")
+    else:
+        order = np.lexsort((place, key, f, h))
+    h, f, key, place, count, loops = (c[order] for c in (h, f, key, place, count, loops))
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
+    settled = beyond_two(key, new, w)[1]
+    columns = [pa.array(c) for c in (h.view(np.int64), f.view(np.int64), key, place.astype(np.int32), count.astype(np.int32), loops, settled)]
+    names = ["h", "f", "key", "start", "windows", "loops", "settled"]
+    if units is not None:
+        columns.append(pa.array([b"" if s else units[i] for i, s in zip(order.tolist(), settled.tolist(), strict=True)], pa.binary()))
+        names.append("units")
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
-    def find(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        def settle(gathered: list[tuple]):
-            h, f, key, place, count, loops = (np.concatenate(c) for c in zip(*gathered, strict=True))
-            if (key[1:] >= key[:-1]).all():  # rows are in order of key and place already
-                order = np.argsort(h ^ (f * _A), kind="stable")
-            else:
-                order = np.lexsort((place, key, f, h))
-            h, f, key, place, count, loops = (c[order] for c in (h, f, key, place, count, loops))
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            settled = ~new if w.own_document else ~new & (key != key[lead])
-            columns = [h.view(np.int64), f.view(np.int64), key, place.astype(np.int32), count.astype(np.int32), loops, settled]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "f", "key", "start", "windows", "loops", "settled"])
+def document_runs(docs: DataFrame, w: Windows) -> DataFrame:
+    """RUNS_SCHEMA for docs(key, text): runs, further copies within a batch settled already."""
 
+    def find(batches: Iterator) -> Iterator:
+        begin_task("repeats")
         texts = ((k, t.as_py()) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
         gathered, size = [], 0
         for keys, offsets, units, doc in batches_of(texts, w):
@@ -179,73 +214,126 @@ def document_runs(docs: DataFrame, w: Windows) -> DataFrame:
             gathered.append((h, f, keys[part], place, count, loops))
             size += len(units)
             if size >= GATHER_UNITS:
-                yield settle(gathered)
+                yield settled_batch(gathered, w)
                 gathered, size = [], 0
         if gathered:
-            yield settle(gathered)
+            yield settled_batch(gathered, w)
 
     return docs.select("key", "text").mapInArrow(find, RUNS_SCHEMA)
 
 
-def found_runs(docs: DataFrame, w: Windows) -> DataFrame:
-    """FOUND_SCHEMA for docs(key, text), written to the shared folder: runs of a repeated h that aren't first of their kind,
-    or have to be compared."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def split_runs(pieces: DataFrame, w: Windows, width: int) -> DataFrame:
+    """RUNS_SCHEMA and units for pieces(h, key, start, units): the runs of intervals of that width of the minimizer's place."""
+
+    def find(batches: Iterator) -> Iterator:
+        begin_task("repeats")
+        held, size = [], 0
+
+        def split():
+            units = np.concatenate([p[3] for p in held])
+            sizes = np.array([len(p[3]) for p in held])
+            doc = np.repeat(np.arange(len(held)), sizes)
+            of, keys, starts = (np.array([p[i] for p in held], dtype=np.int64) for i in range(3))
+            h, f, start, count, loops = runs(units, doc, w, width, of.view(np.uint64))
+            part = doc[start]
+            place = start - (np.cumsum(sizes) - sizes)[part] + starts[part]
+            cut = [units[a : a + c + w.length - 1].tobytes() for a, c in zip(start.tolist(), count.tolist(), strict=True)]
+            return settled_batch([(h, f, keys[part], place, count, loops)], w, cut)
+
+        for b in batches:
+            for h, key, start, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                units = np.frombuffer(raw, dtype=w.dtype)
+                if held and size + len(units) > BATCH_UNITS:
+                    yield split()
+                    held, size = [], 0
+                held.append((h, key, start, units))
+                size += len(units)
+        if held:
+            yield split()
+
+    return pieces.select("h", "key", "start", "units").mapInArrow(find, f"{RUNS_SCHEMA}, units binary")
+
+
+def found_runs(every: DataFrame, w: Windows, last: bool = False) -> DataFrame:
+    """FOUND_SCHEMA (and units, if every has them) for RUNS_SCHEMA: runs that are compared, have to be split or are members.
+
+    last: groups are one window's copies and aren't split any more.
+    """
+    n = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = [c for c in every.columns if c not in ("loops", "settled")]
 
     def group(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["h", "f", "key", "start", "windows", "kind"]
+        begin_task("repeats")
 
-        def out(c: dict, kind: int | np.ndarray, rows: np.ndarray):
-            k = np.full(int(rows.sum()), kind, dtype=np.int32) if isinstance(kind, int) else kind[rows]
-            return pa.RecordBatch.from_arrays([*[pa.array(c[x][rows]) for x in names[:5]], pa.array(k)], names=names)
+        def rows(t, kind: np.ndarray, keep: np.ndarray | None = None):
+            t = t.select(out).append_column("kind", pa.array(kind.astype(np.int32)))
+            return (t if keep is None else t.filter(pa.array(keep))).to_batches()
 
-        def decide(c: dict):
-            """Whole groups of h."""
-            h, f = c["h"], c["f"]
+        def decide(parts: list, carried: int, hot: bool):
+            """Whole groups of h, or a part of one hot group; the first rows were carried over from the part before."""
+            t = pa.Table.from_batches(parts).combine_chunks()
+            h, f, key, windows, loops = (t.column(x).to_numpy() for x in ("h", "f", "key", "windows", "loops"))
             new_h, new_f = np.ones(len(h), dtype=bool), np.ones(len(h), dtype=bool)
             new_h[1:] = h[1:] != h[:-1]
             new_f[1:] = new_h[1:] | (f[1:] != f[:-1])
-            group, lead = np.cumsum(new_h) - 1, np.flatnonzero(new_f)[np.cumsum(new_f) - 1]
-            different = new_f & ~c["settled"]
-            fragments = np.bincount(group, weights=different)[group]
-            units = np.bincount(group, weights=different * (c["windows"] + (w.length - 1)))[group]
-            compared = (fragments > 1) | (c["loops"] & w.own_document)
-            copy = ~new_f if w.own_document else ~new_f & (c["key"] != c["key"][lead])
-            kind = np.where(copy | c["settled"], WHOLE, np.where(units > w.max_units, COMMON, COMPARE)).astype(np.int32)
-            keep = copy | c["settled"] | compared
-            return out(c, kind, keep)
-
-        held: list[dict] = []
+            of_h, of_f = np.cumsum(new_h) - 1, np.cumsum(new_f) - 1
+            copy, beyond = beyond_two(key, new_f, w)
+            compared = (np.bincount(of_h, weights=new_f)[of_h] > 1) | (np.bincount(of_f, weights=copy)[of_f] > 0) | (loops & w.own_document) | hot
+            units = np.bincount(of_h, weights=(compared & ~beyond) * (windows + (w.length - 1)))[of_h]
+            kind = np.where(beyond, MEMBER, np.where((units > w.max_units) | hot, COMPARE if last else SPLIT, COMPARE))
+            if last:  # a window's further places in the first document aren't repeats of another one
+                compared &= new_f | copy
+            keep = beyond | compared
+            keep[:carried] = False
+            ends = np.flatnonzero(of_f == of_f[-1])
+            first_copy = ends[copy[ends]][:1]
+            return rows(t, kind, keep), t.take(np.concatenate([ends[:1], first_copy])).to_batches()
+
+        held, size, carried, hot, at = [], 0, 0, False, None
         for b in batches:
-            if not b.num_rows:
-                continue
-            now = {x: b.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(("h", "f", "key", "start", "windows", "loops", "settled"))}
-            cut = int(np.searchsorted(now["h"], now["h"][-1]))
-            if cut or (held and held[-1]["h"][-1] != now["h"][-1]):
-                parts = [*held, {x: v[:cut] for x, v in now.items()}]
-                yield decide({x: np.concatenate([p[x] for p in parts]) for x in now})
-                held = []
-            held.append({x: v[cut:] for x, v in now.items()})
+            settled = b.column(b.schema.get_field_index("settled")).to_numpy(zero_copy_only=False)
+            cut = len(settled) - int(settled.sum())
+            if cut < b.num_rows:
+                yield from rows(pa.Table.from_batches([b.slice(cut)]), np.full(b.num_rows - cut, MEMBER))
+            b = b.slice(0, cut)
+            h = b.column(0).to_numpy()
+            if held and len(h):
+                same = int(np.searchsorted(h, at, "right"))
+                held.append(b.slice(0, same))
+                size += same
+                b, h = b.slice(same), h[same:]
+                if len(h):
+                    yield from decide(held, carried, hot)[0]
+                    held, size, carried, hot = [], 0, 0, False
+                elif size > HOLD:
+                    made, held = decide(held, carried, True)
+                    yield from made
+                    size = carried = sum(x.num_rows for x in held)
+                    hot = True
+            if len(h):
+                at = h[-1]
+                cut = int(np.searchsorted(h, at))
+                if cut:
+                    yield from decide([b.slice(0, cut)], 0, False)[0]
+                held, size = [b.slice(cut)], len(h) - cut
         if held:
-            yield decide({x: np.concatenate([p[x] for p in held]) for x in held[0]})
+            yield from decide(held, carried, hot)[0]
 
-    every = document_runs(docs, w)
-    placed = every.repartition(n, "h").sortWithinPartitions("h", "f", "key", "start")
-    return materialize(placed.mapInArrow(group, FOUND_SCHEMA), "runs")
+    dealt = F.when(F.col("settled"), F.xxhash64("key", "start")).otherwise(F.col("h"))
+    placed = every.repartition(n, dealt).sortWithinPartitions("settled", "h", "f", "key", "start")
+    return materialize(placed.mapInArrow(group, FOUND_SCHEMA.replace(", kind", ", units binary, kind") if "units" in out else FOUND_SCHEMA), "runs")
 
 
 FRAGMENTS_SCHEMA = "h long, key long, start int, windows int, kind int, units binary"
 
 
 def fragments(docs: DataFrame, found: DataFrame, w: Windows) -> DataFrame:
-    """The units of the found runs that aren't settled, as bytes of the unit array: FRAGMENTS_SCHEMA, written to the shared folder."""
+    """The units of the found runs that aren't members, as bytes of the unit array: FRAGMENTS_SCHEMA, written to the shared folder."""
 
     def cut(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+        begin_task("repeats")
         for b in batches:
             rows: list[list] = [[] for _ in range(6)]
             size = 0
@@ -268,7 +356,7 @@ def fragments(docs: DataFrame, found: DataFrame, w: Windows) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["h", "key", "start", "windows", "kind", "units"])
 
-    wanted = found.where(F.col("kind") != WHOLE).groupBy("key").agg(F.collect_list(F.struct("h", "start", "windows", "kind")).alias("wanted"))
+    wanted = found.where(F.col("kind") != MEMBER).groupBy("key").agg(F.collect_list(F.struct("h", "start", "windows", "kind")).alias("wanted"))
     some, _ = split_by_keys(docs, "key", wanted)
     return materialize(some.join(wanted, "key").select("key", "text", "wanted").mapInArrow(cut, FRAGMENTS_SCHEMA), "fragments")
 
@@ -276,46 +364,26 @@ def fragments(docs: DataFrame, found: DataFrame, w: Windows) -> DataFrame:
 SPANS_SCHEMA = "key long, start int, length int"
 
 
-def common_spans(pieces: DataFrame, w: Windows, dtype: str) -> DataFrame:
-    """Spans from fragments of too common minimizers, by the windows' own hashes: a row per fragment and different window,
-    with the further places that the window has in the fragment; none are brought together."""
-
-    def explode(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            for h, key, start, units in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                hashes = unit_hashes(np.frombuffer(units, dtype=dtype), w)[1].view(np.int64)
-                order = np.argsort(hashes, kind="stable")
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = hashes[order][1:] != hashes[order][:-1]
-                at = np.flatnonzero(new)
-                places = (start + order).astype(np.int32)
-                n = len(at)
-                rest = pa.ListArray.from_arrays(pa.array(np.append(at - np.arange(n), len(order) - n).astype(np.int32)), pa.array(places[~new]))
-                columns = [pa.array(np.full(n, h)), pa.array(hashes[order][at]), pa.array(np.full(n, key)), pa.array(places[at]), rest]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "wh", "key", "start", "more"])
-
-    rows = pieces.where(F.col("kind") == COMMON).select("h", "key", "start", "units").mapInArrow(explode, "h long, wh long, key long, start int, more array<int>")
-    first = rows.groupBy("h", "wh").agg(F.min(F.struct("key", "start")).alias("first"))
-    joined = rows.join(first, ["h", "wh"])
-    later = F.struct("key", "start") > F.col("first") if w.own_document else F.col("key") > F.col("first.key")
-    others = F.col("more") if w.own_document else F.array().cast("array<int>")
-    places = F.when(later, F.concat(F.array("start"), "more")).otherwise(others)
-    return joined.select("key", F.explode(places).alias("start"), F.lit(w.length).alias("length"))
-
-
-def repeated_spans(docs: DataFrame, w: Windows, compare: Callable[[DataFrame], DataFrame], dtype: str) -> DataFrame:
+def repeated_spans(docs: DataFrame, w: Windows, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """SPANS_SCHEMA for docs(key, text): what is covered by windows that also start earlier; spans may overlap.
 
     compare makes spans of fragments (FRAGMENTS_SCHEMA) that come sorted by h within partitions.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = found_runs(docs, w)
+    found = found_runs(document_runs(docs, w), w)
     pieces = fragments(docs, found, w)
-    whole = found.where(F.col("kind") == WHOLE).select("key", "start", (F.col("windows") + (w.length - 1)).alias("length"))
-    compared = pieces.where(F.col("kind") == COMPARE).repartition(n, "h").sortWithinPartitions("h")
-    return materialize(whole.unionByName(compare(compared)).unionByName(common_spans(pieces, w, dtype)), "spans")
+    levels, names = [(found, pieces)], pieces.columns
+    places = w.length - w.k + 1
+    for width in (math.isqrt(places - 1) + 1, 1):
+        rest = levels[-1][1].where(F.col("kind") == SPLIT)
+        if rest.isEmpty():
+            break
+        split = found_runs(split_runs(rest, w, width), w, last=width == 1)
+        levels.append((split, split))
+    whole = [f.where(F.col("kind") == MEMBER).select("key", "start", (F.col("windows") + (w.length - 1)).alias("length")) for f, _ in levels]
+    compared = [p.where(F.col("kind") == COMPARE).select(*names) for _, p in levels]
+    together = reduce(DataFrame.unionByName, compared).repartition(n, "h").sortWithinPartitions("h")
+    return materialize(reduce(DataFrame.unionByName, [*whole, compare(together)]), "spans")
 
 
 def with_spans(docs: DataFrame, key: str, spans: DataFrame, out: str) -> DataFrame:

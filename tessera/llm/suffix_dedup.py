@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats
-from tessera.llm.shared import free_name, with_order_key
+from tessera.llm.shared import begin_task, free_name, with_order_key
 from tessera.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 100
@@ -31,7 +31,7 @@ def utf8(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
 
 
-WINDOWS = repeats.Windows(LENGTH, 32, True, 3_000_000, utf8)
+WINDOWS = repeats.Windows(LENGTH, 32, True, SHARD_BYTES, utf8, "uint8")
 
 
 def shard_repeats(pieces: list[bytes], keys: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +64,8 @@ def _spans_of_shards(placed: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        begin_task("suffix_dedup")
+
         def spans(rows: list[tuple]):
             keys, starts = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
             piece, offset = shard_repeats([r[5] for r in rows], keys, starts)
@@ -97,7 +99,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     their own, in order of their text. An empty table gives an empty result.
     """
     keyed, key = with_order_key(docs.select(id_col, text_col), id_col, text_col)
-    spans = repeats.repeated_spans(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), windows, _spans_of_shards, "uint8")
+    spans = repeats.repeated_spans(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), windows, _spans_of_shards)
     joined = repeats.with_spans(keyed, key, spans, "spans").select(F.col(id_col), F.col(text_col), "spans")
 
     def cut(batches: Iterator) -> Iterator:
@@ -140,7 +142,7 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Every row stays, with an empty text where all of it was repeated; null texts stay null. See without_repeats.
     """
     keyed, key = with_order_key(docs, id_col, text_col)
-    spans = repeats.repeated_spans(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), WINDOWS, _spans_of_shards, "uint8")
+    spans = repeats.repeated_spans(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), WINDOWS, _spans_of_shards)
     runs, left = free_name(keyed, "spans"), free_name(keyed, "left")
 
     @F.pandas_udf("string")
