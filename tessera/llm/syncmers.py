@@ -1,20 +1,34 @@
 """Document fingerprints by closed syncmers, in DataFrame functions only.
 
 A text is taken as a sequence of units: words, long ones cut every UNIT_CHARS characters. A k-mer of K units is
-a closed syncmer if the least hash among its inner S-unit substrings stands at its first or last place. Whether a
-k-mer is chosen depends on nothing outside it, so a passage keeps its anchors wherever it stands. A text of fewer
-than K units, or without a closed syncmer, is one anchor. The fingerprint is the SKETCH least distinct anchor hashes (32 bits each, hexadecimal,
-ascending); likeness is the share that two sketches have of the least SKETCH hashes of their union, an estimate
-of the Jaccard similarity of the anchor sets that is exact while the union fits in.
+a closed syncmer if the least hash among its inner S-unit substrings stands at its first or last place: about one k-mer in
+three. Whether a k-mer is chosen depends on nothing outside it, so a passage keeps its anchors wherever it stands. A text of fewer
+than K units, or without a closed syncmer, is one anchor. An anchor is a long: its hash (31 bits) and, below, its place in units.
+
+The fingerprint holds the SKETCH anchors of the least distinct hashes, each with its first place (16 hexadecimal digits
+each, ascending). Likeness matches the anchors of two fingerprints by position: of the least SKETCH hashes of their union, it is
+the share that both have and that follow each other in the second text as they do in the first. Texts of any length are read
+whole; null counts as empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.llm.shared import free_name
 
-K, S, UNIT_CHARS, SKETCH = 3, 1, 16, 64
+K, S, UNIT_CHARS, SKETCH = 8, 3, 16, 64
 UNITS = f"[^\\x20\\x09-\\x0D]{{1,{UNIT_CHARS}}}"
+PLACE_BITS, HASH_MASK, PLACE_MASK = 32, 0x7FFFFFFF, 0xFFFFFFFF
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
 def unit_hashes(text: Column) -> Column:
@@ -22,44 +36,65 @@ def unit_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNITS), F.lit(0)), lambda u: F.xxhash64(u))
 
 
-def _or_whole(found: Column, whole: Column) -> Column:
-    """found, or whole if that is null or empty; found is computed once."""
-    return F.transform(F.array(found), lambda a: F.when(F.size(a) > 0, a).otherwise(whole))[0]
-
-
 def anchor_positions(units: Column) -> Column:
-    """Positions of the closed syncmers in an array of unit hashes: of three inner units, the middle one isn't the only least."""
+    """Positions of the closed syncmers in an array of unit hashes; none in one of fewer than K."""
+    inner = F.transform(F.sequence(F.lit(0), F.size(units) - S), lambda i: F.xxhash64(*[F.get(units, i + j) for j in range(S)]))
     places = F.sequence(F.lit(0), F.size(units) - K)
-    chosen = F.filter(places, lambda i: F.least(F.get(units, i), F.get(units, i + 2)) <= F.get(units, i + 1))
-    return _or_whole(F.when(F.size(units) >= K, chosen), F.array(F.lit(0)))
+    last = K - S
+    at_edge = lambda s, i: F.least(F.get(s, i), F.get(s, i + last)) <= F.least(*[F.get(s, i + j) for j in range(1, last)])
+    return F.when(F.size(units) >= K, _let(inner, lambda s: F.filter(places, lambda i: at_edge(s, i)))).otherwise(F.array().cast("array<int>"))
+
+
+def _anchor(hashed: Column, place: Column) -> Column:
+    return F.shiftleft(hashed.bitwiseAND(F.lit(HASH_MASK)), PLACE_BITS).bitwiseOR(place.cast("long"))
+
+
+def hash_of(anchor: Column) -> Column:
+    return F.shiftright(anchor, PLACE_BITS)
+
+
+def place_of(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit(PLACE_MASK))
 
 
 def anchors(units: Column) -> Column:
-    """Anchor hashes in order of position, as array<bigint> of 32-bit values; a text without a closed syncmer is one anchor."""
-    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
-    places = F.sequence(F.lit(0), F.size(units) - K)
-    at = F.filter(places, lambda i: F.least(F.get(units, i), F.get(units, i + 2)) <= F.get(units, i + 1))
-    long = F.transform(at, lambda i: low(F.xxhash64(F.get(units, i), F.get(units, i + 1), F.get(units, i + 2))))
-    return _or_whole(F.when(F.size(units) >= K, long), F.array(low(F.xxhash64(units))))
+    """The anchors of an array of unit hashes in order of position; the whole, at place 0, if it has no closed syncmer."""
+    each = lambda at: F.transform(at, lambda i: _anchor(F.xxhash64(*[F.get(units, i + j) for j in range(K)]), i))
+    whole = F.array(_anchor(F.xxhash64(units), F.lit(0)))
+    return _let(anchor_positions(units), lambda at: F.when(F.size(at) > 0, each(at)).otherwise(whole))
 
 
-def sketch(hashes: Column) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+def sketch(found: Column) -> Column:
+    """The SKETCH anchors of the least distinct hashes, each at its first place."""
+    first = lambda a: F.filter(a, lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.get(a, i - 1))))
+    return F.slice(_let(F.sort_array(found), first), 1, SKETCH)
 
 
 def text_sketch(text: Column) -> Column:
-    """The sketch of a text; the unit hashes are computed once, as the only element that transform() goes over."""
-    return F.transform(F.array(unit_hashes(text)), lambda units: sketch(anchors(units)))[0]
+    return _let(unit_hashes(text), lambda units: sketch(anchors(units)))
 
 
 def sketch_hex(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+    return F.array_join(F.transform(values, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two sketches, which are never empty; null where one is missing."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.greatest(F.size(union), F.lit(1))
+
+    def by_hash(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        union = F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH)
+        return _let(F.struct(union.alias("u"), x.alias("x"), y.alias("y")), in_order)
+
+    def in_order(p: Column) -> Column:
+        shared = F.array_intersect(F.array_intersect(p["u"], p["x"]), p["y"])
+        place = lambda h, hashes, whole: place_of(F.get(whole, F.array_position(hashes, h).cast("int") - 1))
+        matched = F.sort_array(F.transform(shared, lambda h: F.struct(place(h, p["x"], a).alias("a"), place(h, p["y"], b).alias("b"))))
+        follow = lambda m: F.filter(m, lambda x, i: (i == 0) | (x["b"] > F.get(m, i - 1)["b"]))
+        return F.size(_let(matched, follow)) / F.greatest(F.size(p["u"]), F.lit(1))
+
+    both = F.struct(F.transform(a, hash_of).alias("x"), F.transform(b, hash_of).alias("y"))
+    return F.when(a.isNotNull() & b.isNotNull(), _let(both, by_hash))
 
 
 def fingerprint_documents(docs: DataFrame, *, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
@@ -73,44 +108,55 @@ def fingerprint_documents(docs: DataFrame, *, text_col: str = "text", out_col: s
 
 def positioned_anchors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per anchor: id, position (in units) and hash, for positional matching between documents."""
-    units = docs.select(id_col, unit_hashes(F.col(text_col)).alias("u"))
-    listed = units.select(id_col, F.arrays_zip(anchor_positions(F.col("u")).alias("position"), anchors(F.col("u")).alias("hash")).alias("a"))
-    return listed.select(id_col, F.explode("a").alias("a")).select(id_col, F.col("a.position").alias("position"), F.col("a.hash").alias("hash"))
+    each = docs.select(F.col(id_col), F.explode(_let(unit_hashes(F.col(text_col)), anchors)).alias("a"))
+    return each.select(F.col(id_col), place_of(F.col("a")).alias("position"), hash_of(F.col("a")).alias("hash"))
 
 
 def with_next(rows: DataFrame, id_col: str, columns: list[str], buckets: int, derive: tuple[str, Column] | None = None) -> DataFrame:
     """Adds next_<column>: the row's follower by ascending id, the first row's after the last (ties and nulls: see below).
 
-    Ids are cut into ranges of about equal count; each range is ordered by itself in one task, and the first
+    Ids, of any type that has an order, are cut into ranges of about equal count; each range is ordered by itself in one task, and the first
     row of a range is copied, as a guest, to the end of the range before it. Null ids come first. Rows of one id are
     ordered by the columns. Only the cuts and the first id of each range come to the driver. ``derive`` is a
-    column (name, expression) to add first and give next_ too; it is computed once a row.
+    column (name, expression) to add first and give next_ too; it is computed once a row. Columns called next_<column> are replaced.
     """
     spark = rows.sparkSession
-    cuts = rows.select(F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()["c"] if buckets > 1 else []
-    cuts = sorted(set(cuts or []))
+    bucket_col, first_col, guest_col = (free_name(rows, x) for x in ("bucket", "first", "guest"))
+    cuts = _cuts(rows, id_col, buckets) if buckets > 1 else []
     bucket = F.lit(0)
     for low in range(0, len(cuts), 50):  # short sums: long chains of additions are slow to plan
         part = cuts[low : low + 50]
         bucket = bucket + sum(((F.col(id_col) > F.lit(c)).cast("int") for c in part[1:]), (F.col(id_col) > F.lit(part[0])).cast("int"))
-    placed = rows.withColumn("__bucket", F.coalesce(bucket, F.lit(0)))
+    placed = rows.withColumn(bucket_col, F.coalesce(bucket, F.lit(0)))
     edge = F.struct(F.col(id_col).isNotNull().alias("n"), F.col(id_col).alias("i"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)])
-    firsts = placed.select("__bucket", F.col(id_col)).groupBy("__bucket").agg(F.min(F.struct(F.col(id_col).isNotNull().alias("n"), F.col(id_col).alias("i"))).alias("m")).orderBy("__bucket").collect()  # a row per range
+    firsts = placed.groupBy(bucket_col).agg(F.min(F.struct(F.col(id_col).isNotNull().alias("n"), F.col(id_col).alias("i"))).alias("m")).orderBy(bucket_col).collect()  # a row per range
+    leads = [*columns, derive[0]] if derive else columns
+    old = {f"next_{c}".lower() for c in leads}
+    kept = [F.col(f"`{c}`") for c in [*rows.columns, *([derive[0]] if derive and derive[0] not in rows.columns else [])] if c.lower() not in old]
     if not firsts:
         rows = rows.withColumn(*derive) if derive else rows
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in ([*columns, derive[0]] if derive else columns)])
-    used = [r["__bucket"] for r in firsts]
-    home = {r["__bucket"]: used[k - 1] for k, r in enumerate(firsts)}
+        return rows.select(*kept, *[F.col(c).alias(f"next_{c}") for c in leads])
+    used = [r[bucket_col] for r in firsts]
+    home = {r[bucket_col]: used[k - 1] for k, r in enumerate(firsts)}
     goes_to = F.create_map(*[F.lit(x) for pair in home.items() for x in pair])
-    starts = spark.createDataFrame([(r["__bucket"], r["m"]["i"]) for r in firsts], f"__bucket int, __first {rows.schema[id_col].dataType.simpleString()}")
-    candidates = placed.join(F.broadcast(starts), (placed["__bucket"] == starts["__bucket"]) & placed[id_col].eqNullSafe(starts["__first"])).select(placed["*"])
-    guests = candidates.groupBy("__bucket").agg(F.min(edge).alias("e")).select(
-        F.element_at(goes_to, F.col("__bucket")).alias("__bucket"), F.col("e.i").alias(id_col), *[F.col(f"e.c{k}").alias(c) for k, c in enumerate(columns)], F.lit(True).alias("__guest")
+    starts = spark.createDataFrame([(r[bucket_col], r["m"]["i"]) for r in firsts], f"{bucket_col} int, {first_col} {rows.schema[id_col].dataType.simpleString()}")
+    candidates = placed.join(F.broadcast(starts), (placed[bucket_col] == starts[bucket_col]) & placed[id_col].eqNullSafe(starts[first_col])).select(placed["*"])
+    guests = candidates.groupBy(bucket_col).agg(F.min(edge).alias("e")).select(
+        F.element_at(goes_to, F.col(bucket_col)).alias(bucket_col), F.col("e.i").alias(id_col), *[F.col(f"e.c{k}").alias(c) for k, c in enumerate(columns)], F.lit(True).alias(guest_col)
     )
     extra = [c for c in rows.columns if c not in (id_col, *columns)]
-    every = placed.withColumn("__guest", F.lit(False)).unionByName(guests.select("*", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in extra]))
+    every = placed.withColumn(guest_col, F.lit(False)).unionByName(guests.select("*", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in extra]))
     if derive:
         every = every.withColumn(*derive)
-    w = Window.partitionBy("__bucket").orderBy("__guest", F.col(id_col).asc_nulls_first(), *columns)
-    leads = [*columns, derive[0]] if derive else columns
-    return every.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in leads]).where(~F.col("__guest")).drop("__guest", "__bucket")
+    w = Window.partitionBy(bucket_col).orderBy(guest_col, F.col(id_col).asc_nulls_first(), *columns)
+    follow = every.withColumns({f"{bucket_col}_{k}": F.lead(c).over(w) for k, c in enumerate(leads)}).where(~F.col(guest_col))
+    return follow.select(*kept, *[F.col(f"{bucket_col}_{k}").alias(f"next_{c}") for k, c in enumerate(leads)])
+
+
+def _cuts(rows: DataFrame, id_col: str, buckets: int) -> list:
+    """Ascending ids between ranges of about equal count: quantiles of numbers, else of a sample of at most 100 ids a range by hash."""
+    if isinstance(rows.schema[id_col].dataType, T.NumericType):
+        found = rows.select(F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()["c"]
+        return sorted(set(found or []))
+    sample = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i")).limit(100 * buckets).orderBy("i").collect()
+    return sorted({sample[len(sample) * i // buckets]["i"] for i in range(1, buckets)}) if sample else []
