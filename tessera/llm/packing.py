@@ -86,7 +86,8 @@ def pack_documents(
     """One row per piece: where it stands in its document, its ids, and its place in a sequence.
 
     A null or empty text is just its end id (no row if ``end_id`` is None). Null and repeated ids are packed
-    like any other row. Other columns are ignored, whatever their names. An empty table gives no rows.
+    like any other row. Other columns are ignored, whatever their names. An empty table gives no rows. A very long text is
+    encoded at once and is as many pieces as it needs: a task holds one document's ids and group_pieces tails.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -146,8 +147,13 @@ def pack_documents(
 
 
 def sequences(pieces: DataFrame, *, max_len: int = 2048, pad_id: int = 0) -> DataFrame:
-    """The packed sequences themselves: ids padded to max_len, and the piece lengths that bound attention."""
+    """The packed sequences themselves, and the piece lengths that bound attention.
+
+    Ids are padded to max_len, but for sequences whose length is a power of two: these stay as long as they are.
+    """
     whole = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "ids"))).alias("p"))
     raw = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
-    pad = F.unhex(F.repeat(F.lit(int(pad_id).to_bytes(4, "little").hex()), F.lit(max_len) - (F.octet_length("ids") / 4).cast("int")))
+    n = (F.octet_length("ids") / 4).cast("int")
+    missing = F.when(n.bitwiseAND(n - 1) == 0, F.lit(0)).otherwise(F.lit(max_len) - n)
+    pad = F.unhex(F.repeat(F.lit(int(pad_id).to_bytes(4, "little").hex()), missing))
     return whole.select("sequence_id", F.col("p.length").alias("lengths"), raw.alias("ids")).withColumn("ids", F.concat("ids", pad))

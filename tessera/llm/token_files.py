@@ -10,6 +10,7 @@ documents with the place of their first id. Shards are in ascending order of the
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BATCH_ROWS = 256
+#: Shards of a range of ids at most, and documents of a shard.
+PARTS, SHARD_DOCS = 10_000, 1 << 20
 MANIFEST = "shard int, docs long, tokens long"
 
 
@@ -34,20 +37,20 @@ def _name(folder: str, shard: int, kind: str = "") -> str:
 
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int | None = 2, seq_len: int = 2048, shards: int | None = None,
+    end_id: int | None = 2, seq_len: int = 2048, shards: int | None = None, shard_tokens: int = 1 << 26,
 ) -> list:
     """Encode every text and write the shards; returns one row per shard (shard, docs, tokens), in order.
 
-    Null or empty texts are just their end id. A null document id comes first; rows with the same id follow
-    each other by text. Other columns are ignored. An empty table gives no shard or shards without documents.
+    Ids are dealt to ``shards`` ranges (the shuffle partitions by default), and a range is cut into shards, numbered
+    PARTS * range + part, behind the document that reaches shard_tokens ids or SHARD_DOCS documents: what a task holds is
+    bounded by that and by one document, however long. Null or empty texts are just their end id. A null document id
+    comes first; rows with the same id follow each other by text. Other columns are ignored, whatever their names. An empty table gives no shard.
     A shard is written under a name of its own attempt and then renamed, so a repeated task replaces it whole.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator) -> Iterator:
-        import os
         import uuid
 
         import pyarrow as pa
@@ -59,62 +62,73 @@ def write_token_files(
         small = encoder.tokenizer.get_vocab_size() <= 1 << 16
         kind, dtype = (pa.uint16(), "<u2") if small else (pa.uint32(), "<u4")
         end = b"" if end_id is None else np.uint32(end_id).tobytes()
-        shard = TaskContext.get().partitionId()
-        fs, _ = _open(folder)
-        root = _open(folder)[1]
+        fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
-        attempt = f"{root}/.{shard:05d}-{uuid.uuid4().hex}"
         schema = pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
-        held, held_ids, n_docs, n_tokens = [], 0, 0, 0
-        doc_ids, starts, counts = [], [], []
+        step = BATCH_ROWS * seq_len
 
         def lists(ids: np.ndarray, real: int):
             mask = np.arange(len(ids)) < real
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(v), seq_len) for v in (ids.astype(dtype), mask)]
             return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
 
-        with fs.open_output_stream(attempt) as sink, pa.ipc.new_file(sink, schema) as writer:
-            step = BATCH_ROWS * seq_len
-
-            def flush(last: bool) -> None:
-                nonlocal held, held_ids
-                ids = np.frombuffer(b"".join(held), dtype="<u4")
-                whole = len(ids) - len(ids) % step
-                for at in range(0, whole, step):
-                    writer.write_batch(lists(ids[at : at + step], step))
-                rest = ids[whole:]
-                if last and len(rest):
-                    padded = np.zeros(-(-len(rest) // seq_len) * seq_len, dtype="<u4")
-                    padded[: len(rest)] = rest
-                    writer.write_batch(lists(padded, len(rest)))
-                held, held_ids = [rest.tobytes()], len(rest)
-
-            for b in batches:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    ids = encoder.encode(text.as_py()) + end
+        def write(shard: int, documents: Iterator[tuple], id_type) -> tuple[int, int]:
+            """Documents up to the end of one shard; (documents, ids)."""
+            attempt = f"{root}/.{shard:05d}-{uuid.uuid4().hex}"
+            doc_ids, counts, total, held, held_ids = [], [], 0, [], 0
+            with fs.open_output_stream(attempt) as sink, pa.ipc.new_file(sink, schema) as writer:
+                for doc, ids in documents:
                     doc_ids.append(doc)
-                    starts.append(n_tokens)
                     counts.append(len(ids) // 4)
-                    n_tokens += len(ids) // 4
-                    n_docs += 1
+                    total += counts[-1]
                     held.append(ids)
-                    held_ids += len(ids) // 4
-                    if held_ids >= 4 * step:
-                        flush(False)
-            flush(True)
-        index = pa.table({"doc_id": pa.array(doc_ids), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
-        with fs.open_output_stream(f"{attempt}.docs") as sink, pa.ipc.new_file(sink, index.schema) as writer:
-            writer.write_table(index)
-        fs.move(attempt, f"{root}/{os.path.basename(_name('', shard))}")
-        fs.move(f"{attempt}.docs", f"{root}/{os.path.basename(_name('', shard, '.docs'))}")
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "docs": n_docs, "tokens": n_tokens}], schema=pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
-
-    ordered = docs.select(F.col(id_col).cast(id_type).alias("d"), F.col(text_col).alias("t")).repartitionByRange(shards, "d").sortWithinPartitions("d", "t")
+                    held_ids += counts[-1]
+                    full = total >= shard_tokens or len(doc_ids) >= SHARD_DOCS
+                    if held_ids >= 4 * step or full:
+                        rest = np.frombuffer(b"".join(held), dtype="<u4")
+                        while len(rest) >= step:
+                            writer.write_batch(lists(rest[:step], step))
+                            rest = rest[step:]
+                        held, held_ids = [rest.tobytes()], len(rest)
+                    if full:
+                        break
+                rest = np.frombuffer(b"".join(held), dtype="<u4")
+                for at in range(0, len(rest), step):
+                    part = rest[at : at + step]
+                    padded = np.zeros(-(-len(part) // seq_len) * seq_len, dtype="<u4")
+                    padded[: len(part)] = part
+                    writer.write_batch(lists(padded, len(part)))
+            starts = np.cumsum([0, *counts])[:-1]
+            index = pa.table({"doc_id": pa.array(doc_ids, id_type), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
+            with fs.open_output_stream(f"{attempt}.docs") as sink, pa.ipc.new_file(sink, index.schema) as writer:
+                writer.write_table(index)
+            fs.move(attempt, _name(root, shard))
+            fs.move(f"{attempt}.docs", _name(root, shard, ".docs"))
+            return len(doc_ids), total
+
+        def encoded(first) -> Iterator[tuple]:
+            for b in itertools.chain([first], batches):
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    yield doc, encoder.encode(text.as_py()) + end
+
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        documents, base = encoded(first), TaskContext.get().partitionId() * PARTS
+        for part in itertools.count():
+            ahead = next(documents, None)
+            if ahead is None:
+                return
+            n_docs, n_tokens = write(base + part, itertools.chain([ahead], documents), first.schema.field(0).type)
+            columns = [pa.array([base + part], pa.int32()), pa.array([n_docs]), pa.array([n_tokens])]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "docs", "tokens"])
+
+    ordered = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).repartitionByRange(shards, "d").sortWithinPartitions("d", "t")
     return sorted(ordered.mapInArrow(run, MANIFEST).collect())  # a row per shard
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: list, *, id_type: T.DataType | None = None) -> DataFrame:
-    """Documents read back: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32)."""
+    """Documents read back: doc_id (of id_type, long by default), start (ids of all documents before it), n_tokens, ids (little-endian uint32)."""
     id_name = (id_type or T.LongType()).simpleString()
     bases, before = [], 0
     for shard, docs, tokens in manifest:

@@ -3,7 +3,7 @@
 In the vocabularies used here a single space between two texts is always a boundary of pre-tokens, so
 the ids of a text are the ids of its pieces in a row, each piece with the space before it. Words repeat,
 so most pieces are found in the memo, which lives as long as the Python worker. Texts in which a space stands
-inside or at the end of a longer run of white space go to the library whole, as such a run is one pre-token.
+inside or at the end of a longer run of white space, or that hold the string of an added token, go to the library whole.
 
 A piece that isn't in the memo is a word, a word with punctuation behind it (two pre-tokens) or anything else. A
 word of Latin letters goes straight to the library's BPE model, without the other steps of the tokenizer that
@@ -44,7 +44,9 @@ class PieceEncoder(dict):
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = [t.content for t in added]
+        self.pieces = not any(t.normalized or t.lstrip or t.rstrip for t in added)
         self.memo_pieces = memo_pieces
         self.seen = bytearray(SEEN)
         self.model = self.tokenizer.model
@@ -82,10 +84,10 @@ class PieceEncoder(dict):
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a text (null: empty) as bytes."""
+        """The ids of a text (null: empty) as bytes, those that the library gives: strings of added tokens in a text are these tokens."""
         if not text:
             return b""
-        if "\0" in text:
+        if "\0" in text or not self.pieces or any(a in text for a in self.added):
             return self.whole(text)
         if not PAIR.search(text):  # a line break by itself is a pre-token
             text = text.replace("\n", "\0\n\0")
