@@ -2,13 +2,14 @@ r"""Chat formatting by schema fingerprints.
 
 A record is JSON of any layout. The set of its nested field paths, scalars only and list positions left out
 (``messages[].role``), is hashed; the hash selects a declarative mapping from LAYOUTS, and the mapping turns
-the record into canonical turns. Turns are then rendered as
+the record into canonical turns. A hash that is new is looked up once: the mapping is the one whose needed paths are all there
+and are the most (the first of equal ones), whatever other fields a record has. Turns are then rendered as
 
     <|im_start|>role\ntext<|im_end|>\n
 
-with ``\`` written as ``\\`` and ``<|`` as ``<\|`` inside roles and texts, so control strings in a text can't
-end a turn and parse() gives back the exact turns. The loss mask is the list of [start, stop) code point spans
-of the assistant texts.
+with ``\`` written as ``\\`` and ``<|`` as ``<\|`` inside roles and texts, and a line break in a role as ``\n``, so control
+strings in a text can't end a turn and parse() gives back the exact turns. The loss mask is the list of [start, stop) code point
+spans of the assistant texts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 #: A mapping: either a list of turns ("turns": path, "role" and "text": fields of its items) or ("fields") fields of
 #: the record in order, each with its role; several fields of one role in a row are joined by an empty line.
-#: "optional" paths may be missing. Role names on the right are canonical.
+#: "optional" paths may be missing; other fields are left out. Role names on the right are canonical.
 LAYOUTS: list[dict] = [
     {"name": "messages", "turns": "messages", "role": "role", "text": "content"},
     {"name": "messages-text", "turns": "messages", "role": "role", "text": "text"},
@@ -58,34 +59,57 @@ def fingerprint(paths: set[str]) -> str:
     return hashlib.blake2b("\n".join(sorted(paths)).encode(), digest_size=8).hexdigest()
 
 
-def _registry(layouts: list[dict]) -> dict[str, dict]:
-    """Every fingerprint that a layout can have: its needed paths with any of its optional ones."""
-    found = {}
-    for layout in layouts:
-        optional = layout.get("optional", [])
-        if "turns" in layout:
-            at = layout["turns"]
-            bases = [{f"{at}[].{layout['role']}", f"{at}[].{layout['text']}"}, {f"{at}[]"}]
-        else:
-            bases = [{f for f, _ in layout["fields"] if f not in optional}]
-        for base in bases:
-            for bits in range(1 << len(optional)):
-                found.setdefault(fingerprint(base | {o for i, o in enumerate(optional) if bits >> i & 1}), layout)
-    return found
+def _needed(layout: dict) -> list[set[str]]:
+    """The sets of paths of which a record of the layout has one."""
+    if "turns" in layout:
+        at = layout["turns"]
+        return [{f"{at}[].{layout['role']}", f"{at}[].{layout['text']}"}, {f"{at}[]"}]
+    return [{f for f, _ in layout["fields"] if f not in layout.get("optional", [])}]
+
+
+class Mappings:
+    """The layout for each fingerprint seen so far (MEMO of them at most, then it starts anew)."""
+
+    MEMO = 10_000
+
+    def __init__(self, layouts: list[dict]):
+        self.layouts = layouts
+        self.known: dict[str, dict | None] = {}
+
+    def layout(self, mark: str, paths: set[str]) -> dict | None:
+        if mark not in self.known:
+            if len(self.known) >= self.MEMO:
+                self.known.clear()
+            # a text can be a list of parts: messages[].content[].text is a messages[].content
+            have = paths | {p[: m.start()] for p in paths for m in re.finditer(r"\[\](?:\.text)?$", p)}
+            fitting = [(len(need), -i) for i, layout in enumerate(self.layouts) for need in _needed(layout) if need <= have]
+            self.known[mark] = self.layouts[-max(fitting)[1]] if fitting else None
+        return self.known[mark]
+
+
+def _said(x: object) -> str:
+    """A value as text: null is empty, of a list of parts the texts by line; other values are JSON."""
+    if x is None:
+        return ""
+    if isinstance(x, str):
+        return x
+    if isinstance(x, list) and x and all(isinstance(p, str) or isinstance(p, dict) for p in x):
+        return "\n".join(p if isinstance(p, str) else _said(p["text"]) for p in x if isinstance(p, str) or "text" in p)
+    return json.dumps(x, ensure_ascii=False)
 
 
 def canonical_turns(record: dict, layout: dict) -> list[tuple[str, str]]:
     """A record's turns under a mapping: role (lower case of a known name, others as they are) and text; null is empty."""
-    said = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
-    turns = [("system", said(record["system"]))] if record.get("system") and "system" in layout.get("optional", []) else []
+    turns = [("system", _said(record["system"]))] if record.get("system") and "system" in layout.get("optional", []) else []
     if "turns" in layout:
         for item in record.get(layout["turns"]) or []:
-            role = said(item.get(layout["role"]))
-            turns.append((ROLES.get(role, role), said(item.get(layout["text"]))))
+            item = item if isinstance(item, dict) else {layout["text"]: item}
+            role = _said(item.get(layout["role"]))
+            turns.append((ROLES.get(role, role), _said(item.get(layout["text"]))))
         return turns
     fields = [("context", "user")] * ("context" in layout.get("optional", [])) + layout["fields"]
     for field, role in fields:
-        text = said(record.get(field))
+        text = _said(record.get(field))
         if field in layout.get("optional", []) and not text:
             continue
         if turns and turns[-1][0] == role:
@@ -103,11 +127,19 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+def escape_role(role: str) -> str:
+    return escape(role).replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role, flags=re.S)
+
+
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[list[int]]]:
     """The formatted text and the spans of the assistant texts in it."""
     parts, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{START}{escape(role)}\n", escape(text)
+        head, body = f"{START}{escape_role(role)}\n", escape(text)
         if role == "assistant":
             spans.append([at + len(head), at + len(head) + len(body)])
         parts += [head, body, END, "\n"]
@@ -116,22 +148,22 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[list[int]]]:
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a formatted text, unescaped. A role can't hold a line break, so it ends at the first one."""
+    """The turns of a formatted text, unescaped. A line break in a role is escaped, so the role ends at the first one."""
     turns = []
     for part in formatted.split(START)[1:]:
         head, _, body = part.partition("\n")
-        turns.append((unescape(head), unescape(body[: body.rindex(END)])))
+        turns.append((unescape_role(head), unescape(body[: body.rindex(END)])))
     return turns
 
 
 def format_records(df: DataFrame, record_col: str = "record", layouts: list[dict] | None = None) -> DataFrame:
     """Adds a struct column ``chat`` (FORMAT_SCHEMA) to a table with a JSON column.
 
-    A record that is null, no JSON object or of an unknown fingerprint has null layout, formatted, loss_spans
-    and turns; its fingerprint (null for no object) tells what mapping is missing. Line breaks in a role become
-    spaces. Other columns are kept; a column named ``chat`` is replaced.
+    A record that is null, no JSON object or of an unknown layout has null layout, formatted, loss_spans
+    and turns; its fingerprint (null for no object) tells what mapping is missing. Empty and very long texts are formatted whole.
+    Other columns are kept; a column named ``chat``, in any case, is replaced.
     """
-    known = _registry(LAYOUTS if layouts is None else layouts)
+    mappings = Mappings(LAYOUTS if layouts is None else layouts)
 
     @F.pandas_udf(FORMAT_SCHEMA)
     def chat(records: pd.Series) -> pd.DataFrame:
@@ -144,12 +176,13 @@ def format_records(df: DataFrame, record_col: str = "record", layouts: list[dict
             if not isinstance(record, dict):
                 rows.append((None, None, None, None, None))
                 continue
-            mark = fingerprint(field_paths(record))
-            layout = known.get(mark)
+            paths = field_paths(record)
+            mark = fingerprint(paths)
+            layout = mappings.layout(mark, paths)
             if layout is None:
                 rows.append((None, mark, None, None, None))
                 continue
-            turns = [(r.replace("\n", " "), t) for r, t in canonical_turns(record, layout)]
+            turns = canonical_turns(record, layout)
             formatted, spans = render(turns)
             rows.append((layout["name"], mark, formatted, spans, [{"role": r, "text": t} for r, t in turns]))
         return pd.DataFrame(rows, columns=["layout", "fingerprint", "formatted", "loss_spans", "turns"])

@@ -111,7 +111,7 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'
 ), each AS (
-  SELECT *, replace(replace(role, '\\', '\\\\'), '<|', '<\\|') AS r, replace(replace(text, '\\', '\\\\'), '<|', '<\\|') AS t FROM turns
+  SELECT *, replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\n') AS r, replace(replace(text, '\\', '\\\\'), '<|', '<\\|') AS t FROM turns
 )
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
