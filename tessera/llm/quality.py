@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import free_name
+
 #: Labelled rows that a model is fitted on, at most.
 MAX_ROWS = 20_000
 WHITE = "[\\x20\\x09-\\x0D]+"
@@ -131,15 +133,18 @@ class RuleModel:
         return [f"{weight:+.3f} if {text(rule)}" for rule, weight in sorted(self.rules, key=lambda x: -abs(x[1]))]
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray, *, trees: int = 30, depth: int = 3, penalty: float = 1e-4, max_rules: int = 250, seed: int = 7) -> RuleModel:
-    """Fit on a matrix of statistics. No rows: score 0.5; one class only: its smoothed share."""
+def fit_arrays(x: np.ndarray, y: np.ndarray, *, trees: int = 30, depth: int = 3, penalty: float = 1e-4, tree_rows: int = 4000, max_rules: int = 250, seed: int = 7) -> RuleModel:
+    """Fit on a matrix of statistics. No rows: score 0.5; one class only: its smoothed share.
+
+    Each tree is grown on a bootstrap sample of tree_rows rows at most; the max_rules rules that tell most go to the lasso.
+    """
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
         return RuleModel(float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
     found: dict[bytes, tuple[Condition, ...]] = {}
     for _ in range(trees):
-        pick = rng.integers(0, len(y), min(len(y), 4000))
+        pick = rng.integers(0, len(y), min(len(y), tree_rows))
         for rule in grow(x[pick], y[pick], depth, max(5, len(pick) // 200), rng):
             mask = covers(rule, x)
             if 0 < mask.sum() < len(y):
@@ -155,12 +160,14 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, *, trees: int = 30, depth: int = 3,
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, **options) -> RuleModel:
     """Fit on the labelled rows with the least hash of their id, max_rows at most (a bounded collect).
 
-    Null labels, labels of no document and documents without a label are left out.
+    Null labels, labels of no document and documents without a label are left out. Of documents with one id the one with the least
+    hash of its text counts, as often as there are labels of that id.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"))
-    picked = known.orderBy(F.xxhash64(F.col("__id")), "__id", "__y").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(picked), "__id")
-    rows = with_statistics(rows, "__t").select("__y", *[F.col("stats")[s].alias(s) for s in STATISTICS])
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
+    picked = known.orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
+    mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked.select("id").distinct()), "id", "left_semi")
+    stats = with_statistics(mine, "t").select("id", F.struct(F.xxhash64("t").alias("h"), *[F.col("stats")[s].alias(s) for s in STATISTICS]).alias("s"))
+    rows = stats.groupBy("id").agg(F.min("s").alias("s")).join(F.broadcast(picked), "id").select("y", *[F.col("s")[s].alias(s) for s in STATISTICS])
     data = np.array([tuple(r) for r in rows.collect()], dtype=float).reshape(-1, len(STATISTICS) + 1)
     data = data[np.lexsort(data.T[::-1])]
     return fit_arrays(data[:, 1:], data[:, 0], **options)
@@ -172,7 +179,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def score_documents(docs: DataFrame, model: RuleModel, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """Adds score and predicted (1 if score >= threshold) to every row; null texts score as empty ones."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted", "__stats")]
-    scored = with_statistics(docs, text_col, "__stats").select(*kept, model.column("__stats").alias("score"))
+    """Adds score and predicted (1 if score >= threshold) to every row; columns of these names, in any case, are replaced.
+
+    Null texts score as empty ones; texts of any length are scored whole. Repeated rows stay; an empty table gives no rows.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "predicted")]
+    stats = free_name(docs, "stats")
+    scored = with_statistics(docs, text_col, stats).select(*kept, model.column(stats).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
