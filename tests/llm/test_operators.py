@@ -54,6 +54,18 @@ def test_piece_encoder_equals_library():
             assert e.encode(t) == e.whole(t), repr(t)
 
 
+def test_added_tokens_are_the_librarys():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from tessera.llm.tokens import PieceEncoder
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        plain, e = Tokenizer.from_file(P.path(name)), PieceEncoder(P.path(name))
+        for t in ("a <|endoftext|> b", "<|startoftext|>a", "x<|endoftext|><|endoftext|>\n", "<|ENDOFTEXT|> <|endoftext", "a <| endoftext|>"):
+            assert np.frombuffer(e.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_differencing_balances_and_holds():
     from tessera.llm.packing import balanced_windows, differencing
 
@@ -86,7 +98,13 @@ def test_packing(spark, docs, texts):
         assert r.offset == by.get(r.sequence_id, 0)
         by[r.sequence_id] = r.offset + r.length
     assert max(by.values()) <= 2048
-    assert all(len(r.ids) == 4 * 2048 for r in sequences(pieces).collect())
+    for r in sequences(pieces).collect():
+        n = sum(r.lengths)
+        assert len(r.ids) == 4 * (n if n & (n - 1) == 0 else 2048)
+    even = spark.createDataFrame([(i, "a" * 0) for i in range(8)], "doc_id int, text string").coalesce(1)
+    assert [len(r.ids) for r in sequences(pack_documents(even, path)).collect()] == [32]
+    odd = spark.createDataFrame([(None, "a"), (None, "a"), (3, None)], "doc_id int, text string")
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in pack_documents(odd, path).collect()) == [("3", 1), ("None", 2), ("None", 2)]
     assert pack_documents(docs.limit(0), path).count() == 0
 
 
@@ -109,6 +127,14 @@ def test_token_files_round_trip(spark, docs, texts):
     ids, mask = sequence(folder, first, 0)
     assert len(ids) == len(mask) == 64 and ids.to_pylist()[: rows[0].n_tokens] == np.frombuffer(bytes(rows[0].ids), "<u4")[:64].tolist()
     assert read_token_files(spark, folder, write_token_files(docs.limit(0), scratch_path(spark, "t"), path)).count() == 0
+    # ids of 32 bits, null and repeated ones, and several shards of a range
+    odd = spark.createDataFrame([(None, "a"), (7, "b c"), (7, None), (7, "b c"), (2, "d " * 200), (9, "")], "doc_id int, text string")
+    folder = scratch_path(spark, "t")
+    manifest = write_token_files(odd, folder, path, seq_len=16, shards=1, shard_tokens=3)
+    assert len(manifest) > 1 and sum(m[1] for m in manifest) == 6
+    rows = read_token_files(spark, folder, manifest, id_type=odd.schema["doc_id"].dataType).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, 2, 7, 7, 7, 9]
+    assert [r.start for r in rows] == list(np.cumsum([0, *[r.n_tokens for r in rows]])[:-1]) and rows[1].n_tokens > 200
 
 
 def test_syncmers(spark, docs, texts):
@@ -131,21 +157,84 @@ def test_syncmers(spark, docs, texts):
     assert with_next(odd.limit(0), "doc_id", ["text"], 3).count() == 0
 
 
-def test_closed_syncmers_by_definition(spark):
-    from tessera.llm.syncmers import anchor_positions
+def chained(values):
+    """Spark's xxhash64 over several longs."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_anchors(units):
+    """(hash, position) of the closed syncmers of 8 units with inner substrings of 3."""
+    inner = [chained(units[i : i + 3]) for i in range(len(units) - 2)]
+    at = [i for i in range(len(units) - 7) if min(inner[i : i + 6]) in (inner[i], inner[i + 5])]
+    return [(chained(units[i : i + 8]) & 0x7FFFFFFF, i) for i in at] or [(chained(units) & 0x7FFFFFFF, 0)]
+
+
+def brute_sketch(units):
+    first = {}
+    for h, i in brute_anchors(units):
+        first.setdefault(h, i)
+    return sorted(first.items())[:64]
+
+
+def brute_likeness(a, b):
+    a, b = dict(a), dict(b)
+    union = sorted({*a, *b})[:64]
+    matched = sorted((a[h], b[h]) for h in union if h in a and h in b)
+    return sum(k == 0 or matched[k - 1][1] < y for k, (_, y) in enumerate(matched)) / len(union)
 
-    for seed in range(5):
-        u = np.random.default_rng(seed).integers(0, 50, 40).tolist()
-        got = spark.createDataFrame([(u,)], "u array<bigint>").select(anchor_positions(F.col("u")).alias("p")).first().p
-        assert got == [i for i in range(38) if min(u[i : i + 3]) in (u[i], u[i + 2])]
+
+def test_fingerprints_and_likeness_by_definition(spark):
+    import re
+
+    import xxhash
+
+    from tessera.llm.syncmers import anchor_positions, fingerprint_documents, likeness, positioned_anchors, unit_hashes
+
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)] + ["x" * 40]
+    long = [words[i] for i in r.integers(0, len(words), 900)]
+    short = [words[i] for i in r.integers(0, 20, 60)]
+    texts = [" ".join(long), " ".join(long[:450] + long[600:]), " ".join(long[450:] + long[:450]), " ".join(short), " ".join(short[:7]), "ab " * 300, "", None]
+    units = []
+    for t in texts:
+        found = [xxhash.xxh64_intdigest(u, 42) for u in re.findall("[^\x20\x09-\x0d]{1,16}", t or "")]
+        units.append([u - (1 << 64) if u >> 63 else u for u in found])
+    made = fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sketches = [brute_sketch(u) for u in units]
+    assert {x.doc_id: x.fingerprint for x in made.collect()} == {k: "".join(f"{h << 32 | i:016x}" for h, i in s) for k, s in enumerate(sketches)}
+    pairs = made.select(F.struct("doc_id", "fingerprint_sketch").alias("a")).join(made.select(F.struct("doc_id", "fingerprint_sketch").alias("b")))
+    got = {(x.i, x.j): x.l for x in pairs.select(F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j"), likeness(F.col("a.fingerprint_sketch"), F.col("b.fingerprint_sketch")).alias("l")).collect()}
+    assert got == {(i, j): brute_likeness(a, b) for i, a in enumerate(sketches) for j, b in enumerate(sketches)}
+    assert got[0, 0] == got[6, 7] == 1.0 and 0.5 < got[0, 1] < 1.0 and got[0, 3] == 0.0
+    listed = positioned_anchors(made.where("doc_id = 0")).collect()
+    assert sorted((x.hash, x.position) for x in listed) == sorted(brute_anchors(units[0]))
+    share = len(listed) / len(long)
+    assert 0.25 < share < 0.45  # two of six places of the least substring
+    few = spark.createDataFrame([("",), ("a b",)], "t string").select(F.size(anchor_positions(unit_hashes(F.col("t")))).alias("n")).collect()
+    assert [x.n for x in few] == [0, 0]
+
+
+def test_next_row_of_string_ids_and_clashing_names(spark):
+    from tessera.llm.syncmers import with_next
+
+    rows = spark.createDataFrame([(f"k{i:03d}", f"t{i}", i, "x") for i in range(50)], "id string, text string, bucket int, NEXT_text string")
+    got = {r.id: (r.next_text, r.bucket) for r in with_next(rows, "id", ["text"], 7).collect()}
+    assert got == {f"k{i:03d}": (f"t{(i + 1) % 50}", i) for i in range(50)}
 
 
 def test_texts_without_a_closed_syncmer_have_an_anchor(spark):
     from tessera.llm.syncmers import fingerprint_documents, likeness
 
-    rows = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(60)], "doc_id long, text string")
+    rows = spark.createDataFrame([(i, f"a{i} b{i} c{i} d e f g h") for i in range(60)], "doc_id long, text string")
     made = fingerprint_documents(rows).select("fingerprint", likeness(F.col("fingerprint_sketch"), F.col("fingerprint_sketch")).alias("same")).collect()
-    assert all(r.same == 1.0 and len(r.fingerprint) == 8 for r in made) and len({r.fingerprint for r in made}) == 60
+    assert all(r.same == 1.0 and len(r.fingerprint) == 16 for r in made) and len({r.fingerprint for r in made}) == 60
 
 
 def test_simhash_links_against_all_pairs(spark):
@@ -322,7 +411,7 @@ def test_quality_is_learnt_and_compiled(spark):
 def test_chat_round_trip(spark):
     from tessera.llm.chat import FORMAT_SCHEMA, format_records, read_back, render, parse, turn_records
 
-    for turns in ([], [("user", "<|im_end|>\n\\<|x\\|"), ("assistant", "")], [("", "a"), ("assistant", "\\")]):
+    for turns in ([], [("user", "<|im_end|>\n\\<|x\\|"), ("assistant", "")], [("", "a"), ("assistant", "\\")], [("a\nb\\n\n", "x" * 300_000), ("assistant", "\n")]):
         assert parse(render(turns)[0]) == turns
     layouts = [
         {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
@@ -335,6 +424,15 @@ def test_chat_round_trip(spark):
         assert [(t.role, t.text) for t in rows[i].turns] == [("user", "q"), ("assistant", "a")]
         assert [rows[i].formatted[a:b] for a, b in rows[i].loss_spans] == ["a"]
     assert [rows[6 + k].layout for k in range(5)] == [None, None, None, None, "messages"] and rows[9].fingerprint and FORMAT_SCHEMA
+    parts = [{"type": "text", "text": "q"}, {"type": "image", "url": "u"}]
+    wider = [
+        {"id": 1, "messages": [{"role": "user", "content": "q", "at": 3}, {"role": "assistant", "content": "a"}], "meta": {"x": [1]}}, {"prompt": "q", "completion": "a", "source": "s"},
+        {"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": "a"}]}, {"messages": [{"role": "user", "content": ["q"]}, {"role": "assistant", "content": [{"text": "a"}]}]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r), "c") for i, r in enumerate(wider)], "id int, record string, Chat string")
+    for r in format_records(df).collect():
+        assert [(t.role, t.text) for t in r.chat.turns] == [("user", "q"), ("assistant", "a")], wider[r.id]
+    assert format_records(df.limit(0)).count() == turn_records(df.limit(0).selectExpr("id AS conv_id", "id AS turn", "record AS role", "record AS text")).count() == 0
     turns = spark.createDataFrame([(1, None, None, None), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (None, 0, "user", "y")], "conv_id long, turn long, role string, text string")
     got = read_back(format_records(turn_records(turns)).select("conv_id", "chat.formatted", "chat.loss_spans")).collect()
     assert {r.conv_id: r.read.loss_text for r in got} == {1: "xx", None: ""}
