@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, packing, quality, simhash, suffix_dedup
-from tessera.llm.shared import materialize
+from tessera.llm.shared import free_name, materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,9 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    found = decontam.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col="__leaks")
-    return found.where(F.size("__leaks") == 0).select(*docs.columns)
+    leaks = free_name(docs, "leaks")
+    found = decontam.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col=leaks)
+    return found.where(F.size(leaks) == 0).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
