@@ -6,13 +6,15 @@ scripts, styles, reader comments) are left out whole. The first pass classifies
 length and stop-word density as good, bad or undecided, wherever it stands. The second pass gives each undecided
 block the label of its nearest decided neighbours: good if both sides agree or the nearer one is good, and by the
 page's head and tail bad. Article and main elements are evidence for that: an undecided block inside is bad only
-between two bad ones of the inside, one outside on such a page is good only between two good ones of the outside.
+between two bad ones of the inside, one outside on such a page is good only between two good ones of the outside. Blocks of links
+inside an article are good between good ones, so a list of sources stays and links to other articles at its end don't.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,7 +33,7 @@ ALL_STOP_WORDS = frozenset(w for words in STOP_WORDS.values() for w in words.spl
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("script style noscript template head title nav header footer aside form iframe object svg canvas button select option textarea dialog menu math audio video noembed noframes xmp".split())
+DROPPED = frozenset("script style noscript template head title nav header footer aside form iframe object svg canvas button select option textarea dialog menu audio video noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body br-block caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -44,11 +46,15 @@ DROPPED_NAMES = frozenset(
 )
 KEPT = frozenset({"html", "body", "article", "main"})
 
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
+TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 WORD = re.compile(r"[^\W\d_]+")
 
-LINKS_HIGH, STOPS_HIGH, STOPS_LOW, SHORT, LONG = 0.4, 0.25, 0.1, 60, 160
+LINKS_HIGH, LINKS_ALL, STOPS_HIGH, STOPS_LOW, SHORT, LONG = 0.4, 0.9, 0.25, 0.1, 60, 160
+
+
+#: Label of a block of links inside an article, which is as the article's blocks around it.
+LINKS = 2
 
 
 class Block:
@@ -161,11 +167,11 @@ def blocks(page: str) -> list[Block]:
 
 
 def _first_pass(block: Block, text: str) -> int:
-    """1 good, -1 bad, 0 undecided."""
+    """1 good, -1 bad, 0 undecided, LINKS for links inside an article."""
     size = len(text)
     links = block.linked / max(1, len(text.replace(" ", "")))
     if links > LINKS_HIGH:
-        return -1
+        return LINKS if block.inside else 0 if size < SHORT and links < LINKS_ALL else -1
     words = WORD.findall(text.lower())
     stops = sum(w in ALL_STOP_WORDS for w in words) / max(1, len(words))
     if size < SHORT:
@@ -187,7 +193,7 @@ def main_text(page: str | None) -> str:
     first = [_first_pass(b, t) for b, t in found]
     labels = list(first)
     for side in (True, False):
-        mine = [i for i, (b, _) in enumerate(found) if b.inside == side]
+        mine = [i for i, (b, _) in enumerate(found) if b.inside == side and first[i] != LINKS]
         edge = 1 if side else -1
         before, after = {}, {}
         for order, near in ((mine, before), (mine[::-1], after)):
@@ -204,17 +210,22 @@ def main_text(page: str | None) -> str:
                     labels[i] = max(a, b) if side else min(a, b)
                 else:
                     labels[i] = a if a == b or da <= db else b
+    texts = [i for i, (b, _) in enumerate(found) if b.inside and first[i] != LINKS]
+    for i, x in enumerate(first):
+        if x == LINKS:
+            k = bisect_left(texts, i)
+            labels[i] = 1 if 0 < k < len(texts) and labels[texts[k - 1]] > 0 and labels[texts[k]] > 0 else -1
     if all(x < 0 for x in labels) and not has_article:  # no block decided the page: what isn't links is all there is
         labels = [1 if x == 0 else -1 for x in first]
     return " ".join(t for (_, t), x in zip(found, labels, strict=True) if x > 0)
 
 
 def extract_main_text(pages: DataFrame, *, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """Adds the main text of each page (empty for null or empty html). Other columns are kept; out_col is replaced.
+    """Adds the main text of each page (empty for null or empty html). Other columns are kept; out_col, in any case, is replaced.
 
     Broken markup, unclosed elements and very long pages are read in one pass; repeated rows stay.
     """
-    kept = [c for c in pages.columns if c != out_col]
+    kept = [c for c in pages.columns if c.lower() != out_col.lower()]
 
     @F.pandas_udf("string")
     def extract(it: Iterator[pd.Series]) -> Iterator[pd.Series]:

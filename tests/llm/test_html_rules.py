@@ -30,3 +30,31 @@ def test_ambiguous_blocks_are_left_to_their_neighbours():
     assert main_text(f"<p>{PROSE}</p>{links}<p>See <a>Smith</a> for details.</p>{links}") == PROSE
     # nothing decides the page
     assert main_text(f"<p>See <a>Smith</a> for details.</p><p>{seven}</p>") == f"See Smith for details. {seven}"
+
+
+def test_lists_of_links_between_paragraphs_stay():
+    assert main_text("<article><p>See the sources.</p><ul><li><a>Source one</a></li><li><a>Source two</a></li></ul><p>End.</p></article>") == "See the sources. Source one Source two End."
+    assert main_text(f"<article><p>{PROSE}</p><p>Let <math><mi>x</mi> be 1</math>.</p><p>{PROSE}</p></article>") == f"{PROSE} Let x be 1. {PROSE}"
+
+
+def test_quotes_count_only_where_a_value_begins():
+    page = f"<p title=it's>{PROSE}</p><p class='a>b' title = \"x>y\">{PROSE} 2</p><p data-x=a\"b>{PROSE} 3</p><p \">{PROSE} 4</p>"
+    assert main_text(page) == f"{PROSE} {PROSE} 2 {PROSE} 3 {PROSE} 4"
+
+
+def test_pages_without_article_elements(spark):
+    """The densities decide as well without the containers: hardly a text changes."""
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    same = sum(main_text(r.html) == main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", r.html)) for r in rows)
+    assert same >= 0.99 * len(rows) > 200
+
+
+def test_clashing_names_empty_tables_and_long_pages(spark):
+    from tessera.llm.html_main import extract_main_text
+
+    rows = spark.createDataFrame([(1, f"<p>{PROSE}</p>" * 3000, "t"), (1, None, None), (None, f"<p>{PROSE}</p>", "t")], "page_id int, html string, Text string")
+    got = extract_main_text(rows)
+    assert got.columns == ["page_id", "html", "text"] and sorted(len(r.text) for r in got.collect()) == [0, len(PROSE), 3000 * (len(PROSE) + 1) - 1]
+    assert extract_main_text(rows.limit(0)).count() == 0
