@@ -4,33 +4,36 @@ Test items are the indexed side. A passage is a window of words, twice as long a
 of one such item, so every item that stands in a text stands whole in some passage. Impacts are BM25 scores
 over the item's score against itself, so an item that a passage holds whole scores 1, and one threshold serves all.
 
-Retrieval is block-max WAND, evaluated over arrays for all passages of a text at once. Of an item's terms, those
-that come in most items are taken first while their impacts sum to less than the threshold: without one of the
-other, essential, terms no passage can reach it. Postings hold essential terms only. First each passage gathers,
-for each block of items, the block's largest impacts; blocks whose bound (with the block's largest rest) is under
-the threshold are skipped; in the others each item's bound is taken, and items still in are scored exactly.
+Retrieval is block-max WAND. Of an item's terms, those that come in most items are taken first while their impacts sum
+to less than the threshold: without one of the other, essential, terms no passage can reach it. Postings hold essential terms only,
+in order of the item and in blocks with their largest impacts; the rest's largest sum is part of every bound. Bounds of all passages of a
+text by block are first taken at once, in arrays, and passages none of whose blocks can reach the threshold end there. A passage that
+is left has a cursor in each of its terms' postings: cursors are kept sorted by item, the pivot is the first item that the largest
+impacts up to it let reach the threshold, the block maxima are asked there, and cursors move to the pivot, or beyond the block if it can't.
 
 Retrieved pairs are verified: 0.8 of the five-word shingles of the item's question, and of its answer, have to
 stand in the text around the passage. Where a benchmark has text only, its last sentence is the answer.
 
-Benchmarks larger than BLOCK_ITEMS are gone through in blocks of that many items, each broadcast by itself; their
-statistics are those of all items, so that no item's result depends on the others of its block.
+Benchmarks larger than BLOCK_ITEMS are gone through in blocks of that many items, a pass over the documents each, so a worker holds
+one block's index; their statistics are those of all items, so that no item's result depends on the others of its block.
 """
 
 from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialize
+from tessera.llm.shared import begin_task, free_name, materialize
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -40,6 +43,8 @@ SHINGLE, OVERLAP = 5, 0.8
 #: Items that are broadcast at once, and items of a block of postings.
 BLOCK_ITEMS, POSTING_BLOCK = 20_000, 32
 MEMO = 300_000
+#: Behind all items: where a cursor at its end stands.
+END = 1 << 62
 EDGES = string.punctuation + "“”„«»‘’…–—¿¡"
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -145,6 +150,65 @@ class Searcher:
         self.block_rest = np.zeros(blocks)
         np.maximum.at(self.block_rest, np.arange(len(index.items)) // POSTING_BLOCK, index.rest)
         self.blocks, self.has = blocks, lens > 0
+        self.term_max = [float(m.max()) if len(m) else 0.0 for m in index.impacts]
+        self.rest_max = float(index.rest.max()) if len(index.rest) else 0.0
+        self.postings: dict[int, tuple[list, list, list, list]] = {}  # of terms that cursors have gone over, at most MEMO entries
+
+    def _postings(self, t: int) -> tuple[list, list, list, list]:
+        """A term's items and impacts, and its blocks and their largest impacts."""
+        if t not in self.postings:
+            if len(self.postings) >= MEMO:
+                self.postings.clear()
+            low, high = self.block_at[t], self.block_at[t + 1]
+            self.postings[t] = (self.index.essential[t].tolist(), self.index.impacts[t].tolist(), self.block_of[low:high].tolist(), self.block_max[low:high].tolist())
+        return self.postings[t]
+
+    def wand(self, terms: list[int]) -> list[tuple[int, float]]:
+        """(item, its essential terms' impacts) for a passage's distinct terms: the items that can reach the threshold with the rest."""
+        least = self.threshold - 1e-9
+        # a cursor: [item, place, items, impacts, blocks, block maxima, largest impact]
+        cursors = [[held[0][0], 0, *held, self.term_max[t]] for t in terms for held in [self._postings(t)] if held[0]]
+        found = []
+
+        def move(c: list, item: int) -> None:
+            c[1] = bisect_left(c[2], item, c[1])
+            c[0] = c[2][c[1]] if c[1] < len(c[2]) else END
+
+        while cursors:
+            cursors = sorted((c for c in cursors if c[0] != END), key=itemgetter(0))
+            bound, pivot = self.rest_max, -1
+            for i, c in enumerate(cursors):
+                bound += c[6]
+                if bound >= least:
+                    pivot = i
+                    break
+            if pivot < 0:
+                break
+            item = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+                pivot += 1
+            block = item // POSTING_BLOCK
+            bound = self.block_rest[block]
+            for c in cursors[: pivot + 1]:
+                k = bisect_left(c[4], block)
+                if k < len(c[4]) and c[4][k] == block:
+                    bound += c[5][k]
+            if bound < least:  # nothing of this block before the next cursor's item
+                ahead = (block + 1) * POSTING_BLOCK
+                if pivot + 1 < len(cursors):
+                    ahead = min(ahead, cursors[pivot + 1][0])
+                for c in cursors[: pivot + 1]:
+                    move(c, ahead)
+            elif cursors[0][0] == item:
+                score = sum(c[3][c[1]] for c in cursors[: pivot + 1])
+                if score + self.index.rest[item] >= least:
+                    found.append((item, score))
+                for c in cursors[: pivot + 1]:
+                    move(c, item + 1)
+            else:
+                for c in cursors[:pivot]:
+                    move(c, item)
+        return found
 
     def term(self, piece: str) -> int:
         found = self.memo.get(piece)
@@ -200,16 +264,12 @@ class Searcher:
             return []
         some = np.isin(passage, open_blocks // self.blocks)
         passage, t = passage[some], t[some]
-        owner, e = self._expand(self.at[t], self.at[t + 1])
-        block = passage[owner] * self.blocks + self.items[e] // POSTING_BLOCK
-        mine = np.isin(block, open_blocks)
-        n = len(self.index.items)
-        key, where = np.unique(passage[owner[mine]] * n + self.items[e[mine]], return_inverse=True)
-        score = np.bincount(where, weights=self.impacts[e[mine]])
-        near = score + self.index.rest[key % n] >= self.threshold - 1e-9
+        order = np.argsort(passage, kind="stable")
+        passage, t = passage[order], t[order]
+        edges = np.flatnonzero(np.diff(passage)) + 1
         best: dict[int, tuple] = {}
-        for k, s in zip(key[near].tolist(), score[near].tolist(), strict=True):
-            p, item = divmod(k, n)
+        retrieved = ((p, item, s) for p, mine in zip(passage[np.append(0, edges)].tolist(), np.split(t, edges), strict=True) for item, s in self.wand(mine.tolist()))
+        for p, item, s in retrieved:
             start, stop = p * stride, (p + 2) * stride
             here = set(ids[start:stop].tolist())
             s += sum(v for x, v in self.index.others[item].items() if x in here)
@@ -279,22 +339,30 @@ def with_leaks(
 ) -> DataFrame:
     """Adds an array of (item, score, question_overlap, answer_overlap), one for each item that the text holds.
 
-    Null or empty texts, and items without words, hold nothing and aren't held. Repeated items are items of their own.
-    Documents are neither dropped nor shuffled; other columns are kept and a column named out_col is replaced.
+    Null or empty texts, and items without words, hold nothing and aren't held. Very long texts are searched whole. Repeated items are
+    items of their own. Documents are neither dropped nor shuffled; other columns are kept and a column named out_col, in any case, is
+    replaced. For a benchmark of several blocks the documents are written to the shared folder after each block's pass.
     """
     kind = benchmark.schema[item_col].dataType.simpleString()
     schema = f"array<struct<item:{kind},score:double,question_overlap:double,answer_overlap:double>>"
-    found: list[Column] = []
     items = benchmark.select(item_col, *([question_col, answer_col] if question_col else [item_text_col]))
-    for built in _indexes(items, threshold):
+    held = free_name(docs, "held")
+    found = docs.withColumn(held, F.array().cast(schema))
+    indexes = _indexes(items, threshold)
+    built = next(indexes, None)
+    while built is not None:
         index = docs.sparkSession.sparkContext.broadcast(built)
-        found.append(_searcher(index, threshold, overlap, schema)(F.col(text_col)))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
-    return docs.select(*kept, (F.concat(*found) if found else F.array().cast(schema)).alias(out_col))
+        leaks = _searcher(index, threshold, overlap, schema)(F.col(text_col))
+        found = found.withColumn(held, F.concat(held, leaks))
+        built = next(indexes, None)
+        if built is not None:
+            found = materialize(found, "leaks")
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out_col.lower()], F.col(held).alias(out_col))
 
 
 def _searcher(index, threshold: float, overlap: float, schema: str):
     def leaks(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        begin_task("decontam")
         searcher = Searcher(index.value, threshold, overlap)
         names = ("item", "score", "question_overlap", "answer_overlap")
         for texts in it:

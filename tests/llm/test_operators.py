@@ -376,6 +376,32 @@ def test_decontamination(spark):
     got = {r.doc_id: [x.item for x in r.found] for r in with_leaks(docs, bench, out_col="found").collect()}
     assert got == {1: [3], 2: [], 3: [], 4: [], 5: [], 6: [3], 7: [3]}
     assert all(not r.found for r in with_leaks(docs, bench.limit(0), out_col="found").collect())
+    long = spark.createDataFrame([(None, words(60_000, 5) + " " + leak), (1, None), (1, None)], "doc_id int, text string")
+    assert sorted(str([x.item for x in r.leaks]) for r in with_leaks(long, bench).collect()) == ["[3]", "[]", "[]"]
+    clash = with_leaks(docs, bench)
+    assert clash.columns == ["doc_id", "text", "leaks"] and with_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_wand_retrieves_what_all_scores_do(spark):
+    """Cursors over items with few different words, so that many share terms and blocks."""
+    from tessera.llm import decontam as d
+
+    r = np.random.default_rng(9)
+    parts = [(i, [f"w{k}" for k in r.zipf(1.3, 14) % 300], [f"w{k}" for k in r.zipf(1.3, 6) % 300]) for i in range(500)]
+    index = d.build_index(parts)
+    search = d.Searcher(index)
+    reached = 0
+    for _ in range(200):
+        _, q, a = parts[r.integers(500)]
+        mine = {index.terms[w] for w in [*q[: r.integers(6, 15)], *a, *[f"w{k}" for k in r.integers(0, 300, 12)]] if w in index.terms}
+        scores = np.zeros(500)
+        for t in mine:
+            np.add.at(scores, index.essential[t], index.impacts[t])
+        want = {i: scores[i] for i in np.flatnonzero((scores + index.rest >= search.threshold - 1e-9) & (scores > 0))}
+        got = dict(search.wand(sorted(mine)))
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+        reached += len(got)
+    assert reached > 150
 
 
 def test_decontamination_against_brute_force(spark):
