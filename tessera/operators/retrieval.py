@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.scratch import materialize
 
 #: Question vectors that are broadcast at once (at 1,024 dimensions 16 MB).
 QUERY_BLOCK = 4096
@@ -131,27 +132,59 @@ def query_terms(queries: DataFrame, text_col: str = "question") -> DataFrame:
     return queries.select("query_id", F.explode(kept).alias("term"), F.size(kept).alias("n_terms"))
 
 
-def postings(corpus: DataFrame, wanted: DataFrame, *, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """(chunk_id, term, tf, size) for the wanted(term) only, counted per text before the shuffle."""
-    counted = corpus.select(F.col(id_col).alias("chunk_id"), tx.terms(text_col).alias("t")).withColumn("size", F.size("t"))
-    each = counted.select("chunk_id", "size", F.explode("t").alias("term")).join(small(wanted.select("term").distinct()), "term", "left_semi")
-    return each.groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
+#: Bits of a set of terms, in words of 64: its size doesn't depend on the number of terms.
+TERM_BITS = 1 << 20
+#: The term of the row that each text has in postings.
+TEXT = ""
 
 
-def lexical_search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, all_terms: bool = True, id_col: str = "chunk_id", text_col: str = "content", scoring: str = "bm25") -> DataFrame:
-    """(query_id, chunk_id, score, rank): rows with all terms of a question (any, if not all_terms), by BM25."""
+def _term_bit(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BITS))
+
+
+def postings(corpus: DataFrame, wanted: DataFrame | None = None, *, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """(chunk_id, term, tf, size): a row for each text and term, and one of the term TEXT for each text.
+
+    With wanted(term) only for those terms (and a few more of their hashes). The set of them is TERM_BITS bits, made by one
+    aggregation and broadcast; no term of another hash leaves its task. Counts are made per text, so the corpus is read once.
+    """
+    counted = corpus.select(F.col(id_col).alias("chunk_id"), F.coalesce(tx.terms(text_col), F.array().cast("array<string>")).alias("t"))
+    each = counted.select("chunk_id", F.size("t").alias("size"), F.explode(F.concat(F.array(F.lit(TEXT)), "t")).alias("term"))
+    if wanted is not None:
+        marks = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(TEXT,)], "term string")).select(_term_bit("term").alias("p"))
+        words = marks.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits"))  # at most TERM_BITS / 64 rows
+        placed = each.withColumn("p", _term_bit("term"))
+        each = placed.join(F.broadcast(words), F.shiftright("p", 6) == F.col("word")).where(F.getbit("bits", F.col("p").bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return each.groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "size")
+
+
+def lexical_search(
+    queries: DataFrame, corpus: DataFrame | None, k: int = 5, *, all_terms: bool = True, id_col: str = "chunk_id", text_col: str = "content", index: DataFrame | None = None
+) -> DataFrame:
+    """(query_id, chunk_id, score, rank): rows with all terms of a question (any, if not all_terms), by BM25.
+
+    index: postings of the corpus that several searches share, or that are stored; else those of the questions' terms are made
+    and written to the shared folder, as the statistics and the scores both read them.
+    """
     asked = query_terms(queries)
-    found = postings(corpus, asked, id_col=id_col, text_col=text_col)
-    stats = corpus.select(F.size(tx.terms(text_col)).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = small(df).crossJoin(F.broadcast(stats)).select("term", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats is one row
-    weighed = found.join(small(idf), "term").select("chunk_id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))).alias("w"))
-    scored = weighed.join(small(asked), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"))
+    found = question_postings(queries, corpus, id_col=id_col, text_col=text_col) if index is None else index
+    stats = found.where(F.col("term") == TEXT).agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
+    df = found.where(F.col("term") != TEXT).groupBy("term").agg(F.count("*").alias("df"))
+    terms = asked.join(df, "term").crossJoin(F.broadcast(stats)).select(  # stats is one row
+        "query_id", "term", "n_terms", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    )
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    scored = found.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"))
     if all_terms:
         scored = scored.where("hits = n_terms")
     return top_k(scored.select("query_id", "chunk_id", "score"), k)
 
 
+def question_postings(queries: DataFrame, corpus: DataFrame, *, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """postings of the questions' terms, written to the shared folder: an index for searches of these questions."""
+    return materialize(postings(corpus, query_terms(queries), id_col=id_col, text_col=text_col), "postings")
+
+
 def cover_density(queries: DataFrame, corpus: DataFrame, k: int = 5, *, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """The same rows ranked by cover density: each shortest span that holds all terms adds 1 over its length."""
 

@@ -1,18 +1,24 @@
 """The chunk store: Parquet partitioned by tenant, in snapshots that readers switch to as a whole.
 
 Rows are identified by (tenant_id, content_hash). Parquet has no MERGE, and a path that is read can't be overwritten,
-so a write makes snapshot v{n+1} from v{n} and then names it in CURRENT. Only the tenants written are joined; the
-others' files are copied over by a plain read.
+so a write puts the rows of the tenants that it touches, merged, into folder v{n+1} and then names, in CURRENT, the folder
+that holds each tenant. CURRENT is written aside and renamed over the old one, so a reader sees one snapshot or the
+other; a writer claims its version by creating a file first, so of two at once the later one fails and can be repeated.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
+from tessera.scratch import materialize
 
 KEYS = ["tenant_id", "content_hash"]
+#: Folders that a store's tenants are spread over at most.
+FOLDERS = 20
 #: What a repeated write refreshes; the other columns keep their first value.
 REFRESHED = ["content", "metadata", "embedding", "embed_model"]
 
@@ -53,44 +59,81 @@ class ChunkStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
     def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
+        return self._path("CURRENT").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
-        fs, jvm = self._fs()
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0]) if fs.exists(pointer) else 0
+    def _put(self, name: str, text: str, overwrite: bool) -> None:
+        out = self._fs().create(self._path(name), overwrite)
+        out.write(bytearray(text.encode()))
+        out.close()
 
-    def _all(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(schemas.CHUNKS).parquet(f"{self.path}/v{v}") if v else self.spark.createDataFrame([], schemas.CHUNKS)
+    def _current(self) -> tuple[int, dict[str | None, int]]:
+        """The version, and that of the folder which holds each tenant."""
+        if not self._fs().exists(self._path("CURRENT")):
+            return 0, {}
+        held = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).collect()))
+        return held["version"], dict(held["tenants"])
+
+    def version(self) -> int:
+        return self._current()[0]
+
+    def _rows(self, tenants: list | None = None) -> DataFrame:
+        """The rows of some tenants, or all; each folder is read for the tenants that it is named for."""
+        place: dict[int, list] = {}
+        for tenant, v in self._current()[1].items():
+            if tenants is None or tenant in tenants:
+                place.setdefault(v, []).append(tenant)
+        out = self.spark.createDataFrame([], schemas.CHUNKS)
+        for v, mine in sorted(place.items()):
+            rows = self.spark.read.schema(schemas.CHUNKS).parquet(f"{self.path}/v{v}")
+            named = F.col("tenant_id").isin([t for t in mine if t is not None])
+            out = out.unionByName(rows.where(named | F.col("tenant_id").isNull() if None in mine else named))
+        return out
 
-    def _switch(self, rows: DataFrame) -> None:
-        v = self.version() + 1
-        rows.write.mode("overwrite").partitionBy("tenant_id", "chapter").parquet(f"{self.path}/v{v}")
-        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
+    def _switch(self, rows: DataFrame, tenants: list) -> None:
+        """The rows of these tenants from now on; when FOLDERS folders are in use all tenants' rows are put into the new one."""
+        version, held = self._current()
+        version += 1
+        self._put(f"claims/v{version}", "", False)  # fails if another writer has claimed it
+        try:
+            if len({*held.values()}) >= FOLDERS:
+                others = [t for t in held if t not in tenants]
+                rows, tenants = rows.unionByName(self._rows(others)), [*tenants, *others]
+            rows.write.mode("overwrite").partitionBy("tenant_id", "chapter").parquet(f"{self.path}/v{version}")
+            held |= dict.fromkeys(tenants, version)
+            self._put(f"CURRENT-{version}", json.dumps({"version": version, "tenants": list(held.items())}), True)
+            fs = self.spark._jvm.org.apache.hadoop.fs
+            over = self.spark._sc._gateway.new_array(fs.Options.Rename, 1)
+            over[0] = fs.Options.Rename.OVERWRITE
+            fs.FileContext.getFileContext(self._path("CURRENT").toUri(), self.spark._jsc.hadoopConfiguration()).rename(self._path(f"CURRENT-{version}"), self._path("CURRENT"), over)
+        except BaseException:
+            self._fs().delete(self._path(f"claims/v{version}"), False)
+            raise
 
     def write(self, incoming: DataFrame) -> int:
-        """Merges rows of chunk_rows; returns how many were processed."""
-        tenants = [r[0] for r in incoming.select("tenant_id").distinct().limit(1001).collect()]
-        every = self._all()
-        mine = F.col("tenant_id").isin(tenants) if len(tenants) <= 1000 else F.lit(True)
-        self._switch(upsert(every.where(mine), incoming).unionByName(every.where(~mine)))
-        return incoming.count()
+        """Merges rows of chunk_rows; returns how many were processed. The incoming plan runs once."""
+        rows = materialize(incoming, "incoming")
+        counts = rows.groupBy("tenant_id").count().collect()  # a row per tenant written
+        if counts:
+            tenants = [r[0] for r in counts]
+            self._switch(upsert(self._rows(tenants), rows), tenants)
+        return sum(r[1] for r in counts)
 
     def read(self, tenant_id: str, chapter: str | None = None, active: bool = True) -> DataFrame:
         """A tenant's chunks: partitions are pruned before anything is ranked."""
-        rows = self._all().where(F.col("tenant_id") == tenant_id)
+        rows = self._rows([tenant_id])
         rows = rows.where("is_active") if active else rows
         return rows if chapter is None else rows.where(F.col("chapter") == chapter)
 
     def delete(self, tenant_id: str, chapter: str, soft: bool = False) -> int:
-        every = self._all()
-        hit = (F.col("tenant_id") == tenant_id) & (F.col("chapter") == chapter)
+        every = self._rows([tenant_id])
+        hit = F.col("chapter") == chapter
         n = every.where(hit).count()
-        self._switch(every.withColumn("is_active", F.col("is_active") & ~hit) if soft else every.where(~hit))
+        if n:
+            self._switch(every.withColumn("is_active", F.col("is_active") & ~hit) if soft else every.where(~hit), [tenant_id])
         return n
 
     def count(self, tenant_id: str, chapter: str | None = None) -> int:
@@ -112,7 +155,7 @@ def json_contains(doc: Column | str, wanted: object, at: str = "$") -> Column:
     if isinstance(wanted, dict):
         out = F.lit(True)
         for key, value in wanted.items():
-            out = out & json_contains(d, value, f"{at}.{key}")
+            out = out & json_contains(d, value, f"{at}[{json.dumps(str(key), ensure_ascii=False)}]")
         return out
     if isinstance(wanted, list):
         out = F.lit(True)

@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import context, routing
 from tessera.plans.answering import ABSTAINED, route
+from tessera.scratch import shared_dir
 
 EVIDENCE = "array<struct<chunk_id:string,content:string,score:double,source_uri:string>>"
 VERDICT = "sufficient boolean, next_query string"
 
 
 def _ensure_checkpoints(spark: SparkSession) -> None:
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def start(queries: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import chunking, context, graph, metrics, retrieval, routing, store
+from tessera.scratch import materialize
 
 Model = Callable[[Column], Column]
 ABSTAINED = "INSUFFICIENT"
@@ -40,20 +41,29 @@ def answer(queries: DataFrame, results: DataFrame, model: Model, *, min_score: f
     """(query_id, answer, abstained, reason, coverage, passed) for each question.
 
     First gate: rows at min_score, else no model call. Second: the model says that it can't. Third: citations; a failed
-    answer is made once more, and only failed ones are.
+    answer is made once more, and only failed ones are. A question whose model call fails is abstained from, for the reason
+    "error". Answers are written to the shared folder before they are split, so each call is made once.
     """
     asked = queries.select("query_id", "question")
     good = results.where(F.col("score") >= min_score)
     built = context.build_context(good, budget).select("query_id", "context", F.size("admitted").alias("n_admitted"))
-    known = asked.join(built, "query_id")
-    made = context.validate_citations(known.withColumn("answer", model(tx.fill_template("answer", context="context", question="question"))))
+    known = materialize(asked.join(built, "query_id", "left"), "contexts")
+
+    def speak(rows: DataFrame) -> DataFrame:
+        said = rows.withColumn("answer", model(tx.fill_template("answer", context="context", question="question")))
+        return context.validate_citations(materialize(said, "answers"))
+
+    made = speak(known.where("context IS NOT NULL"))
     for _ in range(regenerations):
-        fine = F.col("passed") | (F.col("answer") == ABSTAINED)
-        again = made.where(~fine).select(*known.columns)
-        redone = context.validate_citations(again.withColumn("answer", model(tx.fill_template("answer", context="context", question="question"))))
-        made = made.where(fine).unionByName(redone)
-    spoken = made.select("query_id", "answer", (F.col("answer") == ABSTAINED).alias("abstained"), F.when(F.col("answer") == ABSTAINED, "model").alias("reason"), "coverage", "passed")
-    silent = asked.join(built.select("query_id"), "query_id", "left_anti").select(
+        fine = F.coalesce(F.col("passed") | (F.col("answer") == ABSTAINED), F.lit(False))
+        made = made.where(fine).unionByName(speak(made.where(~fine).select(*known.columns)))
+    failed = F.col("answer").isNull()
+    abstained = failed | (F.col("answer") == ABSTAINED)
+    spoken = made.select(
+        "query_id", F.coalesce("answer", F.lit(ABSTAINED)).alias("answer"), abstained.alias("abstained"), F.when(failed, "error").when(abstained, "model").alias("reason"),
+        F.when(failed, 0.0).otherwise(F.col("coverage")).alias("coverage"), F.when(failed, False).otherwise(F.col("passed")).alias("passed"),
+    )
+    silent = known.where("context IS NULL").select(
         "query_id", F.lit(ABSTAINED).alias("answer"), F.lit(True).alias("abstained"), F.lit("evidence").alias("reason"), F.lit(0.0).alias("coverage"), F.lit(False).alias("passed")
     )
     return spoken.unionByName(silent)

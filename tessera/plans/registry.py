@@ -281,7 +281,9 @@ SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM z WHERE rank <=
 
 
 def _two_rankings(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [retrieval.lexical_search(*_lexical(spark, sf_dir), 20, all_terms=a) for a in (False, True)]
+    questions, corpus = _lexical(spark, sf_dir)
+    index = retrieval.question_postings(questions, corpus)
+    return [retrieval.lexical_search(questions, None, 20, all_terms=a, index=index) for a in (False, True)]
 
 
 @query(f"WITH {_BM25} {_RRF.format(a=1, b=1)}")
@@ -306,7 +308,8 @@ def hybrid_search(spark, sf_dir):
 @query(f"WITH {_BM25}, s1 AS (SELECT * FROM a WHERE rank <= 5), ok AS (SELECT DISTINCT query_id FROM s1 WHERE score >= 5) SELECT query_id, chunk_id, score, 0 AS stage FROM s1 WHERE score >= 5 UNION ALL SELECT query_id, chunk_id, score, 1 FROM r WHERE rank <= 3 AND score >= 5 AND query_id NOT IN (SELECT query_id FROM ok)")
 def fallback_chain(spark, sf_dir):
     questions, corpus = _lexical(spark, sf_dir)
-    stages = [retrieval.lexical_search(questions, corpus, 5), retrieval.lexical_search(questions, corpus, 3, all_terms=False)]
+    index = retrieval.question_postings(questions, corpus)
+    stages = [retrieval.lexical_search(questions, None, 5, index=index), retrieval.lexical_search(questions, None, 3, all_terms=False, index=index)]
     return retrieval.fallback(stages, questions, min_score=5).select("query_id", "chunk_id", "score", "stage")
 
 
