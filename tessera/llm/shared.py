@@ -1,58 +1,14 @@
-"""Where intermediate tables go: the folder that the cluster names in spark.checkpoint.dir."""
+"""What the operators share: memory of workers, free names, keys in order, sets of keys."""
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only by a local master whose session names no folder, as in tests on one machine.
-LOCAL_DEFAULT = "file:///tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, else what setCheckpointDir() set; a cluster has to name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else None
-    if not named:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = LOCAL_DEFAULT
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: A written table has at least this many files per core of the cluster, if its plan has as many partitions, or a quarter
-#: of the shuffle partitions if that is more, and one for so many bytes that the plan's tables are estimated to have.
-FILES_PER_CORE, FILE_BYTES = 4, 256 << 20
-
-
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors.
-
-    Neighbouring partitions are joined only where they are small by the optimizer's estimate, so a task never gets much more than
-    FILE_BYTES of input however large the tables are. rows: about how many there are, if they are known to be few and narrow.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    files = max(FILES_PER_CORE * cores, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, min(size // FILE_BYTES, 1 << 30))
-    if rows is not None:
-        files = min(files, max(cores, rows >> 18))
-    df.coalesce(files).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from tessera.scratch import materialize, scratch_path, shared_dir  # noqa: F401
 
 #: What Python workers keep from one task to the next: by owner, how to drop it.
 _memos: dict[str, Callable[[], None]] = {}
