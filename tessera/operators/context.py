@@ -29,6 +29,11 @@ def pack_budget(results: DataFrame, budget: int = 2400, header: int = HEADER_TOK
     return folded.select(by, F.col("x.k").alias(key), F.col("x.spent").alias("spent"))
 
 
+def plain_budget(results: DataFrame, budget: int, max_tokens: int = 4096, **columns: str) -> DataFrame:
+    """pack_budget without headers, within the lesser of a budget and a model's limit."""
+    return pack_budget(results, min(budget, max_tokens), 0, **columns)
+
+
 def edge_position(rank: Column | str, n: Column | str) -> Column:
     """The place of the row at rank among n: first, then third and so on, the second last."""
     r, n = (F.col(c) if isinstance(c, str) else c for c in (rank, n))

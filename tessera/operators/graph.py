@@ -54,34 +54,40 @@ def extract(replies: DataFrame, reply: str = "reply", min_confidence: float = 0.
     return entities.drop("__r"), checked.where(F.col("reason").isNull()).drop("reason", "__r"), rejects.unionByName(failed)
 
 
+def _created(rows: DataFrame) -> Column:
+    return (F.col("created_at") if "created_at" in rows.columns else F.lit(None)).cast("timestamp").alias("created_at")
+
+
 def merge_nodes(incoming: DataFrame, stored: DataFrame | None = None, order: str = "seq") -> DataFrame:
     """Nodes by (tenant_id, canonical_name): first name, largest confidence, last type and chapter, all surface forms in order.
 
-    Counted per task before the shuffle; a node's surface forms are distinct names, not rows.
+    created_at is the earliest that stored or incoming have, and now where none has one. Counted per task before the shuffle; a node's surface forms are distinct names, not rows.
     """
-    rows = incoming.select("tenant_id", "canonical_name", "name", "entity_type", "confidence", "chapter", F.col(order).cast("long").alias("o"))
+    rows = incoming.select("tenant_id", "canonical_name", "name", "entity_type", "confidence", "chapter", _created(incoming), F.col(order).cast("long").alias("o"))
     if stored is not None:
-        old = stored.select("tenant_id", "canonical_name", F.posexplode("surface_forms").alias("p", "form"), "name", "entity_type", "confidence", "chapter")
-        rows = rows.unionByName(old.select("tenant_id", "canonical_name", F.when(F.col("p") == 0, F.col("name")).otherwise(F.col("form")).alias("name"), "entity_type", "confidence", "chapter", (F.col("p") - (1 << 40)).alias("o")))
+        old = stored.select("tenant_id", "canonical_name", F.posexplode("surface_forms").alias("p", "form"), "name", "entity_type", "confidence", "chapter", _created(stored))
+        rows = rows.unionByName(old.select("tenant_id", "canonical_name", F.when(F.col("p") == 0, F.col("name")).otherwise(F.col("form")).alias("name"), "entity_type", "confidence", "chapter", "created_at", (F.col("p") - (1 << 40)).alias("o")))
     forms = rows.groupBy("tenant_id", "canonical_name", "name").agg(
-        F.min("o").alias("o"), F.max("confidence").alias("confidence"), F.max(F.struct("o", "entity_type", "chapter")).alias("last")
+        F.min("o").alias("o"), F.max("confidence").alias("confidence"), F.max(F.struct("o", "entity_type", "chapter")).alias("last"), F.min("created_at").alias("created_at")
     )
     return forms.groupBy("tenant_id", "canonical_name").agg(
         F.min_by("name", "o").alias("name"), F.max("last")["entity_type"].alias("entity_type"), F.max("confidence").alias("confidence"),
         F.transform(F.sort_array(F.collect_list(F.struct("o", "name"))), lambda x: x["name"]).alias("surface_forms"), F.max("last")["chapter"].alias("chapter"),
+        F.coalesce(F.min("created_at"), F.current_timestamp()).alias("created_at"),
     )
 
 
 def merge_edges(incoming: DataFrame, nodes: DataFrame, stored: DataFrame | None = None, order: str = "seq") -> DataFrame:
-    """Edges by (tenant_id, src, dst, rel_type, source_uri): the last write wins; both ends must be nodes."""
+    """Edges by (tenant_id, src, dst, rel_type, source_uri): the last write wins; both ends must be nodes; created_at as of nodes."""
     keys = ["tenant_id", "src", "dst", "rel_type", "source_uri"]
     columns = [*keys, "confidence", "evidence", "chunk_id", "chapter"]
-    rows = incoming.where((F.trim("src") != "") & (F.trim("dst") != "")).select(*columns, F.col(order).cast("long").alias("o"))
+    rows = incoming.where((F.trim("src") != "") & (F.trim("dst") != "")).select(*columns, _created(incoming), F.col(order).cast("long").alias("o"))
     if stored is not None:
-        rows = rows.unionByName(stored.select(*columns, F.lit(-1).cast("long").alias("o")))
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct("confidence", "evidence", "chunk_id", "chapter"), "o").alias("v")).select(*keys, "v.*")
+        rows = rows.unionByName(stored.select(*columns, _created(stored), F.lit(-1).cast("long").alias("o")))
+    grouped = rows.groupBy(*keys).agg(F.max_by(F.struct("confidence", "evidence", "chunk_id", "chapter"), "o").alias("v"), F.coalesce(F.min("created_at"), F.current_timestamp()).alias("created_at"))
+    last = grouped.select(*keys, "v.*", "created_at")
     known = nodes.select("tenant_id", F.col("canonical_name").alias("src"))
-    return last.join(known, ["tenant_id", "src"], "left_semi").join(known.withColumnRenamed("src", "dst"), ["tenant_id", "dst"], "left_semi").select(*columns)
+    return last.join(known, ["tenant_id", "src"], "left_semi").join(known.withColumnRenamed("src", "dst"), ["tenant_id", "dst"], "left_semi").select(*columns, "created_at")
 
 
 def delete_chapter(nodes: DataFrame, edges: DataFrame, tenant_id: str | None, chapter: str) -> tuple[DataFrame, DataFrame]:
@@ -141,12 +147,16 @@ def traverse(seeds: DataFrame, edges: DataFrame, *, max_hops: int = 2, min_confi
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def path_triples(paths: DataFrame) -> DataFrame:
-    """Distinct triples of a seed's paths at their first appearance, as (seed, position, triple fields)."""
+def path_triples(paths: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Distinct triples of a seed's paths at their first appearance, as (seed, position, triple fields); with nodes, src and dst are display names."""
     each = paths.select("tenant_id", "seed", "rank", F.posexplode("triples").alias("i", "t")).select("tenant_id", "seed", "rank", "i", "t.*")
     first = each.groupBy("tenant_id", "seed", "src", "rel_type", "dst").agg(F.min(F.struct("rank", "i", "evidence", "source_uri")).alias("f"))
     w = Window.partitionBy("tenant_id", "seed").orderBy("f")
-    return first.select("tenant_id", "seed", F.row_number().over(w).alias("position"), "src", "rel_type", "dst", "f.evidence", "f.source_uri")
+    told = first.select("tenant_id", "seed", F.row_number().over(w).alias("position"), "src", "rel_type", "dst", "f.evidence", "f.source_uri")
+    for end in ("src", "dst") if nodes is not None else ():
+        shown = nodes.select("tenant_id", F.col("canonical_name").alias(end), F.coalesce("name", "canonical_name").alias("shown"))
+        told = told.join(shown, ["tenant_id", end], "left").withColumn(end, F.coalesce("shown", end)).drop("shown")
+    return told
 
 
 def triples_as_results(triples: DataFrame) -> DataFrame:
@@ -157,8 +167,33 @@ def triples_as_results(triples: DataFrame) -> DataFrame:
     )
 
 
+def question_mentions(queries: DataFrame, model=None) -> DataFrame:
+    """(query_id[, tenant_id], mention): those that a model lists, or runs of capitalized words where it lists none."""
+    spoken = tx.capitalized_mentions("question")
+    if model is not None:
+        listed = F.filter(F.transform(tx.json_array(model(tx.fill_template("mentions", question="question"))), F.trim), lambda m: m != "")
+        spoken = F.when(F.size(F.coalesce(listed, F.array().cast("array<string>"))) > 0, listed).otherwise(spoken)
+    return queries.select(*[c for c in ("tenant_id", "query_id") if c in queries.columns], F.explode(spoken).alias("mention"))
+
+
+def expanded_questions(queries: DataFrame, seeds: DataFrame, limit: int = 5) -> DataFrame:
+    """queries that the first limit names of seeds(query_id, position, name) are added to, but for names which the question has;
+    questions that no name is new to are left out."""
+    new = seeds.join(queries.select("query_id", "question"), "query_id").where((F.col("name") != "") & ~F.contains(F.lower("question"), F.lower("name")))
+    names = new.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("position", "name"))).alias("n"))
+    added = F.array_join(F.transform(F.slice("n", 1, limit), lambda x: x["name"]), " ")
+    return queries.join(names, "query_id").withColumn("question", F.concat_ws(" ", "question", added)).drop("n")
+
+
+def guided_search(queries: DataFrame, seeds: DataFrame, search, top: int = 6) -> DataFrame:
+    """Rows of search for the questions, and behind them those for the questions with the names that a traversal has discovered."""
+    first = search(queries, 4 * top)
+    more = search(expanded_questions(queries, seeds), 2 * top)
+    return first.unionByName(more.withColumn("rank", F.col("rank") + 4 * top))
+
+
 def link_mentions(mentions: DataFrame, nodes: DataFrame, threshold: float = 0.86, aliases: DataFrame | None = None) -> DataFrame:
-    """(tenant_id, query_id, mention, canonical_name, how): by canonical name, else by the best fuzzy ratio; null if unlinked.
+    """(tenant_id, query_id, mention, canonical_name, how): by alias or canonical name, else by the best fuzzy ratio; null if unlinked.
 
     Fuzzy candidates share the tenant and a length that could reach the threshold, as a ratio is at most twice the shorter
     length over both; they are joined on the length, and an edit distance in the JVM, which is at most the letters that a
@@ -168,7 +203,7 @@ def link_mentions(mentions: DataFrame, nodes: DataFrame, threshold: float = 0.86
     if aliases is not None:
         rows = tx.resolve_aliases(mentions, aliases, "mention").withColumnRenamed("resolved", "k")
     known = nodes.select("tenant_id", F.col("canonical_name").alias("k")).distinct()
-    exact = rows.join(known, ["tenant_id", "k"], "left_semi").withColumn("canonical_name", F.col("k")).withColumn("how", F.lit("exact"))
+    exact = rows.join(known, ["tenant_id", "k"], "left_semi").withColumn("canonical_name", F.col("k")).withColumn("how", F.when(F.col("k") == tx.canonicalize("mention"), "exact").otherwise("alias"))
     rest = rows.join(known, ["tenant_id", "k"], "left_anti")
     n = F.length("k")
     low, high = F.ceil(n * threshold / (2 - threshold)).cast("int"), F.floor(n * (2 - threshold) / threshold).cast("int")

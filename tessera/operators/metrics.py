@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
+from tessera.scratch import materialize
+
 METRICS = ["precision", "recall", "mrr", "ndcg", "hit_rate", "faithfulness", "answer_relevance", "correct_abstention"]
 
 
@@ -53,6 +56,29 @@ def context_relevance(votes: Column | str) -> Column:
     return F.when(F.size(v) == 0, 0.0).when(F.size(real) > 0, F.aggregate(real, F.lit(0.0), lambda s, x: s + x) / F.size(real))
 
 
+def judge_faithfulness(answers: DataFrame, judge, *, by: str = "case_id", context_chars: int = 6000) -> DataFrame:
+    """(by, faithfulness, claims, supported, unsupported, contradicted, reason) of answers(by, answer, context).
+
+    A judge lists an answer's claims and then gives a verdict on each against the context. Without a verdict that can be read the score
+    is null and reason tells why. Replies are written to the shared folder, so each prompt is put once.
+    """
+    listed = answers.select(by, "context", tx.json_array(judge(tx.fill_template("claims", answer="answer"))).alias("raw"))
+    listed = materialize(listed.withColumn("claims", F.filter("raw", lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")), "claims")
+    asked = listed.select(by, "context", F.posexplode("claims").alias("i", "claim"))
+    verdict = tx.match_verdict(judge(tx.fill_template("verdict", context=tx.truncate("context", context_chars), claim="claim")))
+    said = materialize(asked.select(by, verdict.alias("verdict")), "verdicts")
+    counts = said.groupBy(by).agg(F.count("verdict").alias("n"), *[F.count_if(F.col("verdict") == v.upper()).alias(v) for v in ("supported", "unsupported", "contradicted")])
+    rows = listed.select(by, "raw", F.size("claims").alias("claims")).join(counts, by, "left").na.fill(0, ["n", "supported", "unsupported", "contradicted"])
+    none = F.when(F.col("raw").isNull() | (F.size("raw") == 0), "claim_extraction_failed").when(F.col("claims") == 0, "no_usable_claims").when(F.col("n") == 0, "all_verdicts_unparseable")
+    score = F.when(F.col("n") > 0, F.col("supported") / F.col("n"))
+    return rows.select(by, score.alias("faithfulness"), F.greatest("claims", F.lit(0)).alias("claims"), "supported", "unsupported", "contradicted", none.alias("reason"))
+
+
+def judge_answer_relevance(answers: DataFrame, judge, *, by: str = "case_id") -> DataFrame:
+    """(by, answer_relevance) of answers(by, question, answer): 1 or 0 by a judge's YES or NO, null if it said neither."""
+    return answers.select(by, tx.yes_no(judge(tx.fill_template("relevant", question="question", answer="answer"))).alias("answer_relevance"))
+
+
 def evaluate(cases: DataFrame, responses: DataFrame, k: int = 5) -> DataFrame:
     """A row of metrics per case: cases joined with responses(case_id, retrieved, abstained[, faithfulness, answer_relevance]).
 

@@ -101,6 +101,22 @@ def overlap_judge(client_prompts: list[str]) -> list[str]:
     return out
 
 
+def reversed_reply(prompt: Column) -> Column:
+    """The stand-in writer of hypothetical answers: the prompt's last paragraph backwards."""
+    return F.reverse(F.element_at(F.split(prompt, "\n\n"), -1))
+
+
+def literal_judge(prompt: Column) -> Column:
+    """The stand-in judge of answers: claims are sentences, supported if the context has them; relevant is what shares a term."""
+    after = lambda mark: F.substring_index(prompt, mark, -1)
+    claims = F.to_json(tx.split_sentences(F.substring(prompt, F.instr(prompt, "\n\n") + 2, F.length(prompt))))
+    claim = after("\n\nClaim: ")
+    held = F.contains(F.substring(prompt, F.lit(1), F.length(prompt) - F.length(claim)), claim)
+    asked = F.substring_index(F.substring_index(prompt, "\n\nAnswer: ", 1), "Question: ", -1)
+    relevant = F.arrays_overlap(tx.terms(asked), tx.terms(after("\n\nAnswer: ")))
+    return F.when(prompt.startswith("List the claims"), claims).when(prompt.startswith("Is the claim"), F.when(held, "SUPPORTED").otherwise("UNSUPPORTED")).otherwise(F.when(relevant, "YES").otherwise("NO"))
+
+
 def healthy(factory: Callable[[], Client]) -> bool:
     try:
         return bool(factory()(["ping"]))

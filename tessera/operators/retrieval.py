@@ -46,25 +46,33 @@ def dense_search(
     spark = corpus.sparkSession
     asked = queries.where(F.col("qvec").isNotNull()).orderBy("query_id")
     wanted = ["query_id", "qvec", *(["tenant_id"] if tenant else [])]
-    blocks, block = [], []
-    for row in asked.select(*wanted).toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == QUERY_BLOCK:
-            blocks.append(block)
-            block = []
-    if block:
-        blocks.append(block)
     kind = corpus.schema[id_col].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {qkind}, chunk_id {kind}, score double"
     rows = corpus.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("c"), F.col(vector_col).alias("v"), *([F.col("tenant_id").alias("t")] if tenant else []))
-    parts = [rows.mapInArrow(_nearest(spark.sparkContext.broadcast(b), k, min_score, tenant, digits), schema) for b in blocks]
-    if not parts:
-        return spark.createDataFrame([], f"{schema}, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top_k(found, k)
+    found = None
+    for block, last in _blocks(asked.select(*wanted).toLocalIterator()):
+        best = top_k(rows.mapInArrow(_nearest(spark.sparkContext.broadcast(block), k, min_score, tenant, digits), schema), k)
+        if not (last and found is None):  # of several blocks each is written, so the driver holds one
+            best = materialize(best, "nearest")
+        found = best if found is None else found.unionByName(best)
+    return spark.createDataFrame([], f"{schema}, rank int") if found is None else found
+
+
+def _blocks(rows: Iterator) -> Iterator[tuple[list, bool]]:
+    """Blocks of at most QUERY_BLOCK rows, and if that is the last one."""
+    block: list[tuple] = []
+    for row in rows:
+        if len(block) == QUERY_BLOCK:
+            yield block, False
+            block = []
+        block.append(tuple(row))
+    if block:
+        yield block, True
+
+
+#: Rows whose scores against a block of questions are held at once (at 4,096 questions 8 MB).
+TILE = 256
 
 
 def _nearest(block, k: int, min_score: float | None, tenant: bool, digits: int):
@@ -74,33 +82,42 @@ def _nearest(block, k: int, min_score: float | None, tenant: bool, digits: int):
         ids = [r[0] for r in block.value]
         q = np.array([r[1] for r in block.value], dtype=np.float64)
         size = np.linalg.norm(q, axis=1)
-        q = q / np.where(size == 0, 1, size)[:, None]
+        q = (q / np.where(size == 0, 1, size)[:, None]).T
         tenants = np.array([str(r[2]) for r in block.value]) if tenant else None
-        best_s, best_c = [np.zeros(0)] * len(ids), [np.zeros(0, dtype=object)] * len(ids)
+        of, score, chunk = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object)  # the best so far, and rows that may be
+        floor = np.full(len(ids), -np.inf if min_score is None else min_score)
+        kind = None
+
+        def best() -> None:
+            """Only the k best of each question stay; what is under its k-th needn't be looked at any more."""
+            nonlocal of, score, chunk
+            order = np.lexsort((chunk.astype(str) if len(chunk) and isinstance(chunk[0], str) else chunk.astype(np.int64), -score, of))
+            starts = np.searchsorted(of[order], np.arange(len(ids)))
+            order = order[np.arange(len(order)) - starts[of[order]] < k]
+            of, score, chunk = of[order], score[order], chunk[order]
+            full = np.bincount(of, minlength=len(ids)) == k
+            least = np.full(len(ids), np.inf)
+            np.minimum.at(least, of, score)
+            floor[full] = np.maximum(floor[full], least[full])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            lists = b.column(1)
-            v = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(lists), -1)
-            n = np.linalg.norm(v, axis=1)
-            scores = np.round((v / np.where(n == 0, 1, n)[:, None]) @ q.T, digits)
-            c = np.array(b.column(0).to_pylist(), dtype=object)
-            t = np.array([str(x) for x in b.column(2).to_pylist()]) if tenant else None
-            for i in range(len(ids)):
-                s, cc = scores[:, i], c
+            kind = b.schema.field(0).type
+            for low in range(0, b.num_rows, TILE):
+                part = b.slice(low, TILE)
+                v = np.asarray(part.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(part.num_rows, -1)
+                n = np.linalg.norm(v, axis=1)
+                s = np.round((v / np.where(n == 0, 1, n)[:, None]) @ q, digits)
                 if tenant:
-                    s, cc = s[t == tenants[i]], c[t == tenants[i]]
-                if min_score is not None:
-                    s, cc = s[s >= min_score], cc[s >= min_score]
-                if len(s) > k:
-                    near = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    s, cc = s[near], cc[near]
-                s, cc = np.concatenate([best_s[i], s]), np.concatenate([best_c[i], cc])
-                order = np.lexsort((cc.astype(str) if cc.dtype == object and len(cc) and isinstance(cc[0], str) else cc.astype(np.int64) if len(cc) else cc, -s))[:k]
-                best_s[i], best_c[i] = s[order], cc[order]
-        rows = [(ids[i], c, float(s)) for i in range(len(ids)) for c, s in zip(best_c[i].tolist(), best_s[i].tolist(), strict=True)]
-        if rows:
-            yield pa.RecordBatch.from_pylist([{"query_id": a, "chunk_id": b, "score": s} for a, b, s in rows])
+                    s[np.array([str(x) for x in part.column(2).to_pylist()])[:, None] != tenants] = -np.inf
+                i, j = np.nonzero((s >= floor) & (s > -np.inf))
+                c = np.empty(part.num_rows, dtype=object)
+                c[:] = part.column(0).to_pylist()
+                of, score, chunk = np.concatenate([of, j]), np.concatenate([score, s[i, j]]), np.concatenate([chunk, c[i]])
+                if len(of) > 4 * k * len(ids) + (1 << 16):
+                    best()
+        best()
+        if len(of):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in of.tolist()]), pa.array(chunk.tolist(), kind), pa.array(score)], names=["query_id", "chunk_id", "score"])
 
     return run
 

@@ -84,15 +84,47 @@ def policies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POLICY, "kind string, transform string, k int, rerank boolean")
 
 
-def adaptive_search(queries: DataFrame, search, *, floor: float = 0.5, attempts: int = 2, max_k: int = 60) -> DataFrame:
-    """Rows of search(queries, k) by each question's policy; questions without a row at the floor try again at twice
-    the rows, and keep all they have on the last attempt."""
+def hyde(queries: DataFrame, model) -> DataFrame:
+    """queries with question replaced by itself and a hypothetical answer, which a model writes; a failed or blank reply leaves it."""
+    reply = F.trim(F.coalesce(model(tx.fill_template("hypothetical", question="question")), F.lit("")))
+    said = queries.withColumn("__reply", reply)
+    return said.withColumn("question", F.when(F.col("__reply") == "", F.col("question")).otherwise(F.concat_ws("\n\n", "question", "__reply"))).drop("__reply")
+
+
+def hyde_search(queries: DataFrame, search, model, k: int = 5) -> DataFrame:
+    """search(queries, k) with hypothetical answers beside the questions."""
+    return search(hyde(queries, model), k)
+
+
+WIDENED = "weak context, widening search"
+
+
+def adaptive_search(queries: DataFrame, search, *, model=None, judge=None, replies: str | None = None, floor: float = 0.5, attempts: int = 2) -> DataFrame:
+    """Rows of search(queries, k) by each question's policy, with kind, attempt and corrections.
+
+    Where the policy says so, a model's hypothetical answer goes along with the question, and judge reranks the rows (which need
+    a content then). Questions without a row at the floor try again at twice the rows, and keep all they have on the last
+    attempt. replies: a column of a model's classification, asked where no rule fires.
+    """
+    from tessera.operators.rerank import rerank
+
     table = F.broadcast(policies(queries.sparkSession))
-    left = queries.withColumn("kind", classify("question")).join(table, "kind")
-    out = None
+    left = queries.withColumn("kind", classify("question", replies)).join(table, "kind")
+    if model is not None:
+        other = left.where(~F.col("transform").eqNullSafe(F.lit("hyde"))).withColumn("asked", F.col("question"))
+        hypothetical = hyde(left.where("transform = 'hyde'").withColumn("plain", F.col("question")), model)
+        left = other.unionByName(hypothetical.withColumnRenamed("question", "asked").withColumnRenamed("plain", "question"))
+    else:
+        left = left.withColumn("asked", F.col("question"))
+    most, out = max(p[2] for p in POLICY), None
     for attempt in range(attempts):
-        found = search(left.select("query_id", "question", *[c for c in ("qvec", "tenant_id") if c in left.columns]), min(max_k, 30 * 2**attempt))
-        within = found.join(left.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k") * 2**attempt).drop("k").withColumn("attempt", F.lit(attempt + 1))
+        found = search(left.withColumn("question", F.col("asked")).select("query_id", "question", *[c for c in ("qvec", "tenant_id") if c in left.columns]), most * 2**attempt)
+        within = found.join(left.select("query_id", "kind", "k", F.col("rerank").alias("judged")), "query_id").where(F.col("rank") <= F.col("k") * 2**attempt).drop("k")
+        if judge is not None:
+            plain = within.where(~F.col("judged"))
+            within = plain.unionByName(rerank(within.where("judged"), left.select("query_id", "question"), judge).select(*within.columns))
+        told = F.array(*[F.lit(f"attempt {i + 1}: {WIDENED}") for i in range(attempt)]).cast("array<string>")
+        within = within.drop("judged").withColumn("attempt", F.lit(attempt + 1)).withColumn("corrections", told)
         strong = within.where(F.col("score") >= floor)
         done = strong.select("query_id").distinct()
         rows = within.join(done, "query_id", "left_anti").unionByName(strong) if attempt == attempts - 1 else strong

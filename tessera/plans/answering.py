@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,24 @@ def build_graph(documents: DataFrame, model: Model, *, tenant_id: str, chapter:
     return nodes, graph.merge_edges(rows, nodes), rejects
 
 
+def ingest_both(documents: DataFrame, target: store.ChunkStore, embed: Model, model: Model, *, tenant_id: str, chapter: str, embed_model: str) -> tuple[int, DataFrame, DataFrame, DataFrame]:
+    """documents(path, text) into the store and the graph: (chunks written, nodes, edges, rejects); the documents are read once."""
+    held = materialize(documents, "documents")
+    written = ingest(held, target, embed, tenant_id=tenant_id, chapter=chapter, embed_model=embed_model)
+    named = held.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_uri"), "text")
+    return written, *build_graph(named, model, tenant_id=tenant_id, chapter=chapter)
+
+
+def timed(steps: dict[str, Callable[[DataFrame], DataFrame]], first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(result, (stage, ms)): each step works on what the one before has written to the shared folder, so its time is its own."""
+    took, rows = [], first
+    for name, step in steps.items():
+        began = time.perf_counter()
+        rows = materialize(step(rows), name)
+        took.append((name, (time.perf_counter() - began) * 1000))
+    return rows, first.sparkSession.createDataFrame(took, "stage string, ms double")
+
+
 def answer(queries: DataFrame, results: DataFrame, model: Model, *, min_score: float = 0.35, budget: int = 2400, regenerations: int = 1) -> DataFrame:
     """(query_id, answer, abstained, reason, coverage, passed) for each question.
 
@@ -95,19 +114,34 @@ def retrieve(mode: str, queries: DataFrame, corpus: DataFrame, *, graph_results:
     return pooled if triples is None else pooled.unionByName(triples.select(*columns))
 
 
-def compare(strategies: dict[str, DataFrame]) -> DataFrame:
-    """Rows and best score per strategy and question."""
+def compare(strategies: dict[str, DataFrame], clock: bool = False) -> DataFrame:
+    """Rows and best score per strategy and question; with clock each strategy is run by itself and its latency_ms is added."""
     out = None
     for name, found in strategies.items():
-        rows = found.select(F.lit(name).alias("strategy"), "query_id", "score")
+        rows, ms = found, None
+        if clock:
+            rows, times = timed({name: lambda d: d}, found)
+            ms = times.first()["ms"]
+        rows = rows.select(F.lit(name).alias("strategy"), "query_id", "score", F.lit(ms).cast("double").alias("latency_ms"))
         out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("strategy", "query_id").agg(F.count("*").alias("results"), F.max("score").alias("top_score"))
+    keys = ["strategy", "query_id", *(["latency_ms"] if clock else [])]
+    return out.groupBy(*keys).agg(F.count("*").alias("results"), F.max("score").alias("top_score"))
+
 
+def evaluate(cases: DataFrame, results: DataFrame, answers: DataFrame, k: int = 5, judge: Model | None = None) -> DataFrame:
+    """The metrics of answered cases: results and answers by query_id, which is the case's id here.
 
-def evaluate(cases: DataFrame, results: DataFrame, answers: DataFrame, k: int = 5) -> DataFrame:
-    """The metrics of answered cases: results and answers by query_id, which is the case's id here."""
+    With a judge, answers that weren't abstained from are judged by their claims (against the results' contents) and by
+    their relevance to the case's question.
+    """
     listed = results.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))
     responses = answers.select(F.col("query_id").alias("case_id"), "abstained").join(listed.withColumnRenamed("query_id", "case_id"), "case_id", "left")
+    if judge is not None:
+        texts = results.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n\n").alias("context"))
+        spoken = answers.where(~F.col("abstained")).select(F.col("query_id").alias("case_id"), "answer").join(cases.select("case_id", "question"), "case_id")
+        spoken = materialize(spoken.join(texts.withColumnRenamed("query_id", "case_id"), "case_id", "left"), "judged")
+        faithful = metrics.judge_faithfulness(spoken, judge).select("case_id", "faithfulness")
+        responses = responses.join(faithful, "case_id", "left").join(metrics.judge_answer_relevance(spoken, judge), "case_id", "left")
     return metrics.evaluate(cases, responses, k)
 
 

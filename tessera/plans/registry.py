@@ -91,8 +91,7 @@ def semantic_cache_hits(spark, sf_dir):
     asked, rows = _vectors(spark, sf_dir)
     version = F.lit("v1").alias("corpus_version")
     entries = rows.select("tenant_id", version, F.col("chunk_id").alias("seq"), F.col("embedding").alias("vector"))
-    pairs = asked.select("query_id", "qvec", "tenant_id", version).join(entries, ["tenant_id", "corpus_version"]).where("seq <> query_id")
-    return pairs.where(F.round(vectors.cosine("qvec", "vector"), 6) >= 0.3).groupBy("query_id").agg(F.min("seq").alias("seq"))
+    return reliability.cached_answers(asked.select("query_id", "qvec", "tenant_id", version), entries, 0.3, own="query_id")
 
 
 # Hashes and chunks.
@@ -320,12 +319,30 @@ def _results(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return found.join(corpus, "chunk_id").withColumn("retriever", F.lit("lexical"))
 
 
-@query()
+_WORDS = "list_distinct(list_filter(string_split_regex(lower(d.text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))"
+
+
+@query(f"""
+WITH RECURSIVE {_BM25},
+i AS (SELECT r.query_id, r.rank, r.chunk_id, r.score / max(r.score) OVER (PARTITION BY r.query_id) AS score, {_WORDS} AS t FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE r.rank <= 10),
+e AS (SELECT x.query_id, x.rank, x.score, list(CASE WHEN len(x.t) > 0 AND len(y.t) > 0 THEN CAST(len(list_intersect(x.t, y.t)) AS DOUBLE) / len(list_distinct(list_concat(x.t, y.t))) ELSE 0 END ORDER BY y.rank) AS sims
+  FROM i x JOIN i y ON x.query_id = y.query_id GROUP BY x.query_id, x.rank, x.score),
+g AS (SELECT query_id, list({{'rank': rank, 'score': score, 'sims': sims}} ORDER BY rank) AS c FROM e GROUP BY query_id),
+picks AS (
+  SELECT query_id, c, 1 AS step, [CAST(1 AS BIGINT)] AS chosen FROM g
+  UNION ALL
+  SELECT query_id, c, step + 1, list_append(chosen, rem[list_position(vals, list_max(vals))].rank) FROM (
+    SELECT *, list_transform(rem, lambda x: CAST(0.7 AS DOUBLE) * x.score - CAST(0.3 AS DOUBLE) * list_max(list_transform(chosen, lambda k: x.sims[k]))) AS vals FROM (
+      SELECT *, list_filter(c, lambda x: NOT list_contains(chosen, x.rank)) AS rem FROM picks WHERE step < least(5, len(c))))),
+z AS (SELECT query_id, arg_max(chosen, step) AS chosen FROM picks GROUP BY query_id),
+u AS (SELECT query_id, unnest(chosen) AS rank, unnest(range(1, len(chosen) + 1)) AS pick FROM z)
+SELECT u.query_id, i.chunk_id, CAST(u.pick AS INT) AS pick FROM u JOIN i ON i.query_id = u.query_id AND i.rank = u.rank
+""")
 def mmr(spark, sf_dir):
     return rerank.diversify(scores.max_scale(_results(spark, sf_dir)))
 
 
-_TOKENS = "list_distinct(list_filter(string_split_regex(lower(d.text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))"
+_TOKENS = _WORDS
 
 
 @query(f"""
@@ -364,7 +381,28 @@ def edge_placement(spark, sf_dir):
     return found.select("query_id", "chunk_id", context.edge_position("rank", "n").cast("long").alias("place"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_BM25},
+i AS (SELECT r.query_id, r.rank, r.chunk_id, d.text, d.source, CAST(greatest(1, length(d.text) // 4) + 20 AS BIGINT) AS cost, {_TOKENS} AS t FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE r.rank <= 10),
+pr AS (SELECT x.query_id, x.rank AS hi, y.rank AS lo FROM i x JOIN i y ON x.query_id = y.query_id AND y.rank < x.rank WHERE len(x.t) > 0 AND len(y.t) > 0 AND CAST(len(list_intersect(x.t, y.t)) AS DOUBLE) / len(list_distinct(list_concat(x.t, y.t))) >= 0.75),
+near AS (SELECT query_id, hi, list(lo) AS los FROM pr GROUP BY query_id, hi),
+fold AS (
+  SELECT query_id, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS held FROM (SELECT DISTINCT query_id FROM i)
+  UNION ALL
+  SELECT f.query_id, i.rank, CASE WHEN n.los IS NOT NULL AND len(list_intersect(n.los, f.held)) > 0 THEN f.held ELSE list_append(f.held, i.rank) END
+  FROM fold f JOIN i ON i.query_id = f.query_id AND i.rank = f.pos + 1 LEFT JOIN near n ON n.query_id = i.query_id AND n.hi = i.rank),
+fin AS (SELECT query_id, arg_max(held, pos) AS held FROM fold GROUP BY query_id),
+k AS (SELECT i.*, row_number() OVER (PARTITION BY i.query_id ORDER BY i.rank) AS pos FROM i JOIN fin USING (query_id) WHERE list_contains(fin.held, i.rank)),
+pack AS (
+  SELECT query_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS spent, CAST([] AS BIGINT[]) AS got FROM (SELECT DISTINCT query_id FROM k)
+  UNION ALL
+  SELECT p.query_id, k.pos, CASE WHEN p.spent + k.cost <= 2400 THEN p.spent + k.cost ELSE p.spent END, CASE WHEN p.spent + k.cost <= 2400 THEN list_append(p.got, k.pos) ELSE p.got END
+  FROM pack p JOIN k ON k.query_id = p.query_id AND k.pos = p.pos + 1),
+adm AS (SELECT query_id, arg_max(got, pos) AS got FROM pack GROUP BY query_id),
+num AS (SELECT k.*, row_number() OVER (PARTITION BY k.query_id ORDER BY k.rank) AS o, count(*) OVER (PARTITION BY k.query_id) AS n FROM k JOIN adm USING (query_id) WHERE list_contains(adm.got, k.pos)),
+pl AS (SELECT *, CASE WHEN n > 2 AND o = 2 THEN n WHEN n > 2 AND o > 2 THEN o - 1 ELSE o END AS place FROM num)
+SELECT query_id, sha256(string_agg('[' || place || '] (source: ' || coalesce(source, '') || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY place)) AS h, CAST(count(*) AS INT) AS n_admitted FROM pl GROUP BY query_id
+""")
 def context_build(spark, sf_dir):
     return context.build_context(_results(spark, sf_dir)).select("query_id", F.sha2("context", 256).alias("h"), F.size("admitted").alias("n_admitted"))
 
@@ -565,7 +603,15 @@ def triples_to_sentences(spark, sf_dir):
     return rows.select(tx.triple_sentence("src", "rel_type", "dst", "evidence").alias("sentence"), tx.triple("src", "rel_type", "dst").alias("triple"))
 
 
-@query()
+_MENTION = _CANON.format("CASE WHEN s_suppkey % 20 = 0 THEN 'x' ELSE '' END || s_name")
+
+
+@query(f"""
+WITH m AS (SELECT s_suppkey AS query_id, {_MENTION} AS k FROM supplier WHERE s_suppkey % 10 = 0), n AS (SELECT DISTINCT {_CANON.format('s_name')} AS c FROM supplier),
+e AS (SELECT query_id, c AS canonical_name FROM m JOIN n ON k = c),
+f AS (SELECT query_id, c, row_number() OVER (PARTITION BY query_id ORDER BY levenshtein(k, c), c) AS place FROM m, n WHERE query_id NOT IN (SELECT query_id FROM e) AND levenshtein(k, c) <= 0.14 * (length(k) + length(c)))
+SELECT query_id, canonical_name, 'exact' AS how FROM e UNION ALL SELECT query_id, c, 'fuzzy' FROM f WHERE place = 1
+""")
 def fuzzy_link(spark, sf_dir):
     """Mentions are the names of suppliers whose key is divisible by 10, every other one with a letter too many."""
     suppliers = _t(spark, sf_dir, "supplier")
@@ -590,7 +636,27 @@ def breaker_trips(spark, sf_dir):
     return reliability.trip_signals(_calls(spark, sf_dir), key="k").select("event_id", "events", "failures", "slow", "trips")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE c AS (SELECT event_id, user_id % 20 AS k, epoch_us(ts) / 1e6 AS secs, ok, latency_ms >= 8000 AS slow, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM ({_CALLS})),
+s AS (
+  SELECT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, '' AS said, 'closed' AS state, CAST(0 AS DOUBLE) AS opened, 0 AS probes, CAST([] AS STRUCT(secs DOUBLE, ok BOOLEAN, slow BOOLEAN)[]) AS calls FROM (SELECT DISTINCT k FROM c)
+  UNION ALL
+  SELECT k, n, event_id, CASE WHEN now = 'rejected' THEN now ELSE after END, CASE WHEN now = 'rejected' THEN 'open' ELSE after END,
+    CASE WHEN now <> 'rejected' AND after = 'open' THEN secs ELSE opened END, CASE WHEN now = 'half_open' AND ok THEN probes - 1 ELSE probes END,
+    CASE WHEN now = 'half_open' AND after = 'closed' THEN CAST([] AS STRUCT(secs DOUBLE, ok BOOLEAN, slow BOOLEAN)[]) ELSE calls END
+  FROM (
+    SELECT *, CASE WHEN now = 'rejected' THEN 'open'
+      WHEN now = 'half_open' THEN CASE WHEN NOT ok THEN 'open' WHEN probes = 1 THEN 'closed' ELSE 'half_open' END
+      WHEN len(list_filter(calls, lambda x: NOT x.ok)) >= 5 OR (len(calls) >= 5 AND CAST(len(list_filter(calls, lambda x: x.slow)) AS DOUBLE) / len(calls) >= 0.5) THEN 'open' ELSE 'closed' END AS after
+    FROM (
+      SELECT k, n, event_id, secs, ok, opened, now, CASE WHEN was = 'open' THEN 3 ELSE probes END AS probes,
+        CASE WHEN now = 'rejected' THEN held WHEN now = 'half_open' THEN list_append(held, mine) ELSE list_filter(list_append(held, mine), lambda x: secs - x.secs <= 60) END AS calls
+      FROM (
+        SELECT s.k, c.n, c.event_id, c.secs, c.ok, s.state AS was, s.opened, s.probes, s.calls AS held, {{'secs': c.secs, 'ok': c.ok, 'slow': c.slow}} AS mine,
+          CASE WHEN s.state = 'open' AND c.secs - s.opened < 30 THEN 'rejected' WHEN s.state = 'open' THEN 'half_open' ELSE s.state END AS now
+        FROM s JOIN c ON c.k = s.k AND c.n = s.n + 1))))
+SELECT event_id, k, said AS state FROM s WHERE n > 0
+""")
 def breaker_states(spark, sf_dir):
     return reliability.breaker_states(_calls(spark, sf_dir), key="k", order="event_id").select("event_id", "k", "state")
 
@@ -642,6 +708,63 @@ def distinctive_terms(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(tx.distinctive_terms("text")).cast("long").alias("n_terms"))
 
 
+_HYPOTHETICAL = "text || chr(10) || chr(10) || trim(reverse(list_last(string_split(text, chr(10) || chr(10)))))"
+
+
+@query(f"WITH {_BM25.replace('lower(text)', f'lower({_HYPOTHETICAL})', 1)} SELECT query_id, chunk_id, score FROM r WHERE rank <= 5")
+def hyde_topk(spark, sf_dir):
+    from tessera.operators import models
+
+    questions, corpus = _lexical(spark, sf_dir)
+    return _hits(routing.hyde_search(questions, lambda q, k: retrieval.lexical_search(q, corpus, k, all_terms=False), models.reversed_reply))
+
+
+@query(f"""
+WITH {_BM25}, k AS (SELECT item_id AS query_id, CASE {' '.join(f"WHEN {_contains(m, _PADDED)} THEN '{kind}'" for kind, m in routing.RULES)} ELSE 'conceptual' END AS kind FROM benchmark),
+y AS (SELECT query_id, kind, CASE kind WHEN 'factual' THEN 5 WHEN 'conceptual' THEN 12 WHEN 'comparative' THEN 20 WHEN 'relational' THEN 15 ELSE 30 END AS most FROM k),
+m AS (SELECT r.query_id, kind, most, chunk_id, rank, score >= 30 AS strong FROM r JOIN y USING (query_id)),
+one AS (SELECT * FROM m WHERE rank <= most AND strong), two AS (SELECT * FROM m WHERE rank <= 2 * most AND query_id NOT IN (SELECT query_id FROM one)),
+ok AS (SELECT DISTINCT query_id FROM two WHERE strong)
+SELECT query_id, kind, chunk_id, 1 AS attempt, 0 AS corrections FROM one UNION ALL SELECT query_id, kind, chunk_id, 2, 1 FROM two WHERE strong OR query_id NOT IN (SELECT query_id FROM ok)
+""")
+def adaptive_policy(spark, sf_dir):
+    questions, corpus = _lexical(spark, sf_dir)
+    index = retrieval.question_postings(questions, corpus)
+    found = routing.adaptive_search(questions, lambda q, k: retrieval.lexical_search(q, None, k, all_terms=False, index=index), floor=30.0)
+    return found.select("query_id", "kind", "chunk_id", "attempt", F.size("corrections").alias("corrections"))
+
+
+@query(r"""
+WITH b AS (SELECT item_id AS case_id, left(text, 40) AS question, text AS answer, left(text, length(text) // 2) AS context FROM benchmark),
+c AS (SELECT *, list_filter(string_split(regexp_replace(trim(answer), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS claims FROM b),
+v AS (SELECT *, len(list_filter(claims, lambda x: contains(context, x))) AS ok FROM c)
+SELECT case_id, CAST(ok AS DOUBLE) / len(claims) AS faithfulness, CAST(len(claims) AS INT) AS claims, CAST(ok AS BIGINT) AS supported, CAST(len(claims) - ok AS BIGINT) AS unsupported,
+  CASE WHEN list_has_any(regexp_extract_all(lower(question), '([a-z0-9]+)', 1), regexp_extract_all(lower(answer), '([a-z0-9]+)', 1)) THEN CAST(1 AS DOUBLE) ELSE 0 END AS answer_relevance
+FROM v
+""")
+def judged_answers(spark, sf_dir):
+    from tessera.operators import models
+
+    text = F.col("text")
+    rows = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.substring("text", 1, 40).alias("question"), text.alias("answer"), F.substring(text, F.lit(1), F.floor(F.length("text") / 2).cast("int")).alias("context"))
+    faithful = metrics.judge_faithfulness(rows, models.literal_judge).select("case_id", "faithfulness", "claims", "supported", "unsupported")
+    return faithful.join(metrics.judge_answer_relevance(rows, models.literal_judge), "case_id")
+
+
+@query("""
+WITH n AS (SELECT item_id AS query_id, doc_id AS position, source AS name, lower(text) AS q FROM benchmark, (SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source)),
+f AS (SELECT query_id, position, name, row_number() OVER (PARTITION BY query_id ORDER BY position, name) AS place FROM n WHERE name <> '' AND NOT contains(q, lower(name))),
+a AS (SELECT query_id, string_agg(name, ' ' ORDER BY place) AS added FROM f WHERE place <= 5 GROUP BY query_id)
+SELECT query_id, sha256(text || ' ' || added) AS h FROM a JOIN benchmark ON item_id = query_id
+""")
+def graph_expansion(spark, sf_dir):
+    """Every question's traversal has discovered the sources, in order of their first document."""
+    questions, corpus = _lexical(spark, sf_dir)
+    names = corpus.groupBy(F.col("source_uri").alias("name")).agg(F.min("chunk_id").alias("position"))
+    seeds = questions.select("query_id").join(F.broadcast(names))
+    return graph.expanded_questions(questions, seeds).select("query_id", F.sha2("question", 256).alias("h"))
+
+
 # Whole plans with the stand-in models.
 @query()
 def gated_answers(spark, sf_dir):

@@ -193,15 +193,16 @@ def static_results(rows: DataFrame, queries: DataFrame, top_k: int = 5, metadata
     return scored.withColumn("score", F.round("s", 4)).drop("s").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
 
-def graph_view(nodes: DataFrame, edges: DataFrame, chapter: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes with their properties and relationships with the names of their ends, of a chapter or all."""
+def graph_view(nodes: DataFrame, edges: DataFrame, chapter: str | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their properties and relationships with the names of their ends, of a chapter or all; limit: rows of each at most, by name."""
     if chapter is not None:
         nodes, edges = nodes.where(F.col("chapter") == chapter), edges.where(F.col("chapter") == chapter)
     names = nodes.select("tenant_id", F.col("canonical_name").alias("k"), F.coalesce("name", "canonical_name").alias("n"))
     ends = edges.join(names.select("tenant_id", F.col("k").alias("src"), F.col("n").alias("source")), ["tenant_id", "src"])
     ends = ends.join(names.select("tenant_id", F.col("k").alias("dst"), F.col("n").alias("target")), ["tenant_id", "dst"])
     shown = nodes.select("tenant_id", F.col("canonical_name").alias("id"), F.coalesce("name", "canonical_name").alias("label"), "entity_type", "confidence")
-    return shown, ends.select("tenant_id", "source", "rel_type", "target", "source_uri", "confidence")
+    ends = ends.select("tenant_id", "source", "rel_type", "target", "source_uri", "confidence")
+    return (shown, ends) if limit is None else (shown.orderBy("tenant_id", "id").limit(limit), ends.orderBy("tenant_id", "source", "rel_type", "target", "source_uri").limit(limit))
 
 
 def register_graph(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> None:

@@ -111,12 +111,15 @@ def degrade(config: Column | str, pressure: Column | str) -> Column:
     return out
 
 
-def cached_answers(queries: DataFrame, entries: DataFrame, threshold: float = 0.93) -> DataFrame:
+def cached_answers(queries: DataFrame, entries: DataFrame, threshold: float = 0.93, own: str | None = None) -> DataFrame:
     """(query_id, seq): the first entry(tenant_id, corpus_version, seq, vector) at the threshold for each query; misses have none.
 
+    own: a column of queries with the entry that is the query itself and doesn't count.
+
     The cache is bounded per tenant and version by its own limit, and those are join keys.
     """
     pairs = queries.join(entries, ["tenant_id", "corpus_version"])
+    pairs = pairs if own is None else pairs.where(~F.col("seq").eqNullSafe(F.col(own)))
     near = pairs.where(F.round(cosine("qvec", "vector"), 6) >= threshold)
     return near.groupBy("query_id").agg(F.min("seq").alias("seq"))
 
