@@ -89,6 +89,30 @@ def op8_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# Pieces of 1000 bytes with what the windows behind them need, so that a window is cut from a short string.
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), z AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+p AS (SELECT doc_id, n, g, substr(h, 2000 * g + 1, 2198) AS part FROM (SELECT *, unnest(range(0, n // 1000 + 1)) AS g FROM z)),
+w AS (SELECT doc_id, n, 1000 * g + j AS i, substr(part, 2 * j + 1, 2) AS byte, CASE WHEN 1000 * g + j + 100 <= n THEN md5(substr(part, 2 * j + 1, 200)) END AS win
+  FROM (SELECT *, unnest(range(0, least(1000, n - 1000 * g))) AS j FROM p)),
+f AS (SELECT win, min({'d': doc_id, 'i': i}) AS least FROM w WHERE win IS NOT NULL GROUP BY win),
+c AS (SELECT w.doc_id, w.i, byte, coalesce(max(CASE WHEN f.least IS NOT NULL AND f.least <> {'d': w.doc_id, 'i': w.i} THEN w.i END)
+  OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone FROM w LEFT JOIN f ON w.win = f.win),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS begins FROM c),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM s GROUP BY doc_id)
+SELECT z.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM z LEFT JOIN k ON z.doc_id = k.doc_id
+"""
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+w AS (SELECT doc_id, i, word, CASE WHEN i + 49 <= len(t) THEN md5(array_to_string(list_slice(t, i, i + 49), ' ')) END AS win FROM (SELECT doc_id, t, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS i FROM d)),
+f AS (SELECT win, min(doc_id) AS least FROM w WHERE win IS NOT NULL GROUP BY win),
+c AS (SELECT w.doc_id, w.i, word, coalesce(max(CASE WHEN f.least < w.doc_id THEN w.i END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) > 0 AS gone FROM w LEFT JOIN f ON w.win = f.win),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -142,4 +166,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_chat": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_suffix_dedup": OP7_SQL, "op8_automaton_dedup": OP8_SQL, "op9_chat": OP9_SQL}
