@@ -34,7 +34,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array(list(map(xxhash.xxh64_intdigest, words_of(text))), dtype=np.uint64)
 
 
-WINDOWS = repeats.Windows(WORDS, 8, False, 50_000, word_hashes, "uint64")
+WINDOWS = repeats.Windows(WORDS, 8, False, 50_000, word_hashes, "uint64", compare_copies=True)
 
 
 class SuffixAutomaton:

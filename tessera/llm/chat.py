@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import text_batches
+
 # The control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -187,7 +189,7 @@ def format_records(df: DataFrame, record_col: str = "record", layouts: list[dict
             rows.append((layout["name"], mark, formatted, spans, [{"role": r, "text": t} for r, t in turns]))
         return pd.DataFrame(rows, columns=["layout", "fingerprint", "formatted", "loss_spans", "turns"])
 
-    return df.withColumn("chat", chat(F.col(record_col)))
+    return text_batches(df).withColumn("chat", chat(F.col(record_col)))
 
 
 def turn_records(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

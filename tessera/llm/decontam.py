@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import begin_task, free_name, materialize
+from tessera.llm.shared import begin_task, free_name, materialize, text_batches
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -347,7 +347,7 @@ def with_leaks(
     schema = f"array<struct<item:{kind},score:double,question_overlap:double,answer_overlap:double>>"
     items = benchmark.select(item_col, *([question_col, answer_col] if question_col else [item_text_col]))
     held = free_name(docs, "held")
-    found = docs.withColumn(held, F.array().cast(schema))
+    found = text_batches(docs).withColumn(held, F.array().cast(schema))
     indexes = _indexes(items, threshold)
     built = next(indexes, None)
     while built is not None:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import text_batches
+
 # Frequent function words of the languages served.
 STOP_WORDS = {
     "en": "a about all also an and any are as at be been but by can did do for from had has have he her his how i if in into is it its more my no not of on one or our she so some that the their them then there they this to up was we were what when which who will with would you your",
@@ -232,4 +234,4 @@ def extract_main_text(pages: DataFrame, *, html_col: str = "html", out_col: str
         for pages in it:
             yield pages.map(main_text, na_action=None)
 
-    return pages.select(*[F.col(f"`{c}`") for c in kept], extract(F.col(html_col)).alias(out_col))
+    return text_batches(pages).select(*[F.col(f"`{c}`") for c in kept], extract(F.col(html_col)).alias(out_col))

@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import text_batches
+
 PIECES_SCHEMA = "{id} {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids of one partition.
 SEQUENCES_PER_PARTITION = 1 << 40
@@ -143,7 +145,7 @@ def pack_documents(
             yield batch(schema)
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, PIECES_SCHEMA.format(id=f"`{id_col}`", id_type=id_type))
+    return text_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, PIECES_SCHEMA.format(id=f"`{id_col}`", id_type=id_type))
 
 
 def sequences(pieces: DataFrame, *, max_len: int = 2048, pad_id: int = 0) -> DataFrame:

@@ -7,11 +7,12 @@ on and on are one run. Two hashes name a run: h, of the minimizer, and f, of the
 an equal one in a run with the same h, so nearly all of a corpus ends where an h has one run only. What is left is
 compared unit by unit by the operator that asks (see suffix_dedup and automaton_dedup), group of h by group:
 
-- of each different fragment the first two runs are compared (of two documents, where repeats within one don't count);
-- further copies are members of their fragment, which is there once more before them: they are repeated whole.
+- of each different fragment the first run is compared, and with ``compare_copies`` the first copy (of another document, where
+  repeats within one don't count);
+- further copies are members of their fragment, which stands before them, and are repeated whole: they have its two hashes.
 
-Third and further copies within a batch are settled before the shuffle and dealt out by themselves, so a passage that stands in a
-third of all documents brings two runs of a batch together. A group with more than ``max_units`` units is split by further
+Members within a batch are settled before the shuffle and dealt out by themselves, so a passage that stands in a
+third of all documents brings one or two runs of a batch together. A group with more than ``max_units`` units is split by further
 units: windows are told apart by where their minimizer stands in them, in intervals, and by the units that all
 windows of an interval have around it. Equal windows stay together; after two such splits a group is one window's copies. So
 every group that is compared is bounded, and all are compared in the same way.
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import begin_task, materialize, split_by_keys
+from tessera.llm.shared import begin_task, materialize, split_by_keys, text_batches
 
 #: Units that are hashed at once, so that the arrays stay in a core's cache (positions take 24 bits beside the hash).
 BATCH_UNITS = 1 << 16
@@ -50,7 +51,8 @@ HOLD = 1 << 19
 @dataclass(frozen=True)
 class Windows:
     """length: units of a window; k: units of a k-mer (a power of two); own_document: repeats within a document count;
-    max_units: units of one group's fragments that are compared in one task, larger groups are split; units: of a text, of dtype."""
+    max_units: units of one group's fragments that are compared in one task, larger groups are split; units: of a text, of dtype;
+    compare_copies: a fragment's first copy is compared too, so that the units decide that it is one."""
 
     length: int
     k: int
@@ -58,6 +60,7 @@ class Windows:
     max_units: int
     units: Callable[[str], np.ndarray]
     dtype: str
+    compare_copies: bool = False
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -163,22 +166,23 @@ def batches_of(texts: Iterator[tuple[int, str | None]], w: Windows) -> Iterator[
         yield whole()
 
 
-def beyond_two(key: np.ndarray, new: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """(copies, those beyond the first two) of fragments' runs in order of key and place; new: where a fragment begins.
+def copies_and_members(key: np.ndarray, new: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """(copies, members) of fragments' runs in order of key and place; new: where a fragment begins.
 
-    Where repeats within a document don't count, copies are the runs in other documents than the first one's.
+    Where repeats within a document don't count, copies are the runs in other documents than the first one's. Members are the copies
+    that aren't compared.
     """
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
     copy = ~new if w.own_document else key != key[lead]
-    at = np.flatnonzero(copy)
-    second = at[np.unique(lead[at], return_index=True)[1]]
-    beyond = copy.copy()
-    beyond[second] = False
-    return copy, beyond
+    member = copy.copy()
+    if w.compare_copies:
+        at = np.flatnonzero(copy)
+        member[at[np.unique(lead[at], return_index=True)[1]]] = False
+    return copy, member
 
 
 def settled_batch(gathered: list[tuple], w: Windows, units: list[bytes] | None = None):
-    """A record batch of RUNS_SCHEMA (and units) of gathered (h, f, key, place, windows, loops): copies beyond two are settled."""
+    """A record batch of RUNS_SCHEMA (and units) of gathered (h, f, key, place, windows, loops): members are settled."""
     import pyarrow as pa
 
     h, f, key, place, count, loops = (np.concatenate(c) for c in zip(*gathered, strict=True))
@@ -189,7 +193,7 @@ def settled_batch(gathered: list[tuple], w: Windows, units: list[bytes] | None =
     h, f, key, place, count, loops = (c[order] for c in (h, f, key, place, count, loops))
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
-    settled = beyond_two(key, new, w)[1]
+    settled = copies_and_members(key, new, w)[1]
     columns = [pa.array(c) for c in (h.view(np.int64), f.view(np.int64), key, place.astype(np.int32), count.astype(np.int32), loops, settled)]
     names = ["h", "f", "key", "start", "windows", "loops", "settled"]
     if units is not None:
@@ -199,7 +203,7 @@ def settled_batch(gathered: list[tuple], w: Windows, units: list[bytes] | None =
 
 
 def document_runs(docs: DataFrame, w: Windows) -> DataFrame:
-    """RUNS_SCHEMA for docs(key, text): runs, further copies within a batch settled already."""
+    """RUNS_SCHEMA for docs(key, text): runs, members within a batch settled already."""
 
     def find(batches: Iterator) -> Iterator:
         begin_task("repeats")
@@ -219,7 +223,7 @@ def document_runs(docs: DataFrame, w: Windows) -> DataFrame:
         if gathered:
             yield settled_batch(gathered, w)
 
-    return docs.select("key", "text").mapInArrow(find, RUNS_SCHEMA)
+    return text_batches(docs).select("key", "text").mapInArrow(find, RUNS_SCHEMA)
 
 
 def split_runs(pieces: DataFrame, w: Windows, width: int) -> DataFrame:
@@ -279,13 +283,13 @@ def found_runs(every: DataFrame, w: Windows, last: bool = False) -> DataFrame:
             new_h[1:] = h[1:] != h[:-1]
             new_f[1:] = new_h[1:] | (f[1:] != f[:-1])
             of_h, of_f = np.cumsum(new_h) - 1, np.cumsum(new_f) - 1
-            copy, beyond = beyond_two(key, new_f, w)
-            compared = (np.bincount(of_h, weights=new_f)[of_h] > 1) | (np.bincount(of_f, weights=copy)[of_f] > 0) | (loops & w.own_document) | hot
-            units = np.bincount(of_h, weights=(compared & ~beyond) * (windows + (w.length - 1)))[of_h]
-            kind = np.where(beyond, MEMBER, np.where((units > w.max_units) | hot, COMPARE if last else SPLIT, COMPARE))
+            copy, member = copies_and_members(key, new_f, w)
+            compared = (np.bincount(of_h, weights=new_f)[of_h] > 1) | (np.bincount(of_f, weights=copy & ~member)[of_f] > 0) | (loops & w.own_document) | hot
+            units = np.bincount(of_h, weights=(compared & ~member) * (windows + (w.length - 1)))[of_h]
+            kind = np.where(member, MEMBER, np.where((units > w.max_units) | hot, COMPARE if last else SPLIT, COMPARE))
             if last:  # a window's further places in the first document aren't repeats of another one
                 compared &= new_f | copy
-            keep = beyond | compared
+            keep = member | compared
             keep[:carried] = False
             ends = np.flatnonzero(of_f == of_f[-1])
             first_copy = ends[copy[ends]][:1]

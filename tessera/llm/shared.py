@@ -34,6 +34,18 @@ def begin_task(owner: str) -> None:
         pass
 
 
+#: Rows of whole texts that go to a Python worker at once.
+TEXT_ROWS = 2_000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df; Arrow batches of its session hold at most TEXT_ROWS rows from here on, as both sides of a worker hold them in memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, TEXT_ROWS)
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores in front until no column of df has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import begin_task, free_name, materialize, split_by_keys, with_order_key
+from tessera.llm.shared import begin_task, free_name, materialize, split_by_keys, text_batches, with_order_key
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             values = np.array([simhash(t.as_py()) for t in b.column(1)], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values)], names=[id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    return text_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp bigint")
 
 
 #: Pairs of places (1..31) whose exclusive or is a syndrome: the two-bit flips that lead from a word to a code word.
@@ -245,8 +245,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 CHECK_SHINGLE, CHECK_SIMILARITY, SEEDS = 5, 0.8, 2
 #: Common shingles are counted in one of so many texts, and at most so many are told apart.
 SAMPLED, COMMON = 16, 50_000
-#: Rows whose shingles a worker holds at once.
-PART = 256
+#: Rows whose shingles a worker holds at once, and classes of the parities that go along with shingles.
+PART, FOLD = 256, 1024
 
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -328,8 +328,8 @@ def parity_distance(a: bytes, b: bytes) -> int:
 
 
 def profiles(keyed: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(key, d, fp, n, prefix, parity) of all texts, read once: a digest of the text, its word fingerprints and, of its n shingles,
-    the parities and the prefix: the first in the order of how common they are, then of the hash. Two sets at
+    """(key, d, fp, n, prefix, parity, fold) of all texts, read once: a digest of the text, its word fingerprints and, of its n shingles,
+    the parities, those in FOLD classes, and the prefix: the first in the order of how common they are, then of the hash. Two sets at
     CHECK_SIMILARITY share one of their prefixes' shingles, as what is left is too small for the overlap.
     """
     import hashlib
@@ -344,7 +344,7 @@ def profiles(keyed: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFr
             return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, dtype="<i8"), *of])))
 
         for b in in_parts(batches):
-            digests, marks, sizes, first, bits = [], [], [], [], []
+            digests, marks, sizes, first, bits, folds = [], [], [], [], [], []
             for t in b.column(1):
                 text = t.as_py() or ""
                 digests.append(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest())
@@ -353,14 +353,15 @@ def profiles(keyed: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFr
                 s = shingles_of(words)
                 sizes.append(len(s))
                 bits.append(parity(s))
+                folds.append(np.packbits(np.bincount(s & (FOLD - 1), minlength=FOLD) & 1, bitorder="little").view("<i8"))
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
                 first.append(s[: len(s) - math.ceil(CHECK_SIMILARITY * len(s) - 1e-9) + 1].copy())
-            columns = [b.column(0), pa.array(digests, pa.binary()), lists(marks), pa.array(sizes, pa.int32()), lists(first), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "d", "fp", "n", "prefix", "parity"])
+            columns = [b.column(0), pa.array(digests, pa.binary()), lists(marks), pa.array(sizes, pa.int32()), lists(first), pa.array(bits, pa.binary()), lists(folds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "d", "fp", "n", "prefix", "parity", "fold"])
 
-    return keyed.select("key", "text").mapInArrow(run, "key bigint, d binary, fp array<bigint>, n int, prefix array<bigint>, parity binary")
+    return text_batches(keyed).select("key", "text").mapInArrow(run, "key bigint, d binary, fp array<bigint>, n int, prefix array<bigint>, parity binary, fold array<bigint>")
 
 
 def by_shingle(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -413,8 +414,19 @@ def _stars(s: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray) -> It
         yield np.minimum(a, b), np.maximum(a, b)
 
 
-def _apart(s: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """All pairs of a shingle's rows that are in different components."""
+def _mixed(s: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows of shingles that stand in several components."""
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = s[1:] != s[:-1]
+    group = np.cumsum(new) - 1
+    keep = (np.bincount(group, weights=root != root[np.flatnonzero(new)][group]) > 0)[group]
+    yield s[keep], key[keep], n[keep], pos[keep], root[keep]
+
+
+def _apart(s: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, *bits: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """All pairs of a shingle's rows that are in different components, but for those that sizes, places or parities rule out."""
+    marks = np.stack(bits, axis=1).view("<u8")
+    most = (1 - CHECK_SIMILARITY) / (1 + CHECK_SIMILARITY)
     found, held, i = [np.empty((0, 2), dtype="<i8")], 0, np.arange(len(s))
     for step in range(1, len(s)):
         i = i[: np.searchsorted(i, len(s) - step)]
@@ -422,6 +434,8 @@ def _apart(s: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, root:
         if not len(i):
             break
         near = i[(root[i] != root[i + step]) & _enough(n, pos, i, i + step)]
+        differ = np.bitwise_count(marks[near] ^ marks[near + step]).sum(axis=1)
+        near = near[differ <= most * (n[near] + n[near + step]) + 1e-6]
         found.append(np.stack([np.minimum(key[near], key[near + step]), np.maximum(key[near], key[near + step])], axis=1))
         held += len(near)
         if held >= 1 << 20:
@@ -489,7 +503,9 @@ def near_duplicate_texts(keyed: DataFrame) -> DataFrame:
     links = standing(fingerprint_links(distinct).unionByName(equal).unionByName(stars))
     joined = components(links)
     rooted = shared.join(joined, shared["key"] == joined["node"], "left").select("s", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
-    linked = components(links.unionByName(standing(by_shingle(rooted, _apart, "a bigint, b bigint"))))
+    mixed = by_shingle(rooted, _mixed, "s bigint, key bigint, n int, pos int, root bigint")
+    marked = mixed.join(ordered.select("key", *[F.col("fold")[i].alias(f"f{i}") for i in range(FOLD // 64)]), "key").select(*mixed.columns, *[f"f{i}" for i in range(FOLD // 64)])
+    linked = components(links.unionByName(standing(by_shingle(marked, _apart, "a bigint, b bigint"))))
     return exact.join(linked, exact["first"] == linked["node"], "left").select("key", F.coalesce("root", "first").alias("root"))
 
 

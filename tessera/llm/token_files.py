@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from tessera.llm.shared import text_batches
 from pyspark.sql import types as T
 
 BATCH_ROWS = 256
@@ -123,7 +125,7 @@ def write_token_files(
             columns = [pa.array([base + part], pa.int32()), pa.array([n_docs]), pa.array([n_tokens])]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "docs", "tokens"])
 
-    ordered = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).repartitionByRange(shards, "d").sortWithinPartitions("d", "t")
+    ordered = text_batches(docs).select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).repartitionByRange(shards, "d").sortWithinPartitions("d", "t")
     return sorted(ordered.mapInArrow(run, MANIFEST).collect())  # a row per shard
 
 

@@ -171,7 +171,7 @@ def question_mentions(queries: DataFrame, model=None) -> DataFrame:
     """(query_id[, tenant_id], mention): those that a model lists, or runs of capitalized words where it lists none."""
     spoken = tx.capitalized_mentions("question")
     if model is not None:
-        listed = F.filter(F.transform(tx.json_array(model(tx.fill_template("mentions", question="question"))), F.trim), lambda m: m != "")
+        listed = F.filter(F.transform(tx.json_array(model(tx.fill_template("mentions", question="question"))), lambda m: F.trim(m)), lambda m: m != "")
         spoken = F.when(F.size(F.coalesce(listed, F.array().cast("array<string>"))) > 0, listed).otherwise(spoken)
     return queries.select(*[c for c in ("tenant_id", "query_id") if c in queries.columns], F.explode(spoken).alias("mention"))
 
