@@ -136,8 +136,9 @@ def truncate(text: Column | str, n: int) -> Column:
 
 
 def numbered_blocks(results: Column | str) -> Column:
-    """Blocks ``[i] (relevance s)`` over the content, from an array of (content, score) in order."""
-    blocks = F.transform(_col(results), lambda r, i: F.format_string("[%d] (relevance %.3f)\n%s", i + 1, r["score"], r["content"]))
+    """Blocks ``[i] (relevance s)`` over the content, from an array of (content, score) in order; scores between two of three places to the even one."""
+    told = lambda s: F.when(s * 16 == F.floor(s * 16), F.bround(s, 3)).otherwise(s)  # noqa: E731 - only sixteenths are exactly between
+    blocks = F.transform(_col(results), lambda r, i: F.format_string("[%d] (relevance %.3f)\n%s", i + 1, told(r["score"]), r["content"]))
     return F.array_join(blocks, "\n\n")
 
 

@@ -776,15 +776,6 @@ def gated_answers(spark, sf_dir):
     return answering.answer(questions, results, models.generate(lambda: models.extractive_answer)).select("query_id", "abstained", "reason", "passed", F.round("coverage", 6).alias("coverage"))
 
 
-@query()
-def reranked(spark, sf_dir):
-    from tessera.operators import models
-
-    questions, _ = _lexical(spark, sf_dir)
-    judge = models.generate(lambda: models.overlap_judge)
-    return rerank.rerank(_results(spark, sf_dir), questions, judge).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "retriever")
-
-
 @query()
 def agent_answers(spark, sf_dir):
     from tessera.operators import models
@@ -799,3 +790,6 @@ def agent_answers(spark, sf_dir):
 
     done = agent.run_agent(questions, {"vector": search, "hybrid": search, "graph": search}, generator=models.generate(lambda: models.extractive_answer), deadline_seconds=1e9)
     return done.select("query_id", "terminated_by", "iteration", F.round("coverage", 6).alias("coverage"), "needs_human")
+
+
+from tessera.plans import registry_more  # noqa: E402, F401  adds its queries to these
