@@ -83,13 +83,14 @@ def balanced_windows(sizes: np.ndarray, max_len: int) -> np.ndarray:
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048,
-    end_id: int | None = 1, piece_len: int = 512, group_pieces: int = 1024,
+    end_id: int | None = 1, piece_len: int = 512, group_pieces: int = 1024, memo_pieces: int | None = None,
 ) -> DataFrame:
     """One row per piece: where it stands in its document, its ids, and its place in a sequence.
 
     A null or empty text is just its end id (no row if ``end_id`` is None). Null and repeated ids are packed
     like any other row. Other columns are ignored, whatever their names. An empty table gives no rows. A very long text is
     encoded at once and is as many pieces as it needs: a task holds one document's ids and group_pieces tails.
+    memo_pieces: words whose ids a worker keeps, for less memory or less work (see tokens); ids are the same with any.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -98,7 +99,7 @@ def pack_documents(
 
         from tessera.llm import tokens
 
-        encoder = tokens.encoder(tokenizer_path)
+        encoder = tokens.encoder(tokenizer_path, memo_pieces or tokens.MEMO_PIECES)
         base = TaskContext.get().partitionId() * SEQUENCES_PER_PARTITION
         end = b"" if end_id is None else np.uint32(end_id).tobytes()
         made, tails, out, held = 0, [], [], 0

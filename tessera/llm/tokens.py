@@ -96,14 +96,14 @@ class PieceEncoder(dict):
         return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The encoder of this Python worker for a vocabulary; the memo of another vocabulary is dropped."""
+def encoder(path: str, memo_pieces: int = MEMO_PIECES) -> PieceEncoder:
+    """The encoder of this Python worker for a vocabulary; the memo of another vocabulary or size is dropped."""
     begin_task("tokens")
-    if path not in _encoders:
+    if (path, memo_pieces) not in _encoders:
         _encoders.clear()
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path, memo_pieces] = PieceEncoder(path, memo_pieces)
         keep_memo("tokens", _encoders.clear)
-    return _encoders[path]
+    return _encoders[path, memo_pieces]
