@@ -40,7 +40,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens as pieces of sequences of 2048."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # executors still hold what the stages before took, so workers keep fewer words than they do by default
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), memo_pieces=150_000)
 
 
 STAGES = [
