@@ -78,15 +78,15 @@ def split_recursively(text: str, size: int, overlap: int, separators: list[str])
     return [*chunks, *_merge(short, size, overlap)]
 
 
-def map_chunks(docs: DataFrame, cut: Callable[[str], list[str]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, position, content) by a function of one text; null and empty texts have no chunks."""
+def map_chunks(docs: DataFrame, cut: Callable[[str], list[str]], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns to keep, position, content) by a function of one text; null and empty texts have no chunks."""
 
     @F.pandas_udf("array<string>")
     def chunked(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
             yield pd.Series([cut(t) if t else [] for t in s], dtype=object)
 
-    return docs.select(id_col, F.posexplode(chunked(F.col(text_col))).alias("position", "content"))
+    return docs.select(id_col, *keep, F.posexplode(chunked(F.col(text_col))).alias("position", "content"))
 
 
 def recursive(docs: DataFrame, size: int = 500, overlap: int = 50, *, separators: list[str] | None = None, **columns: str) -> DataFrame:
@@ -100,10 +100,9 @@ def parent_child(
     """(parents, children): children of each parent, content-addressed, with the section in front if there is one."""
     uri = F.col(id_col).cast("string")
     parents = recursive(docs, parent_chars, 0, id_col=id_col, text_col=text_col).withColumn("parent_id", scores.stable_id(uri, "position", "content"))
-    cut = map_chunks(parents, lambda t: split_recursively(t, child_chars, child_overlap, CHILD_SEPARATORS), id_col="parent_id", text_col="content")
-    owner = parents.select("parent_id", id_col).distinct()
+    cut = map_chunks(parents, lambda t: split_recursively(t, child_chars, child_overlap, CHILD_SEPARATORS), id_col="parent_id", text_col="content", keep=(id_col,))
     prefix = f"{section}\n" if section else ""
-    children = cut.join(owner, "parent_id").select(
+    children = cut.select(
         id_col, "parent_id", scores.stable_id(uri, "position", "content").alias("child_id"), "position", F.concat(F.lit(prefix), "content").alias("content")
     )
     return parents, children
