@@ -258,7 +258,16 @@ def lexical_and_match(spark, sf_dir):
     return _hits(retrieval.lexical_search(*_lexical(spark, sf_dir), 5))
 
 
-@query()
+@query(f"""
+WITH {_BM25},
+o AS (SELECT x.query_id, x.chunk_id, x.p, q.term FROM (SELECT a.query_id, a.chunk_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS p FROM a JOIN d ON d.doc_id = a.chunk_id) x JOIN q ON q.query_id = x.query_id AND q.term = x.term),
+l AS (SELECT x.query_id, x.chunk_id, x.p, y.term, max(y.p) AS last FROM o x JOIN o y ON x.query_id = y.query_id AND x.chunk_id = y.chunk_id AND y.p <= x.p GROUP BY ALL),
+c AS (SELECT query_id, chunk_id, p, min(last) AS first FROM l JOIN n USING (query_id) GROUP BY query_id, chunk_id, p, n_terms HAVING count(*) = n_terms),
+e AS (SELECT query_id, chunk_id, first, min(p) AS p FROM c GROUP BY ALL),
+z AS (SELECT query_id, chunk_id, round(sum(CAST(1 AS DOUBLE) / (p - first + 1)), 6) AS score FROM e GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM z)
+SELECT query_id, chunk_id, score FROM k WHERE place <= 5
+""")
 def lexical_cover_density(spark, sf_dir):
     return _hits(retrieval.cover_density(*_lexical(spark, sf_dir), 5))
 
@@ -295,7 +304,25 @@ def rrf_weighted(spark, sf_dir):
     return _ranked(retrieval.fuse(_two_rankings(spark, sf_dir), [0.6, 0.4], 60, 5))
 
 
-@query()
+# The stand-in embedder: CRC-32 of a term, byte by byte by the table of its polynomial, then counts per place at unit length.
+_HASHED = """
+ct AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS b))),
+tx AS (SELECT 0 AS side, item_id AS id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS t FROM benchmark UNION ALL SELECT 1, doc_id, t FROM d),
+tw AS (SELECT side, id, unnest(t) AS term FROM tx),
+th AS (SELECT term, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(term, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(ct.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % {dim} AS place
+  FROM (SELECT DISTINCT term FROM tw), ct),
+tc AS (SELECT side, id, place, CAST(count(*) AS DOUBLE) AS c FROM tw JOIN th USING (term) GROUP BY ALL),
+tn AS (SELECT side, id, CAST(CAST(sqrt(sum(c * c)) AS FLOAT) AS DOUBLE) AS size FROM tc GROUP BY ALL),
+tv AS (SELECT side, id, place, CAST(CAST(c / size AS FLOAT) AS DOUBLE) AS v FROM tc JOIN tn USING (side, id)),
+tl AS (SELECT side, id, sqrt(sum(v * v)) AS size FROM tv GROUP BY ALL),
+dv AS (SELECT x.id AS query_id, y.id AS chunk_id, sum(x.v * y.v) AS dot FROM tv x JOIN tv y ON x.side = 0 AND y.side = 1 AND x.place = y.place GROUP BY ALL),
+ds AS (SELECT b.item_id AS query_id, doc_id AS chunk_id, round(coalesce(dot / (x.size * y.size), 0), 6) AS score FROM benchmark b CROSS JOIN documents
+  LEFT JOIN dv ON dv.query_id = b.item_id AND dv.chunk_id = doc_id LEFT JOIN tl x ON x.side = 0 AND x.id = b.item_id LEFT JOIN tl y ON y.side = 1 AND y.id = doc_id),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds)
+"""
+
+
+@query(f"WITH {_BM25}, {_HASHED.format(dim=64)} {_RRF.format(a=0.6, b=0.4).replace('FROM r WHERE', 'FROM dr WHERE')}")
 def hybrid_search(spark, sf_dir):
     from tessera.operators.models import hashed_embedding
 
