@@ -135,6 +135,18 @@ def overlap_ratio(spark, sf_dir):
     return chunking.overlap_ratio(chunking.fixed_size(_t(spark, sf_dir, "documents"))).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
 
 
+# The stand-in embedder over tw(side, id, term): CRC-32 of a term, byte by byte by the table of its polynomial, then counts per place
+# at unit length.
+_HASHED = """
+ct AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS b))),
+th AS (SELECT term, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(term, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(ct.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % {dim} AS place
+  FROM (SELECT DISTINCT term FROM tw), ct),
+tc AS (SELECT side, id, place, CAST(count(*) AS DOUBLE) AS c FROM tw JOIN th USING (term) GROUP BY ALL),
+tn AS (SELECT side, id, CAST(CAST(sqrt(sum(c * c)) AS FLOAT) AS DOUBLE) AS size FROM tc GROUP BY ALL),
+tv AS (SELECT side, id, place, CAST(CAST(c / size AS FLOAT) AS DOUBLE) AS v FROM tc JOIN tn USING (side, id))
+"""
+
+
 def _digest(chunks: DataFrame, *keys: str) -> DataFrame:
     return chunks.select(*keys, F.col("position").cast("long").alias("position"), F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("h"))
 
@@ -157,7 +169,25 @@ def structure_chunks(spark, sf_dir):
     return _digest(chunking.by_structure(docs), "doc_id")
 
 
-@query()
+@query(f"""
+WITH x AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?])[\\x09-\\x0d\\x{{85}}\\p{{Z}}]+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda y: trim(y) <> '') AS a FROM documents),
+s AS (SELECT doc_id, len(a) AS n, unnest(a) AS s, unnest(range(len(a))) AS i FROM x),
+tw AS (SELECT doc_id AS side, i AS id, unnest(regexp_extract_all(lower(s), '([a-z0-9]+)', 1)) AS term FROM s), {_HASHED.format(dim=16)},
+v AS (SELECT side, id, map_from_entries(list((place, v))) AS m FROM tv GROUP BY ALL),
+e AS (SELECT doc_id, n, s, i, list_transform(range(16), lambda p: coalesce(m[p], CAST(0 AS DOUBLE))) AS v, m IS NULL AS none FROM s LEFT JOIN v ON side = doc_id AND id = i),
+g AS (SELECT *, lag(v) OVER o AS b, lag(none) OVER o AS bare FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, n, s, i, CASE WHEN i > 0 THEN 1 - CASE WHEN none OR bare THEN 0 ELSE list_cosine_similarity(v, b) END END AS d FROM g),
+l AS (SELECT doc_id, list(d ORDER BY d) AS ds, CAST(0.85 AS DOUBLE) * (count(d) - 1) AS place FROM p WHERE d IS NOT NULL GROUP BY doc_id),
+t AS (SELECT doc_id, CASE WHEN ds[CAST(floor(place) AS INT) + 1] = ds[CAST(ceil(place) AS INT) + 1] THEN ds[CAST(floor(place) AS INT) + 1]
+  ELSE (ceil(place) - place) * ds[CAST(floor(place) AS INT) + 1] + (place - floor(place)) * ds[CAST(ceil(place) AS INT) + 1] END AS t FROM l),
+f AS (SELECT doc_id, list({{'cuts': CAST([] AS BIGINT[]), 'size': CAST(-1 AS BIGINT), 'len': length(s), 'far': coalesce(d > t, FALSE), 'n': n, 'i': i}} ORDER BY i) AS a FROM p LEFT JOIN t USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, list_reduce(list_prepend(a[1], a), lambda z, y: {{
+  'cuts': CASE WHEN z.size >= 0 AND y.n >= 3 AND ((y.far AND z.size >= 200) OR z.size + y.len > 1500) THEN list_append(z.cuts, y.i) ELSE z.cuts END,
+  'size': CASE WHEN z.size < 0 OR (y.n >= 3 AND ((y.far AND z.size >= 200) OR z.size + y.len > 1500)) THEN y.len ELSE z.size + y.len + 1 END,
+  'len': y.len, 'far': y.far, 'n': y.n, 'i': y.i}}).cuts AS cuts FROM f),
+k AS (SELECT s.doc_id, len(list_filter(cuts, lambda y: y <= i)) AS position, string_agg(s, ' ' ORDER BY i) AS content FROM s JOIN c ON s.doc_id = c.doc_id GROUP BY ALL)
+SELECT doc_id, CAST(position AS BIGINT) AS position, CAST(length(content) AS BIGINT) AS n_chars, sha256(content) AS h FROM k
+""")
 def semantic_chunks(spark, sf_dir):
     from tessera.operators.models import hashed_embedding
 
@@ -304,16 +334,8 @@ def rrf_weighted(spark, sf_dir):
     return _ranked(retrieval.fuse(_two_rankings(spark, sf_dir), [0.6, 0.4], 60, 5))
 
 
-# The stand-in embedder: CRC-32 of a term, byte by byte by the table of its polynomial, then counts per place at unit length.
-_HASHED = """
-ct AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS b))),
-tx AS (SELECT 0 AS side, item_id AS id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS t FROM benchmark UNION ALL SELECT 1, doc_id, t FROM d),
-tw AS (SELECT side, id, unnest(t) AS term FROM tx),
-th AS (SELECT term, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(term, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(ct.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % {dim} AS place
-  FROM (SELECT DISTINCT term FROM tw), ct),
-tc AS (SELECT side, id, place, CAST(count(*) AS DOUBLE) AS c FROM tw JOIN th USING (term) GROUP BY ALL),
-tn AS (SELECT side, id, CAST(CAST(sqrt(sum(c * c)) AS FLOAT) AS DOUBLE) AS size FROM tc GROUP BY ALL),
-tv AS (SELECT side, id, place, CAST(CAST(c / size AS FLOAT) AS DOUBLE) AS v FROM tc JOIN tn USING (side, id)),
+_DENSE_RANKS = f"""
+tw AS (SELECT 0 AS side, item_id AS id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS term FROM benchmark UNION ALL SELECT 1, doc_id, unnest(t) FROM d), {_HASHED.format(dim=64)},
 tl AS (SELECT side, id, sqrt(sum(v * v)) AS size FROM tv GROUP BY ALL),
 dv AS (SELECT x.id AS query_id, y.id AS chunk_id, sum(x.v * y.v) AS dot FROM tv x JOIN tv y ON x.side = 0 AND y.side = 1 AND x.place = y.place GROUP BY ALL),
 ds AS (SELECT b.item_id AS query_id, doc_id AS chunk_id, round(coalesce(dot / (x.size * y.size), 0), 6) AS score FROM benchmark b CROSS JOIN documents
@@ -322,7 +344,8 @@ dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c
 """
 
 
-@query(f"WITH {_BM25}, {_HASHED.format(dim=64)} {_RRF.format(a=0.6, b=0.4).replace('FROM r WHERE', 'FROM dr WHERE')}")
+
+@query(f"WITH {_BM25}, {_DENSE_RANKS} {_RRF.format(a=0.6, b=0.4).replace('FROM r WHERE', 'FROM dr WHERE')}")
 def hybrid_search(spark, sf_dir):
     from tessera.operators.models import hashed_embedding
 
@@ -792,8 +815,26 @@ def graph_expansion(spark, sf_dir):
     return graph.expanded_questions(questions, seeds).select("query_id", F.sha2("question", 256).alias("h"))
 
 
-# Whole plans with the stand-in models.
-@query()
+# Whole plans with the stand-in models: contexts as in context_build, their first block's first sentence with its citation as the answer.
+def _answered(rows: str) -> str:
+    contexts = ORACLE_SQL["context_build"].rpartition("\nSELECT")[0].replace("WHERE r.rank <= 10)", rows)
+    return contexts + r"""
+, ev AS (SELECT DISTINCT query_id FROM i), ad AS (SELECT query_id, max(n) AS n_admitted, max(CASE WHEN place = 1 THEN '[1] (source: ' || coalesce(source, '') || ')' || chr(10) || text END) AS block FROM pl GROUP BY query_id),
+sp AS (SELECT *, trim(regexp_extract(block, '\[1\][^\n]*\n(.+)', 1)) AS line FROM ad),
+sn AS (SELECT *, rtrim(string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1], '.!?') AS said FROM sp),
+an AS (SELECT query_id, n_admitted, CASE WHEN said <> '' THEN said || ' [1].' ELSE 'INSUFFICIENT' END AS answer FROM sn),
+ct AS (SELECT *, list_filter(string_split(regexp_replace(trim(answer), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s,
+  list_filter(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: CAST(x AS INT) NOT BETWEEN 1 AND n_admitted) AS bad FROM an),
+cv AS (SELECT query_id, answer, round(CASE WHEN len(s) = 0 THEN 0 ELSE CAST(len(list_filter(s, lambda x: regexp_matches(x, '\[\d+\]'))) AS DOUBLE) / len(s) END, 6) AS coverage,
+  len(bad) = 0 AND len(list_filter(s, lambda x: NOT regexp_matches(x, '\[\d+\]'))) = 0 AS passed FROM ct)
+"""
+
+
+_SCALED = "JOIN (SELECT query_id, max(score) AS best FROM r GROUP BY query_id) m ON m.query_id = r.query_id WHERE r.rank <= 5 AND CASE WHEN best > 0 THEN r.score / best ELSE r.score END >= 0.35)"
+
+
+@query(_answered(_SCALED) + """SELECT item_id AS query_id, coalesce(answer = 'INSUFFICIENT', TRUE) AS abstained, CASE WHEN answer IS NULL THEN 'evidence' WHEN answer = 'INSUFFICIENT' THEN 'model' END AS reason,
+ coalesce(passed, FALSE) AS passed, coalesce(coverage, CAST(0 AS DOUBLE)) AS coverage FROM benchmark LEFT JOIN cv ON cv.query_id = item_id""")
 def gated_answers(spark, sf_dir):
     from tessera.operators import models
     from tessera.plans import answering
@@ -803,7 +844,8 @@ def gated_answers(spark, sf_dir):
     return answering.answer(questions, results, models.generate(lambda: models.extractive_answer)).select("query_id", "abstained", "reason", "passed", F.round("coverage", 6).alias("coverage"))
 
 
-@query()
+@query(_answered("WHERE r.rank <= 8)") + """SELECT item_id AS query_id, CASE WHEN ev.query_id IS NULL THEN 'no_evidence' ELSE 'sufficient_evidence' END AS terminated_by, 0 AS iteration,
+ coalesce(coverage, CAST(0 AS DOUBLE)) AS coverage, NOT coalesce(passed AND coverage >= 0.6, FALSE) AS needs_human FROM benchmark LEFT JOIN ev ON ev.query_id = item_id LEFT JOIN cv ON cv.query_id = item_id""")
 def agent_answers(spark, sf_dir):
     from tessera.operators import models
     from tessera.plans import agent
