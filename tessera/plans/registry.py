@@ -151,12 +151,49 @@ def _digest(chunks: DataFrame, *keys: str) -> DataFrame:
     return chunks.select(*keys, F.col("position").cast("long").alias("position"), F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("h"))
 
 
-@query()
+def _split_sql(name: str, rows: str, size: int, overlap: int, separators: list[str]) -> str:
+    """CTEs up to {name}(key, position, content): the recursive splitter over rows(key, text), which are not empty.
+
+    Texts are split level by level, and runs of short pieces merged by a fold over the places where their windows begin.
+    """
+    listed = "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in separators) + "]"
+    cut = "list_filter(range(1, len({0}) + 1), lambda i: i >= {1} AND ({0}[i] = '' OR contains({2}, {0}[i])))[1]".format(listed, "{lev}", "{text}")
+    split = f"CASE WHEN {listed}[sep] = '' THEN list_transform(range(1, length(text) + 1), lambda i: substr(text, i, 1)) ELSE list_filter(list_transform(string_split(text, {listed}[sep]), lambda x, i: CASE WHEN i > 1 THEN {listed}[sep] || x ELSE x END), lambda x: x <> '') END"
+    strip = lambda x: f"regexp_replace({x}, '^[\\x09-\\x0d\\x1c-\\x20\\x{{85}}\\p{{Z}}]+|[\\x09-\\x0d\\x1c-\\x20\\x{{85}}\\p{{Z}}]+$', '', 'g')"
+    over = f"cs[y.i + 1] - cs[z.start] > {size} AND y.i > z.start"
+    return f"""
+{name}_n AS (
+  SELECT key, CAST([] AS BIGINT[]) AS path, text, {cut.format(lev=1, text="text")} AS sep, TRUE AS long FROM ({rows})
+  UNION ALL
+  SELECT key, list_append(path, i), x, CASE WHEN length(x) >= {size} AND sep < {len(separators)} THEN {cut.format(lev="sep + 1", text="x")} END, length(x) >= {size}
+  FROM (SELECT key, path, sep, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS i FROM (SELECT key, path, sep, {split} AS p FROM {name}_n WHERE sep IS NOT NULL))),
+{name}_p AS (SELECT key, path[:-2] AS above, path[-1] AS i, text, long, count(*) FILTER (long) OVER (PARTITION BY key, path[:-2] ORDER BY path[-1]) AS run FROM {name}_n WHERE len(path) > 0),
+{name}_r AS (SELECT key, list_append(above, min(i)) AS path, list(text ORDER BY i) AS p FROM {name}_p WHERE NOT long GROUP BY key, above, run),
+{name}_c AS (SELECT *, list_transform(range(0, len(p) + 1), lambda j: coalesce(list_sum(list_transform(p[:j], lambda x: length(x))), 0)) AS cs FROM {name}_r),
+{name}_w AS (SELECT key, path, p, list_reduce(list_prepend({{'i': CAST(0 AS BIGINT), 'start': CAST(1 AS BIGINT), 'outs': CAST([] AS STRUCT(s BIGINT, e BIGINT)[])}},
+  list_transform(range(1, len(p) + 1), lambda i: {{'i': i, 'start': CAST(1 AS BIGINT), 'outs': CAST([] AS STRUCT(s BIGINT, e BIGINT)[])}})), lambda z, y: {{'i': y.i,
+  'start': CASE WHEN {over} THEN list_filter(range(z.start, y.i + 1), lambda k: cs[y.i] - cs[k] <= {overlap} AND (cs[y.i + 1] - cs[k] <= {size} OR k = y.i))[1] ELSE z.start END,
+  'outs': CASE WHEN {over} THEN list_append(z.outs, {{'s': z.start, 'e': y.i - 1}}) ELSE z.outs END}}) AS f FROM {name}_c),
+{name}_o AS (
+  SELECT key, path, j, {strip("array_to_string(p[o.s:o.e], '')")} AS content FROM (SELECT key, path, p, unnest(a) AS o, unnest(range(len(a))) AS j FROM (SELECT key, path, p, list_append(f.outs, {{'s': f.start, 'e': len(p)}}) AS a FROM {name}_w))
+  UNION ALL SELECT key, path, 0, text FROM {name}_n WHERE long AND sep IS NULL AND len(path) > 0),
+{name} AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY path, j) - 1 AS position, content FROM {name}_o WHERE content <> '' )"""
+
+
+_TEXTS = "SELECT doc_id AS key, text FROM documents WHERE length(text) > 0"
+
+
+@query(f"WITH RECURSIVE {_split_sql('k', _TEXTS, 600, 72, chunking.SEPARATORS)} SELECT key AS doc_id, CAST(position AS BIGINT) AS position, CAST(length(content) AS BIGINT) AS n_chars, sha256(content) AS h FROM k")
 def recursive_chunks(spark, sf_dir):
     return _digest(chunking.recursive(_t(spark, sf_dir, "documents"), 600, 72), "doc_id")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_split_sql("a", _TEXTS, 2000, 0, chunking.SEPARATORS)},
+b AS (SELECT key AS doc_id, substring(sha256(key || '|' || position || '|' || content), 1, 24) AS parent_id, content FROM a),
+{_split_sql("k", "SELECT {'d': doc_id, 'p': parent_id} AS key, content AS text FROM b", 400, 60, chunking.CHILD_SEPARATORS)}
+SELECT key.d AS doc_id, key.p AS parent_id, substring(sha256(key.d || '|' || position || '|' || content), 1, 24) AS child_id, CAST(position AS BIGINT) AS position, CAST(length(content) AS BIGINT) AS n_chars, sha256(content) AS h FROM k
+""")
 def parent_child(spark, sf_dir):
     _, children = chunking.parent_child(_t(spark, sf_dir, "documents"))
     return _digest(children, "doc_id", "parent_id", "child_id")
