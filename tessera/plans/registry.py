@@ -199,7 +199,19 @@ def parent_child(spark, sf_dir):
     return _digest(children, "doc_id", "parent_id", "child_id")
 
 
-@query()
+_WS = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
+
+
+@query(f"""
+WITH RECURSIVE h AS (SELECT doc_id, string_split(regexp_replace('# ' || source || chr(10) || chr(10) || text, '(?m)^(#{{1,6}}){_WS}+(.*)$', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g'), chr(1))[2:] AS a FROM documents),
+e AS (SELECT doc_id, list_transform(a, lambda x: {{'lev': CAST(strpos(x, chr(2)) - 1 AS BIGINT), 'title': regexp_replace(string_split(string_split(x, chr(2))[2], chr(3))[1], '^{_WS}+|{_WS}+$', '', 'g'), 'trail': CAST([] AS VARCHAR[])}}) AS t,
+  list_transform(a, lambda x: regexp_replace(substr(x, strpos(x, chr(3)) + 1), '^{_WS}+|{_WS}+$', '', 'g')) AS bodies FROM h),
+s AS (SELECT doc_id, i, bodies[i] AS body, array_to_string(list_reduce(list_prepend({{'lev': CAST(0 AS BIGINT), 'title': '', 'trail': CAST([] AS VARCHAR[])}}, t[:i]),
+  lambda z, y: {{'lev': y.lev, 'title': y.title, 'trail': list_append(z.trail[:y.lev - 1], y.title)}}).trail, ' > ') AS head FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM e)),
+{_split_sql("k", "SELECT {'d': doc_id, 'i': i} AS key, body AS text FROM s WHERE body <> ''", 1200, 120, chunking.SEPARATORS)},
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, position) - 1 AS position, head || chr(10) || content AS content FROM k JOIN s ON key.d = doc_id AND key.i = i)
+SELECT doc_id, CAST(position AS BIGINT) AS position, CAST(length(content) AS BIGINT) AS n_chars, sha256(content) AS h FROM c
+""")
 def structure_chunks(spark, sf_dir):
     """Documents as Markdown: each gets a heading of its source."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), "text").alias("text"))
