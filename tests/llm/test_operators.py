@@ -5,14 +5,18 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import quality, queries
+
 SF = "/root/testdata/sf0.001"
 ODD = "doc_id long, text string, key string, spans string, score string, fingerprint string"
 
@@ -434,6 +438,50 @@ def test_quality_is_learnt_and_compiled(spark):
     assert q.fit(docs.limit(0), labels).score(np.zeros((1, len(q.STATISTICS)))) == pytest.approx(0.5)
 
 
+def plain_statistics(text):
+    t = text or ""
+    words, lines = [w for w in re.split("[\x20\x09-\x0d]+", t) if w], t.split("\n")
+    kinds = [unicodedata.category(c) for c in t]
+    letters = sum(k[0] == "L" for k in kinds)
+    plain = set(" \t\n\x0b\f\r.,;:!?'\"()|-")
+    chars, n = max(len(t), 1), max(len(words), 1)
+    return {
+        "chars": len(t), "words": len(words), "mean_word": len(t) / n, "distinct_words": len(set(words)) / n, "letters": letters / chars,
+        "upper": kinds.count("Lu") / max(letters, 1), "digits": sum(k[0] == "N" for k in kinds) / chars,
+        "symbols": sum(k[0] not in "LN" and c not in plain for c, k in zip(t, kinds, strict=True)) / chars, "exclaims": t.count("!") / n,
+        "bars": t.count("|") / n, "lines": len(lines), "distinct_lines": len(set(lines)) / len(lines),
+    }
+
+
+def plain_score(model, text):
+    said, total = plain_statistics(text), model.intercept
+    for rule, weight in model.rules:
+        if all((said[quality.STATISTICS[j]] > cut) == above for j, above, cut in rule):
+            total += weight
+    return 1 / (1 + math.exp(-total))
+
+
+def test_quality_query_against_rules_row_by_row(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels.where(~quality.held_out()))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    rows = queries.op5_quality(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and model.rules
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), abs=1e-12) and r.predicted == (r.score >= 0.7)
+
+
+def test_quality_of_odd_rows(spark):
+    model = quality.RuleModel(-0.5, [(((0, True, 3.0), (11, False, 0.9)), 1.25), (((5, True, 0.5),), -2.0), (((6, False, 0.1), (8, False, 0.0)), 0.75)])
+    odd = [(None, None, 1), (1, "", 2), (1, "", 2), (2, " \t\n ", 3), (3, "A" * 200_000, 4), (4, "x!\n" * 50_000, 5), (5, "Éß 12 ٣ \u2028|", 6), (6, None, None)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, SCORE int")
+    rows = quality.score_documents(docs, model).collect()
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in rows) == sorted((str(i), round(plain_score(model, t), 9)) for i, t, _ in odd)
+    assert [c.lower() for c in quality.score_documents(docs, model).columns].count("score") == 1
+    assert quality.score_documents(docs.limit(0), model).count() == 0
+
+
 def test_chat_round_trip(spark):
     from tessera.llm.chat import FORMAT_SCHEMA, format_records, read_back, render, parse, turn_records
 
