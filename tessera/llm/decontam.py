@@ -1,8 +1,9 @@
 """Benchmark decontamination: a BM25 index of the test items, queried with every training passage.
 
-Test items are the indexed side. A passage is a window of words, twice as long as the longest item with a stride
-of one such item, so every item that stands in a text stands whole in some passage. Impacts are BM25 scores
-over the item's score against itself, so an item that a passage holds whole scores 1, and one threshold serves all.
+Test items are the indexed side, each by the longer one of its question and its answer. Items are indexed in classes of length, 64
+words, 128 and so on; a class's passages are windows of twice as many words with a stride of as many, so every such part that stands
+in a text stands whole in some passage, however long other items are. Impacts are BM25 scores over the part's score against itself,
+so a part that a passage holds whole scores 1, and one threshold serves all.
 
 Retrieval is block-max WAND. Of an item's terms, those that come in most items are taken first while their impacts sum
 to less than the threshold: without one of the other, essential, terms no passage can reach it. Postings hold essential terms only,
@@ -11,11 +12,13 @@ text by block are first taken at once, in arrays, and passages none of whose blo
 is left has a cursor in each of its terms' postings: cursors are kept sorted by item, the pivot is the first item that the largest
 impacts up to it let reach the threshold, the block maxima are asked there, and cursors move to the pivot, or beyond the block if it can't.
 
-Retrieved pairs are verified: 0.8 of the five-word shingles of the item's question, and of its answer, have to
-stand in the text around the passage. Where a benchmark has text only, its last sentence is the answer.
+Retrieved pairs are verified: 0.8 of the five-word shingles of the part that was retrieved have to stand in the text around the
+passage, and 0.8 of the other part's there or anywhere in the text, as question and answer can stand far apart. A part of less than five
+words counts by its words around the passage, and elsewhere as one shingle. Where a benchmark has text only, its last sentence is the
+answer.
 
 Benchmarks larger than BLOCK_ITEMS are gone through in blocks of that many items, a pass over the documents each, so a worker holds
-one block's index; their statistics are those of all items, so that no item's result depends on the others of its block.
+one block's index; their statistics are those of all items, so that no item's result depends on which others its block has.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ THRESHOLD = 0.6
 #: What essential terms have to bring at least, as a share of an item's score against itself.
 MARGIN = 0.2
 SHINGLE, OVERLAP = 5, 0.8
+#: Words of the shortest class of items; each further one is twice as long.
+STRIDE = 64
 #: Items that are broadcast at once, and items of a block of postings.
 BLOCK_ITEMS, POSTING_BLOCK = 20_000, 32
 MEMO = 300_000
@@ -73,6 +78,25 @@ def shingle_overlap(part: list[str], held: set[tuple[str, ...]], words: set[str]
     return sum(s in held for s in found) / len(found)
 
 
+def place_of(part: list[str], words: list[str], size: int = SHINGLE) -> float:
+    """The share of a part's shingles that stand anywhere among words; a part shorter than a shingle is one."""
+    size = min(size, len(part))
+    return shingle_overlap(part, set(zip(*(words[i:] for i in range(size)), strict=False)), set(), size)
+
+
+def anchor(row: tuple) -> list[str]:
+    """Of (item id, question words, answer words): the longer part, by which the item is retrieved."""
+    return row[1] if len(row[1]) >= len(row[2]) else row[2]
+
+
+def length_class(words: int) -> int:
+    """The stride of a part's class."""
+    stride = STRIDE
+    while stride < words:
+        stride *= 2
+    return stride
+
+
 @dataclass
 class Index:
     """Items and their postings by term, as arrays (CSR)."""
@@ -84,26 +108,40 @@ class Index:
     impacts: list[np.ndarray]
     rest: np.ndarray  # per item: the sum of the other terms' impacts
     others: list[dict[int, float]]  # per item: term -> impact of the other terms
-    longest: int
+    stride: int
 
 
 @dataclass
 class Statistics:
-    """Of all items with words; df has the terms of the block that is indexed."""
+    """Of all items with words, by what they are retrieved by; df has the terms of the block that is indexed."""
 
     items: int
     mean: float
-    longest: int
     df: dict[str, int]
 
 
+def statistics_of(rows: list[tuple]) -> Statistics:
+    """Of rows that are all items."""
+    bags = [Counter(anchor(r)) for r in rows if r[1] or r[2]]
+    return Statistics(len(bags), sum(b.total() for b in bags) / max(1, len(bags)), Counter(t for bag in bags for t in bag))
+
+
+def build_indexes(rows: list[tuple], threshold: float = THRESHOLD, statistics: Statistics | None = None) -> list[Index]:
+    """An index for each class of length. Without statistics rows are all items."""
+    rows = [r for r in rows if r[1] or r[2]]
+    statistics = statistics or statistics_of(rows)
+    classes: dict[int, list[tuple]] = {}
+    for r in rows:
+        classes.setdefault(length_class(len(anchor(r))), []).append(r)
+    return [build_index(classes[stride], threshold, statistics) for stride in sorted(classes)]
+
+
 def build_index(rows: list[tuple], threshold: float = THRESHOLD, statistics: Statistics | None = None) -> Index:
-    """From (item id, question words, answer words); items without words can't be retrieved. Without statistics rows are all items."""
+    """From (item id, question words, answer words) of one class; items without words can't be retrieved. Without statistics rows are all items."""
     rows = [r for r in rows if r[1] or r[2]]
-    bags = [Counter([*q, *a]) for _, q, a in rows]
-    if statistics is None:
-        sizes = [sum(b.values()) for b in bags]
-        statistics = Statistics(len(bags), sum(sizes) / max(1, len(bags)), max(sizes, default=0), Counter(t for bag in bags for t in bag))
+    statistics = statistics or statistics_of(rows)
+    stride = length_class(max((len(anchor(r)) for r in rows), default=0))
+    bags = [Counter(anchor(r)) for r in rows]
     n, mean, df = statistics.items, statistics.mean, statistics.df
     terms = {t: i for i, t in enumerate(sorted({t for bag in bags for t in bag}))}
     postings: list[list[tuple[int, float]]] = [[] for _ in terms]
@@ -125,11 +163,11 @@ def build_index(rows: list[tuple], threshold: float = THRESHOLD, statistics: Sta
         others.append(mine)
     essential = [np.array([d for d, _ in p], dtype=np.int64) for p in postings]
     impacts = [np.array([v for _, v in p]) for p in postings]
-    return Index([r[0] for r in rows], [(q, a) for _, q, a in rows], terms, essential, impacts, rest, others, statistics.longest)
+    return Index([r[0] for r in rows], [(q, a) for _, q, a in rows], terms, essential, impacts, rest, others, stride)
 
 
 class Searcher:
-    """Retrieves and verifies the items that a text holds."""
+    """Retrieves and verifies the items of one class of length that a text holds."""
 
     def __init__(self, index: Index, threshold: float = THRESHOLD, overlap: float = OVERLAP):
         self.index, self.threshold, self.overlap = index, threshold, overlap
@@ -242,7 +280,7 @@ class Searcher:
         known = known[self.has[ids[known]]]
         if not len(known):
             return []
-        stride = self.index.longest
+        stride = self.index.stride
         t = ids[known]
         # each word is in the passages that begin at stride * w and stride * (w - 1)
         order = np.lexsort((known, t))
@@ -268,6 +306,7 @@ class Searcher:
         passage, t = passage[order], t[order]
         edges = np.flatnonzero(np.diff(passage)) + 1
         best: dict[int, tuple] = {}
+        words: list[str] = []  # of the whole text, once they are asked for
         retrieved = ((p, item, s) for p, mine in zip(passage[np.append(0, edges)].tolist(), np.split(t, edges), strict=True) for item, s in self.wand(mine.tolist()))
         for p, item, s in retrieved:
             start, stop = p * stride, (p + 2) * stride
@@ -275,11 +314,16 @@ class Searcher:
             s += sum(v for x, v in self.index.others[item].items() if x in here)
             if s < self.threshold - 1e-9:
                 continue
-            said = [x.strip(EDGES) for x in pieces[max(0, start - stride) : stop + stride]]
-            held, words = set(zip(*(said[i:] for i in range(SHINGLE)), strict=False)), set(said)
-            q, a = (shingle_overlap(part, held, words) for part in self.index.parts[item])
-            if q >= self.overlap and a >= self.overlap and (item not in best or best[item][1] < s):
-                best[item] = (self.index.items[item], float(s), q, a)
+            near = words[max(0, start - stride) : stop + stride] if words else [x.strip(EDGES) for x in pieces[max(0, start - stride) : stop + stride]]
+            held, said = set(zip(*(near[i:] for i in range(SHINGLE)), strict=False)), set(near)
+            q, a = self.index.parts[item]
+            overlaps = [shingle_overlap(q, held, said), shingle_overlap(a, held, said)]
+            other = int(len(q) >= len(a))  # the part that wasn't retrieved can stand anywhere
+            if overlaps[1 - other] >= self.overlap > overlaps[other]:
+                words = words or [x.strip(EDGES) for x in pieces]
+                overlaps[other] = max(overlaps[other], place_of((q, a)[other], words))
+            if min(overlaps) >= self.overlap and (item not in best or best[item][1] < s):
+                best[item] = (self.index.items[item], float(s), *overlaps)
         return [best[i] for i in sorted(best)]
 
 
@@ -300,36 +344,36 @@ def _rows(items: DataFrame) -> Iterator[list[tuple]]:
         yield block
 
 
-def _statistics(items: DataFrame) -> tuple[tuple[int, float, int], DataFrame]:
-    """(items, mean and longest length) of all items with words, and df(term, df), written to the shared folder."""
+def _statistics(items: DataFrame) -> tuple[tuple[int, float], DataFrame]:
+    """(items, mean length) of all items with words, and df(term, df), written to the shared folder."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            words = [[*q, *a] for q, a in map(_item_words, zip(*(c.to_pylist() for c in b.columns), strict=True))]
+            words = [anchor((None, *_item_words(row))) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], names=["size", "terms"])
 
     bags = items.select(*items.columns[1:]).mapInArrow(run, "size bigint, terms array<string>").where("size > 0")
-    n, total, longest = bags.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    n, total = bags.agg(F.count("*"), F.sum("size")).first()
     df = bags.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return (n, (total or 0) / max(1, n), longest or 0), materialize(df, "item-terms")
+    return (n, (total or 0) / max(1, n)), materialize(df, "item-terms")
 
 
-def _indexes(items: DataFrame, threshold: float) -> Iterator[Index]:
-    """An index for each block of items; a second block makes the statistics of all items needed."""
+def _indexes(items: DataFrame, threshold: float) -> Iterator[list[Index]]:
+    """Indexes for each block of items; a second block makes the statistics of all items needed."""
     blocks = _rows(items)
     block, later = next(blocks, None), next(blocks, None)
     if block is None:
         return
     if later is None:
-        yield build_index(block, threshold)
+        yield build_indexes(block, threshold)
         return
     whole, df = _statistics(items)
     while block is not None:
-        terms = sorted({t for _, q, a in block for t in (*q, *a)})
+        terms = sorted({t for row in block for t in anchor(row)})
         held = items.sparkSession.createDataFrame([(t,) for t in terms], "term string").join(df, "term").collect()
-        yield build_index(block, threshold, Statistics(*whole, {r["term"]: r["df"] for r in held}))
+        yield build_indexes(block, threshold, Statistics(*whole, {r["term"]: r["df"] for r in held}))
         block, later = later, next(blocks, None)
 
 
@@ -363,10 +407,10 @@ def with_leaks(
 def _searcher(index, threshold: float, overlap: float, schema: str):
     def leaks(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         begin_task("decontam")
-        searcher = Searcher(index.value, threshold, overlap)
+        searchers = [Searcher(x, threshold, overlap) for x in index.value]
         names = ("item", "score", "question_overlap", "answer_overlap")
         for texts in it:
-            yield pd.Series([[dict(zip(names, r, strict=True)) for r in searcher.search(t)] for t in texts])
+            yield pd.Series([[dict(zip(names, r, strict=True)) for s in searchers for r in s.search(t)] for t in texts])
 
     leaks.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(leaks, schema)
