@@ -2,7 +2,8 @@
 
 A page is read once as a stream of tags and texts and cut into blocks at block-level tags. Containers that are
 not the article by their tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) are left out whole. The first pass classifies each block by its link density,
+scripts, styles, reader comments) are left out whole; one that only its class, or being a form, tells apart stays if it has more than
+half of the page's text and no block outside such containers is good or in an article. The first pass classifies each block by its link density,
 length and stop-word density as good, bad or undecided, wherever it stands. The second pass gives each undecided
 block the label of its nearest decided neighbours: good if both sides agree or the nearer one is good, and by the
 page's head and tail bad. Article and main elements are evidence for that: an undecided block inside is bad only
@@ -46,6 +47,10 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager sidebar aside widget widgets footer masthead share sharing social newsletter subscribe subscription signup login comment comments comentarios commentaires kommentare disqus respond replies reply related recommended recommendations toolbar topbar skip disclaimer".split()
 )
+#: Words that such a name can be joined with ("site-footer", "sidebar-right"); others ("has-sidebar", "menu-open") tell of a state.
+JOINED_NAMES = frozenset(
+    "area bar block blocks bottom box card col column container content global group inner item items left link links list main outer page panel post posts primary right secondary section site strip top wrap wrapper zone".split()
+)
 KEPT = frozenset({"html", "body", "article", "main"})
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z))", re.S)
@@ -60,35 +65,53 @@ LINKS = 2
 
 
 class Block:
-    __slots__ = ("inside", "linked", "parts")
+    __slots__ = ("inside", "linked", "parts", "within")
 
-    def __init__(self, inside: bool):
+    def __init__(self, inside: bool, within: tuple[int, ...]):
         self.parts: list[str] = []
         self.linked = 0
         self.inside = inside
+        self.within = within  # containers around it that are left out by their class or as forms
+
+
+def _marked(names: str) -> bool:
+    """Whether one of the names of a class or id attribute says, as a whole, that this isn't the article."""
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not DROPPED_NAMES.isdisjoint(words) and all(w in DROPPED_NAMES or w in JOINED_NAMES for w in words):
+            return True
+    return False
+
+
+STAYS, BY_NAME, OUT = 0, 1, 2
 
 
-def _left_out(tag: str, attributes: str, nested: bool) -> bool:
-    """nested: inside an article, where a further article can be a comment or a teaser."""
+def _left_out(tag: str, attributes: str, nested: bool) -> int:
+    """OUT, BY_NAME (for its class, or as a form) or STAYS; nested: inside an article, where a further article can be a comment or a teaser."""
     if tag in DROPPED:
-        return True
+        return BY_NAME if tag == "form" else OUT
     if tag in KEPT and not (nested and tag == "article") or not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return STAYS
+    by_name = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and not DROPPED_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        if name in ("class", "id") and _marked(value):
+            by_name = True
         if name == "role" and value in DROPPED_ROLES or name == "aria-hidden" and value == "true":
-            return True
+            return OUT
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", re.sub(r"=\s*(\"[^\"]*\"|'[^']*'|\S+)", "", attributes)))
+            return OUT
+    if re.search(r"(?:^|\s)hidden(?:\s|/|$)", re.sub(r"=\s*(\"[^\"]*\"|'[^']*'|\S+)", "", attributes)):
+        return OUT
+    return BY_NAME if by_name else STAYS
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page that stand in no container that is left out."""
+    """The blocks of a page that stand in no container that is left out for sure."""
     found: list[Block] = []
     stack: list[str] = []
+    named: list[tuple[int, int]] = []  # containers left out by name: depth of the stack, number
+    numbers = 0
     dropped = links = inside = at = 0  # dropped: depth of the stack at the container that is left out
     current: Block | None = None
 
@@ -100,7 +123,7 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if not said.strip():
                 return
-            current = Block(inside > 0)
+            current = Block(inside > 0, tuple(x for _, x in named))
             found.append(current)
         current.parts.append(said)
         if links:
@@ -116,6 +139,8 @@ def blocks(page: str) -> list[Block]:
             inside -= tag in ("article", "main")
             if dropped > len(stack):
                 dropped = 0
+            while named and named[-1][0] > len(stack):
+                named.pop()
 
     size = len(page)
     while at < size:
@@ -161,8 +186,12 @@ def blocks(page: str) -> list[Block]:
         stack.append(tag)
         if tag == "a":
             links += 1
-        if not dropped and (_left_out(tag, m[3], inside > 0) and not (tag == "header" and inside)):
-            dropped = len(stack)
+        if not dropped and (out := _left_out(tag, m[3], inside > 0)) and not (tag == "header" and inside):
+            if out == OUT or tag not in BLOCK:
+                dropped = len(stack)
+            else:
+                numbers += 1
+                named.append((len(stack), numbers))
         if tag in ("article", "main"):
             inside += 1
     return found
@@ -185,12 +214,25 @@ def _first_pass(block: Block, text: str) -> int:
     return 0 if block.inside or links == 0 or size > LONG and links < 0.1 else -1
 
 
+def _without_named(found: list[tuple[Block, str]]) -> list[tuple[Block, str]]:
+    """The blocks outside of containers left out by name, and those inside the ones that hold most of a page with neither good blocks nor an article outside."""
+    outside = [x for x in found if not x[0].within]
+    if len(outside) == len(found) or any(b.inside or _first_pass(b, t) > 0 for b, t in outside):
+        return outside
+    sizes: dict[int, int] = {}
+    for b, t in found:
+        for x in b.within:
+            sizes[x] = sizes.get(x, 0) + len(t)
+    whole = sum(len(t) for _, t in found)
+    return [(b, t) for b, t in found if all(2 * sizes[x] > whole for x in b.within)]
+
+
 def main_text(page: str | None) -> str:
     """The main text: blocks joined by one space, white space inside a block turned into one space."""
     if not page:
         return ""
     found = [(b, " ".join("".join(b.parts).split())) for b in blocks(page)]
-    found = [(b, t) for b, t in found if t]
+    found = _without_named([(b, t) for b, t in found if t])
     has_article = any(b.inside for b, _ in found)
     first = [_first_pass(b, t) for b, t in found]
     labels = list(first)
