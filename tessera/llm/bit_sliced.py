@@ -7,8 +7,8 @@ carry their majority, so 64 documents are added at once. The k best of a segment
 significant one down: as long as more than k documents have the bit, only they stay, and if fewer have it, they are in and the others
 go on. Of documents left with equal scores those with the smaller id, the lower bit, are taken.
 
-The index holds the terms that the items of a block ask for, over all documents; document counts, lengths and frequencies are those
-of the whole corpus. Segments are searched where they lie, and only their k best rows per item are shuffled.
+Postings of the terms that the items of a block ask for are written once, over all documents; document counts, lengths and frequencies
+are those of the whole corpus. Segments are indexed and searched where their postings lie, and only their k best rows per item are shuffled.
 """
 
 from __future__ import annotations
@@ -20,14 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import begin_task, free_name, materialize, text_batches
 
 #: Documents of a segment at most.
-SEGMENT = 16_384
+SEGMENT = 8_192
 #: Items that are searched for in one pass over the documents, which bounds what is broadcast.
 BLOCK_ITEMS = 5_000
 #: Fixed values of the score: thousandths of the saturation at mean length, its part that depends on length, the scales.
@@ -157,39 +156,52 @@ def _postings(held):
     return run
 
 
-def _segments(held, n_docs: int, n_terms: int):
-    """Index rows (segment, term, words, maps), and for each segment a row of term -1 with its document ids, from runs of postings."""
+class Segment:
+    """The index of a run of documents: ids in ascending order, and for each term (words, bitmaps)."""
 
-    def build(part: int, number: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.sort_by([("doc", "ascending")])
-        segment = f"{part}-{number}"
-        sizes = rows["n"].to_numpy()
-        m = 100 - LENGTH_PART + (LENGTH_PART * sizes * n_docs) // n_terms
+    def __init__(self, rows: pa.Table, weights: np.ndarray, n_docs: int, n_terms: int):
+        rows = rows.sort_by([("doc", "ascending")])  # nulls last
+        self.ids = rows["doc"].combine_chunks()
+        m = 100 - LENGTH_PART + (LENGTH_PART * rows["n"].to_numpy() * n_docs) // n_terms
         lists = rows["terms"].combine_chunks()
         doc = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
         term, tf = lists.flatten().to_numpy().astype(np.int64), rows["tfs"].combine_chunks().flatten().to_numpy().astype(np.int64)
-        value = impacts(held.value[term], tf, m[doc])
+        value = impacts(weights[term], tf, m[doc])
         order = np.argsort(term, kind="stable")  # documents ascend in each term
         term, doc, value = term[order], doc[order], value[order]
         starts = np.flatnonzero(np.concatenate([[len(term) > 0], term[1:] != term[:-1]]))
-        ends = np.append(starts[1:], len(term))
-        ids = pa.array([rows["doc"].to_pylist()], pa.list_(rows["doc"].type))
-        empty = pa.nulls(1, pa.binary())
-        names = ["segment", "term", "words", "maps", "ids"]
-        yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([-1], pa.int32()), empty, empty, ids], names=names)
-        for chunk in range(0, len(starts), 1000):
-            out: list[tuple[int, bytes, bytes]] = []
-            for a, b in zip(starts[chunk : chunk + 1000].tolist(), ends[chunk : chunk + 1000].tolist(), strict=True):
-                words, maps = slices(doc[a:b], value[a:b])
-                if value[a:b].any():
-                    out.append((int(term[a]), words.astype("<u4").tobytes(), maps.astype("<u8").tobytes()))
-            if out:
-                terms, words, maps = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([segment] * len(out)), pa.array(terms, pa.int32()), pa.array(words, pa.binary()), pa.array(maps, pa.binary()), pa.nulls(len(out), ids.type)], names=names)
+        ends = np.append(starts[1:], len(term))[: len(starts)]
+        self.terms = {int(term[a]): slices(doc[a:b], value[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
+
+    def search(self, bag: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the k best documents for (term, times) pairs."""
+        total = Sum(-(-len(self.ids) // 64))
+        for t, times in bag:
+            if t in self.terms:
+                words, maps = self.terms[t]
+                for shift in range(times.bit_length()):  # a term that an item repeats is added shifted, for each bit of its count
+                    if times >> shift & 1:
+                        total.add(words, np.vstack([np.zeros((shift, len(words)), dtype=np.uint64), maps]) if shift else maps)
+        return total.top(k)
+
+
+def _search(held, k: int, n_docs: int, n_terms: int):
+    """Cuts a partition's postings into segments, indexes each and searches it for all items: (item, doc, score) of its k best."""
+
+    def best(rows: pa.Table, weights: np.ndarray, bags: list) -> pa.RecordBatch:
+        segment = Segment(rows, weights, n_docs, n_terms)
+        items, docs, scores = [], [], []
+        for item, bag in enumerate(bags):
+            found, values = segment.search(bag, k)
+            items += [item] * len(found)
+            docs += found.tolist()
+            scores += values.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(items, pa.int32()), segment.ids.take(pa.array(docs, pa.int64())), pa.array(scores, pa.int64())], names=["item", "doc", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task("bit_sliced")
-        part, number, waiting, n = TaskContext.get().partitionId(), 0, [], 0
+        weights, bags = held.value
+        waiting, n = [], 0
         for batch in batches:
             at = 0
             while at < len(batch):
@@ -197,62 +209,21 @@ def _segments(held, n_docs: int, n_terms: int):
                 waiting.append(batch.slice(at, take))
                 at, n = at + take, n + take
                 if n == SEGMENT:
-                    yield from build(part, number, pa.Table.from_batches(waiting))
-                    number, waiting, n = number + 1, [], 0
+                    rows, waiting, n = pa.Table.from_batches(waiting), [], 0
+                    yield best(rows, weights, bags)
         if n:
-            yield from build(part, number, pa.Table.from_batches(waiting))
+            yield best(pa.Table.from_batches(waiting), weights, bags)
 
     return run
 
 
-def build_index(docs: DataFrame, vocabulary: dict[str, int], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index of all documents for some terms, written to the shared folder: (segment, term, words, maps, ids).
-
-    Documents without a term, null and empty texts are in no bitmap; of the statistics they have no part. Very long texts are read whole.
-    """
-    spark = docs.sparkSession
+def postings_of(docs: DataFrame, vocabulary: dict[str, int], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, n, terms, tfs) of all documents with at least one term, written to the shared folder: n counts all terms with repeats, terms and
+    tfs are those of the vocabulary. Null and empty texts have no row; very long ones are read whole."""
     kind = docs.schema[id_col].dataType.simpleString()
-    asked = spark.sparkContext.broadcast(vocabulary)
-    rows = text_batches(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))).mapInArrow(_postings(asked), f"doc {kind}, n long, terms array<int>, tfs array<int>").where("n > 0")
-    postings = materialize(rows, "impact-postings")
-    n_docs, n_terms = postings.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    df = {r["term"]: r["df"] for r in postings.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}  # of the vocabulary, which is bounded
-    weights = spark.sparkContext.broadcast(np.array([weight(n_docs, df.get(t, 0)) for t in range(len(vocabulary))], dtype=np.int64))
-    return materialize(postings.mapInArrow(_segments(weights, n_docs, max(1, n_terms)), f"segment string, term int, words binary, maps binary, ids array<{kind}>"), "impact-index")
-
-
-def _search(held, k: int):
-    """The k best documents of a segment for each item."""
-
-    def run(table: pa.Table) -> pa.Table:
-        begin_task("bit_sliced")
-        terms = table["term"].to_pylist()
-        ids = table["ids"][terms.index(-1)]
-        words, maps = table["words"], table["maps"]
-        held_terms = {}
-        for i, t in enumerate(terms):
-            if t >= 0:
-                w = np.frombuffer(words[i].as_py(), "<u4").astype(np.int64)
-                held_terms[t] = (w, np.frombuffer(maps[i].as_py(), "<u8").reshape(-1, len(w)))
-        n_words = -(-len(ids) // 64)
-        items, docs, scores = [], [], []
-        for item, bag in enumerate(held.value):
-            total = Sum(n_words)
-            for t, times in bag:
-                if t in held_terms:
-                    w, m = held_terms[t]
-                    for shift in range(times.bit_length()):  # a term that an item repeats is added shifted, for each bit of its count
-                        if times >> shift & 1:
-                            total.add(w, np.vstack([np.zeros((shift, len(w)), dtype=np.uint64), m]) if shift else m)
-            if total.bits:
-                found, best = total.top(k)
-                items += [item] * len(found)
-                docs += found.tolist()
-                scores += best.tolist()
-        taken = ids.values.take(pa.array(docs, pa.int64()))
-        return pa.Table.from_arrays([pa.array(items, pa.int32()), taken, pa.array(scores, pa.int64())], names=["item", "doc", "score"])
-
-    return run
+    asked = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = text_batches(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")))
+    return materialize(rows.mapInArrow(_postings(asked), f"doc {kind}, n long, terms array<int>, tfs array<int>").where("n > 0"), "impact-postings")
 
 
 def rank_documents(docs: DataFrame, items: DataFrame, *, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -271,9 +242,12 @@ def rank_documents(docs: DataFrame, items: DataFrame, *, k: int = 10, id_col: st
     def search(block: list[tuple]) -> DataFrame:
         bags = [Counter(terms_of(text)) for _, text in block]
         vocabulary = {t: i for i, t in enumerate(sorted({t for b in bags for t in b}))}
-        index = build_index(docs, vocabulary, id_col=id_col, text_col=text_col)
-        asked = spark.sparkContext.broadcast([sorted((vocabulary[t], n) for t, n in b.items()) for b in bags])
-        best = index.groupBy("segment").applyInArrow(_search(asked, k), f"item int, doc {kinds[1]}, score long")
+        postings = postings_of(docs, vocabulary, id_col=id_col, text_col=text_col)
+        n_docs, n_terms = postings.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        df = {r["term"]: r["df"] for r in postings.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}  # of the vocabulary
+        weights = np.array([weight(n_docs, df.get(t, 0)) for t in range(len(vocabulary))], dtype=np.int64)
+        asked = spark.sparkContext.broadcast((weights, [sorted((vocabulary[t], n) for t, n in b.items()) for b in bags]))
+        best = postings.mapInArrow(_search(asked, k, n_docs, max(1, n_terms)), f"item int, doc {kinds[1]}, score long")
         order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc"))
         top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         names = spark.createDataFrame([(i, row[0]) for i, row in enumerate(block)], f"item int, id {kinds[0]}")
