@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -94,6 +94,22 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
+class Memo(dict):
+    """What pieces weigh; one that is missing is weighed, and remembered if it isn't long."""
+
+    def __init__(self, weigh: Callable[[str], float]):
+        super().__init__()
+        self.weigh = weigh
+
+    def __missing__(self, piece: str) -> float:
+        value = self.weigh(piece)
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = value
+        return value
+
+
 @dataclass
 class ToxicModel:
     base: float = 0.5
@@ -103,7 +119,7 @@ class ToxicModel:
     k: float = 1.0
     significant: float = SIGNIFICANT
     coefficients: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    memo: dict[str, float] = field(default_factory=dict, repr=False)
+    memo: Memo | None = field(default=None, repr=False, compare=False)
 
     def word(self, word: str) -> float:
         """The weight of a lower-case word: of the longest unit that is told."""
@@ -114,21 +130,14 @@ class ToxicModel:
 
     def piece(self, piece: str) -> float:
         """Of what stands between spaces: that of its most toxic word."""
-        if len(piece) > MEMO_CHARS:
-            return max(map(self.word, WORD.findall(piece)), default=0.0)
-        found = self.memo.get(piece)
-        if found is None:
-            found = max(map(self.word, WORD.findall(piece)), default=0.0)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[piece] = found
-        return found
+        return max(map(self.word, WORD.findall(piece)), default=0.0)
 
     def scores(self, text: str | None) -> np.ndarray:
         """One score for each piece of the whole text."""
+        if self.memo is None:
+            self.memo = Memo(self.piece)
         pieces = (text or "").lower().split()
-        memo, piece = self.memo, self.piece
-        return np.fromiter([memo[p] if p in memo else piece(p) for p in pieces], dtype=float, count=len(pieces)) - self.drift
+        return np.fromiter(map(self.memo.__getitem__, pieces), dtype=float, count=len(pieces)) - self.drift
 
     def features(self, text: str | None) -> tuple[int, list[tuple[int, int, float]], float, float]:
         """(words, segments, standardized score of the best one, excess of the significant ones)."""
@@ -261,13 +270,16 @@ def _histogram(held):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         begin_task("toxicity")
-        sums: Counter = Counter()
         model = held.value
+        least = -math.ceil(model.drift / BIN)  # no weight is below zero
+        sums = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for text in batch["text"]:
-                bins, n = np.unique(np.rint(model.scores(text) / BIN).astype(np.int64), return_counts=True)
-                sums.update(dict(zip(bins.tolist(), n.tolist(), strict=True)))
-        yield pd.DataFrame(list(sums.items()), columns=["bin", "n"])
+                n = np.bincount(np.rint(model.scores(text) / BIN).astype(np.int64) - least, minlength=len(sums))
+                n[: len(sums)] += sums
+                sums = n
+        bins = np.flatnonzero(sums)
+        yield pd.DataFrame({"bin": bins + least, "n": sums[bins]})
 
     return run
 
