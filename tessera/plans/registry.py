@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text as tx, vectors
-from tessera.operators import chunking, context, graph, metrics, rerank, retrieval, routing, store
+from tessera.operators import ann, chunking, context, graph, metrics, rerank, retrieval, routing, store
+from tessera.scratch import scratch_path
 from tessera.sources import loaders
 from tessera.streaming import reliability
 
@@ -74,6 +75,13 @@ def dense_ivf(spark, sf_dir):
     return _ranked(retrieval.ivf_search(*_vectors(spark, sf_dir), 5))
 
 
+@query()
+def dense_pq(spark, sf_dir):
+    """Approximate search over a stored index, written here; tests hold its recall and what it reads against dense_topk."""
+    queries, rows = _vectors(spark, sf_dir)
+    return _ranked(ann.build_index(rows, scratch_path(spark, "dense-pq")).search(queries, 5))
+
+
 @query(
     "SELECT vec_id, round(list_sum(list_transform(e, lambda x: CAST(CAST(x / n AS FLOAT) AS DOUBLE))), 4) AS unit_sum FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,"
     " sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings)"
