@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text as tx, vectors
-from tessera.operators import ann, chunking, context, graph, metrics, rerank, retrieval, routing, store
+from tessera.operators import ann, chunking, context, graph, metrics, rerank, retrieval, routing, store, text_index
 from tessera.scratch import scratch_path
 from tessera.sources import loaders
 from tessera.streaming import reliability
@@ -359,6 +359,30 @@ def lexical_cover_density(spark, sf_dir):
     return _hits(retrieval.cover_density(*_lexical(spark, sf_dir), 5))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, text_index.TextIndex]:
+    """The questions, and an index of the whole corpus in a new folder."""
+    questions, corpus = _lexical(spark, sf_dir)
+    return questions, text_index.build_index(corpus, scratch_path(spark, "text-index"))
+
+
+@query(ORACLE_SQL["bm25_topk"])
+def stored_bm25(spark, sf_dir):
+    questions, index = _stored(spark, sf_dir)
+    return _hits(index.search(questions, 10, all_terms=False))
+
+
+@query(ORACLE_SQL["lexical_and_match"])
+def stored_and_match(spark, sf_dir):
+    questions, index = _stored(spark, sf_dir)
+    return _hits(index.search(questions, 5))
+
+
+@query(ORACLE_SQL["lexical_cover_density"])
+def stored_cover_density(spark, sf_dir):
+    questions, index = _stored(spark, sf_dir)
+    return _hits(index.cover_density(questions, 5))
+
+
 @query(f"WITH {_BM25}, top AS (SELECT * FROM r WHERE rank <= 10) SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 4) AS max_scaled, round(CASE WHEN max(score) OVER (PARTITION BY query_id) = min(score) OVER (PARTITION BY query_id) THEN 1.0 ELSE (score - min(score) OVER (PARTITION BY query_id)) / (max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id)) END, 4) AS min_max_scaled FROM top")
 def score_normalize(spark, sf_dir):
     found = retrieval.lexical_search(*_lexical(spark, sf_dir), 10, all_terms=False)
