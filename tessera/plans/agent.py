@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import context, routing
 from tessera.plans.answering import ABSTAINED, route
-from tessera.scratch import shared_dir
+from tessera.scratch import materialize, shared_dir
 
 EVIDENCE = "array<struct<chunk_id:string,content:string,score:double,source_uri:string>>"
 VERDICT = "sufficient boolean, next_query string"
@@ -92,6 +92,7 @@ def _search(state: DataFrame, searches: dict, k: int) -> DataFrame:
     for name, search in searches.items():
         try:
             rows = search(asked.where(F.col("route") == name), k).select("query_id", F.struct("chunk_id", "content", "score", "source_uri").alias("e"), "rank")
+            rows = materialize(rows, f"found-{name}")  # plans are lazy, so a search that fails does so here
         except Exception:  # noqa: BLE001, S112
             continue
         out = rows if out is None else out.unionByName(rows)

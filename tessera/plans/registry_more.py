@@ -273,3 +273,73 @@ def store_life(spark, sf_dir):
     every = [held.read(t, active=False) for t in tenants]
     out = every[0] if len(every) == 1 else every[0].unionByName(every[1])
     return out.groupBy("tenant_id", "chapter").agg(F.count("*").alias("rows"), F.count_if("is_active").alias("active"), F.min("embed_model").alias("model"))
+
+
+# The agent over facts about customers: a fact names where a customer lives, and one more where that nation lies; every fifth customer's
+# fact says both, every third one's (of the rest) leads to another customer without end, every seventh customer and fifth nation has none.
+_FACTS = """
+f AS (SELECT c_name AS subject, CASE WHEN c_custkey % 5 = 0 THEN 'lies' WHEN c_custkey % 3 = 0 THEN 'branch' ELSE 'lives' END AS kind,
+    CASE WHEN c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'Customer#' || lpad(CAST(c_custkey + 3 AS VARCHAR), 9, '0') ELSE n_name END END AS next
+  FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 7 <> 0
+  UNION ALL SELECT n_name, 'lies', NULL FROM nation WHERE n_nationkey % 5 <> 0)
+"""
+
+
+def _facts(spark, sf_dir):
+    nation, region, customer = (_t(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    named = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    k = F.col("c_custkey")
+    other = F.concat(F.lit("Customer#"), F.lpad((k + 3).cast("string"), 9, "0"))
+    lives = F.when(k % 5 == 0, F.format_string("%s lives where %s lies in %s.", "c_name", "n_name", "r_name")).when(k % 3 == 0, F.format_string("%s is a branch of %s.", "c_name", other))
+    told = customer.where(k % 7 != 0).join(named, F.col("c_nationkey") == F.col("n_nationkey"))
+    told = told.select(F.concat(F.lit("C"), k).alias("chunk_id"), F.col("c_name").alias("subject"), F.coalesce(lives, F.format_string("%s lives in %s.", "c_name", "n_name")).alias("content"))
+    return told.unionByName(named.where("n_nationkey % 5 <> 0").select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("chunk_id"), F.col("n_name").alias("subject"), F.format_string("%s lies in %s.", "n_name", "r_name").alias("content")))
+
+
+def _next_fact(prompt):
+    """A judge by rules: the last fact told ends the search, or names what to look for next."""
+    last = F.regexp_extract(prompt, r"([^\n]+)\.\n\nQuestion:", 1)
+    following = F.regexp_extract(last, r"(?:lives in|is a branch of) (.+)$", 1)
+    return F.when(last.contains(" lies in "), F.lit('{"sufficient": true, "next_query": ""}')).otherwise(
+        F.concat(F.lit('{"sufficient": false, "next_query": "'), F.when(following != "", F.concat(F.lit("Where is "), following, F.lit("?"))).otherwise(""), F.lit('"}'))
+    )
+
+
+@query(f"""
+WITH RECURSIVE {_FACTS},
+m AS (SELECT * FROM (VALUES ('answered', 3), ('silent', 1)) t(mode, cap)),
+s AS (
+  SELECT c_custkey AS query_id, mode, cap, 0 AS iteration, c_name AS first, kind, kind AS first_kind, next, kind IS NULL OR kind = 'lies' AS ended FROM customer CROSS JOIN m LEFT JOIN f ON subject = c_name
+  UNION ALL
+  SELECT query_id, mode, cap, iteration + 1, first, coalesce(f.kind, s.kind), first_kind, coalesce(f.next, CASE WHEN f.subject IS NULL THEN s.next END), f.subject IS NULL OR f.kind = 'lies' OR iteration + 1 >= cap
+  FROM s LEFT JOIN f ON f.subject = s.next WHERE NOT ended),
+e AS (SELECT s.*, s.kind = 'lies' OR (s.kind IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f WHERE f.subject = b.next)) AS enough
+  FROM s LEFT JOIN s b ON b.query_id = s.query_id AND b.mode = s.mode AND b.iteration = s.iteration - 1 WHERE s.ended)
+SELECT query_id, mode, CAST(iteration AS INT) AS iteration,
+  CASE WHEN kind IS NULL THEN 'no_evidence' WHEN mode = 'silent' THEN 'no_llm' WHEN enough THEN 'sufficient_evidence' ELSE 'iteration_cap' END AS terminated_by,
+  CASE WHEN kind IS NULL OR mode = 'silent' THEN 0.0 ELSE 1.0 END AS coverage, kind IS NULL OR mode = 'silent' OR first_kind = 'branch' AS needs_human FROM e
+""")
+def agent_hops(spark, sf_dir):
+    """Every customer's region by hops: questions end by an answer, at once or later, by a query that was tried, by the cap, without
+    evidence, and (silent) without a generator."""
+    from tessera.plans import agent
+
+    facts = _facts(spark, sf_dir)
+    asked = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.format_string("Which region is %s in?", "c_name").alias("question"))
+
+    def search(state, k):
+        q = F.col("question")
+        subject = F.when(q.startswith("Where is "), F.regexp_extract(q, r"^Where is (.+)\?$", 1)).otherwise(F.regexp_extract(q, r"(Customer#\d+)", 1))
+        return state.select("query_id", subject.alias("subject")).join(facts, "subject").select("query_id", "chunk_id", "content", F.lit(1.0).alias("score"), F.lit("facts").alias("source_uri"), F.lit(1).alias("rank"))
+
+    def broken(state, k):
+        return search(state, k).withColumn("content", F.raise_error(F.lit("this search always fails")))
+
+    doubt = lambda prompt: F.when(prompt.contains("branch"), "2").otherwise("9")
+    searches = {"vector": search, "hybrid": search, "graph": search, "broken": broken}
+    done = None
+    for mode, cap, generator in (("answered", 3, models.generate(lambda: models.extractive_answer)), ("silent", 1, None)):
+        rows = agent.run_agent(asked, searches, evaluator=_next_fact, generator=generator, verifier=doubt, max_iterations=cap, deadline_seconds=1e9)
+        rows = rows.select("query_id", F.lit(mode).alias("mode"), "iteration", "terminated_by", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "needs_human")
+        done = rows if done is None else done.unionByName(rows)
+    return done
