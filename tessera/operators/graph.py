@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import text as tx
 from tessera.operators.retrieval import small
+from tessera.scratch import materialize
 
 EXTRACTION = "entities array<struct<name:string,type:string,confidence:string>>, relationships array<struct<source:string,target:string,type:string,confidence:string,evidence:string>>"
 
@@ -116,35 +116,50 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("tenant_id", "node").agg(F.count("*").alias("degree"))
 
 
-def traverse(seeds: DataFrame, edges: DataFrame, *, max_hops: int = 2, min_confidence: float = 0.5, hub_degree: int = 500, limit: int | None = 120) -> DataFrame:
+def traverse(seeds: DataFrame, edges: DataFrame, *, max_hops: int = 2, min_confidence: float = 0.5, hub_degree: int = 500, limit: int | None = 120, told: bool = True) -> DataFrame:
     """Trails from seeds(tenant_id, seed): up to max_hops edges of min_confidence, none twice, no hubs but the seed itself.
 
-    Hubs are taken out of the edges before each hop, which is what bounds a hop: a node has under hub_degree edges. Per seed the
-    best limit paths by product of confidences, then fewer hops, then edges. Columns: nodes, eids, triples, evidence, sources.
+    Hubs aren't walked to, which is what bounds a hop: a node has under hub_degree edges. Per seed the best limit paths by product of
+    confidences, then fewer hops, then edges. Confidences are at most 1, so a path's extensions never come before it or any path that
+    does: with a limit a hop goes on from the limit best paths of each seed only, and nothing is lost. Paths carry the ids of their
+    edges; what the edges say is joined on at the end, unless told is false. Columns: nodes, eids, path_confidence, hops[, rank][, triples].
     """
-    hubs = degrees(edges).where(F.col("degree") >= hub_degree).select("tenant_id", F.col("node").alias("b"))
-    steps = undirected(edges.where(F.col("confidence") >= min_confidence))
-    free = steps.join(hubs, ["tenant_id", "b"], "left_anti")
-    # the seed may be a hub, and a path may come back to it
-    to_seed = steps.join(hubs, ["tenant_id", "b"], "left_semi")
-    told = F.struct(F.when(F.col("forward"), F.col("a")).otherwise(F.col("b")).alias("src"), "rel_type", F.when(F.col("forward"), F.col("b")).otherwise(F.col("a")).alias("dst"), "evidence", "source_uri")
+    hubs = degrees(edges).where(F.col("degree") >= hub_degree).select("tenant_id", F.col("node").alias("b"), F.lit(True).alias("hub"))
+    known = edges.where(F.col("confidence") >= min_confidence)
+    steps = undirected(known).select("tenant_id", "a", "b", "eid", "confidence").join(hubs, ["tenant_id", "b"], "left").withColumn("hub", F.coalesce("hub", F.lit(False)))
+    keys = ["tenant_id", "seed", "a", "nodes", "eids", "path_confidence"]
     at = seeds.select("tenant_id", "seed").distinct().select(
-        "tenant_id", "seed", F.col("seed").alias("a"), F.array("seed").alias("nodes"), F.array().cast("array<bigint>").alias("eids"), F.lit(1.0).alias("path_confidence"), F.lit(None).cast(f"array<struct<src:string,rel_type:string,dst:string,evidence:string,source_uri:string>>").alias("triples")
+        "tenant_id", "seed", F.col("seed").alias("a"), F.array("seed").alias("nodes"), F.array().cast("array<bigint>").alias("eids"), F.lit(1.0).alias("path_confidence")
     )
+    w = Window.partitionBy("tenant_id", "seed").orderBy(F.desc("path_confidence"), "hops", "eids")
     out = None
     for hop in range(1, max_hops + 1):
-        ways = at.join(free, ["tenant_id", "a"]).unionByName(at.join(to_seed, ["tenant_id", "a"]).where(F.col("b") == F.col("seed")))
-        fresh = ways.where(~F.array_contains("eids", F.col("eid")))
-        at = fresh.select(
+        # the seed may be a hub, and a path may come back to it
+        ways = at.join(steps, ["tenant_id", "a"]).where((~F.col("hub") | (F.col("b") == F.col("seed"))) & ~F.array_contains("eids", F.col("eid")))
+        found = ways.select(
             "tenant_id", "seed", F.col("b").alias("a"), F.concat("nodes", F.array("b")).alias("nodes"), F.concat("eids", F.array("eid")).alias("eids"),
-            (F.col("path_confidence") * F.col("confidence")).alias("path_confidence"), F.when(F.col("triples").isNull(), F.array(told)).otherwise(F.concat("triples", F.array(told))).alias("triples"),
+            (F.col("path_confidence") * F.col("confidence")).alias("path_confidence"), F.lit(hop).alias("hops"),
         )
-        found = at.withColumn("hops", F.lit(hop))
         out = found if out is None else out.unionByName(found)
-    if limit is None:
-        return out
-    w = Window.partitionBy("tenant_id", "seed").orderBy(F.desc("path_confidence"), "hops", "eids")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+        if limit is not None:
+            out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("rank")
+            if hop < max_hops:
+                out = materialize(out, "paths")  # what comes next reads it twice
+        at = (found if limit is None else out.where(F.col("hops") == hop)).select(*keys)
+    if limit is not None:
+        out = out.withColumn("rank", F.row_number().over(w))
+    return _with_triples(out, known) if told else out
+
+
+def _with_triples(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """paths with what their edges say, in order; every path has an edge."""
+    told = edges.select(
+        "tenant_id", F.xxhash64("tenant_id", "src", "dst", "rel_type", "source_uri").alias("eid"), F.struct("src", "rel_type", "dst", "evidence", "source_uri").alias("t")
+    )
+    each = paths.select("*", F.posexplode("eids").alias("__i", "eid")).join(told.groupBy("tenant_id", "eid").agg(F.first("t").alias("t")), ["tenant_id", "eid"])
+    columns = [c for c in paths.columns if c not in ("tenant_id", "seed", "eids")]
+    listed = each.groupBy("tenant_id", "seed", "eids").agg(*[F.first(c).alias(c) for c in columns], F.sort_array(F.collect_list(F.struct("__i", "t"))).alias("l"))  # an edge for each hop
+    return listed.withColumn("triples", F.transform("l", lambda x: x["t"])).drop("l")
 
 
 def path_triples(paths: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -3,7 +3,8 @@
 Rows are identified by (tenant_id, content_hash). Parquet has no MERGE, and a path that is read can't be overwritten,
 so a write puts the rows of the tenants that it touches, merged, into folder v{n+1} and then names, in CURRENT, the folder
 that holds each tenant. CURRENT is written aside and renamed over the old one, so a reader sees one snapshot or the
-other; a writer claims its version by creating a file first, so of two at once the later one fails and can be repeated.
+other; a writer claims the version after the one that it has read by creating a file first, so of two at once the later one fails and
+can be repeated: no write is lost.
 """
 
 from __future__ import annotations
@@ -80,10 +81,10 @@ class ChunkStore:
     def version(self) -> int:
         return self._current()[0]
 
-    def _rows(self, tenants: list | None = None) -> DataFrame:
-        """The rows of some tenants, or all; each folder is read for the tenants that it is named for."""
+    def _rows(self, tenants: list | None = None, held: dict | None = None) -> DataFrame:
+        """The rows of some tenants, or all; each folder is read for the tenants that it is named for (held: by a snapshot that was read)."""
         place: dict[int, list] = {}
-        for tenant, v in self._current()[1].items():
+        for tenant, v in (self._current()[1] if held is None else held).items():
             if tenants is None or tenant in tenants:
                 place.setdefault(v, []).append(tenant)
         out = self.spark.createDataFrame([], schemas.CHUNKS)
@@ -93,15 +94,15 @@ class ChunkStore:
             out = out.unionByName(rows.where(named | F.col("tenant_id").isNull() if None in mine else named))
         return out
 
-    def _switch(self, rows: DataFrame, tenants: list) -> None:
-        """The rows of these tenants from now on; when FOLDERS folders are in use all tenants' rows are put into the new one."""
-        version, held = self._current()
-        version += 1
-        self._put(f"claims/v{version}", "", False)  # fails if another writer has claimed it
+    def _switch(self, read: tuple[int, dict], rows: DataFrame, tenants: list) -> None:
+        """The rows of these tenants, made from the snapshot read, from now on; when FOLDERS folders are in use all tenants' rows are put into
+        the new one."""
+        version, held = read[0] + 1, dict(read[1])
+        self._put(f"claims/v{version}", "", False)  # fails if another writer has claimed it, and so if one has switched since
         try:
             if len({*held.values()}) >= FOLDERS:
                 others = [t for t in held if t not in tenants]
-                rows, tenants = rows.unionByName(self._rows(others)), [*tenants, *others]
+                rows, tenants = rows.unionByName(self._rows(others, held)), [*tenants, *others]
             rows.write.mode("overwrite").partitionBy("tenant_id", "chapter").parquet(f"{self.path}/v{version}")
             held |= dict.fromkeys(tenants, version)
             self._put(f"CURRENT-{version}", json.dumps({"version": version, "tenants": list(held.items())}), True)
@@ -118,8 +119,8 @@ class ChunkStore:
         rows = materialize(incoming, "incoming")
         counts = rows.groupBy("tenant_id").count().collect()  # a row per tenant written
         if counts:
-            tenants = [r[0] for r in counts]
-            self._switch(upsert(self._rows(tenants), rows), tenants)
+            tenants, read = [r[0] for r in counts], self._current()
+            self._switch(read, upsert(self._rows(tenants, read[1]), rows), tenants)
         return sum(r[1] for r in counts)
 
     def read(self, tenant_id: str, chapter: str | None = None, active: bool = True) -> DataFrame:
@@ -129,11 +130,12 @@ class ChunkStore:
         return rows if chapter is None else rows.where(F.col("chapter") == chapter)
 
     def delete(self, tenant_id: str, chapter: str, soft: bool = False) -> int:
-        every = self._rows([tenant_id])
+        read = self._current()
+        every = self._rows([tenant_id], read[1])
         hit = F.col("chapter") == chapter
         n = every.where(hit).count()
         if n:
-            self._switch(every.withColumn("is_active", F.col("is_active") & ~hit) if soft else every.where(~hit), [tenant_id])
+            self._switch(read, every.withColumn("is_active", F.col("is_active") & ~hit) if soft else every.where(~hit), [tenant_id])
         return n
 
     def count(self, tenant_id: str, chapter: str | None = None) -> int:

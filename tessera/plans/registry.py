@@ -718,13 +718,13 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_EDGES}, {_WALK.format(hops=3, hub=10**9)} SELECT seed, node AS reached, hops, round(pc, 6) AS path_confidence FROM walk WHERE hops > 0")
 def bounded_traversal(spark, sf_dir):
-    paths = graph.traverse(_regions(spark, sf_dir), _edges(spark, sf_dir), max_hops=3, hub_degree=10**9, limit=None)
+    paths = graph.traverse(_regions(spark, sf_dir), _edges(spark, sf_dir), max_hops=3, hub_degree=10**9, limit=None, told=False)
     return paths.select("seed", F.col("a").alias("reached"), "hops", F.round("path_confidence", 6).alias("path_confidence"))
 
 
 @query(f"WITH RECURSIVE {_EDGES}, {_WALK.format(hops=3, hub=70)} SELECT seed, hops, count(*) AS paths, round(sum(pc), 4) AS total FROM walk WHERE hops > 0 GROUP BY seed, hops")
 def hub_prune(spark, sf_dir):
-    paths = graph.traverse(_regions(spark, sf_dir), _edges(spark, sf_dir), max_hops=3, hub_degree=70, limit=None)
+    paths = graph.traverse(_regions(spark, sf_dir), _edges(spark, sf_dir), max_hops=3, hub_degree=70, limit=None, told=False)
     return paths.groupBy("seed", "hops").agg(F.count("*").alias("paths"), F.round(F.sum("path_confidence"), 4).alias("total"))
 
 

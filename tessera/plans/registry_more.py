@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text as tx
-from tessera.operators import chunking, graph, metrics, models, rerank, routing, store
-from tessera.plans.registry import _BM25, _EDGES, _WALK, _edges, _lexical, _nodes, _regions, _results, _t, query
+from tessera.operators import chunking, graph, metrics, models, rerank, retrieval, routing, store
+from tessera.plans.registry import _BM25, _EDGES, _WALK, ORACLE_SQL, _edges, _lexical, _nodes, _regions, _results, _split_sql, _t, query
 from tessera.scratch import scratch_path
 from tessera.sources import loaders
+from tessera.streaming import reliability
 
 
 # Replies of models, made of the tables' own texts.
@@ -200,7 +201,7 @@ def extraction(spark, sf_dir):
 @query(f"WITH RECURSIVE {_EDGES}, {_WALK.format(hops=3, hub=10**9)} SELECT seed, CAST(rank AS INT) AS rank, hops, round(pc, 6) AS path_confidence FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY pc DESC, hops) AS rank FROM walk WHERE hops > 0) WHERE rank <= 120")
 def best_paths(spark, sf_dir):
     """Without the paths themselves: which of equally good ones comes first is an order of edge hashes."""
-    paths = graph.traverse(_regions(spark, sf_dir), _edges(spark, sf_dir), max_hops=3, hub_degree=10**9)
+    paths = graph.traverse(_regions(spark, sf_dir), _edges(spark, sf_dir), max_hops=3, hub_degree=10**9, told=False)
     return paths.select("seed", F.col("rank").cast("int").alias("rank"), "hops", F.round("path_confidence", 6).alias("path_confidence"))
 
 
@@ -343,3 +344,69 @@ def agent_hops(spark, sf_dir):
         rows = rows.select("query_id", F.lit(mode).alias("mode"), "iteration", "terminated_by", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "needs_human")
         done = rows if done is None else done.unionByName(rows)
     return done
+
+
+@query("""
+WITH d AS (SELECT source, CAST(count(*) * 1000 AS DOUBLE) AS n FROM documents GROUP BY source), c AS (SELECT source, n * (15 * 500 * (1 + 0.12) / 300) AS chunks FROM d),
+g AS (SELECT *, chunks * 768 * 4 / 1e9 AS raw, chunks * 2000 / 1e9 AS said FROM c)
+SELECT source, CAST(round_even(chunks, 0) AS BIGINT) AS chunks, round_even(raw, 1) AS raw_vector_gb, round_even(raw * 2.6, 1) AS with_hnsw_gb, round_even(said, 1) AS text_metadata_gb, round_even(raw * 2.6 + said, 1) AS total_gb FROM g
+""")
+def capacity_estimates(spark, sf_dir):
+    sized = _t(spark, sf_dir, "documents").groupBy("source").agg((F.count("*") * 1000).alias("n"))
+    return sized.select("source", *[c.alias(k) for k, c in scores.estimate_capacity(F.col("n")).items()])
+
+
+@query(f"""
+WITH k AS ({ORACLE_SQL["classify_rules"]}),
+p(kind, transform, k, "rerank") AS (VALUES ('factual', NULL, 5, FALSE), ('conceptual', 'hyde', 12, TRUE), ('comparative', 'multi_query', 20, TRUE), ('relational', 'entities', 15, TRUE), ('aggregate', 'multi_query', 30, TRUE))
+SELECT conv_id, turn, kind, transform, p.k, "rerank" FROM k JOIN p USING (kind)
+""")
+def question_policies(spark, sf_dir):
+    """The users' questions with the policy of their kind."""
+    kinds = _t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", routing.classify("text").alias("kind"))
+    return kinds.join(F.broadcast(routing.policies(spark)), "kind").select("conv_id", "turn", "kind", "transform", "k", "rerank")
+
+
+@query("""
+WITH h AS (SELECT date_trunc('hour', ts) AS hour, CAST(least(4, count(*) FILTER (event_type = 'error') // 2) AS INTEGER) AS pressure FROM events GROUP BY 1)
+SELECT hour, pressure, CASE WHEN pressure > 0 THEN '40' ELSE '100' END AS ef_search, CASE WHEN pressure > 1 THEN 'false' ELSE 'true' END AS "rerank", CASE WHEN pressure > 2 THEN '3' ELSE '5' END AS top_k,
+  CASE WHEN pressure > 2 THEN '1200' ELSE '2400' END AS token_budget, CASE WHEN pressure > 3 THEN 'false' ELSE 'true' END AS "condense" FROM h
+""")
+def pressure_settings(spark, sf_dir):
+    """The settings of each hour, whose pressure is half its errors."""
+    hours = _t(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.least(F.lit(4), F.floor(F.count_if(F.col("event_type") == "error") / 2)).cast("int").alias("pressure"))
+    settings = F.create_map(*[F.lit(x) for x in ("ef_search", "100", "rerank", "true", "top_k", "5", "token_budget", "2400", "condense", "true")])
+    rungs = hours.withColumn("c", reliability.degrade(settings, "pressure"))
+    return rungs.select("hour", "pressure", *[F.col("c")[k].alias(k) for k in ("ef_search", "rerank", "top_k", "token_budget", "condense")])
+
+
+_PATHS = "SELECT doc_id || '.txt' AS key, text FROM documents WHERE length(text) > 0"
+
+
+@query(f"""
+WITH RECURSIVE {_split_sql("k", _PATHS, 600, 72, chunking.SEPARATORS)}
+SELECT key AS source_uri, CAST(position AS VARCHAR) AS position, 'four' AS chapter, 'hash' AS embed_model, sha256(key || '|' || position || '|' || content) AS content_hash, TRUE AS embedded FROM k
+""")
+def ingested_chunks(spark, sf_dir):
+    """Documents through the ingestion plan into a store, twice: the second run refreshes what the first has written."""
+    from tessera.plans import answering
+
+    docs = _t(spark, sf_dir, "documents").select(F.format_string("in/%d.txt", "doc_id").alias("path"), "text")
+    held = store.ChunkStore(spark, scratch_path(spark, "store"))
+    for _ in range(2):
+        answering.ingest(docs, held, models.hashed_embedding, tenant_id="t", chapter="four", embed_model="hash")
+    store.assert_embedding_model(held.read("t"), "hash")
+    return held.read("t", "four").select("source_uri", F.col("metadata")["chunk"].alias("position"), "chapter", "embed_model", "content_hash", (F.size("embedding") > 0).alias("embedded"))
+
+
+@query(f"""
+WITH {_BM25}, x AS (SELECT 'any term' AS strategy, query_id, score FROM r WHERE rank <= 8 UNION ALL SELECT 'all terms', query_id, score FROM a WHERE rank <= 8)
+SELECT strategy, query_id, count(*) AS results, max(score) AS top_score FROM x GROUP BY strategy, query_id
+""")
+def strategies_compared(spark, sf_dir):
+    from tessera.plans import answering
+
+    questions, corpus = _lexical(spark, sf_dir)
+    index = retrieval.question_postings(questions, corpus)
+    found = {name: retrieval.lexical_search(questions, None, 8, all_terms=every, index=index) for name, every in (("any term", False), ("all terms", True))}
+    return answering.compare(found)

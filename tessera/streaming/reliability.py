@@ -6,11 +6,14 @@ import random
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.functions.vectors import cosine
+from tessera.scratch import materialize
 
 WINDOW_SECONDS, FAILURES, MIN_CALLS, SLOW_SHARE, SLOW_MS, OPEN_SECONDS, PROBES = 60, 5, 5, 0.5, 8000.0, 30, 3
 
@@ -90,6 +93,66 @@ def stream_signals(events: DataFrame, *, key: str, ts: str = "ts", ok: str = "ok
     return counts.withColumn("trips", (F.col("failures") >= FAILURES) | ((F.col("events") >= MIN_CALLS) & (F.col("slow") / F.col("events") >= SLOW_SHARE)))
 
 
+def stream_states(events: DataFrame, *, key: str, ts: str = "ts", ok: str = "ok", latency: str = "latency_ms", order: str | None = None, late: str = "2 minutes") -> DataFrame:
+    """breaker_states for a stream: each call with the state that it leaves, once the watermark has passed it.
+
+    A key's state is the machine and the calls that the watermark hasn't passed; a timer of the key fires when it does, and the calls it has
+    passed go through the machine in order of ts, then of the column order. Calls that come later than ``late`` are dropped by the stream.
+    State of this kind needs spark.sql.streaming.stateStore.providerClass to name the RocksDB provider, and it survives restarts with the
+    query's checkpoint. ts has to be a timestamp.
+    """
+    marked = events.withWatermark(ts, late)
+    fields = T.StructType([*events.schema.fields, T.StructField("state", T.StringType())])
+    names = [key, ts, ok, latency, order]
+    return marked.groupBy(key).transformWithState(_BreakerProcessor(events.schema, names), fields, "append", "eventTime")
+
+
+class _BreakerProcessor(StatefulProcessor):
+    def __init__(self, schema: T.StructType, names: list[str | None]):
+        self.schema, self.names = schema, [None if n is None else schema.fieldNames().index(n) for n in names]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.machine = handle.getValueState("machine", "state string, opened double, probes int, at array<double>, ok array<boolean>, ms array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
+        new = [tuple(r) for r in rows]
+        if new:
+            self.waiting.appendList(new)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self._wait([tuple(r) for r in self.waiting.get()])
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        _, ts, ok, latency, order = self.names
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        held = [tuple(r) for r in self.waiting.get()]
+        ready = sorted((r for r in held if r[ts].timestamp() <= passed), key=lambda r: (r[ts], *([r[order]] if order is not None else [])))
+        breaker = Breaker()
+        if self.machine.exists():
+            breaker.state, breaker.opened, breaker.probes, *calls = self.machine.get()
+            breaker.calls = list(zip(*calls, strict=True))
+        out = [Row(*self.schema.fieldNames(), "state")(*r, breaker.offer(r[ts].timestamp(), bool(r[ok]), float(r[latency] or 0.0))) for r in ready]
+        self.machine.update((breaker.state, float(breaker.opened), breaker.probes, *([c[i] for c in breaker.calls] for i in range(3))))
+        left = [r for r in held if r[ts].timestamp() > passed]
+        if left:
+            self.waiting.put(left)
+            self._wait(left)
+        else:
+            self.waiting.clear()
+        return iter(out)
+
+    def _wait(self, rows: list[tuple]) -> None:
+        """Until the watermark has passed the first of rows."""
+        first = min(r[self.names[1]].timestamp() for r in rows)
+        self.handle.registerTimer(int(first * 1000) + 1)
+
+    def close(self) -> None:
+        pass
+
+
 def with_retries(call: Callable[[], object], tries: int = 3, base: float = 0.5, cap: float = 8.0, sleep: Callable[[float], None] = time.sleep) -> object:
     """A call inside a client, repeated after growing pauses; the last error is raised."""
     for i in range(tries):
@@ -111,17 +174,110 @@ def degrade(config: Column | str, pressure: Column | str) -> Column:
     return out
 
 
+#: Question vectors that are broadcast at once, rows of entries looked at at once, and numbers of a vector that are looked at first.
+CACHE_BLOCK, CACHE_TILE, CACHE_HEAD = 4096, 512, 16
+
+
+class FirstHits:
+    """For a block of questions the first entry at the threshold among the tiles that it is shown.
+
+    A vector's first numbers bound its cosine with another: the rest of both adds at most the product of the rests' norms. Only pairs
+    that the bound lets through are compared whole, and none with an entry behind a hit that the question has. Norms of rests are those
+    after a rotation by the questions' own principal axes, so that the first numbers tell the most.
+    """
+
+    def __init__(self, vectors: list, threshold: float):
+        q = np.array(vectors, dtype=np.float64)
+        self.axes = np.linalg.svd(q, full_matrices=True)[2].T if len(q) else np.eye(0)
+        self.q, self.head, self.rest = self._rotated(q)
+        self.threshold = threshold
+        self.best: np.ndarray = np.full(len(q), None, dtype=object)
+        self.compared = self.pairs = 0
+
+    def _rotated(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.linalg.norm(v, axis=1)
+        v = (v / np.where(n == 0, 1, n)[:, None]) @ self.axes
+        head = v[:, :CACHE_HEAD]
+        return v, head, np.sqrt(np.maximum(0, (v**2).sum(axis=1) - (head**2).sum(axis=1)))
+
+    def see(self, of: np.ndarray, vectors: np.ndarray, seq: np.ndarray, own: np.ndarray | None = None) -> None:
+        """Entries in ascending order of seq, for the questions of; own: by question the entry that doesn't count."""
+        open_ = np.array([self.best[i] is None or self.best[i] > seq[0] for i in of])
+        of = of[open_]
+        if not len(of):
+            return
+        e, head, rest = self._rotated(vectors)
+        self.pairs += len(of) * len(e)
+        i, j = np.nonzero(self.head[of] @ head.T + np.outer(self.rest[of], rest) >= self.threshold - 1e-6)
+        if own is not None:
+            other = np.array([own[a] != seq[b] for a, b in zip(of[i], j, strict=True)], dtype=bool)
+            i, j = i[other], j[other]
+        self.compared += len(i)
+        hit = np.round((self.q[of[i]] * e[j]).sum(axis=1), 6) >= self.threshold
+        for a, b in zip(of[i[hit]].tolist(), j[hit].tolist(), strict=True):
+            if self.best[a] is None or seq[b] < self.best[a]:
+                self.best[a] = seq[b]
+
+
 def cached_answers(queries: DataFrame, entries: DataFrame, threshold: float = 0.93, own: str | None = None) -> DataFrame:
     """(query_id, seq): the first entry(tenant_id, corpus_version, seq, vector) at the threshold for each query; misses have none.
 
-    own: a column of queries with the entry that is the query itself and doesn't count.
-
-    The cache is bounded per tenant and version by its own limit, and those are join keys.
+    own: a column of queries with the entry that is the query itself and doesn't count. Questions go through in blocks that are broadcast;
+    entries aren't shuffled, a task keeps the first hit of each question, and only pairs of one tenant and version meet whose first numbers
+    let them reach the threshold (see FirstHits). Vectors of norm 0 have cosine 0; null vectors, tenants and versions hit nothing.
     """
-    pairs = queries.join(entries, ["tenant_id", "corpus_version"])
-    pairs = pairs if own is None else pairs.where(~F.col("seq").eqNullSafe(F.col(own)))
-    near = pairs.where(F.round(cosine("qvec", "vector"), 6) >= threshold)
-    return near.groupBy("query_id").agg(F.min("seq").alias("seq"))
+    spark = entries.sparkSession
+    kinds = queries.schema["query_id"].dataType.simpleString(), entries.schema["seq"].dataType.simpleString()
+    named = lambda df, *more: df.where("tenant_id is not null and corpus_version is not null").select(F.concat_ws("\0", "tenant_id", "corpus_version").alias("key"), *more)
+    asked = named(queries.where(F.col("qvec").isNotNull()), "query_id", "qvec", *([F.col(own).alias("own")] if own else []))
+    rows = named(entries.where(F.col("vector").isNotNull() & F.col("seq").isNotNull()), "seq", "vector")
+    found, block = None, []
+
+    def hits(block: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast([tuple(r) for r in block])
+        near = rows.mapInArrow(_first_hits(sent, threshold, own is not None), f"place int, seq {kinds[1]}")
+        first = near.groupBy("place").agg(F.min("seq").alias("seq"))
+        names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(block)], f"place int, query_id {kinds[0]}")
+        return first.join(F.broadcast(names), "place").select("query_id", "seq")
+
+    for row in asked.toLocalIterator():
+        block.append(row)
+        if len(block) == CACHE_BLOCK:
+            some = materialize(hits(block), "cache-hits")
+            found, block = some if found is None else found.unionByName(some), []
+    if block or found is None:
+        found = hits(block) if found is None else found.unionByName(hits(block))
+    return found.groupBy("query_id").agg(F.min("seq").alias("seq"))
+
+
+def _first_hits(sent, threshold: float, has_own: bool):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        block = sent.value
+        of_key: dict[str, list[int]] = {}
+        for i, r in enumerate(block):
+            of_key.setdefault(r[0], []).append(i)
+        held = {key: (FirstHits([block[i][2] for i in mine], threshold), mine, np.array([block[i][3] for i in mine], dtype=object) if has_own else None) for key, mine in of_key.items()}
+        kind = None
+        for b in batches:
+            kind = b.schema.field(1).type
+            tile = pa.Table.from_batches([b]).sort_by([("key", "ascending"), ("seq", "ascending")])
+            keys = np.array(tile["key"].to_pylist(), dtype=object)
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for low, high in zip(edges, edges[1:], strict=False):
+                if low == high or keys[low] not in held:
+                    continue
+                hits, mine, own = held[keys[low]]
+                for at in range(low, high, CACHE_TILE):
+                    part = tile.slice(at, min(CACHE_TILE, high - at))
+                    hits.see(np.arange(len(mine)), np.array(part["vector"].to_pylist(), dtype=np.float64), np.array(part["seq"].to_pylist(), dtype=object), own)
+        out = [(mine[i], hits.best[i]) for hits, mine, _ in held.values() for i in range(len(mine)) if hits.best[i] is not None]
+        if out:
+            places, seqs = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(seqs, kind)], names=["place", "seq"])
+
+    return run
 
 
 class SemanticCache:
@@ -133,8 +289,6 @@ class SemanticCache:
         self.hits = self.asked = 0
 
     def get(self, vector: list[float], tenant: str, version: str) -> object | None:
-        import numpy as np
-
         self.asked += 1
         v = np.asarray(vector, dtype=float)
         for t, c, u, answer in self.entries:
@@ -145,8 +299,6 @@ class SemanticCache:
         return None
 
     def put(self, vector: list[float], answer: object, tenant: str, version: str) -> None:
-        import numpy as np
-
         self.entries.append((tenant, version, np.asarray(vector, dtype=float), answer))
         del self.entries[: -self.max_entries]
 
