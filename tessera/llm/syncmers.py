@@ -1,7 +1,8 @@
 """Document fingerprints by closed syncmers, in DataFrame functions only.
 
-A text is taken as a sequence of units: words, long ones cut every UNIT_CHARS characters. A k-mer of K units is
-a closed syncmer if the least hash among its inner S-unit substrings stands at its first or last place: about one k-mer in
+A text is taken as a sequence of units: words of up to UNIT_CHARS characters, the signs of scripts without spaces, and what longer
+runs are cut into behind each of some common letters and digits (every UNIT_CHARS characters where none comes), so that units don't
+depend on where a run begins. A k-mer of K units is a closed syncmer if the least hash among its inner S-unit substrings stands at its first or last place: about one k-mer in
 three. Whether a k-mer is chosen depends on nothing outside it, so a passage keeps its anchors wherever it stands. A text of fewer
 than K units, or without a closed syncmer, is one anchor. An anchor is a long: its hash (31 bits) and, below, its place in units.
 
@@ -22,7 +23,11 @@ from pyspark.sql import types as T
 from tessera.llm.shared import free_name
 
 K, S, UNIT_CHARS, SKETCH = 8, 3, 16, 64
-UNITS = f"[^\\x20\\x09-\\x0D]{{1,{UNIT_CHARS}}}"
+#: Signs of scripts without spaces; what words consist of; letters and digits that longer runs are cut behind.
+SIGNS = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
+PLAIN = f"[^\\x20\\x09-\\x0D{SIGNS}]"
+CUTS = "[aeiouAEIOU02468]"
+UNITS = f"[{SIGNS}]|(?<!{PLAIN}){PLAIN}{{1,{UNIT_CHARS}}}(?!{PLAIN})|{PLAIN}{{0,{UNIT_CHARS - 1}}}?{CUTS}|{PLAIN}{{1,{UNIT_CHARS}}}"
 PLACE_BITS, HASH_MASK, PLACE_MASK = 32, 0x7FFFFFFF, 0xFFFFFFFF
 
 
