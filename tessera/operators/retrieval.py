@@ -149,30 +149,67 @@ def query_terms(queries: DataFrame, text_col: str = "question") -> DataFrame:
     return queries.select("query_id", F.explode(kept).alias("term"), F.size(kept).alias("n_terms"))
 
 
-#: Bits of a set of terms, in words of 64: its size doesn't depend on the number of terms.
+#: Bits of a set of terms: its size (128 KB) doesn't depend on the number of terms.
 TERM_BITS = 1 << 20
 #: The term of the row that each text has in postings.
 TEXT = ""
 
 
-def _term_bit(term: Column | str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BITS))
+def _term_bits(wanted: DataFrame) -> bytes:
+    """The set of wanted(term) as TERM_BITS bits, by the terms' checksums."""
+    place = F.crc32(F.col("term").cast("binary")) % TERM_BITS
+    words = wanted.select(place.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("bits"))
+    out = np.zeros(TERM_BITS // 64, dtype=np.int64)
+    for r in words.collect():  # at most TERM_BITS / 64 rows
+        out[r["word"]] = r["bits"]
+    return out.tobytes()
+
+
+def _counted(bits):
+    """Counts each text's terms; of a set of bits only the terms in it (and a few more of their checksums) are told."""
+
+    def run(batches: Iterator) -> Iterator:
+        import re
+        from collections import Counter
+        from zlib import crc32
+
+        import pyarrow as pa
+
+        find = re.compile("[a-z0-9]+").findall
+        held = None if bits is None else bits.value
+        known: dict[str, bool] = {}
+
+        def told(term: str) -> bool:
+            if term not in known:
+                if len(known) > 300_000:
+                    known.clear()
+                p = crc32(term.encode()) % TERM_BITS
+                known[term] = bool(held[p >> 3] >> (p & 7) & 1)
+            return known[term]
+
+        for b in batches:
+            rows, terms, tfs, sizes = [], [], [], []
+            for i, said in enumerate(b.column(1).to_pylist()):
+                words = find(said or "")
+                counts = [(t, n) for t, n in Counter(words).items() if held is None or told(t)]
+                rows += [i] * (len(counts) + 1)
+                sizes += [len(words)] * (len(counts) + 1)
+                terms += [TEXT, *(t for t, _ in counts)]
+                tfs += [1, *(n for _, n in counts)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(sizes, pa.int32())], names=["chunk_id", "term", "tf", "size"])
+
+    return run
 
 
 def postings(corpus: DataFrame, wanted: DataFrame | None = None, *, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """(chunk_id, term, tf, size): a row for each text and term, and one of the term TEXT for each text.
 
-    With wanted(term) only for those terms (and a few more of their hashes). The set of them is TERM_BITS bits, made by one
-    aggregation and broadcast; no term of another hash leaves its task. Counts are made per text, so the corpus is read once.
+    With wanted(term) only for those terms (and a few more of their checksums): the set of them is TERM_BITS bits, and no other term
+    leaves its task. Counts are made text by text, so the corpus is read once and not shuffled; repeated ids are texts of their own.
     """
-    counted = corpus.select(F.col(id_col).alias("chunk_id"), F.coalesce(tx.terms(text_col), F.array().cast("array<string>")).alias("t"))
-    each = counted.select("chunk_id", F.size("t").alias("size"), F.explode(F.concat(F.array(F.lit(TEXT)), "t")).alias("term"))
-    if wanted is not None:
-        marks = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(TEXT,)], "term string")).select(_term_bit("term").alias("p"))
-        words = marks.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits"))  # at most TERM_BITS / 64 rows
-        placed = each.withColumn("p", _term_bit("term"))
-        each = placed.join(F.broadcast(words), F.shiftright("p", 6) == F.col("word")).where(F.getbit("bits", F.col("p").bitwiseAND(F.lit(63)).cast("int")) == 1)
-    return each.groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "size")
+    bits = None if wanted is None else corpus.sparkSession.sparkContext.broadcast(_term_bits(wanted))
+    kind = corpus.schema[id_col].dataType.simpleString()
+    return corpus.select(F.col(id_col).alias("chunk_id"), F.lower(text_col).alias("said")).mapInArrow(_counted(bits), f"chunk_id {kind}, term string, tf long, size int")
 
 
 def lexical_search(
