@@ -150,7 +150,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, n_words, n_removed, kept string): each document's words that are left, joined by one space.
 
     Null text has no words. Texts of fewer than WORDS words stay whole. Rows with one id, or a null one, are
-    documents of their own, in order of their text. An empty table gives an empty result.
+    documents of their own, in order of their text. An empty table gives an empty result. Very long texts are cut into runs whole; other
+    columns of docs are neither read nor returned, so their names can't clash.
     """
     keyed, key = with_order_key(docs.select(id_col, text_col), id_col, text_col)
     spans = repeats.repeated_spans(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), windows, _spans_of_shards)

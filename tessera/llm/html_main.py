@@ -267,7 +267,8 @@ def main_text(page: str | None) -> str:
 def extract_main_text(pages: DataFrame, *, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """Adds the main text of each page (empty for null or empty html). Other columns are kept; out_col, in any case, is replaced.
 
-    Broken markup, unclosed elements and very long pages are read in one pass; repeated rows stay.
+    Broken markup, unclosed elements and very long pages are read in one pass; repeated rows stay. Of decided neighbours that are
+    equally near and differ, the one before decides.
     """
     kept = [c for c in pages.columns if c.lower() != out_col.lower()]
 

@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, fingerprint, component_id): component_id is the least id whose fingerprint is reachable over links.
 
     Null and empty texts have the zero fingerprint and link like any other; a null id is never the least unless
-    its whole component is null. Repeated ids are rows of their own. An empty table gives an empty result.
+    its whole component is null. Repeated ids are rows of their own. An empty table gives an empty result. Very long texts are read
+    whole, a text at a time; other columns of docs are neither read nor returned, so their names can't clash.
     """
     fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min(id_col).alias("first"))
@@ -513,7 +514,8 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     """The rows of docs but for near copies: of each group the row with the least id stays (see near_duplicate_texts).
 
     Null texts count as empty, and so as copies of each other. Rows with one id, or a null one, are told apart by their
-    place in the order of id and text. All columns are kept; only rows that may go are shuffled.
+    place in the order of id and text. All columns are kept, whatever their names; only rows that may go are shuffled. Very long texts
+    are compared by all their shingles.
     """
     keyed, key = with_order_key(docs, id_col, text_col)
     roots = near_duplicate_texts(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")))
