@@ -7,11 +7,14 @@ anything is joined. Rankings break ties by id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -294,10 +297,43 @@ def fuse(ranked: list[DataFrame], weights: list[float] | None = None, k: int = 6
 
 
 def hybrid_search(queries: DataFrame, corpus: DataFrame, top: int = 5, *, weights: tuple[float, float] = (0.6, 0.4), k: int = 60, multiplier: int = 4, **columns: str) -> DataFrame:
-    """Dense and lexical rankings, each of multiplier times as many rows, fused."""
-    dense = dense_search(queries, corpus, top * multiplier, id_col=columns.get("id_col", "chunk_id"), vector_col=columns.get("vector_col", "embedding"))
-    lexical = lexical_search(queries, corpus, top * multiplier, id_col=columns.get("id_col", "chunk_id"), text_col=columns.get("text_col", "content"))
-    return fuse([dense, lexical], list(weights), k, top)
+    """Dense and lexical rankings, each of multiplier times as many rows, fused. The branches run at once."""
+    id_col, n = columns.get("id_col", "chunk_id"), top * multiplier
+    ranked = at_once(
+        queries.sparkSession,
+        lambda: materialize(dense_search(queries, corpus, n, id_col=id_col, vector_col=columns.get("vector_col", "embedding")), "dense"),
+        lambda: materialize(lexical_search(queries, corpus, n, id_col=id_col, text_col=columns.get("text_col", "content")), "lexical"),
+    )
+    return fuse(ranked, list(weights), k, top)
+
+
+def at_once(spark: SparkSession, *calls: Callable[[], DataFrame]) -> list[DataFrame]:
+    """What the calls return, in their order; their jobs run side by side, with the local properties of the caller."""
+    with ThreadPoolExecutor(max(1, len(calls))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
+
+
+def as_results(found: DataFrame, corpus: DataFrame, retriever: str) -> DataFrame:
+    """RESULT rows of found(query_id, chunk_id, score, rank): with what corpus(chunk_id, content[, source_uri, section_path, metadata]) says.
+
+    Null source and section are empty, null metadata an empty map.
+    """
+    held = {"source_uri": F.lit(""), "section_path": F.lit(""), "metadata": F.create_map().cast("map<string,string>")}
+    told = corpus.select("chunk_id", "content", *[F.coalesce(F.col(c), empty).alias(c) if c in corpus.columns else empty.alias(c) for c, empty in held.items()])
+    rows = found.select("query_id", "chunk_id", "score", "rank").join(told, "chunk_id")
+    return rows.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("chunk_id"), F.coalesce("content", F.lit("")).alias("content"), F.col("score").cast("double").alias("score"), *held, F.lit(retriever).alias("retriever"))
+
+
+RESULT = "rank int, chunk_id string, content string, score double, source_uri string, section_path string, metadata map<string,string>, retriever string"
+
+
+def or_empty(search: Callable[[], DataFrame], queries: DataFrame) -> DataFrame:
+    """The RESULT rows of a search that is run here, or none and a line in the log if it fails, when it is planned or when it runs."""
+    try:
+        return materialize(search(), "results")
+    except Exception:
+        logging.getLogger(__name__).exception("a search failed; it finds nothing")
+        return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, {RESULT}")
 
 
 def multi_query_search(variants: DataFrame, search, top: int = 5, count: int = 3) -> DataFrame:

@@ -103,7 +103,9 @@ class ChunkStore:
             if len({*held.values()}) >= FOLDERS:
                 others = [t for t in held if t not in tenants]
                 rows, tenants = rows.unionByName(self._rows(others, held)), [*tenants, *others]
-            rows.write.mode("overwrite").partitionBy("tenant_id", "chapter").parquet(f"{self.path}/v{version}")
+            # a file has a narrow range of sources and a filter of them, so that a read of one source skips what can't hold it
+            placed = rows.repartitionByRange("tenant_id", "chapter", "source_uri").sortWithinPartitions("tenant_id", "chapter", "source_uri")
+            placed.write.mode("overwrite").option("parquet.bloom.filter.enabled#source_uri", "true").partitionBy("tenant_id", "chapter").parquet(f"{self.path}/v{version}")
             held |= dict.fromkeys(tenants, version)
             self._put(f"CURRENT-{version}", json.dumps({"version": version, "tenants": list(held.items())}), True)
             fs = self.spark._jvm.org.apache.hadoop.fs
@@ -123,10 +125,11 @@ class ChunkStore:
             self._switch(read, upsert(self._rows(tenants, read[1]), rows), tenants)
         return sum(r[1] for r in counts)
 
-    def read(self, tenant_id: str, chapter: str | None = None, active: bool = True) -> DataFrame:
-        """A tenant's chunks: partitions are pruned before anything is ranked."""
+    def read(self, tenant_id: str, chapter: str | None = None, active: bool = True, sources: list[str] | None = None) -> DataFrame:
+        """A tenant's chunks: partitions are pruned before anything is ranked, and for some sources the row groups without them."""
         rows = self._rows([tenant_id])
         rows = rows.where("is_active") if active else rows
+        rows = rows if sources is None else rows.where(F.col("source_uri").isin(sources))
         return rows if chapter is None else rows.where(F.col("chapter") == chapter)
 
     def delete(self, tenant_id: str, chapter: str, soft: bool = False) -> int:
