@@ -734,20 +734,20 @@ def triples_to_sentences(spark, sf_dir):
     return rows.select(tx.triple_sentence("src", "rel_type", "dst", "evidence").alias("sentence"), tx.triple("src", "rel_type", "dst").alias("triple"))
 
 
-_MENTION = _CANON.format("CASE WHEN s_suppkey % 20 = 0 THEN 'x' ELSE '' END || s_name")
+_MENTION = _CANON.format("CASE WHEN s_suppkey % 2 = 0 THEN 'x' ELSE '' END || s_name")
 
 
 @query(f"""
-WITH m AS (SELECT s_suppkey AS query_id, {_MENTION} AS k FROM supplier WHERE s_suppkey % 10 = 0), n AS (SELECT DISTINCT {_CANON.format('s_name')} AS c FROM supplier),
+WITH m AS (SELECT s_suppkey AS query_id, {_MENTION} AS k FROM supplier), n AS (SELECT DISTINCT {_CANON.format('s_name')} AS c FROM supplier),
 e AS (SELECT query_id, c AS canonical_name FROM m JOIN n ON k = c),
 f AS (SELECT query_id, c, row_number() OVER (PARTITION BY query_id ORDER BY levenshtein(k, c), c) AS place FROM m, n WHERE query_id NOT IN (SELECT query_id FROM e) AND levenshtein(k, c) <= 0.14 * (length(k) + length(c)))
 SELECT query_id, canonical_name, 'exact' AS how FROM e UNION ALL SELECT query_id, c, 'fuzzy' FROM f WHERE place = 1
 """)
 def fuzzy_link(spark, sf_dir):
-    """Mentions are the names of suppliers whose key is divisible by 10, every other one with a letter too many."""
+    """Mentions are the names of all suppliers, every other one with a letter too many."""
     suppliers = _t(spark, sf_dir, "supplier")
     nodes = suppliers.select(F.lit("t").alias("tenant_id"), tx.canonicalize("s_name").alias("canonical_name"))
-    mentions = suppliers.where("s_suppkey % 10 = 0").select(F.lit("t").alias("tenant_id"), F.col("s_suppkey").alias("query_id"), F.concat(F.when(F.col("s_suppkey") % 20 == 0, F.lit("x")).otherwise(""), "s_name").alias("mention"))
+    mentions = suppliers.select(F.lit("t").alias("tenant_id"), F.col("s_suppkey").alias("query_id"), F.concat(F.when(F.col("s_suppkey") % 2 == 0, F.lit("x")).otherwise(""), "s_name").alias("mention"))
     return graph.link_mentions(mentions, nodes).select("query_id", "canonical_name", "how")
 
 
@@ -866,7 +866,7 @@ def adaptive_policy(spark, sf_dir):
 
 
 @query(r"""
-WITH b AS (SELECT item_id AS case_id, left(text, 40) AS question, text AS answer, left(text, length(text) // 2) AS context FROM benchmark),
+WITH b AS (SELECT item_id AS case_id, text AS question, text AS answer, left(text, length(text) // 2) AS context FROM benchmark),
 c AS (SELECT *, list_filter(string_split(regexp_replace(trim(answer), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS claims FROM b),
 v AS (SELECT *, len(list_filter(claims, lambda x: contains(context, x))) AS ok FROM c)
 SELECT case_id, CAST(ok AS DOUBLE) / len(claims) AS faithfulness, CAST(len(claims) AS INT) AS claims, CAST(ok AS BIGINT) AS supported, CAST(len(claims) - ok AS BIGINT) AS unsupported,
@@ -877,7 +877,7 @@ def judged_answers(spark, sf_dir):
     from tessera.operators import models
 
     text = F.col("text")
-    rows = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.substring("text", 1, 40).alias("question"), text.alias("answer"), F.substring(text, F.lit(1), F.floor(F.length("text") / 2).cast("int")).alias("context"))
+    rows = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), text.alias("question"), text.alias("answer"), F.substring(text, F.lit(1), F.floor(F.length("text") / 2).cast("int")).alias("context"))
     faithful = metrics.judge_faithfulness(rows, models.literal_judge).select("case_id", "faithfulness", "claims", "supported", "unsupported")
     return faithful.join(metrics.judge_answer_relevance(rows, models.literal_judge), "case_id")
 

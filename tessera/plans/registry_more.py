@@ -122,18 +122,20 @@ def metadata_filters(spark, sf_dir):
     return held.select("doc_id", store.metadata_matches("m", {"lang": "en", "source": first}).alias("equal"), store.json_contains(F.parse_json("j"), wanted).alias("contained"))
 
 
-_REWRITE = "CASE item_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN repeat(text, 6) WHEN 2 THEN ' ' || left(text, 30) || ' ' ELSE NULL END"
+_REWRITE = "CASE item_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN repeat(text, 6) WHEN 2 THEN ' ' || text || ' ' ELSE NULL END"
 
 
-@query(f"SELECT item_id, sha256(CASE WHEN r = '' OR length(r) > 4 * length(q) + 80 THEN q ELSE r END) AS h FROM (SELECT item_id, left(text, 30) AS q, trim(coalesce({_REWRITE}, '')) AS r FROM benchmark)")
+@query(f"SELECT item_id, sha256(CASE WHEN r = '' OR length(r) > 4 * length(q) + 80 THEN q ELSE r END) AS h FROM (SELECT item_id, text AS q, trim(coalesce({_REWRITE}, '')) AS r FROM benchmark)")
 def guarded_rewrites(spark, sf_dir):
-    return _t(spark, sf_dir, "benchmark").select("item_id", F.sha2(routing.guarded_rewrite(F.expr("left(text, 30)"), F.expr(_REWRITE)), 256).alias("h"))
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.sha2(routing.guarded_rewrite(F.col("text"), F.expr(_REWRITE)), 256).alias("h"))
 
 
-@query("SELECT doc_id % 10 AS query_id, doc_id AS chunk_id, 'a' AS pool FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id % 10, doc_id, 'b' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0")
+@query("SELECT doc_id % 10 AS query_id, doc_id AS chunk_id, CASE WHEN n_chars > 1000 THEN 'a' ELSE 'b' END AS pool FROM documents")
 def merged_pools(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("chunk_id"))
-    return rerank.merge_unique(rows.where("chunk_id % 3 = 0").withColumn("pool", F.lit("a")), rows.where("chunk_id % 2 = 0").withColumn("pool", F.lit("b")))
+    """The long documents, then all of them: those that are new."""
+    rows = _t(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("chunk_id"), "n_chars")
+    long, every = rows.where("n_chars > 1000").drop("n_chars"), rows.drop("n_chars")
+    return rerank.merge_unique(long.withColumn("pool", F.lit("a")), every.withColumn("pool", F.lit("b")))
 
 
 _TERMS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '([a-z]{{4,}})', 1)), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in tx.STOP_TERMS) + "], x))"
@@ -255,24 +257,26 @@ def generic_relationships(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT source AS tenant_id, lang AS chapter, sha256(CAST(doc_id AS VARCHAR) || '|0|' || coalesce(text, '')) AS h FROM documents WHERE source IN (SELECT DISTINCT source FROM documents ORDER BY 1 LIMIT 2) AND lang IN ('de', 'en')),
-f AS (SELECT min(tenant_id) AS t FROM d)
-SELECT tenant_id, chapter, count(DISTINCT h) AS rows, CASE WHEN tenant_id = t AND chapter = 'de' THEN 0 ELSE count(DISTINCT h) END AS active, 'm' AS model FROM d, f WHERE NOT (tenant_id <> t AND chapter = 'de') GROUP BY tenant_id, chapter, t
+WITH d AS (SELECT source AS tenant_id, lang AS chapter, sha256(CAST(doc_id AS VARCHAR) || '|0|' || coalesce(text, '')) AS h FROM documents),
+f AS (SELECT min(tenant_id) AS t, (SELECT min(tenant_id) FROM d WHERE tenant_id > (SELECT min(tenant_id) FROM d)) AS u FROM d)
+SELECT tenant_id, chapter, count(DISTINCT h) AS rows, CASE WHEN tenant_id = t AND chapter = 'de' THEN 0 ELSE count(DISTINCT h) END AS active, 'm' AS model FROM d, f WHERE NOT (tenant_id = u AND chapter = 'de') GROUP BY tenant_id, chapter, t
 """)
 def store_life(spark, sf_dir):
-    """Two tenants are written; of the first one's chapters one is deleted softly, of the second one's for good."""
+    """All sources are written as tenants; of the first one's chapters one is deleted softly, of the second one's for good."""
     docs = _t(spark, sf_dir, "documents")
     tenants = [r[0] for r in docs.select("source").distinct().orderBy("source").limit(2).collect()]
     held = store.ChunkStore(spark, scratch_path(spark, "store"))
-    for tenant in tenants:
-        for chapter in ("de", "en"):
-            rows = docs.where((F.col("source") == tenant) & (F.col("lang") == chapter))
-            rows = rows.select(F.col("doc_id").cast("string").alias("source_uri"), F.lit(0).alias("position"), F.coalesce("text", F.lit("")).alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
-            held.write(store.chunk_rows(rows, tenant_id=tenant, chapter=chapter, embed_model="m"))
+    for chapter in [r[0] for r in docs.select("lang").distinct().orderBy("lang").collect()]:  # a handful of languages
+        rows = docs.where(F.col("lang") == chapter)
+        rows = rows.select("source", F.col("doc_id").cast("string").alias("source_uri"), F.lit(0).alias("position"), F.coalesce("text", F.lit("")).alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
+        held.write(store.chunk_rows(rows, tenant_id=F.col("source"), chapter=chapter, embed_model="m"))
     for tenant, soft in zip(tenants, (True, False), strict=False):
         held.delete(tenant, "de", soft=soft)
-    every = [held.read(t, active=False) for t in tenants]
-    out = every[0] if len(every) == 1 else every[0].unionByName(every[1])
+    every = docs.select("source").distinct().collect()  # a store's tenants
+    out = None
+    for r in every:
+        rows = held.read(r[0], active=False)
+        out = rows if out is None else out.unionByName(rows)
     return out.groupBy("tenant_id", "chapter").agg(F.count("*").alias("rows"), F.count_if("is_active").alias("active"), F.min("embed_model").alias("model"))
 
 
