@@ -414,3 +414,88 @@ def strategies_compared(spark, sf_dir):
     index = retrieval.question_postings(questions, corpus)
     found = {name: retrieval.lexical_search(questions, None, 8, all_terms=every, index=index) for name, every in (("any term", False), ("all terms", True))}
     return answering.compare(found)
+
+
+_STATES = ORACLE_SQL["breaker_states"].strip()
+_PASSED = "SELECT event_id, k, said AS state FROM s WHERE n > 0"
+assert _STATES.endswith(_PASSED)
+
+
+@query(_STATES.removesuffix(_PASSED) + "SELECT s.event_id, k, said AS state FROM s JOIN events USING (event_id) WHERE n > 0 AND epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 120000 FROM events)")
+def breaker_stream(spark, sf_dir):
+    """The events as a stream: the states of the calls that the watermark has passed, two minutes before the last one."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    folder = scratch_path(spark, "breaker-stream")
+    schema = _t(spark, sf_dir, "events").schema
+    try:
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+        calls = events.select("event_id", (F.col("user_id") % 20).alias("k"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"), (F.col("value") * 100).alias("latency_ms"))
+        states = reliability.stream_states(calls, key="k", order="event_id")
+        states.select("event_id", "k", "ts", "state").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    out = spark.read.parquet(f"{folder}/out")
+    passed = _t(spark, sf_dir, "events").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("last"))
+    return out.join(F.broadcast(passed)).where(F.unix_millis("ts") < F.col("last") - 120000).select("event_id", "k", "state")
+
+
+@query(f"SELECT round(count(h.query_id) / CAST(count(*) AS DOUBLE), 6) AS hit_rate FROM (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0) q LEFT JOIN ({ORACLE_SQL['semantic_cache_hits']}) h ON h.query_id = q.vec_id")
+def cache_hit_rate(spark, sf_dir):
+    from tessera.plans.registry import _vectors
+
+    asked, rows = _vectors(spark, sf_dir)
+    version = F.lit("v1").alias("corpus_version")
+    entries = rows.select("tenant_id", version, F.col("chunk_id").alias("seq"), F.col("embedding").alias("vector"))
+    hits = reliability.cached_answers(asked.select("query_id", "qvec", "tenant_id", version), entries, 0.3, own="query_id")
+    return reliability.hit_rate(asked.select("query_id").join(hits, "query_id", "left")).select(F.round("hit_rate", 6).alias("hit_rate"))
+
+
+# Entities by the length of what a model is asked; so a window's reply follows from its length.
+_ASKED = len(tx.TEMPLATES["extract"].replace("{{", "{").replace("}}", "}").replace("{text}", ""))
+
+
+def _lengths_reply(prompt):
+    n = F.length(prompt)
+    node, hub = F.concat(F.lit("Node "), n % 97), F.concat(F.lit("Hub "), n % 11)
+    return F.format_string(
+        '{"entities": [{"name": "%s", "type": "Concept", "confidence": 0.9}, {"name": "%s", "type": "Project"}], "relationships": [{"source": "%s", "target": "%s", "type": "part of", "confidence": 0.8, "evidence": "e"}]}',
+        node, hub, node, hub,
+    )
+
+
+@query(f"""
+WITH k AS (SELECT source AS source_uri, {_ASKED} + length(substring(text, s + 1, 2700)) AS n FROM (SELECT source, text, unnest(range(0, greatest(length(text), 1), 2400)) AS s FROM documents WHERE text IS NOT NULL)
+  WHERE trim(substring(text, s + 1, 2700), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')
+SELECT DISTINCT 'node ' || n % 97 AS src, 'hub ' || n % 11 AS dst, 'PART_OF' AS rel_type, source_uri FROM k
+""")
+def built_graph(spark, sf_dir):
+    """Documents through the graph plan: windows, replies, extraction, merges."""
+    from tessera.plans import answering
+
+    docs = _t(spark, sf_dir, "documents").select(F.col("source").alias("source_uri"), "text")
+    _, edges, _ = answering.build_graph(docs, _lengths_reply, tenant_id="t", chapter="eight", size=2700, overlap=300)
+    return edges.select("src", "dst", "rel_type", "source_uri")
+
+
+_VARIANTS = "(SELECT item_id * 4 + v AS item_id, CASE v WHEN 0 THEN text WHEN 1 THEN substring(text, length(text) // 2 + 1) WHEN 2 THEN left(text, length(text) // 2) ELSE reverse(text) END AS text FROM benchmark, range(4) t(v))"
+
+
+@query(f"""
+WITH {_BM25.replace("FROM benchmark", f"FROM {_VARIANTS}")},
+v AS (SELECT query_id // 4 AS query_id, query_id % 4 AS branch, chunk_id, rank FROM r WHERE rank <= 10),
+g AS (SELECT query_id, chunk_id, sum(CAST(1 AS DOUBLE) / (60 + rank)) AS raw, min({{'branch': branch, 'rank': rank}}) AS seen FROM v GROUP BY ALL),
+h AS (SELECT *, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, chunk_id) AS rank FROM h)
+SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM o WHERE rank <= 5
+""")
+def multi_query(spark, sf_dir):
+    """Each question, its halves and its letters in reverse, searched side by side and fused."""
+    questions, corpus = _lexical(spark, sf_dir)
+    said = [F.col("question"), F.expr("substring(question, length(question) div 2 + 1)"), F.expr("left(question, length(question) div 2)"), F.reverse("question")]
+    variants = questions.select("query_id", F.posexplode(F.array(*said)).alias("variant", "question"))
+    numbered = variants.select((F.col("query_id") * 4 + F.col("variant")).alias("query_id"), "question")
+    index = retrieval.question_postings(numbered, corpus)
+    found = retrieval.multi_query_search(variants, lambda q, k: retrieval.lexical_search(q, None, k, all_terms=False, index=index), 5)
+    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
