@@ -181,6 +181,22 @@ def copies_and_members(key: np.ndarray, new: np.ndarray, w: Windows) -> tuple[np
     return copy, member
 
 
+def joined_members(key: np.ndarray, place: np.ndarray, count: np.ndarray, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their windows): rows that aren't settled, and of settled ones that follow each other in a document the first, with the windows of all.
+
+    Of a settled run only what it covers is asked for, so the copies of a passage are one row however many runs it has.
+    """
+    at = np.flatnonzero(settled)
+    at = at[np.lexsort((place[at], key[at]))]
+    if not len(at):
+        return np.arange(len(key)), count
+    first = np.ones(len(at), dtype=bool)
+    first[1:] = (key[at[1:]] != key[at[:-1]]) | (place[at[1:]] != place[at[:-1]] + count[at[:-1]])
+    starts = np.flatnonzero(first)
+    rest = np.flatnonzero(~settled)
+    return np.concatenate([rest, at[starts]]), np.concatenate([count[rest], np.add.reduceat(count[at], starts)])
+
+
 def settled_batch(gathered: list[tuple], w: Windows, units: list[bytes] | None = None):
     """A record batch of RUNS_SCHEMA (and units) of gathered (h, f, key, place, windows, loops): members are settled."""
     import pyarrow as pa
@@ -194,6 +210,8 @@ def settled_batch(gathered: list[tuple], w: Windows, units: list[bytes] | None =
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
     settled = copies_and_members(key, new, w)[1]
+    rows, count = joined_members(key, place, count, settled)
+    h, f, key, place, loops, settled, order = (c[rows] for c in (h, f, key, place, loops, settled, order))
     columns = [pa.array(c) for c in (h.view(np.int64), f.view(np.int64), key, place.astype(np.int32), count.astype(np.int32), loops, settled)]
     names = ["h", "f", "key", "start", "windows", "loops", "settled"]
     if units is not None:
