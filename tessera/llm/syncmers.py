@@ -23,11 +23,14 @@ from pyspark.sql import types as T
 from tessera.llm.shared import free_name
 
 K, S, UNIT_CHARS, SKETCH = 8, 3, 16, 64
-#: Signs of scripts without spaces; what words consist of; letters and digits that longer runs are cut behind.
-SIGNS = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
+# Blocks of scripts without spaces (Thai and Lao, Myanmar, Khmer, Chinese, Japanese).
+SIGNS = "\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u2E80-\\u30FF\\u31F0-\\u31FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\x{20000}-\\x{3FFFF}"
+#: What words consist of; letters and digits that longer runs are cut behind.
 PLAIN = f"[^\\x20\\x09-\\x0D{SIGNS}]"
 CUTS = "[aeiouAEIOU02468]"
 UNITS = f"[{SIGNS}]|(?<!{PLAIN}){PLAIN}{{1,{UNIT_CHARS}}}(?!{PLAIN})|{PLAIN}{{0,{UNIT_CHARS - 1}}}?{CUTS}|{PLAIN}{{1,{UNIT_CHARS}}}"
+#: Texts of words of at most UNIT_CHARS letters, none of them from here on, have the same units by a simpler pattern.
+WORDS, FIRST_SIGN = "[^\\x20\\x09-\\x0D]+", "[\\u0E00-\\x{10FFFF}]"
 PLACE_BITS, HASH_MASK, PLACE_MASK = 32, 0x7FFFFFFF, 0xFFFFFFFF
 
 
@@ -38,7 +41,10 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def unit_hashes(text: Column) -> Column:
     """A hash for each unit of a text (null: none)."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNITS), F.lit(0)), lambda u: F.xxhash64(u))
+    t = F.coalesce(text, F.lit(""))
+    unbroken = lambda words: F.exists(words, lambda w: F.length(w) > UNIT_CHARS) | F.regexp_like(t, F.lit(FIRST_SIGN))
+    units = _let(F.regexp_extract_all(t, F.lit(WORDS), F.lit(0)), lambda words: F.when(unbroken(words), F.regexp_extract_all(t, F.lit(UNITS), F.lit(0))).otherwise(words))
+    return F.transform(units, lambda u: F.xxhash64(u))
 
 
 def anchor_positions(units: Column) -> Column:
