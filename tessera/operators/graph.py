@@ -210,9 +210,10 @@ def guided_search(queries: DataFrame, seeds: DataFrame, search, top: int = 6) ->
 def link_mentions(mentions: DataFrame, nodes: DataFrame, threshold: float = 0.86, aliases: DataFrame | None = None) -> DataFrame:
     """(tenant_id, query_id, mention, canonical_name, how): by alias or canonical name, else by the best fuzzy ratio; null if unlinked.
 
-    Fuzzy candidates share the tenant and a length that could reach the threshold, as a ratio is at most twice the shorter
-    length over both; they are joined on the length, and an edit distance in the JVM, which is at most the letters that a
-    ratio leaves unmatched, keeps the rest from Python. Mentions are a batch of questions' and so the small side.
+    What isn't known is looked up once for each different string. Names with one letter more or less come first, by equal keys:
+    as a ratio is at most twice the shorter length over both, no name that two letters separate reaches n / (n + 1) with a mention of n letters,
+    so a best one above that is the best of all. Only mentions without one meet all names of their tenant whose length could reach the
+    threshold; an edit distance in the JVM, which is at most the letters that a ratio leaves unmatched, keeps most of those from Python.
     """
     rows = mentions.withColumn("k", tx.canonicalize("mention"))
     if aliases is not None:
@@ -221,17 +222,34 @@ def link_mentions(mentions: DataFrame, nodes: DataFrame, threshold: float = 0.86
     exact = rows.join(known, ["tenant_id", "k"], "left_semi").withColumn("canonical_name", F.col("k")).withColumn("how", F.when(F.col("k") == tx.canonicalize("mention"), "exact").otherwise("alias"))
     rest = rows.join(known, ["tenant_id", "k"], "left_anti")
     n = F.length("k")
+    asked = materialize(rest.where(n > 0).select("tenant_id", "k").distinct(), "mentions")
+    names = known.withColumnRenamed("k", "c")
+    shorter = asked.select("tenant_id", "k", F.explode(_one_less("k")).alias("c")).join(names, ["tenant_id", "c"])
+    longer = names.select("tenant_id", "c", F.explode(_one_less("c")).alias("k")).join(asked, ["tenant_id", "k"])
+    close = materialize(_best_ratio(shorter.select("tenant_id", "k", "c").unionByName(longer.select("tenant_id", "k", "c")), threshold).where(F.col("ratio") > n / (n + 1)), "near-names")
     low, high = F.ceil(n * threshold / (2 - threshold)).cast("int"), F.floor(n * (2 - threshold) / threshold).cast("int")
-    keyed = rest.where(n > 0).withColumn("len", F.explode(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1)))))
-    pairs = small(keyed).join(known.select("tenant_id", F.col("k").alias("c"), F.length("k").alias("len")), ["tenant_id", "len"])
-    close = pairs.where(F.levenshtein("k", "c") <= (1 - threshold) * (F.length("k") + F.length("c")) + 1e-9)
-    near = close.withColumn("ratio", tx.fuzzy_ratio("k", "c")).where(F.col("ratio") >= threshold)
-    best = near.groupBy("tenant_id", "query_id", "mention").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "c")).alias("b")).select("tenant_id", "query_id", "mention", F.col("b.c").alias("canonical_name"))
-    fuzzy = rest.join(best, ["tenant_id", "query_id", "mention"], "left").withColumn("how", F.when(F.col("canonical_name").isNotNull(), "fuzzy"))
+    keyed = asked.join(close, ["tenant_id", "k"], "left_anti").withColumn("len", F.explode(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1)))))
+    pairs = small(keyed).join(names.withColumn("len", F.length("c")), ["tenant_id", "len"])
+    far = _best_ratio(pairs.where(F.levenshtein("k", "c") <= (1 - threshold) * (F.length("k") + F.length("c")) + 1e-9), threshold)
+    best = close.unionByName(far).select("tenant_id", "k", F.col("c").alias("canonical_name"))
+    fuzzy = rest.join(best, ["tenant_id", "k"], "left").withColumn("how", F.when(F.col("canonical_name").isNotNull(), "fuzzy"))
     columns = ["tenant_id", "query_id", "mention", "canonical_name", "how"]
     return exact.select(*columns).unionByName(fuzzy.select(*columns))
 
 
+def _one_less(c: str) -> Column:
+    """The different strings that c is without one of its letters; none of an empty one."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c))))
+    return F.when(F.length(c) > 0, F.array_distinct(cut))
+
+
+def _best_ratio(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(tenant_id, k, c, ratio): for each k the c of the greatest ratio, the first of equal ones."""
+    rated = pairs.withColumn("ratio", tx.fuzzy_ratio("k", "c")).where(F.col("ratio") >= threshold)
+    least = rated.groupBy("tenant_id", "k").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "c")).alias("b"))
+    return least.select("tenant_id", "k", F.col("b.c").alias("c"), (-F.col("b.r")).alias("ratio"))
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per tenant: node and relationship counts, their ratio, nodes by type."""
     by_type = nodes.where(F.col("entity_type").isNotNull()).groupBy("tenant_id", "entity_type").agg(F.count("*").alias("n")).groupBy("tenant_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("entity_type", "n")))).alias("by_type"))
