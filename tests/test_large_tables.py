@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.functions import vectors
 from tessera.operators import graph
 
 
@@ -30,3 +31,8 @@ def test_close_names_are_linked_without_comparing_all(spark, monkeypatch):
         best = min([x for x in rated if -x[0] >= 0.86 and m], default=None)
         assert found[i] == ((best[1], "exact" if best[1] == m else "fuzzy") if best else (None, None)), m
     assert len(found) == 2 * len(said) and pairs.value < 10_000  # all makers by all names are 30,000, each rated once or twice
+
+
+def test_cosine_of_equal_vectors_is_one(spark):
+    rows = spark.createDataFrame([([1.0, 1.0], [1.0, 1.0]), ([1.0, 1.0], [2.0, 2.0]), ([1.0, 0.0], None), ([0.0], [1.0])], "a array<double>, b array<double>")
+    assert [r[0] for r in rows.select(vectors.cosine("a", "b")).collect()] == [1.0, 1.0, None, 0.0]
