@@ -1,8 +1,8 @@
 """Search: batches of questions against a corpus, best rows per question.
 
 Vectors: questions go through in blocks of bounded size; each block is broadcast, every task keeps the best rows per
-question of its own part, and only those are shuffled. Lexical: the corpus is reduced to the questions' terms before
-anything is joined. Rankings break ties by id.
+question of its own part, and only those are shuffled. Lexical: the corpus is reduced to the questions' terms, text by text,
+and ranked in the same way. Rankings break ties by id.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,19 +46,20 @@ def dense_search(
     min_score applies before the ranking. Vectors of norm 0 score 0. Null vectors are left out.
     """
     spark = corpus.sparkSession
-    asked = queries.where(F.col("qvec").isNotNull()).orderBy("query_id")
-    wanted = ["query_id", "qvec", *(["tenant_id"] if tenant else [])]
-    kind = corpus.schema[id_col].dataType.simpleString()
-    qkind = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {qkind}, chunk_id {kind}, score double"
+    asked = queries.where(F.col("qvec").isNotNull()).orderBy("query_id").select("query_id", "qvec", *(["tenant_id"] if tenant else []))
     rows = corpus.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("c"), F.col(vector_col).alias("v"), *([F.col("tenant_id").alias("t")] if tenant else []))
-    found = None
-    for block, last in _blocks(asked.select(*wanted).toLocalIterator()):
-        best = top_k(rows.mapInArrow(_nearest(spark.sparkContext.broadcast(block), k, min_score, tenant, digits), schema), k)
+    return _by_blocks(asked, rows, "c", k, lambda block: _nearest(spark.sparkContext.broadcast(block), k, min_score, tenant, digits))
+
+
+def _by_blocks(asked: DataFrame, rows: DataFrame, id_col: str, k: int, search: Callable) -> DataFrame:
+    """(query_id, chunk_id, score, rank): what search(block) finds in rows by mapInArrow, for each block of asked(query_id, ...)."""
+    schema, found = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {rows.schema[id_col].dataType.simpleString()}, score double", None
+    for block, last in _blocks(asked.toLocalIterator()):
+        best = top_k(rows.mapInArrow(search(block), schema), k)
         if not (last and found is None):  # of several blocks each is written, so the driver holds one
             best = materialize(best, "nearest")
         found = best if found is None else found.unionByName(best)
-    return spark.createDataFrame([], f"{schema}, rank int") if found is None else found
+    return rows.sparkSession.createDataFrame([], f"{schema}, rank int") if found is None else found
 
 
 def _blocks(rows: Iterator) -> Iterator[tuple[list, bool]]:
@@ -78,30 +78,55 @@ def _blocks(rows: Iterator) -> Iterator[tuple[list, bool]]:
 TILE = 256
 
 
-def _nearest(block, k: int, min_score: float | None, tenant: bool, digits: int):
-    def run(batches: Iterator) -> Iterator:
+class _Best:
+    """The k best rows of each question that a task has seen; what is under a full question's floor needn't be added."""
+
+    def __init__(self, questions: int, k: int, least: float = -np.inf):
+        self.k, self.questions, self.floor = k, questions, np.full(questions, least)
+        self.of, self.score, self.chunk = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object)
+
+    def add(self, of: np.ndarray, score: np.ndarray, chunk: np.ndarray) -> None:
+        self.of, self.score, self.chunk = np.concatenate([self.of, of]), np.concatenate([self.score, score]), np.concatenate([self.chunk, chunk])
+        if len(self.of) > 4 * self.k * self.questions + (1 << 16):
+            self.cut()
+
+    def cut(self) -> None:
+        """Only the k best of each question stay, by score and then by id."""
+        ids = self.chunk.astype(str) if len(self.chunk) and isinstance(self.chunk[0], str) else self.chunk.astype(np.int64)
+        order = np.lexsort((ids, -self.score, self.of))
+        starts = np.searchsorted(self.of[order], np.arange(self.questions))
+        order = order[np.arange(len(order)) - starts[self.of[order]] < self.k]
+        self.of, self.score, self.chunk = self.of[order], self.score[order], self.chunk[order]
+        full = np.bincount(self.of, minlength=self.questions) == self.k
+        least = np.full(self.questions, np.inf)
+        np.minimum.at(least, self.of, self.score)
+        self.floor[full] = np.maximum(self.floor[full], least[full])
+
+    def batches(self, ids: list, qkind, kind) -> Iterator:
         import pyarrow as pa
 
+        self.cut()
+        for low in range(0, len(self.of), 1 << 16):
+            of, chunk, score = (x[low : low + (1 << 16)] for x in (self.of, self.chunk, self.score))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in of.tolist()], qkind), pa.array(chunk.tolist(), kind), pa.array(score)], names=["query_id", "chunk_id", "score"])
+
+
+def _objects(column) -> np.ndarray:
+    out = np.empty(len(column), dtype=object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def _nearest(block, k: int, min_score: float | None, tenant: bool, digits: int, goes=None):
+    """goes: (centers, question x cell) of an inverted file; rows are then compared with the questions that go to their cell only."""
+
+    def run(batches: Iterator) -> Iterator:
         ids = [r[0] for r in block.value]
         q = np.array([r[1] for r in block.value], dtype=np.float64)
         size = np.linalg.norm(q, axis=1)
         q = (q / np.where(size == 0, 1, size)[:, None]).T
         tenants = np.array([str(r[2]) for r in block.value]) if tenant else None
-        of, score, chunk = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object)  # the best so far, and rows that may be
-        floor = np.full(len(ids), -np.inf if min_score is None else min_score)
-        kind = None
-
-        def best() -> None:
-            """Only the k best of each question stay; what is under its k-th needn't be looked at any more."""
-            nonlocal of, score, chunk
-            order = np.lexsort((chunk.astype(str) if len(chunk) and isinstance(chunk[0], str) else chunk.astype(np.int64), -score, of))
-            starts = np.searchsorted(of[order], np.arange(len(ids)))
-            order = order[np.arange(len(order)) - starts[of[order]] < k]
-            of, score, chunk = of[order], score[order], chunk[order]
-            full = np.bincount(of, minlength=len(ids)) == k
-            least = np.full(len(ids), np.inf)
-            np.minimum.at(least, of, score)
-            floor[full] = np.maximum(floor[full], least[full])
+        best, kind = _Best(len(ids), k, -np.inf if min_score is None else min_score), None
 
         for b in batches:
             kind = b.schema.field(0).type
@@ -109,18 +134,16 @@ def _nearest(block, k: int, min_score: float | None, tenant: bool, digits: int):
                 part = b.slice(low, TILE)
                 v = np.asarray(part.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(part.num_rows, -1)
                 n = np.linalg.norm(v, axis=1)
-                s = np.round((v / np.where(n == 0, 1, n)[:, None]) @ q, digits)
+                v = v / np.where(n == 0, 1, n)[:, None]
+                s = np.round(v @ q, digits)
                 if tenant:
                     s[np.array([str(x) for x in part.column(2).to_pylist()])[:, None] != tenants] = -np.inf
-                i, j = np.nonzero((s >= floor) & (s > -np.inf))
-                c = np.empty(part.num_rows, dtype=object)
-                c[:] = part.column(0).to_pylist()
-                of, score, chunk = np.concatenate([of, j]), np.concatenate([score, s[i, j]]), np.concatenate([chunk, c[i]])
-                if len(of) > 4 * k * len(ids) + (1 << 16):
-                    best()
-        best()
-        if len(of):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in of.tolist()]), pa.array(chunk.tolist(), kind), pa.array(score)], names=["query_id", "chunk_id", "score"])
+                if goes is not None:
+                    s[~goes.value[1][:, (v @ goes.value[0].T).argmax(axis=1)].T] = -np.inf
+                i, j = np.nonzero((s >= best.floor) & (s > -np.inf))
+                best.add(j, s[i, j], _objects(part.column(0))[i])
+        if kind is not None:
+            yield from best.batches(ids, None, kind)
 
     return run
 
@@ -128,22 +151,30 @@ def _nearest(block, k: int, min_score: float | None, tenant: bool, digits: int):
 def ivf_search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, lists: int = 16, probes: int = 12, sample: int = 20_000, seed: int = 7, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
     """Approximate neighbours: an inverted file of k-means cells, fitted on a bounded sample; every row is in one cell.
 
-    probes plays the part of ef_search: more cells, more recall. Questions go to their nearest cells only, so the cell is
-    a join key and no question meets a row of another cell.
+    probes plays the part of ef_search: more cells, more recall. Questions go to their nearest cells only. They go through in blocks that
+    are broadcast with their cells; a row's cell is found where it is read, so rows aren't shuffled, only each task's k best are.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    from tessera.functions.vectors import cosine, l2_normalize
+    from tessera.functions.vectors import l2_normalize
 
-    unit = corpus.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("chunk_id"), l2_normalize(vector_col).alias("v"))
+    spark = corpus.sparkSession
+    rows = corpus.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("chunk_id"), F.col(vector_col).alias("v"))
+    unit = rows.select("chunk_id", l2_normalize("v").alias("v"))
     fit_on = unit.orderBy(F.xxhash64("chunk_id")).limit(sample).select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
-    centers = KMeans(k=lists, seed=seed, maxIter=10).fit(fit_on).clusterCenters()
-    cells = F.array(*[F.struct(cosine(F.col("v"), F.array(*[F.lit(float(x)) for x in c])).alias("s"), F.lit(i).alias("cell")) for i, c in enumerate(centers)])
-    placed = unit.withColumn("cell", F.sort_array(cells, asc=False)[0]["cell"])
-    asked = queries.select("query_id", F.col("qvec").alias("v")).withColumn("cell", F.explode(F.slice(F.transform(F.sort_array(cells, asc=False), lambda x: x["cell"]), 1, probes)))
-    pairs = small(asked.withColumnRenamed("v", "qvec")).join(placed, "cell")
-    return top_k(pairs.select("query_id", "chunk_id", F.round(cosine("qvec", "v"), 6).alias("score")), k)
+    centers = np.array([np.asarray(c) for c in KMeans(k=lists, seed=seed, maxIter=10).fit(fit_on).clusterCenters()])
+    size = np.linalg.norm(centers, axis=1)
+    centers = centers / np.where(size == 0, 1, size)[:, None]
+
+    def near(block: list):
+        q = np.array([r[1] for r in block], dtype=np.float64)
+        goes = np.zeros((len(q), len(centers)), dtype=bool)
+        np.put_along_axis(goes, np.argsort(-(q @ centers.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+        return _nearest(spark.sparkContext.broadcast(block), k, None, False, 6, spark.sparkContext.broadcast((centers, goes)))
+
+    asked = queries.where(F.col("qvec").isNotNull()).select("query_id", "qvec").orderBy("query_id")
+    return _by_blocks(asked, rows, "chunk_id", k, near)
 
 
 def query_terms(queries: DataFrame, text_col: str = "question") -> DataFrame:
@@ -168,8 +199,24 @@ def _term_bits(wanted: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _counted(bits):
-    """Counts each text's terms; of a set of bits only the terms in it (and a few more of their checksums) are told."""
+#: Bytes of text that a task turns into Python's objects at once.
+PIECE = 1 << 20
+
+
+def pieces(batch, column: int = 1) -> Iterator:
+    """Slices of an Arrow batch whose texts are PIECE bytes at most; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PIECE, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def _counted(bits, listed: bool = False):
+    """Counts each text's terms; of a set of bits only the terms in it (and a few more of their checksums) are told. listed: a row for each text."""
 
     def run(batches: Iterator) -> Iterator:
         import re
@@ -190,29 +237,37 @@ def _counted(bits):
                 known[term] = bool(held[p >> 3] >> (p & 7) & 1)
             return known[term]
 
-        for b in batches:
-            rows, terms, tfs, sizes = [], [], [], []
-            for i, said in enumerate(b.column(1).to_pylist()):
+        for b in (p for whole in batches for p in pieces(whole)):
+            at, terms, tfs, sizes = [0], [], [], []
+            for said in b.column(1).to_pylist():
                 words = find(said or "")
                 counts = [(t, n) for t, n in Counter(words).items() if held is None or told(t)]
-                rows += [i] * (len(counts) + 1)
-                sizes += [len(words)] * (len(counts) + 1)
-                terms += [TEXT, *(t for t, _ in counts)]
-                tfs += [1, *(n for _, n in counts)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(sizes, pa.int32())], names=["chunk_id", "term", "tf", "size"])
+                if not listed:
+                    counts.insert(0, (TEXT, 1))
+                sizes.append(len(words))
+                terms += [t for t, _ in counts]
+                tfs += [n for _, n in counts]
+                at.append(len(terms))
+            if listed:
+                lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, kind)) for x, kind in ((terms, pa.string()), (tfs, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), *lists], names=["chunk_id", "size", "terms", "tfs"])
+            else:
+                rows = pa.array(np.repeat(np.arange(b.num_rows, dtype=np.int32), np.diff(at)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(sizes, pa.int32()).take(rows)], names=["chunk_id", "term", "tf", "size"])
 
     return run
 
 
-def postings(corpus: DataFrame, wanted: DataFrame | None = None, *, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """(chunk_id, term, tf, size): a row for each text and term, and one of the term TEXT for each text.
+def postings(corpus: DataFrame, wanted: DataFrame | None = None, *, id_col: str = "chunk_id", text_col: str = "content", listed: bool = False) -> DataFrame:
+    """(chunk_id, term, tf, size): a row for each text and term, and one of the term TEXT for each text; listed: (chunk_id, size, terms, tfs), a row for each text.
 
     With wanted(term) only for those terms (and a few more of their checksums): the set of them is TERM_BITS bits, and no other term
     leaves its task. Counts are made text by text, so the corpus is read once and not shuffled; repeated ids are texts of their own.
     """
     bits = None if wanted is None else corpus.sparkSession.sparkContext.broadcast(_term_bits(wanted))
     kind = corpus.schema[id_col].dataType.simpleString()
-    return corpus.select(F.col(id_col).alias("chunk_id"), F.lower(text_col).alias("said")).mapInArrow(_counted(bits), f"chunk_id {kind}, term string, tf long, size int")
+    schema = f"chunk_id {kind}, size int, terms array<string>, tfs array<long>" if listed else f"chunk_id {kind}, term string, tf long, size int"
+    return corpus.select(F.col(id_col).alias("chunk_id"), F.lower(text_col).alias("said")).mapInArrow(_counted(bits, listed), schema)
 
 
 def lexical_search(
@@ -221,47 +276,142 @@ def lexical_search(
     """(query_id, chunk_id, score, rank): rows with all terms of a question (any, if not all_terms), by BM25.
 
     index: postings of the corpus that several searches share, or that are stored; else those of the questions' terms are made
-    and written to the shared folder, as the statistics and the scores both read them.
+    and written to the shared folder, as the statistics and the scores both read them. Scores are made text by text where the postings lie.
     """
     asked = query_terms(queries)
     found = question_postings(queries, corpus, id_col=id_col, text_col=text_col) if index is None else index
-    stats = found.where(F.col("term") == TEXT).agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
-    df = found.where(F.col("term") != TEXT).groupBy("term").agg(F.count("*").alias("df"))
-    terms = asked.join(df, "term").crossJoin(F.broadcast(stats)).select(  # stats is one row
-        "query_id", "term", "n_terms", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = found.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"))
-    if all_terms:
-        scored = scored.where("hits = n_terms")
-    return top_k(scored.select("query_id", "chunk_id", "score"), k)
+    if "terms" in found.columns:
+        stats, listed = found, found
+        each = found.select(F.explode("terms").alias("term"))
+    else:
+        stats, each, listed = found.where(F.col("term") == TEXT), found.where(F.col("term") != TEXT), by_text(found)
+    docs, mean = stats.agg(F.count("*"), F.avg("size")).first()
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return rank_texts(asked.join(df, "term").select("query_id", "term", "n_terms", idf.alias("idf")), listed, mean or 1.0, k, all_terms)
+
+
+#: Texts of a task where postings are shuffled by text.
+TEXTS_PER_TASK = 20_000
+
+
+def by_text(rows: DataFrame, texts: int = 0) -> DataFrame:
+    """(chunk_id, size, terms, tfs) of postings(chunk_id, term, tf, size), shuffled; texts: how many there may be, so that no task gets too many."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts // TEXTS_PER_TASK)
+    listed = rows.repartition(n, "chunk_id").groupBy("chunk_id", "size").agg(F.collect_list(F.struct("term", "tf")).alias("l"))  # a text's terms
+    return listed.select("chunk_id", F.col("size").cast("int").alias("size"), F.col("l.term").alias("terms"), F.col("l.tf").cast("array<long>").alias("tfs"))
+
+
+def rank_texts(asked: DataFrame, listed: DataFrame, mean: float, k: int, all_terms: bool) -> DataFrame:
+    """The k best of listed(chunk_id, size, terms, tfs) by BM25 for each question of asked(query_id, term, n_terms, idf)."""
+    spark = listed.sparkSession
+    grouped = asked.groupBy("query_id").agg(F.first("n_terms").alias("n_terms"), F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t")).orderBy("query_id")
+    kind = _arrow(grouped, "query_id")
+    return _by_blocks(grouped, listed.select("chunk_id", "size", "terms", "tfs"), "chunk_id", k, lambda block: _bm25(spark.sparkContext.broadcast(block), mean, k, all_terms, kind))
+
+
+def _arrow(df: DataFrame, column: str):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def _by_term(block: list) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Each term's place, and the questions of all terms in a row with where each term's begin."""
+    of: dict[str, list[int]] = {}
+    for i, r in enumerate(block):
+        for t in r[2]:
+            of.setdefault(t if isinstance(t, str) else t[0], []).append(i)
+    return {t: i for i, t in enumerate(of)}, np.array([q for qs in of.values() for q in qs], dtype=np.int64), np.cumsum([0, *map(len, of.values())])
+
+
+#: Weights of terms and questions that are added up at once.
+WEIGHTS = 1 << 21
+
+
+def _bm25(block, mean: float, k: int, all_terms: bool, qkind):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        place, questions, starts = _by_term(block.value)
+        terms = pa.array(list(place), pa.string())
+        idf = np.zeros(len(place))
+        for r in block.value:
+            for t, x in r[2]:
+                idf[place[t]] = x
+        ids, need = [r[0] for r in block.value], np.array([r[1] for r in block.value])
+        best, kind = _Best(len(ids), k), None
+
+        def score(part) -> None:
+            t = pc.fill_null(pc.index_in(part.column(2).flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False))
+            tf, size = part.column(3).flatten().to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+            t, doc, tf = t[t >= 0], doc[t >= 0], tf[t >= 0]
+            n = starts[t + 1] - starts[t]
+            total = int(n.sum())
+            if total > WEIGHTS and part.num_rows > 1:
+                half = part.num_rows // 2
+                score(part.slice(0, half))
+                score(part.slice(half))
+                return
+            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+            cell = np.repeat(doc * len(ids), n) + questions[np.repeat(starts[t] - (np.cumsum(n) - n), n) + np.arange(total)]
+            cells = part.num_rows * len(ids)
+            s, hits = np.round(np.bincount(cell, np.repeat(w, n), cells), 6).reshape(-1, len(ids)), np.bincount(cell, minlength=cells).reshape(-1, len(ids))
+            i, j = np.nonzero((hits == need if all_terms else hits > 0) & (s >= best.floor))
+            best.add(j, s[i, j], _objects(part.column(0))[i])
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for low in range(0, b.num_rows, TILE):
+                score(b.slice(low, TILE))
+        if kind is not None:
+            yield from best.batches(ids, qkind, kind)
+
+    return run
 
 
 def question_postings(queries: DataFrame, corpus: DataFrame, *, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """postings of the questions' terms, written to the shared folder: an index for searches of these questions."""
-    return materialize(postings(corpus, query_terms(queries), id_col=id_col, text_col=text_col), "postings")
+    """postings of the questions' terms, a row for each text, written to the shared folder: an index for searches of these questions."""
+    return materialize(postings(corpus, query_terms(queries), id_col=id_col, text_col=text_col, listed=True), "postings")
 
 
 def cover_density(queries: DataFrame, corpus: DataFrame, k: int = 5, *, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """The same rows ranked by cover density: each shortest span that holds all terms adds 1 over its length."""
-
-    @F.pandas_udf("double")
-    def density(wanted: pd.Series, words: pd.Series) -> pd.Series:
-        out = []
-        for q, t in zip(wanted, words, strict=True):
-            places: dict[str, list[int]] = {term: [] for term in q}
-            for i, w in enumerate(t):
-                if w in places:
-                    places[w].append(i)
-            out.append(_density(list(places.values())))
-        return pd.Series(out)
-
-    matched = lexical_search(queries, corpus, 2**31 - 1, id_col=id_col, text_col=text_col).select("query_id", "chunk_id")
-    wanted = query_terms(queries).groupBy("query_id").agg(F.collect_list("term").alias("q"))
-    words = corpus.select(F.col(id_col).alias("chunk_id"), tx.terms(text_col).alias("t"))
-    rows = matched.join(small(wanted), "query_id").join(words, "chunk_id")
-    scored = rows.withColumn("d", density("q", "t"))
-    return top_k(scored.select("query_id", "chunk_id", F.round("d", 6).alias("score")), k)
+    """The same rows ranked by cover density: each shortest span that holds all terms adds 1 over its length. Texts aren't shuffled."""
+    spark = corpus.sparkSession
+    asked = query_terms(queries).groupBy("query_id").agg(F.first("n_terms").alias("n_terms"), F.sort_array(F.collect_list("term")).alias("t")).orderBy("query_id")
+    rows, kind = corpus.select(F.col(id_col).alias("chunk_id"), F.lower(text_col).alias("said")), _arrow(asked, "query_id")
+    return _by_blocks(asked, rows, "chunk_id", k, lambda block: _covers(spark.sparkContext.broadcast(block), k, kind))
+
+
+def _covers(block, k: int, qkind):
+    def run(batches: Iterator) -> Iterator:
+        import re
+
+        find = re.compile("[a-z0-9]+").findall
+        place, questions, starts = _by_term(block.value)
+        ids, need = [r[0] for r in block.value], np.array([r[1] for r in block.value])
+        best, kind = _Best(len(ids), k), None
+        for b in (p for whole in batches for p in pieces(whole)):
+            kind = b.schema.field(0).type
+            of, score, row = [], [], []
+            for i, said in enumerate(b.column(1).to_pylist()):
+                places: dict[str, list[int]] = {}
+                for p, w in enumerate(find(said or "")):
+                    if w in place:
+                        places.setdefault(w, []).append(p)
+                if places:
+                    hits = np.bincount(np.concatenate([questions[starts[place[t]] : starts[place[t] + 1]] for t in places]), minlength=len(ids))
+                    for j in np.flatnonzero(hits == need).tolist():
+                        of.append(j)
+                        score.append(_density([places[t] for t in block.value[j][2]]))
+                        row.append(i)
+            best.add(np.array(of, dtype=np.int64), np.round(np.array(score, dtype=np.float64), 6), _objects(b.column(0))[np.array(row, dtype=np.int64)])
+        if kind is not None:
+            yield from best.batches(ids, qkind, kind)
+
+    return run
 
 
 def _density(places: list) -> float:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors
-from tessera.operators import graph
+from tessera.operators import graph, retrieval, text_index
 
 
 def test_close_names_are_linked_without_comparing_all(spark, monkeypatch):
@@ -36,3 +37,25 @@ def test_close_names_are_linked_without_comparing_all(spark, monkeypatch):
 def test_cosine_of_equal_vectors_is_one(spark):
     rows = spark.createDataFrame([([1.0, 1.0], [1.0, 1.0]), ([1.0, 1.0], [2.0, 2.0]), ([1.0, 0.0], None), ([0.0], [1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in rows.select(vectors.cosine("a", "b")).collect()] == [1.0, 1.0, None, 0.0]
+
+
+def test_texts_are_turned_into_objects_in_pieces():
+    """Before, a batch of ten thousand texts was held as objects, with all its postings."""
+    texts = [f"w{i} " + "a b c " * 20_000 for i in range(40)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(42)), pa.array(texts)], names=["chunk_id", "said"])
+    for run in (retrieval._counted(None), retrieval._counted(None, listed=True), text_index._postings(False)):
+        out = list(run(iter([batch])))
+        assert len(out) >= 4 and sorted({x for b in out for x in b.column("chunk_id").to_pylist()})[:40] == list(range(40))
+    assert sum(p.num_rows for p in retrieval.pieces(batch)) == 42
+
+
+def test_searches_shuffle_only_the_best(spark):
+    """Before, every pair of a question and a text that share a term (or a cell) was a row of a join."""
+    corpus = spark.range(400).selectExpr("id AS chunk_id", "concat_ws(' ', 'common', 'w' || id % 7, 'v' || id % 3) AS content", "array(sin(id), cos(id)) AS embedding")
+    asked = spark.range(5).selectExpr("id AS query_id", "concat('common w', id) AS question", "array(1.0D, id * 1.0D) AS qvec")
+    found = [retrieval.lexical_search(asked, corpus, 4, all_terms=False), retrieval.lexical_search(asked, corpus, 4), retrieval.cover_density(asked, corpus, 4), retrieval.ivf_search(asked, corpus, 4, lists=3, probes=3)]
+    for df in found:
+        plan = df._jdf.queryExecution().toString()
+        assert "Join" not in plan and df.count() == 20
+    exact = retrieval.dense_search(asked, corpus, 4)
+    assert sorted(found[3].select("query_id", "rank", "score").collect()) == sorted(exact.select("query_id", "rank", "score").collect())
