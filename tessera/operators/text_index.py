@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.stem import stem as stem_word
-from tessera.operators.retrieval import K1, STOP_WORDS, B, _density, small, top_k
+from tessera.operators.retrieval import K1, STOP_WORDS, B, _density, by_text, pieces, rank_texts, small, top_k
 from tessera.scratch import materialize
 
 BUCKETS = 64
 #: Terms up to which a scan is told them, so that row groups without one aren't read.
 TOLD_TERMS = 1000
+#: Postings that a task sorts when an index is written.
+ROWS_PER_TASK = 2_000_000
 
 
 def _bucket(term: Column | str) -> Column:
@@ -43,7 +45,7 @@ def _postings(stem: bool):
         import pyarrow as pa
 
         find = re.compile("[a-z0-9]+").findall
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole)):
             rows, terms, tfs, sizes, gaps, at = [], [], [], [], [], [0]
             for i, said in enumerate(b.column(1).to_pylist()):
                 words = find(said or "")
@@ -70,8 +72,9 @@ def build_index(corpus: DataFrame, path: str, *, stem: bool = False, id_col: str
     lowered = corpus.select(F.col(id_col).alias("chunk_id"), F.lower(text_col).alias("said"))
     rows = materialize(lowered.mapInArrow(_postings(stem), f"term string, chunk_id {kind}, tf long, size long, gaps array<int>"), "text-postings")
     placed = rows.withColumn("bucket", _bucket("term"))
-    # the hash lets a frequent term have several files
-    placed.repartitionByRange("bucket", "term", F.xxhash64("chunk_id")).sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    # the hash lets a frequent term have several files; a task sorts ROWS_PER_TASK rows
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS_PER_TASK)
+    placed.repartitionByRange(tasks, "bucket", "term", F.xxhash64("chunk_id")).sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{path}/postings")
     terms = placed.groupBy("term", "bucket").agg(F.count("*").alias("df"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
     chunks = corpus.count()
@@ -114,9 +117,11 @@ class TextIndex:
         rows = rows.where(F.col("bucket").isin(buckets)) if len(buckets) < BUCKETS else rows
         return rows.where(F.col("term").isin(terms)) if len(terms) <= TOLD_TERMS else rows
 
+    def _idf(self) -> Column:
+        return F.log(1 + (F.lit(self.chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
     def _weight(self) -> Column:
-        idf = F.log(1 + (F.lit(self.chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(self.mean or 1.0)))
+        return self._idf() * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(self.mean or 1.0)))
 
     def _all(self, asked: DataFrame, *columns: str) -> DataFrame:
         """(query_id, chunk_id, n_terms, df, columns of the postings): rows of the chunks that may have all of a question's terms."""
@@ -132,13 +137,13 @@ class TextIndex:
     def search(self, queries: DataFrame, k: int = 5, *, all_terms: bool = True) -> DataFrame:
         """(query_id, chunk_id, score, rank) by BM25: chunks with all terms of a question, or any."""
         asked = self.asked(queries)
-        if all_terms:
-            rows = self._all(asked, "tf", "size")
-        else:
+        if not all_terms:  # a posting is shuffled once, whatever number of questions has its term, and texts are ranked where they meet
             known = asked.where("df is not null")
-            rows = self.postings(known).join(small(known.select("query_id", "term", "n_terms", "df")), "term")
+            rows = self.postings(known).join(small(known.select("term").distinct()), "term", "left_semi")
+            return rank_texts(known.select("query_id", "term", "n_terms", self._idf().alias("idf")), by_text(rows, self.chunks), self.mean or 1.0, k, False)
+        rows = self._all(asked, "tf", "size")
         scored = rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(self._weight()), 6).alias("score"), F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"))
-        return top_k((scored.where("hits = n_terms") if all_terms else scored).select("query_id", "chunk_id", "score"), k)
+        return top_k(scored.where("hits = n_terms").select("query_id", "chunk_id", "score"), k)
 
     def cover_density(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """The chunks with all terms ranked by cover density: each shortest span that holds all terms adds 1 over its length."""
