@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors
-from tessera.operators import graph, retrieval, text_index
+from tessera.operators import chunking, graph, retrieval, text_index
 
 
 def test_close_names_are_linked_without_comparing_all(spark, monkeypatch):
@@ -59,3 +59,9 @@ def test_searches_shuffle_only_the_best(spark):
         assert "Join" not in plan and df.count() == 20
     exact = retrieval.dense_search(asked, corpus, 4)
     assert sorted(found[3].select("query_id", "rank", "score").collect()) == sorted(exact.select("query_id", "rank", "score").collect())
+
+
+def test_chunks_go_on_in_pieces():
+    texts = pd.Series(["x" * 300_000] * 12 + [None, ""])
+    out = list(chunking._in_pieces(lambda t: [t[:5], t[5:]])(iter([texts])))
+    assert 3 <= len(out) <= 5 and [len(c) for s in out for c in s] == [2] * 12 + [0, 0]
