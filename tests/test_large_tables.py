@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors
-from tessera.operators import chunking, graph, retrieval, text_index
+from tessera.operators import chunking, graph, models, retrieval, text_index
+from tessera.plans import agent
 
 
 def test_close_names_are_linked_without_comparing_all(spark, monkeypatch):
@@ -65,3 +66,28 @@ def test_chunks_go_on_in_pieces():
     texts = pd.Series(["x" * 300_000] * 12 + [None, ""])
     out = list(chunking._in_pieces(lambda t: [t[:5], t[5:]])(iter([texts])))
     assert 3 <= len(out) <= 5 and [len(c) for s in out for c in s] == [2] * 12 + [0, 0]
+
+
+def test_the_agent_judges_each_question_once_and_with_all_cores(spark):
+    """Before, a hop was one task if the questions came in one file, built each prompt and asked the model three times, and ran searches that no question took."""
+    asked = spark.range(64).coalesce(1).selectExpr("id AS query_id", "concat('explain item ', id) AS question")
+    prompts, tasks, ran = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), []
+
+    def client(said):
+        prompts.add(len(said))
+        return ['{"sufficient": true, "next_query": ""}'] * len(said)
+
+    def factory():
+        tasks.add(1)
+        return client
+
+    def search(name):
+        def run(q, k):
+            ran.append(name)
+            return q.selectExpr("query_id", "'c' AS chunk_id", "'said' AS content", "1.0D AS score", "'s' AS source_uri", "1 AS rank")
+
+        return run
+
+    found = agent.run_agent(asked, {n: search(n) for n in ("vector", "graph", "hybrid")}, evaluator=models.generate(factory), deadline_seconds=600).collect()
+    assert len(found) == 64 and {(r.iteration, r.terminated_by) for r in found} == {(0, "no_llm")}
+    assert prompts.value == 64 and 2 <= tasks.value <= 16 and ran == ["vector"]
