@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors
-from tessera.operators import chunking, graph, models, retrieval, text_index
+from tessera.operators import chunking, graph, models, retrieval, store, text_index
 from tessera.plans import agent
 
 
@@ -91,3 +91,24 @@ def test_the_agent_judges_each_question_once_and_with_all_cores(spark):
     found = agent.run_agent(asked, {n: search(n) for n in ("vector", "graph", "hybrid")}, evaluator=models.generate(factory), deadline_seconds=600).collect()
     assert len(found) == 64 and {(r.iteration, r.terminated_by) for r in found} == {(0, "no_llm")}
     assert prompts.value == 64 and 2 <= tasks.value <= 16 and ran == ["vector"]
+
+
+def test_a_vector_takes_its_norm_once(spark):
+    """Before, each element took the norm of the whole vector anew."""
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,), ([1.0, None],)], "v array<float>")
+    made = rows.select(vectors.l2_normalize("v").alias("u"))
+    assert made._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    assert [r.u for r in made.collect()] == [[pd.Series([0.6], dtype="float32")[0], pd.Series([0.8], dtype="float32")[0]], [0.0, 0.0], [], None, [None, None]]
+    assert made.schema["u"].dataType.simpleString() == "array<float>"
+
+
+def test_an_empty_store_is_known_to_be_empty(spark, tmp_path):
+    """Before, a first write shuffled all rows once more to join them with an empty table of Python's."""
+    held = store.ChunkStore(spark, f"file://{tmp_path}/s")
+    cut = spark.range(3).selectExpr("concat(id, '.txt') AS source_uri", "0 AS position", "'c' AS content", "array(1.0D) AS embedding")
+    rows = store.chunk_rows(cut, tenant_id="t", chapter="c", embed_model="m")
+    plan = store.upsert(held._rows(["t"]), rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and held.read("t").count() == 0 and held.read("t").columns == held._rows().columns
+    assert held.write(rows) == 3 and held.write(rows) == 3 and held.count("t") == 3
+    plan = held.read("t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "LogicalRDD" not in plan
